@@ -1,2 +1,250 @@
-"""Query groups beyond text, profiles and planning (images, assembly,
-vectors, validators, sources, streaming)."""
+"""Query groups beyond text, profiles and planning: images (2.8), assembly
+(2.9), vectors (2.10), validators (2.11), sources (2.1) and streaming (2.12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from .. import taxonomy as tx
+from ..functions import hashing as H
+from ..functions import pixels as PX
+from ..operators import images as IM
+from . import duck as D
+from .catalog import W, register
+
+SIDE = fx.IMAGE_SIDE
+HW = SIDE * SIDE
+SEED = 1234
+IMAGES = D.IMAGES_CTE
+
+# Long-form pixels and their coordinates in DuckDB.
+PX_LONG = ("pxl as (select img_id, generate_subscripts(px, 1) - 1 as pos, unnest(px) as v from images)")
+PX_COORD = (f"pxc as (select img_id, pos, v, pos // {HW} as c, (pos % {HW}) // {SIDE} as y, "
+            f"pos % {SIDE} as x, v / 127.5 - 1 as n from pxl)")
+
+
+def _images(spark, sf_dir):
+    return fx.images(spark, sf_dir)
+
+
+def _images_binary(spark, sf_dir):
+    return fx.images_binary(spark, sf_dir)
+
+
+def _long(df, arr_col, value_name="value"):
+    return df.select("img_id", F.posexplode(arr_col).alias("pos", value_name)).withColumn(
+        "pos", F.col("pos").cast("bigint"))
+
+
+# ------------------------------------------------------------------ images
+
+@register("pack_chw", W(IMAGES, PX_LONG) + f"""
+select img_id, ((pos % 3) * {HW} + pos // 3)::BIGINT as pos, v::BIGINT as value from pxl""")
+def q_pack_chw(spark, sf_dir):
+    """Interleaved HWC pixels repacked as planar CHW (long form)."""
+    img = _images(spark, sf_dir)
+    return _long(img.select("img_id", PX.hwc_to_chw(F.col("px"), SIDE).alias("chw")), "chw").select(
+        "img_id", "pos", F.col("value").cast("bigint"))
+
+
+@register("normalize", W(IMAGES, PX_LONG) + """
+select img_id, pos::BIGINT as pos, v::BIGINT as value, round(v / 127.5 - 1, 6) as norm,
+ floor((least(greatest(v / 127.5 - 1, -1.0), 1.0) + 1) * 127.5)::BIGINT as back from pxl""")
+def q_normalize(spark, sf_dir):
+    """I4: u8 -> [-1, 1] -> u8 round trip, per pixel."""
+    img = _images(spark, sf_dir)
+    n = img.select("img_id", "px", PX.normalize(F.col("px")).alias("norm"))
+    both = n.select("img_id", F.arrays_zip("px", "norm", PX.denormalize(F.col("norm")).alias("back"))
+                    .alias("z"))
+    return (both.select("img_id", F.posexplode("z").alias("pos", "t"))
+            .select("img_id", F.col("pos").cast("bigint"), F.col("t.px").cast("bigint").alias("value"),
+                    F.round("t.norm", 6).alias("norm"), F.col("t.back").cast("bigint").alias("back")))
+
+
+@register("flip_pairs", W(IMAGES, PX_LONG) + f"""
+select img_id, (pos - pos % {SIDE} + {SIDE - 1} - pos % {SIDE})::BIGINT as pos, v::BIGINT as value from pxl""")
+def q_flip_pairs(spark, sf_dir):
+    """Each image mirrored on its last axis (long form)."""
+    img = _images(spark, sf_dir)
+    return _long(img.select("img_id", PX.flip(F.col("px"), SIDE).alias("f")), "f").select(
+        "img_id", "pos", F.col("value").cast("bigint"))
+
+
+@register("synthetic_cross", W(IMAGES) + f"""
+select i.img_id, t.edit_type, t.type_id from images i cross join
+ (values {', '.join(f"({D.q(n)}, {tx.TYPE_ID[n]}::BIGINT)" for n in tx.SYNTHETIC_TYPES)}) t(edit_type, type_id)""")
+def q_synthetic_cross(spark, sf_dir):
+    """Every image x the 13 synthetic types."""
+    return IM.synthetic_cross(_images(spark, sf_dir).select("img_id"))
+
+
+def _blur_sql(src: str, name: str, sigma: float) -> str:
+    r = max(1, int(3 * sigma))
+    refl = lambda e: f"(case when {e} < 0 then -({e}) when {e} > {SIDE - 1} then {2 * (SIDE - 1)} - ({e}) else {e} end)"
+    return ",\n".join([
+        f"{name}_k as (select d, exp(-(d * d) / (2 * {sigma} * {sigma})) / "
+        f"(select sum(exp(-(e * e) / (2 * {sigma} * {sigma}))) from range(-{r}, {r + 1}) t(e)) as w "
+        f"from range(-{r}, {r + 1}) t(d))",
+        f"{name}_h as (select a.img_id, a.c, a.y, a.x, sum(k.w * b.n) as n from {src} a, {name}_k k, {src} b "
+        f"where b.img_id = a.img_id and b.c = a.c and b.y = a.y and b.x = {refl('a.x + k.d')} "
+        f"group by 1, 2, 3, 4)",
+        f"{name} as (select a.img_id, a.c, a.y, a.x, sum(k.w * b.n) as n from {name}_h a, {name}_k k, {name}_h b "
+        f"where b.img_id = a.img_id and b.c = a.c and b.x = a.x and b.y = {refl('a.y + k.d')} "
+        f"group by 1, 2, 3, 4)",
+    ])
+
+
+def _clamp_sql(e):
+    return f"least(greatest({e}, -1.0), 1.0)"
+
+
+def _edits_sql() -> str:
+    """Per-pixel results of all 13 edits in long form: (img_id, edit_type, pos, r)."""
+    L = "(0.299 * l.r + 0.587 * l.g + 0.114 * l.b)"
+    tint = lambda t: f"(case p.c when 0 then {t[0]} when 1 then {t[1]} else {t[2]} end)"
+    per_pixel = {
+        "black_and_white": L,
+        "sepia_vintage": _clamp_sql(f"{L} * {tint(PX.SEPIA_TINT)}"),
+        "brighter": _clamp_sql(f"p.n * {PX.BRIGHTER[0]} + {PX.BRIGHTER[1]}"),
+        "darker": _clamp_sql(f"p.n * {PX.DARKER[0]} + ({PX.DARKER[1]})"),
+        "more_colorful": _clamp_sql(f"{L} + (p.n - {L}) * {PX.MORE_COLORFUL}"),
+        "less_colorful": _clamp_sql(f"{L} + (p.n - {L}) * {PX.LESS_COLORFUL}"),
+        "warmer": _clamp_sql(f"p.n * {tint(PX.WARM_TINT)}"),
+        "cooler": _clamp_sql(f"p.n * {tint(PX.COOL_TINT)}"),
+        "inverted": "-p.n",
+        "high_contrast": _clamp_sql(f"p.n * {PX.HIGH_CONTRAST}"),
+        "low_contrast": f"p.n * {PX.LOW_CONTRAST}",
+    }
+    cols = ", ".join(f"{e} as {k}" for k, e in per_pixel.items())
+    names = ", ".join(per_pixel)
+    return ",\n".join([
+        "luma as (select img_id, y, x, sum(case when c = 0 then n end) as r, sum(case when c = 1 then n end) as g, "
+        "sum(case when c = 2 then n end) as b from pxc group by 1, 2, 3)",
+        f"wide as (select p.img_id, p.pos, {cols} from pxc p join luma l on l.img_id = p.img_id and l.y = p.y and l.x = p.x)",
+        f"sql_edits as (unpivot wide on {names} into name edit_type value r)",
+        _blur_sql("pxc", "blur25", PX.BLUR_SIGMA),
+        _blur_sql("pxc", "blur15", PX.SHARPEN_SIGMA),
+        f"all_edits as (select img_id, edit_type, pos, r from sql_edits "
+        f"union all select img_id, 'blur_background', c * {HW} + y * {SIDE} + x, n from blur25 "
+        f"union all select p.img_id, 'sharper', p.pos, {_clamp_sql(f'p.n + (p.n - s.n) * {PX.SHARPEN_AMOUNT}')} "
+        f"from pxc p join blur15 s on s.img_id = p.img_id and s.c = p.c and s.y = p.y and s.x = p.x)",
+    ])
+
+
+@register("synthetic_pairs", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + """
+select img_id, edit_type, sum(round(r * 1e6)::BIGINT)::BIGINT as s1,
+ sum(round(r * 1e6)::BIGINT * (pos + 1))::BIGINT as s2 from all_edits group by 1, 2""")
+def q_synthetic_pairs(spark, sf_dir):
+    """All 13 exact edits of every image by the Arrow/NumPy job, as an
+    exact integer digest per (image, edit)."""
+    cross = IM.synthetic_cross(_images_binary(spark, sf_dir))
+    after = IM.synthetic_pairs(cross, out="float")
+    s1, s2 = PX.digest(F.col("after"))
+    return after.select("img_id", "edit_type", s1.alias("s1"), s2.alias("s2"))
+
+
+@register("synthetic_pairs_sql", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + f"""
+select img_id, edit_type, sum(round(r * 1e6)::BIGINT)::BIGINT as s1,
+ sum(round(r * 1e6)::BIGINT * (pos + 1))::BIGINT as s2 from all_edits
+where edit_type not in ('blur_background', 'sharper') group by 1, 2""")
+def q_synthetic_pairs_sql(spark, sf_dir):
+    """I5, SQL form: the 11 per-pixel edits as array ``transform`` expressions."""
+    img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
+    out = None
+    for e in PX.SQL_EDITS:
+        s1, s2 = PX.digest(PX.synthetic_sql(F.col("x"), e, SIDE))
+        one = img.select("img_id", F.lit(e).alias("edit_type"), s1.alias("s1"), s2.alias("s2"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("pair_error", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + """
+, stored as (select img_id - 1 as img_id, pos, v / 127.5 - 1 as a from pxl)
+select e.edit_type, round(avg((s.a - e.r) * (s.a - e.r)), 6) as mse_truth,
+ round(avg((s.a - p.n) * (s.a - p.n)), 6) as mse_input
+from all_edits e join stored s on s.img_id = e.img_id and s.pos = e.pos
+ join pxc p on p.img_id = e.img_id and p.pos = e.pos group by 1""")
+def q_pair_error(spark, sf_dir):
+    """I8: per type, mean squared error of the stored after-image (the next
+    image) against the exact edit, and against the unedited input."""
+    img = _images_binary(spark, sf_dir)
+    after = IM.synthetic_pairs(IM.synthetic_cross(img), out="float")
+    stored = _images(spark, sf_dir).select((F.col("img_id") - 1).alias("img_id"),
+                                           PX.normalize(F.col("px")).alias("stored"))
+    before = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("before"))
+    j = after.join(stored, "img_id").join(before, "img_id")
+    per = j.select("edit_type", PX.sum_sq_diff(F.col("stored"), F.col("after")).alias("e_t"),
+                   PX.sum_sq_diff(F.col("stored"), F.col("before")).alias("e_i"),
+                   F.size("after").alias("n"))
+    return per.groupBy("edit_type").agg(
+        F.round(F.sum("e_t") / F.sum("n"), 6).alias("mse_truth"),
+        F.round(F.sum("e_i") / F.sum("n"), 6).alias("mse_input"))
+
+
+@register("drop_image", W(IMAGES, PX_LONG) + f"""
+select img_id, d as dropped, case when d then 0 else sum(round((v / 127.5 - 1) * 1e6)::BIGINT) end::BIGINT as s1
+from (select *, {D.md5_uniform(str(SEED), 'img_id', '7')} < 0.1 as d from pxl) group by img_id, d""")
+def q_drop_image(spark, sf_dir):
+    """``before`` replaced by zeros (mid-grey) for a hash-chosen 10%."""
+    img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
+    dropped = H.uniform(SEED, F.col("img_id"), 7) < 0.1
+    zeros = F.array_repeat(F.lit(0.0), 3 * HW)
+    x = F.when(dropped, zeros).otherwise(F.col("x"))
+    s1, _ = PX.digest(x)
+    return img.select("img_id", dropped.alias("dropped"), s1.alias("s1"))
+
+
+@register("image_stats", W(IMAGES) + """
+select img_id, round(list_aggregate(list_transform(px, lambda v: v / 127.5 - 1), 'stddev_samp'), 6) as std,
+ round(list_sort(list_transform(px, lambda v: abs(v / 127.5 - 1)))[round_even(0.995 * (len(px) - 1), 0)::INT + 1], 6) as q_abs
+from images""")
+def q_image_stats(spark, sf_dir):
+    """Per image, sample standard deviation and the 0.995 quantile of |x|."""
+    img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
+    return img.select("img_id", F.round(PX.array_std(F.col("x")), 6).alias("std"),
+                      F.round(PX.abs_quantile(F.col("x"), 0.995), 6).alias("q_abs"))
+
+
+def _cells(spark, sf_dir):
+    """Image cells as the corpus stores them: struct<bytes, path>; the bytes are
+    raw interleaved RGB, and one image in 97 is cut short (unreadable)."""
+    img = _images(spark, sf_dir)
+    raw = PX.u8_to_binary(F.col("px"))
+    data = F.when(F.col("img_id") % 97 == 0, F.substring(raw, 1, 100)).otherwise(raw)
+    return img.select("img_id", F.struct(data.alias("bytes"), F.lit(None).cast("string").alias("path"))
+                      .alias("image_file"))
+
+
+def _binary_digest(b):
+    vals = F.transform(F.sequence(F.lit(1), F.octet_length(b)),
+                       lambda i: F.conv(F.hex(F.substring(b, i, 1)), 16, 10).cast("bigint"))
+    return F.aggregate(F.zip_with(vals, F.sequence(F.lit(1), F.size(vals)), lambda v, i: v * i),
+                       F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+@register("decode_images", W(IMAGES, PX_LONG) + f"""
+select img_id, ok, case when ok then {SIDE} end::BIGINT as height, case when ok then {SIDE} end::BIGINT as width,
+ case when ok then sum(v * ((pos % 3) * {HW} + pos // 3 + 1)) end::BIGINT as s1
+from (select *, img_id % 97 <> 0 as ok from pxl) group by img_id, ok""")
+def q_decode_images(spark, sf_dir):
+    """I1 (+ I3): raw RGB cells decoded to CHW; bad cells flagged, not fatal."""
+    dec = IM.decode_images(_cells(spark, sf_dir), "image_file")
+    return dec.select("img_id", "ok", F.col("height").cast("bigint"), F.col("width").cast("bigint"),
+                      F.when(F.col("ok"), _binary_digest(F.col("px"))).alias("s1"))
+
+
+@register("resize_images")
+def q_resize_images(spark, sf_dir):
+    """Every image resized 8 -> 4 px (Lanczos, a = 3) by the NumPy job."""
+    r = IM.resize_images(_images_binary(spark, sf_dir), 4)
+    return r.select("img_id", "res", F.octet_length("px").cast("bigint").alias("n_bytes"))
+
+
+@register("register_edits")
+def q_register_edits(spark, sf_dir):
+    """The edits called by name as registered SQL functions."""
+    IM.register_edits(spark)
+    img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
+    out = img.select("img_id", F.call_function("edit_inverted", F.col("x"), F.lit(SIDE)).alias("inv"))
+    return out.select("img_id", F.size("inv").cast("bigint").alias("n"))
