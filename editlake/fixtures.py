@@ -44,16 +44,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _pick(values, index_sql: str) -> str:
+    """``values[index]`` as an array lookup (0-based index expression)."""
+    arr = "array(" + ", ".join("'" + v + "'" for v in values) + ")"
+    return f"element_at({arr}, cast({index_sql} as int) + 1)"
+
+
+# The same values as the CASE text above, as array lookups: a few small
+# expressions instead of nested CASEs, so Catalyst can inline them cheaply.
+_ET_FAST = _pick(["add", "tune_transfer", "style_change", "background_change", "replace"],
+                 "(cast(floor(o_orderkey/100) as bigint) + if(o_orderkey%100>=90, 1, 0)) % 5")
+_ADD_FAST = ("concat(" + ", ".join([
+    _pick(["add", "include", "put", "place", "insert", "Add"], "cast(floor(o_orderkey/5) as bigint)%6"),
+    "' '",
+    _pick(["a ", "an ", "the ", "some ", ""], "cast(floor(o_orderkey/3) as bigint)%5"),
+    _pick(["", "big red ", "small ", "fresh "], "(o_orderkey*5)%4"),
+    _pick(["hat", "cats", "butterflies", "vases", "cup", "glasses", "bookshelf", "zebra", "dog",
+           "boxes", "apple", "balloon", "sailboats", "tree"],
+          "(o_orderkey*3+cast(floor(o_orderkey/7) as bigint))%14"),
+    _pick([" on the horse", " of coffee in his hand", " nearby", "", " taking a bath", " to the left"],
+          "cast(floor(o_orderkey/11) as bigint)%6"),
+]) + ")")
+_TUNE_FAST = _pick(["change the weather to snow", "make the season autumn", "make it a snowy night",
+                    "change the time to dusk", "let it fall", "make the weather foggy",
+                    "turn it to stormy evening", "brighten the room", "make it summer",
+                    "change the season to winter", "mist at midnight"],
+                   "cast(floor(o_orderkey/2) as bigint)%11")
+_CAPTION_FAST = _pick(["make it a watercolor painting", "make it rain", "put her on a train",
+                       "turn it into a snowy day", "ride a bicycle", "make it an anime",
+                       "make it a desert", "set it on fire", "make it night", "the knight at dawn",
+                       "make it cyberpunk", "a charcoal sketch", "make her a panda",
+                       "make it the Taj Mahal", "add a hat", "make it black and white"],
+                      "o_orderkey%16")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus-shaped view over ``orders`` (one row per before/after pair)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("et", F.expr(_ET))
+    o = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("et", F.expr(_ET_FAST))
     return o.selectExpr(
         "o_orderkey as row_id",
         "cast(floor(o_orderkey/100) as bigint) as shard",
         "et as edit_type",
         "case when o_orderkey%7=3 then cast(null as string) else et end as edit_type_nullable",
-        f"{_INSTRUCTION} as instruction",
-        f"{_CAPTION} as caption",
+        f"case et when 'add' then {_ADD_FAST} when 'tune_transfer' then {_TUNE_FAST} "
+        "when 'replace' then 'replace the dog with a cat' else concat('apply ', et) end as instruction",
+        f"{_CAPTION_FAST} as caption",
         "(o_orderkey%97)<>0 as decodable",
     )
 

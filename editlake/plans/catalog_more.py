@@ -248,3 +248,150 @@ def q_register_edits(spark, sf_dir):
     img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
     out = img.select("img_id", F.call_function("edit_inverted", F.col("x"), F.lit(SIDE)).alias("inv"))
     return out.select("img_id", F.size("inv").cast("bigint").alias("n"))
+
+
+# ---------------------------------------------------------------- assembly (2.9)
+
+from ..operators import assemble as AS  # noqa: E402
+from .catalog import PAIRS  # noqa: E402
+
+SHARE = 0.25
+
+
+def _pools_sql(split: str) -> str:
+    return ",\n".join([
+        D.TYPES_CTE,
+        "prep as (select * from pairs where decodable)",
+        "splitted as (select *, case when row_number() over (partition by shard order by row_id) - 1 < "
+        "count(*) over (partition by shard) - least(30, count(*) over (partition by shard) // 10) "
+        "then 'train' else 'val' end as split from prep)",
+        f"srows as (select * from splitted where split = '{split}')",
+        f"named as (select r.shard, r.row_id, t.type_id from (select shard, row_id, "
+        f"{D.classify_edit('edit_type', 'instruction')} as type_name from srows) r join types t on t.name = r.type_name)",
+        "keep as (select type_id from named group by 1 having count(*) >= 50)",
+        "pools as (select -1::BIGINT as pool_id, shard, row_id, (row_number() over (order by shard, row_id) - 1)::BIGINT as pos, "
+        "count(*) over ()::BIGINT as pool_size from srows union all "
+        "select type_id, shard, row_id, (row_number() over (partition by type_id order by shard, row_id) - 1)::BIGINT, "
+        "count(*) over (partition by type_id)::BIGINT from named where type_id in (select type_id from keep))",
+        "sizes as (select pool_id, max(pool_size) as size from pools group by 1)",
+        "choices as (select 0 as kind, s.i::BIGINT as idx, s.type_id::BIGINT as type_id, -1::BIGINT as pool_id, "
+        "(select size from sizes where pool_id = -1) as size, s.i::BIGINT as slot from (values "
+        + ", ".join(f"({i}, {t})" for i, t in enumerate(AS.SYNTH_IDS)) + ") s(i, type_id) union all "
+        f"select 1, (row_number() over (order by pool_id) - 1)::BIGINT, pool_id, pool_id, size, "
+        f"({len(AS.SYNTH_IDS)} + row_number() over (order by pool_id) - 1)::BIGINT from sizes where pool_id >= 0)",
+    ])
+
+
+def _draws_sql(seed: int) -> str:
+    u = lambda k: D.md5_uniform(str(seed), "draw_id", str(k))
+    kreal = "(select count(*) from sizes where pool_id >= 0)"
+    return ",\n".join([
+        f"d1 as (select pos as draw_id, {u(0)} as u0, {u(1)} as u1, {u(2)} as u2 from pools where pool_id = -1)",
+        f"d2 as (select *, case when {kreal} > 0 and u0 >= {SHARE} then 1 else 0 end as kind from d1)",
+        f"d3 as (select *, floor(u1 * case when kind = 1 then {kreal} else {len(AS.SYNTH_IDS)} end)::BIGINT as idx from d2)",
+        "draws as (select d3.draw_id, c.type_id, c.pool_id, p.shard, p.row_id from d3 join choices c "
+        "on c.kind = d3.kind and c.idx = d3.idx join pools p on p.pool_id = c.pool_id and p.pos = floor(d3.u2 * c.size)::BIGINT)",
+    ])
+
+
+def _prepared(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).where(F.col("decodable"))
+
+
+def _train_pools(spark, sf_dir):
+    return AS.build_pools(_prepared(spark, sf_dir), "train", 30)
+
+
+def _draws(spark, sf_dir):
+    pools = _train_pools(spark, sf_dir)
+    ids = pools.where(F.col("pool_id") == AS.IMAGE_POOL).select(F.col("pos").alias("draw_id"))
+    return AS.mixture_sample(pools, ids, SEED, SHARE), pools
+
+
+@register("build_pools", W(PAIRS, _pools_sql("train")) + "select pool_id, shard, row_id, pos, pool_size from pools")
+def q_build_pools(spark, sf_dir):
+    """Train image pool and per-type index (after the 50-row support filter)."""
+    return _train_pools(spark, sf_dir)
+
+
+@register("type_index", W(PAIRS, _pools_sql("train")) + "select pool_id as type_id, shard, row_id, pos from pools where pool_id >= 0")
+def q_type_index(spark, sf_dir):
+    """A10: type -> ordered row refs, long form with a dense position."""
+    p = _train_pools(spark, sf_dir).where(F.col("pool_id") >= 0)
+    return p.select(F.col("pool_id").alias("type_id"), "shard", "row_id", "pos")
+
+
+@register("smallest_types", W(PAIRS, _pools_sql("train")) + """
+select pool_id as type_id, max(pool_size)::BIGINT as n from pools where pool_id >= 0 group by 1 order by n asc, type_id asc limit 5""")
+def q_smallest_types(spark, sf_dir):
+    """The five indexed types with the fewest train rows."""
+    from ..operators import profile as P
+    idx = _train_pools(spark, sf_dir).where(F.col("pool_id") >= 0).select(F.col("pool_id").alias("type_id"))
+    return P.smallest_types(idx, 5)
+
+
+@register("mixture_sample", W(PAIRS, _pools_sql("train"), _draws_sql(SEED)) + "select * from draws")
+def q_mixture_sample(spark, sf_dir):
+    """One draw per train image: type mixture, then a row of its pool."""
+    return _draws(spark, sf_dir)[0]
+
+
+@register("val_items", W(PAIRS, _pools_sql("val")) + """
+select k.k::BIGINT as k, c.slot, c.type_id, c.pool_id, p.shard, p.row_id from choices c, range(0, 4) k(k)
+join pools p on p.pool_id = c.pool_id and p.pos = k.k % c.size""")
+def q_val_items(spark, sf_dir):
+    """Fixed validation items, 4 per sampleable type (val split pools)."""
+    pools = AS.build_pools(_prepared(spark, sf_dir), "val", 30)
+    return AS.val_items(pools, 4)
+
+
+@register("cond_dropout", W(PAIRS, _pools_sql("train"), _draws_sql(SEED)) + f"""
+select draw_id, type_id as type_in, case when td then 0 else type_id end::BIGINT as type_id, td as type_dropped, idr as image_dropped
+from (select *, {D.md5_uniform(str(SEED), 'draw_id', '3')} < 0.1 as td, {D.md5_uniform(str(SEED), 'draw_id', '4')} < 0.1 as idr from draws)""")
+def q_cond_dropout(spark, sf_dir):
+    """T4: type and image dropout masks on the sampled draws."""
+    d = AS.cond_dropout(_draws(spark, sf_dir)[0], SEED, 0.1, 0.1)
+    return d.select("draw_id", "type_in", "type_id", "type_dropped", "image_dropped")
+
+
+@register("flip_augment", W(PAIRS, _pools_sql("train"), _draws_sql(SEED)) + f"""
+select draw_id, {D.md5_uniform(str(SEED), 'draw_id', '5')} < 0.5 as flipped from draws""")
+def q_flip_augment(spark, sf_dir):
+    """T5: train-split flip flags of the sampled draws."""
+    return AS.flip_augment(_draws(spark, sf_dir)[0], SEED).select("draw_id", "flipped")
+
+
+@register("exposure_report", W(PAIRS, _pools_sql("train"), _draws_sql(SEED)) + f"""
+, expected as (select type_id, case when (select count(*) from sizes where pool_id >= 0) = 0 then 1.0 / {len(AS.SYNTH_IDS)}
+  when kind = 1 then (1 - {SHARE}) / (select count(*) from sizes where pool_id >= 0) else {SHARE} / {len(AS.SYNTH_IDS)} end as expected from choices)
+, actual as (select type_id, count(*) as n, count(*) / sum(count(*)) over () as actual from draws group by 1)
+select coalesce(e.type_id, a.type_id) as type_id, round(coalesce(e.expected, 0), 6) as expected,
+ round(coalesce(a.actual, 0), 6) as actual, coalesce(a.n, 0)::BIGINT as n
+from expected e full join actual a on a.type_id = e.type_id""")
+def q_exposure_report(spark, sf_dir):
+    """Expected vs actual share per type of the sampled draws."""
+    draws, pools = _draws(spark, sf_dir)
+    return AS.exposure_report(draws, pools, SHARE)
+
+
+def corpus_images(spark, sf_dir):
+    """The typed corpus with pixels: pair row k holds image k as before and
+    image k + 1 as its stored after-image."""
+    imgs = fx.images_binary(spark, sf_dir)
+    after = imgs.select((F.col("img_id") - 1).alias("row_id"), F.col("px").alias("after_px"))
+    before = imgs.select(F.col("img_id").alias("row_id"), "px", "res")
+    return fx.pairs(spark, sf_dir).join(before, "row_id").join(after, "row_id")
+
+
+@register("materialize_examples")
+def q_materialize_examples(spark, sf_dir):
+    """Sampled refs turned into (before, after, type) training rows."""
+    ci = corpus_images(spark, sf_dir)
+    prepared = ci.where(F.col("decodable")).select(*fx.PAIRS_COLUMNS)
+    pools = AS.build_pools(prepared, "train", 30, min_rows=5)
+    ids = pools.where(F.col("pool_id") == AS.IMAGE_POOL).select(F.col("pos").alias("draw_id"))
+    draws = AS.flip_augment(AS.cond_dropout(AS.mixture_sample(pools, ids, SEED, SHARE),
+                                            SEED, 0.1, 0.1), SEED)
+    ex = AS.materialize_examples(draws, ci)
+    return ex.select("draw_id", "type_id", "res", F.octet_length("before").cast("bigint").alias("before_bytes"),
+                     F.octet_length("after").cast("bigint").alias("after_bytes"), "flipped", "image_dropped")
