@@ -395,3 +395,222 @@ def q_materialize_examples(spark, sf_dir):
     ex = AS.materialize_examples(draws, ci)
     return ex.select("draw_id", "type_id", "res", F.octet_length("before").cast("bigint").alias("before_bytes"),
                      F.octet_length("after").cast("bigint").alias("after_bytes"), "flipped", "image_dropped")
+
+
+# ------------------------------------------------------------- vectors (2.10)
+
+from ..operators import checks as CK  # noqa: E402
+from ..operators import select as S  # noqa: E402
+from ..operators import shards as SH  # noqa: E402
+from ..operators import vectors as V  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import corpus as SC  # noqa: E402
+from .catalog import PLAN_A, PLAN_B, _pick_sql, _slice  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint location."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("cond_sensitivity", """
+with l as (select vec_id, label, generate_subscripts(embedding, 1) as pos, unnest(embedding)::DOUBLE as v from embeddings),
+c as (select label, pos, avg(v) as m from l group by 1, 2),
+s as (select l.vec_id, l.label, sum(l.v * c.m) as dot, sum(l.v * l.v) as aa, sum(c.m * c.m) as bb,
+  sum((l.v - c.m) * (l.v - c.m)) as dd from l join c on c.label = l.label and c.pos = l.pos group by 1, 2)
+select vec_id, label::BIGINT as label, round(dot / (sqrt(aa) * sqrt(bb)), 6) as cosine,
+ round(sqrt(dd) / sqrt(bb), 6) as rel_diff from s""")
+def q_cond_sensitivity(spark, sf_dir):
+    """Each embedding against its label centroid: cosine, relative difference."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    return V.cond_sensitivity(e).withColumn("label", F.col("label").cast("bigint"))
+
+
+@register("vector_health", """
+select vec_id, len(list_filter(embedding, lambda x: isnan(x) or isinf(x)))::BIGINT as n_nonfinite,
+ list_bool_and(list_transform(embedding, lambda x: x = 0)) as all_zero,
+ round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) as norm,
+ sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) < 1e-6 as tiny from embeddings""")
+def q_vector_health(spark, sf_dir):
+    """Non-finite, all-zero and tiny-norm vectors."""
+    return V.vector_health(fx.table(spark, sf_dir, "embeddings"))
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    """Every instruction encoded (32 x 64 per row; whole text, no cut)."""
+    p = fx.pairs(spark, sf_dir).select("row_id", "instruction")
+    v = V.embed_text(p, "instruction")
+    return v.select("row_id", F.size("vectors").cast("bigint").alias("seq_len"),
+                    F.size(F.element_at("vectors", 1)).cast("bigint").alias("dim"))
+
+
+@register("refresh_embeddings")
+def q_refresh_embeddings(spark, sf_dir):
+    """Re-embed the prompts of the corpus into their own vector table."""
+    p = fx.pairs(spark, sf_dir).select("shard", "row_id", "instruction")
+    n = p.count()
+    out = V.refresh_embeddings(p, n, _scratch(spark, "vectors"))
+    return out.select("shard", "row_id", F.size("vectors").cast("bigint").alias("seq_len"))
+
+
+# ----------------------------------------------------------- validators (2.11)
+
+@register("check_lengths", W(PAIRS) + """
+, per as (select shard, count(*) as n, count(instruction) as prompts, count(edit_type_nullable) as types,
+  count(*) filter (where decodable) as images from pairs group by shard)
+select 'lengths:' || part as check, shard, actual = n as ok, n::BIGINT as expected, actual::BIGINT as actual
+from (unpivot per on prompts, types, images into name part value actual)""")
+def q_check_lengths(spark, sf_dir):
+    """V1: per shard, the prompt, type and image counts against meta n."""
+    return CK.check_lengths(fx.pairs(spark, sf_dir))
+
+
+PLAN_SHORT = ({"add": 4000, "replace": 100}, 0)
+
+
+@register("check_nonempty", W(PAIRS, D.SMAP_CTE, _pick_sql(PLAN_SHORT), D.quota_rows_sql("taken", "picked", "picked_quota")) + """
+select 'nonempty:' || q.edit_type as check, null::BIGINT as shard,
+ coalesce(t.n, 0) >= q.quota and coalesce(t.n, 0) > 0 as ok, q.quota as expected, coalesce(t.n, 0)::BIGINT as actual
+from picked_quota q left join (select edit_type, count(*) as n from taken group by 1) t on t.edit_type = q.edit_type""")
+def q_check_nonempty(spark, sf_dir):
+    """V3: a plan whose add quota exceeds the stock must report the shortfall."""
+    quota = SH.quota_table(spark, PLAN_SHORT[0])
+    return CK.check_nonempty(quota, _slice(spark, sf_dir, PLAN_SHORT))
+
+
+@register("check_uniform_res", W(IMAGES) + """
+select 'uniform_res' as check, null::BIGINT as shard, count(distinct res) = 1 as ok, 1::BIGINT as expected,
+ count(distinct res)::BIGINT as actual from (select img_id // 100 as shard, sqrt(len(px) / 3)::BIGINT as res from images)""")
+def q_check_uniform_res(spark, sf_dir):
+    """V4: one resolution over all image shards."""
+    img = _images(spark, sf_dir).select((F.col("img_id") / 100).cast("bigint").alias("shard"),
+                                        F.sqrt(F.size("px") / 3).cast("bigint").alias("res"))
+    return CK.check_uniform_res(img)
+
+
+@register("check_disjoint", W(PAIRS, D.SMAP_CTE, _pick_sql(PLAN_A, "pa"), _pick_sql(PLAN_B, "pb"),
+                              D.quota_rows_sql("sa", "pa", "pa_quota"), D.quota_rows_sql("sb", "pb", "pb_quota")) + """
+select 'disjoint' as check, shard, false as ok, 0::BIGINT as expected, count(*)::BIGINT as actual
+from (select row_id, shard from sa intersect select row_id, shard from sb) group by shard""")
+def q_check_disjoint(spark, sf_dir):
+    """V5: rows held by both overlapping prep slices, per shard."""
+    cols = ["row_id", "shard"]
+    both = S.slice_union({"a": _slice(spark, sf_dir, PLAN_A).select(*cols),
+                          "b": _slice(spark, sf_dir, PLAN_B).select(*cols)})
+    return CK.check_disjoint(both)
+
+
+@register("check_taxonomy_append_only", W(PAIRS, D.TYPES_CTE) + f"""
+, stored as (select distinct (list_position({D.str_list(tx.TAXONOMY_V3)}, t) - 1)::BIGINT as type_id, t as type_name
+  from (select {D.classify_real_case('caption')} as t from pairs) where t is not null)
+select 'taxonomy_append_only' as check, s.type_id, s.type_name as stored_name, n.name as current_name,
+ coalesce(n.name = s.type_name, false) as ok from stored s left join types n on n.type_id = s.type_id""")
+def q_check_taxonomy_append_only(spark, sf_dir):
+    """V6: type ids stored under the first taxonomy still mean the same names."""
+    from ..functions import text as T
+    v3 = F.array(*[F.lit(n) for n in tx.TAXONOMY_V3])
+    name = T.classify_real(F.col("caption"))
+    stored = fx.pairs(spark, sf_dir).select(
+        (F.array_position(v3, name) - 1).cast("bigint").alias("type_id"), name.alias("type_name")).where(
+        F.col("type_name").isNotNull())
+    return CK.check_taxonomy_append_only(stored)
+
+
+# -------------------------------------------------------------- sources (2.1)
+
+def _cells_corpus(spark, sf_dir):
+    """Typed corpus rows with struct<bytes, path> image cells (pair k: image k
+    before, image k + 1 after)."""
+    img = _images(spark, sf_dir).select("img_id", PX.u8_to_binary(F.col("px")).alias("b"))
+    cell = lambda c: F.struct(F.col(c).alias("bytes"), F.lit(None).cast("string").alias("path"))
+    before = img.select(F.col("img_id").alias("row_id"), cell("b").alias("image_file"))
+    after = img.select((F.col("img_id") - 1).alias("row_id"), cell("b").alias("edited_file"))
+    p = fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type",
+                                       F.col("instruction").alias("edit_instruction"), "caption")
+    return p.join(before, "row_id").join(after, "row_id")
+
+
+@register("scan_corpus", W(PAIRS, IMAGES) + """
+select p.row_id, p.edit_type, p.instruction, len(a.px)::BIGINT as before_bytes, len(b.px)::BIGINT as after_bytes
+from pairs p join images a on a.img_id = p.row_id join images b on b.img_id = p.row_id + 1""")
+def q_scan_corpus(spark, sf_dir):
+    """The corpus read as type, instruction and the two image cells only."""
+    c = _cells_corpus(spark, sf_dir).select("row_id", *SC.CORPUS_COLUMNS)
+    return c.select("row_id", "edit_type", F.col("edit_instruction").alias("instruction"),
+                    F.octet_length("image_file.bytes").cast("bigint").alias("before_bytes"),
+                    F.octet_length("edited_file.bytes").cast("bigint").alias("after_bytes"))
+
+
+@register("read_sidecars", W(PAIRS) + """
+, pr as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, instruction from pairs)
+, ty as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, edit_type_nullable as edit_type
+  from pairs where edit_type_nullable is not null)
+select pr.shard, pr.pos, pr.instruction, coalesce(ty.edit_type, '') as edit_type
+from pr left join ty on ty.shard = pr.shard and ty.pos = pr.pos""")
+def q_read_sidecars(spark, sf_dir):
+    """S6 + J1: per-shard prompt and type sidecars joined by position (a short
+    types list pads with '')."""
+    p = fx.pairs(spark, sf_dir)
+    prompts = SC.read_sidecar(SC.sidecar_arrays(p, "instruction"), "instruction")
+    types = SC.read_sidecar(SC.sidecar_arrays(p, "edit_type_nullable"), "edit_type")
+    return SC.join_sidecars(prompts, types, "train")
+
+
+@register("write_meta", W(PAIRS) + """
+select shard, sum(c)::BIGINT as n, least(30, sum(c) // 10)::BIGINT as val_n, 8::BIGINT as res, 'orders' as source,
+ '{"n":' || sum(c)::VARCHAR || ',"val_n":' || least(30, sum(c) // 10)::VARCHAR || ',"res":8,"source":"orders","counts":{'
+ || string_agg('"' || edit_type || '":' || c::VARCHAR, ',' order by edit_type) || '}}' as meta_json
+from (select shard, edit_type, count(*) as c from pairs where decodable group by 1, 2) group by shard""")
+def q_write_meta(spark, sf_dir):
+    """The meta record of every shard of decodable rows."""
+    return SC.write_meta(fx.pairs(spark, sf_dir).where(F.col("decodable")), 30, 8, "orders")
+
+
+@register("sidecar_default", W(PAIRS) + "select row_id, coalesce(edit_type_nullable, '?') as label from pairs")
+def q_sidecar_default(spark, sf_dir):
+    """Missing type labels read as '?'."""
+    return SC.sidecar_default(fx.pairs(spark, sf_dir)).select("row_id", "label")
+
+
+@register("tolerant_scan", W(IMAGES) + """
+select img_id // 100 as shard, count(*)::BIGINT as rows, count(*) filter (where img_id % 97 = 0)::BIGINT as bad,
+ count(*) filter (where img_id % 97 <> 0)::BIGINT as good from images group by 1""")
+def q_tolerant_scan(spark, sf_dir):
+    """Unreadable image cells are dropped and counted per shard."""
+    dec = IM.decode_images(_cells(spark, sf_dir), "image_file")
+    return (dec.groupBy((F.col("img_id") / 100).cast("bigint").alias("shard"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                 F.count_if(~F.col("ok")).cast("bigint").alias("bad"),
+                 F.count_if(F.col("ok")).cast("bigint").alias("good")))
+
+
+@register("packed_roundtrip")
+def q_packed_roundtrip(spark, sf_dir):
+    """S5 + S4 + V2: corpus pairs written as packed shards, read back lazily."""
+    from ..sources import packed as PK
+    ci = corpus_images(spark, sf_dir).where(F.col("decodable"))
+    rows = ci.select("row_id", F.col("px").alias("before"), F.col("after_px").alias("after"), "res",
+                     "instruction", "edit_type")
+    path = _scratch(spark, "packed")
+    PK.write_packed_pairs(rows, path, shards=4, want_val=30, source="orders")
+    back = PK.read_packed_pairs(spark, path, records_per_partition=256)
+    return back.select("prefix", "row", "res", F.octet_length("before").cast("bigint").alias("before_bytes"),
+                       "edit_type")
+
+
+# ------------------------------------------------------------ streaming (2.12)
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """G1: shards arriving as files, ingested with plan A's quota; equals the
+    batch ``quota_rows`` of the same shards."""
+    from ..streaming import ingest as G
+    base = _scratch(spark, "stream")
+    p = fx.pairs(spark, sf_dir)
+    (p.repartition("shard").write.partitionBy("shard").parquet(f"{base}/in"))
+    schema = spark.read.parquet(f"{base}/in").schema
+    out = G.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", PLAN_A[0], schema,
+                          files_per_trigger=8)
+    return out.select("row_id", "shard", "edit_type", "batch_id")
