@@ -29,7 +29,7 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
     if tolerant:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     df = reader.parquet(*([path] if isinstance(path, str) else path))
-    shard = F.regexp_extract(F.col("_metadata.file_name"), _SHARD_RE, 1)
+    shard = F.regexp_extract(F.col("_metadata.file_path"), _SHARD_RE, 1)
     return df.select(*CORPUS_COLUMNS,
                      F.when(shard != "", shard.cast("bigint")).alias("shard"),
                      F.col("_metadata.file_name").alias("file_name"))
