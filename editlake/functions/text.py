@@ -37,10 +37,27 @@ ADD_HEAD_RE = (r"(?iUd)^\s*(?:" + _alt(tx.ADD_VERBS) + r")\s+(?:"
 # Same, but an article must be a whole word ("add apple" keeps its "a").
 ADD_HEAD_STRICT_RE = (r"(?iUd)^\s*(?:" + _alt(tx.ADD_VERBS) + r")\s+(?:(?:"
                       + _alt(tx.ADD_ARTICLES) + r")\s+)?\s*(.+)$")
-ADD_BOUNDARY_RE = r"(?U)\b(?:" + _alt(tx.ADD_BOUNDARY_WORDS) + r")\b[\s\S]*"
+# Unicode word boundary written out (``\b`` under ``(?U)`` is several times
+# slower in Java, and plain ``\b`` changed meaning in JDK 19). The lookahead
+# on the possible first letters only skips positions where no boundary word
+# can start, so the first cut found is the same.
+_WORD_CHAR = r"[\p{L}\p{Nd}_]"
+_FIRST_LETTERS = "".join(sorted({w[0] for w in tx.ADD_BOUNDARY_WORDS}))
+ADD_BOUNDARY_RE = (rf"(?<!{_WORD_CHAR})(?=[{_FIRST_LETTERS}])(?:" + _alt(tx.ADD_BOUNDARY_WORDS)
+                   + rf")(?!{_WORD_CHAR})[\s\S]*")
 NON_LETTERS_RE = "[^a-z]+"
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    A CASE that tests one computed value several times would otherwise
+    recompute it in every branch (no common-subexpression elimination
+    across conditional branches), here a regex + split + filter pipeline.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def null_safe_text(text: Column) -> Column:
     """A missing instruction is the empty string."""
     return F.coalesce(text, F.lit(""))
@@ -48,13 +65,13 @@ def null_safe_text(text: Column) -> Column:
 
 def singularize(word: Column) -> Column:
     """C4: ies (len > 4) -> y; ses/xes/hes -> drop 2; s but not ss (len > 3) -> drop 1."""
-    n = F.length(word)
-    return (F.when(word.endswith("ies") & (n > 4),
-                   F.concat(F.left(word, n - 3), F.lit("y")))
-            .when(word.endswith("ses") | word.endswith("xes") | word.endswith("hes"),
-                  F.left(word, n - 2))
-            .when(word.endswith("s") & ~word.endswith("ss") & (n > 3), F.left(word, n - 1))
-            .otherwise(word))
+    def body(w):
+        n = F.length(w)
+        return (F.when(w.endswith("ies") & (n > 4), F.concat(F.left(w, n - 3), F.lit("y")))
+                .when(w.endswith("ses") | w.endswith("xes") | w.endswith("hes"), F.left(w, n - 2))
+                .when(w.endswith("s") & ~w.endswith("ss") & (n > 3), F.left(w, n - 1))
+                .otherwise(w))
+    return bind(word, body)
 
 
 def add_object(instruction: Column, strict_article: bool = False) -> Column:
@@ -120,9 +137,8 @@ def classify_edit(edit_type: Column, instruction: Column,
                   strict_article: bool = False) -> Column:
     """(corpus edit_type, instruction) -> type name, or null to drop."""
     obj = add_object(instruction, strict_article)
-    objects = _str_array(tx.ADD_OBJECTS)
-    return (F.when(edit_type == "add",
-                   F.when(F.array_contains(objects, obj), F.concat(F.lit("add_"), obj)))
+    add_type = F.create_map(*[x for o in tx.ADD_OBJECTS for x in (F.lit(o), F.lit(f"add_{o}"))])
+    return (F.when(edit_type == "add", F.try_element_at(add_type, obj))
             .when(edit_type == "tune_transfer", classify_tune(instruction))
             .when(edit_type.isin(*tx.WHOLE_TYPES), edit_type))
 
@@ -149,9 +165,12 @@ def addition_head(prompt: Column) -> Column:
     grp = F.nullif(F.regexp_extract(null_safe_text(prompt), "(?iUd)" + tx.ADDITION_PATTERN, 1),
                    F.lit(""))
     words = F.filter(F.split(F.lower(grp), PY_WHITESPACE_CLASS + "+"), lambda w: w != "")
-    last = F.try_element_at(words, F.lit(-1))
-    return F.when(last.isin(*tx.ADDITION_TRAILING_PREPOSITIONS),
-                  F.try_element_at(words, F.lit(1))).otherwise(last)
+
+    def body(ws):
+        last = F.try_element_at(ws, F.lit(-1))
+        return F.when(last.isin(*tx.ADDITION_TRAILING_PREPOSITIONS),
+                      F.try_element_at(ws, F.lit(1))).otherwise(last)
+    return bind(words, body)
 
 
 def looks_like_addition(prompt: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions import hashing as H
+from ..functions.literal import literal_table
 from .ordering import ordered_position
 from .select import classified, drop_unnamed, min_support, split_train_val
 
@@ -22,8 +23,22 @@ SYNTH_IDS = [tx.TYPE_ID[n] for n in tx.SYNTHETIC_TYPES]
 
 
 def build_pools(prepared: DataFrame, split: str, want_val: int = 30,
-                min_rows: int = tx.MIN_TYPE_SUPPORT) -> DataFrame:
-    """Image pool of ``split`` plus the per-type index after R6."""
+                min_rows: int = tx.MIN_TYPE_SUPPORT, materialize: bool = False) -> DataFrame:
+    """Image pool of ``split`` plus the per-type index after R6.
+
+    ``materialize`` checkpoints the pools into the shared checkpoint folder:
+    sampling reads them several times (sizes, draws, validation items), and a
+    reliable checkpoint both avoids recomputing the split and positions and
+    survives the loss of executors.
+    """
+    pools = _build_pools(prepared, split, want_val, min_rows)
+    if materialize:
+        from ..session import cut_lineage
+        return cut_lineage(pools)
+    return pools
+
+
+def _build_pools(prepared: DataFrame, split: str, want_val: int, min_rows: int) -> DataFrame:
     rows = split_train_val(prepared, want_val).where(F.col("split") == split).drop(
         "shard_pos", "shard_rows")
     image = ordered_position(rows.select("shard", "row_id"), [], ["shard"], "row_id",
@@ -56,9 +71,8 @@ def choice_rows(sizes: dict[int, int]) -> list[tuple]:
 
 
 def choice_table(spark: SparkSession, sizes: dict[int, int]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(
-        choice_rows(sizes), "kind int, idx bigint, type_id bigint, pool_id bigint, size bigint, "
-                            "slot bigint"))
+    return literal_table(spark, choice_rows(sizes),
+                         "kind int, idx bigint, type_id bigint, pool_id bigint, size bigint, slot bigint")
 
 
 def mixture_sample(pools: DataFrame, draws: DataFrame | int, seed: int,
@@ -127,7 +141,7 @@ def exposure_report(draws: DataFrame, pools: DataFrame, synthetic_share: float)
         else:
             share = synthetic_share / len(SYNTH_IDS)
         rows.append((type_id, share))
-    expected = F.broadcast(draws.sparkSession.createDataFrame(rows, "type_id bigint, expected double"))
+    expected = literal_table(draws.sparkSession, rows, "type_id bigint, expected double")
     counts = draws.groupBy("type_id").agg(F.count(F.lit(1)).alias("n"))
     # The count table has one row per type id (taxonomy-bounded), so the
     # total over it is a window over at most 64 rows.

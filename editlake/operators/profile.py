@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as T
+from ..functions.literal import literal_table
 
 
 def coverage(prompts: DataFrame, prompt_col: str = "caption") -> DataFrame:
@@ -36,8 +37,8 @@ def type_counts(prompts: DataFrame, prompt_col: str = "caption") -> DataFrame:
     counts = (prompts.select(T.classify_real(F.col(prompt_col)).alias("type_name"))
               .where(F.col("type_name").isNotNull())
               .groupBy("type_name").agg(F.count(F.lit(1)).alias("n")))
-    rules = F.broadcast(spark.createDataFrame(
-        [(i, name) for i, name in enumerate(tx.REAL_TYPES)], "rule_order bigint, type_name string"))
+    rules = literal_table(spark, [(i, name) for i, name in enumerate(tx.REAL_TYPES)],
+                          "rule_order bigint, type_name string")
     return (rules.join(F.broadcast(counts), "type_name", "left")
             .select("rule_order", "type_name",
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
@@ -119,15 +120,26 @@ def unmatched_words(prompts: DataFrame, prompt_col: str = "caption", k: int = 60
     and only then the stop-word and length filter (so fewer than ``k`` can
     remain; the order of the two steps is part of the definition)."""
     unmatched = prompts.where(T.classify_real(F.col(prompt_col)).isNull())
-    words = unmatched.select(F.explode(T.raw_words(F.col(prompt_col))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    counts = exploded_words(unmatched, prompt_col).groupBy("word").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
     top = top_k(counts, k, key="word")
     return top.where((F.col("word") != "") & T.is_profile_word(F.col("word")))
 
 
+def exploded_words(texts: DataFrame, text_col: str) -> DataFrame:
+    """One row per stripped word of every whole text (C8 before its filter).
+
+    The split array is exploded first, so emptiness, stripping and filters run
+    as codegen'd column expressions, not as per-element array lambdas.
+    """
+    w = texts.select(F.explode(F.split(F.lower(F.col(text_col)), T.PY_WHITESPACE_CLASS + "+"))
+                     .alias("w")).where(F.col("w") != "")
+    return w.select(F.btrim("w", F.lit(tx.PROFILE_STRIP_CHARS)).alias("word"))
+
+
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """C8 profile: counts of profile words over whole texts."""
-    words = texts.select(F.explode(T.word_tokens(F.col(text_col))).alias("word"))
+    words = exploded_words(texts, text_col).where(T.is_profile_word(F.col("word")))
     return words.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 

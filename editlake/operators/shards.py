@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literal import literal_table
+
 SHARD_ENTRY_SCHEMA = "struct<rows: bigint, types: map<string, bigint>>"
 SHARD_MAP_SCHEMA = "map<string, struct<rows: bigint, types: map<string, bigint>>>"
 
@@ -18,7 +20,7 @@ SHARD_MAP_SCHEMA = "map<string, struct<rows: bigint, types: map<string, bigint>>
 def quota_table(spark: SparkSession, quota: Mapping[str, int]) -> DataFrame:
     """``{type: rows}`` (the ``TYPE=COUNT`` words) as a tiny broadcast table."""
     rows = [(t, int(n)) for t, n in quota.items()]
-    return F.broadcast(spark.createDataFrame(rows, "edit_type string, quota bigint"))
+    return literal_table(spark, rows, "edit_type string, quota bigint")
 
 
 def parse_quota_words(words) -> dict[str, int]:

@@ -140,8 +140,7 @@ def q_synthetic_pairs(spark, sf_dir):
     exact integer digest per (image, edit)."""
     cross = IM.synthetic_cross(_images_binary(spark, sf_dir))
     after = IM.synthetic_pairs(cross, out="float")
-    s1, s2 = PX.digest(F.col("after"))
-    return after.select("img_id", "edit_type", s1.alias("s1"), s2.alias("s2"))
+    return IM.array_digest(after, "after", ("img_id", "edit_type"))
 
 
 @register("synthetic_pairs_sql", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + f"""
@@ -174,9 +173,7 @@ def q_pair_error(spark, sf_dir):
                                            PX.normalize(F.col("px")).alias("stored"))
     before = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("before"))
     j = after.join(stored, "img_id").join(before, "img_id")
-    per = j.select("edit_type", PX.sum_sq_diff(F.col("stored"), F.col("after")).alias("e_t"),
-                   PX.sum_sq_diff(F.col("stored"), F.col("before")).alias("e_i"),
-                   F.size("after").alias("n"))
+    per = IM.sq_diff_sums(j, {"e_t": ("stored", "after"), "e_i": ("stored", "before")}, ("edit_type",))
     return per.groupBy("edit_type").agg(
         F.round(F.sum("e_t") / F.sum("n"), 6).alias("mse_truth"),
         F.round(F.sum("e_i") / F.sum("n"), 6).alias("mse_input"))
@@ -298,12 +295,12 @@ def _prepared(spark, sf_dir):
     return fx.pairs(spark, sf_dir).where(F.col("decodable"))
 
 
-def _train_pools(spark, sf_dir):
-    return AS.build_pools(_prepared(spark, sf_dir), "train", 30)
+def _train_pools(spark, sf_dir, materialize=False):
+    return AS.build_pools(_prepared(spark, sf_dir), "train", 30, materialize=materialize)
 
 
 def _draws(spark, sf_dir):
-    pools = _train_pools(spark, sf_dir)
+    pools = _train_pools(spark, sf_dir, materialize=True)
     ids = pools.where(F.col("pool_id") == AS.IMAGE_POOL).select(F.col("pos").alias("draw_id"))
     return AS.mixture_sample(pools, ids, SEED, SHARE), pools
 
@@ -341,7 +338,7 @@ select k.k::BIGINT as k, c.slot, c.type_id, c.pool_id, p.shard, p.row_id from ch
 join pools p on p.pool_id = c.pool_id and p.pos = k.k % c.size""")
 def q_val_items(spark, sf_dir):
     """Fixed validation items, 4 per sampleable type (val split pools)."""
-    pools = AS.build_pools(_prepared(spark, sf_dir), "val", 30)
+    pools = AS.build_pools(_prepared(spark, sf_dir), "val", 30, materialize=True)
     return AS.val_items(pools, 4)
 
 
@@ -388,7 +385,7 @@ def q_materialize_examples(spark, sf_dir):
     """Sampled refs turned into (before, after, type) training rows."""
     ci = corpus_images(spark, sf_dir)
     prepared = ci.where(F.col("decodable")).select(*fx.PAIRS_COLUMNS)
-    pools = AS.build_pools(prepared, "train", 30, min_rows=5)
+    pools = AS.build_pools(prepared, "train", 30, min_rows=5, materialize=True)
     ids = pools.where(F.col("pool_id") == AS.IMAGE_POOL).select(F.col("pos").alias("draw_id"))
     draws = AS.flip_augment(AS.cond_dropout(AS.mixture_sample(pools, ids, SEED, SHARE),
                                             SEED, 0.1, 0.1), SEED)

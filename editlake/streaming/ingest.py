@@ -15,6 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literal import literal_table
+
 
 def _target_state(spark: SparkSession, target: str):
     try:
@@ -38,7 +40,7 @@ def make_batch_writer(target: str, quota: Mapping[str, int]):
         left = {t: q - counts.get(t, 0) for t, q in quota.items() if q - counts.get(t, 0) > 0}
         if not left:
             return
-        remaining = spark.createDataFrame(list(left.items()), "edit_type string, remaining bigint")
+        remaining = literal_table(spark, list(left.items()), "edit_type string, remaining bigint")
         rows = batch.where(F.col("decodable")).join(F.broadcast(remaining), "edit_type")
         w = Window.partitionBy("edit_type").orderBy("shard", "row_id")
         take = (rows.withColumn("_k", F.row_number().over(w))

@@ -157,6 +157,5 @@ TUNE_WORD_TO_TYPE = {w: name for name, words in TUNE_RULES for w in words}
 
 def type_dimension(spark):
     """(type_id, name, family) as a DataFrame; 64 rows, safe to broadcast."""
-    from pyspark.sql import functions as F
-    schema = "type_id BIGINT, name STRING, family STRING"
-    return F.broadcast(spark.createDataFrame(TYPE_ROWS, schema))
+    from .functions.literal import literal_table
+    return literal_table(spark, TYPE_ROWS, "type_id bigint, name string, family string")
