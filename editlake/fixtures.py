@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread
+
 IMAGE_SIDE = 8
 IMAGE_CHANNELS = 3
 IMAGE_PIXELS = IMAGE_CHANNELS * IMAGE_SIDE * IMAGE_SIDE
@@ -44,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts, spread over the cluster by ``doc_id``."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _pick(values, index_sql: str) -> str:
     """``values[index]`` as an array lookup (0-based index expression)."""
     arr = "array(" + ", ".join("'" + v + "'" for v in values) + ")"
@@ -80,7 +87,8 @@ _CAPTION_FAST = _pick(["make it a watercolor painting", "make it rain", "put her
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus-shaped view over ``orders`` (one row per before/after pair)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("et", F.expr(_ET_FAST))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").withColumn(
+        "et", F.expr(_ET_FAST))
     return o.selectExpr(
         "o_orderkey as row_id",
         "cast(floor(o_orderkey/100) as bigint) as shard",
@@ -95,7 +103,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(img_id, px): 192 ints 0..255, 3 x 8 x 8 CHW, from ``part``."""
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr(
         "p_partkey as img_id",
         "transform(sequence(0,191), i -> (p_partkey*31 + i*17 + ((i*i)%7)*p_size)%256) as px")
 

@@ -158,7 +158,7 @@ select word, count(*)::BIGINT as n from (select unnest({D.raw_words('text')}) as
 where {D.profile_word('word')} group by word""")
 def q_word_tokens(spark, sf_dir):
     """C8 over every whole document text: profile-word counts."""
-    return P.word_counts(fx.table(spark, sf_dir, "documents"))
+    return P.word_counts(fx.documents(spark, sf_dir))
 
 
 @register("null_safe_text", W(PAIRS) + """
@@ -261,7 +261,7 @@ def q_unmatched_words(spark, sf_dir):
     keep=D.profile_word("word")))
 def q_unmatched_words_documents(spark, sf_dir):
     """A7 over every whole document text."""
-    return P.unmatched_words(fx.table(spark, sf_dir, "documents"), prompt_col="text")
+    return P.unmatched_words(fx.documents(spark, sf_dir), prompt_col="text")
 
 
 @register("head_hist_per_type", W(PAIRS) + f"""

@@ -54,3 +54,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str, barrier: bool = True) -> DataFrame:
+    """Hash-repartition on ``keys`` only when the scan gives fewer partitions
+    than the cluster can run at once.
+
+    A file with a single large row group is a single task; expensive per-row
+    work (regex classification, tokenising, NumPy edits) that follows would
+    then run on one core. On a big input with thousands of splits this is a
+    no-op, so no shuffle is added where the scan is already parallel. Hashing
+    on a key (not round-robin) keeps the placement deterministic on retries.
+
+    Catalyst pushes deterministic filters through a repartition, so an
+    expensive filter (e.g. "no rule matches this text") would run back in the
+    single scan task. With ``barrier`` the spread rows are checkpointed to the
+    shared checkpoint folder, which filters cannot cross. Only small inputs
+    ever reach this branch.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    out = df.repartition(want, *keys) if keys else df.repartition(want)
+    return cut_lineage(out) if barrier else out

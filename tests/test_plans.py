@@ -39,7 +39,11 @@ def test_scan_corpus_prunes_columns(spark, scratch):
 
 
 def test_slice_filter_pushed_to_scan(spark):
-    s = S.slice_rows(fx.pairs(spark, SF), 2, 1000)
+    # A corpus read straight from Parquet (the large-input case): the slice
+    # range must reach the scan as pushed filters.
+    corpus = fx.table(spark, SF, "orders").selectExpr(
+        "o_orderkey as row_id", "o_custkey as shard", "(o_orderkey % 97) <> 0 as decodable")
+    s = S.slice_rows(corpus, 2, 1000)
     txt = formatted(s)
     assert "GreaterThanOrEqual(o_orderkey,2000)" in txt and "LessThan(o_orderkey,3000)" in txt
 
