@@ -236,7 +236,7 @@ def array_digest(df: DataFrame, col: str, keep: tuple[str, ...]) -> DataFrame:
 
 def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
                     type_col: str = "edit_type", out: str = "u8",
-                    keep: tuple[str, ...] = ("img_id",)) -> DataFrame:
+                    keep: tuple[str, ...] = ("img_id",), res_hint: int = 128) -> DataFrame:
     """Exact edits of ``px`` for the type in ``type_col`` (one of the 13).
 
     Output: ``keep`` columns, ``type_col`` and ``after`` as BINARY uint8 CHW
@@ -245,6 +245,7 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
     (type, res) so each edit runs once per group on a stacked array.
     """
     keep = tuple(keep)
+    tune_arrow_batch(df, res_hint)
     sel = df.select(*keep, type_col, px_col, res_col)
     after_type = "binary" if out == "u8" else "array<double>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"

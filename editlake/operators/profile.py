@@ -76,20 +76,34 @@ def object_histogram(corpus: DataFrame, k: int = 80,
     return top.select("head", "n", (F.col("n") >= threshold).alias("own_type"))
 
 
-def threshold_winners(corpus: DataFrame, thresholds=(tx.OWN_TYPE_THRESHOLD,
-                                                     tx.TRAINABLE_THRESHOLD)) -> DataFrame:
-    """A5: per threshold: how many heads reach it, the rows they cover, and
-    their sorted names. The winners list is bounded: at most rows/threshold."""
-    counts = head_counts(add_objects(corpus))
-    out = None
-    for th in thresholds:
-        one = (counts.where(F.col("n") >= th)
-               .agg(F.count(F.lit(1)).cast("bigint").alias("n_winners"),
-                    F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_covered"),
-                    F.array_join(F.sort_array(F.collect_list("head")), ",").alias("winners"))
-               .select(F.lit(th).cast("bigint").alias("threshold"), "*"))
-        out = one if out is None else out.unionByName(one)
-    return out
+THRESHOLDS = (tx.OWN_TYPE_THRESHOLD, tx.TRAINABLE_THRESHOLD)
+
+
+def _at_thresholds(counts: DataFrame, thresholds) -> DataFrame:
+    """(threshold, head, n) for every head at or over each threshold: the
+    thresholds are a literal array exploded beside each count row."""
+    ths = F.array(*[F.lit(int(t)).cast("bigint") for t in thresholds])
+    return (counts.withColumn("threshold", F.explode(ths))
+            .where(F.col("n") >= F.col("threshold")))
+
+
+def threshold_winners(corpus: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """A5: per threshold, how many heads reach it and the rows they cover.
+    (The names themselves are ``threshold_winner_names``, one row each, so no
+    single row has to hold an unbounded list.)"""
+    spark = corpus.sparkSession
+    hits = _at_thresholds(head_counts(add_objects(corpus)), thresholds)
+    agg = hits.groupBy("threshold").agg(F.count(F.lit(1)).cast("bigint").alias("n_winners"),
+                                        F.sum("n").cast("bigint").alias("rows_covered"))
+    all_th = literal_table(spark, [(int(t),) for t in thresholds], "threshold bigint")
+    return all_th.join(agg, "threshold", "left").select(
+        "threshold", F.coalesce("n_winners", F.lit(0)).cast("bigint").alias("n_winners"),
+        F.coalesce("rows_covered", F.lit(0)).cast("bigint").alias("rows_covered"))
+
+
+def threshold_winner_names(corpus: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """A5 names: (threshold, head, n) for every head at or over a threshold."""
+    return _at_thresholds(head_counts(add_objects(corpus)), thresholds).select("threshold", "head", "n")
 
 
 def addition_heads(prompts: DataFrame, prompt_col: str = "caption") -> DataFrame:

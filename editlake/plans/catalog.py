@@ -217,14 +217,23 @@ def q_object_histogram(spark, sf_dir):
 , heads as (select head, count(*)::BIGINT as n from (select {D.add_object('instruction')} as head from pairs where edit_type = 'add')
   where head is not null group by head)
 select th::BIGINT as threshold, (select count(*) from heads where n >= th)::BIGINT as n_winners,
- (select coalesce(sum(n), 0) from heads where n >= th)::BIGINT as rows_covered,
- coalesce((select string_agg(head, ',' order by head) from heads where n >= th), '') as winners
+ (select coalesce(sum(n), 0) from heads where n >= th)::BIGINT as rows_covered
 from (values ({tx.OWN_TYPE_THRESHOLD}), ({tx.TRAINABLE_THRESHOLD})) t(th)""")
 def q_threshold_winners(spark, sf_dir):
     """A5 at the two thresholds (1000 own type, 400 trainable)."""
     return P.threshold_winners(_pairs(spark, sf_dir))
 
 
+@register("threshold_winner_names", W(PAIRS) + f"""
+, heads as (select head, count(*)::BIGINT as n from (select {D.add_object('instruction')} as head from pairs where edit_type = 'add')
+  where head is not null group by head)
+select t.th::BIGINT as threshold, h.head, h.n from heads h join
+ (values ({tx.OWN_TYPE_THRESHOLD}), ({tx.TRAINABLE_THRESHOLD}), (50)) t(th) on h.n >= t.th""")
+def q_threshold_winner_names(spark, sf_dir):
+    """A5 names: every head at or over 1000, 400 and 50 rows, one row each."""
+    return P.threshold_winner_names(_pairs(spark, sf_dir), P.THRESHOLDS + (50,))
+
+
 @register("addition_share", W(PAIRS) + f"""
 select count(*)::BIGINT as prompts, count(*) filter (where {D.looks_like_addition('caption')})::BIGINT as additions,
  round(100.0 * count(*) filter (where {D.looks_like_addition('caption')}) / count(*), 6) as pct_additions from pairs""")

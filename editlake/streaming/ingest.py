@@ -18,25 +18,34 @@ from pyspark.sql import functions as F
 from ..functions.literal import literal_table
 
 
-def _target_state(spark: SparkSession, target: str):
+def progress_path(target: str) -> str:
+    return target.rstrip("/") + "_progress"
+
+
+def _taken_before(spark: SparkSession, target: str, batch_id: int) -> dict[str, int]:
+    """Rows per type taken by earlier batches, from the small progress table
+    (one row per batch and type), never by scanning the target."""
     try:
-        t = spark.read.parquet(target)
-    except Exception:  # first batch: no target yet
-        return {}, set()
-    counts = {r["edit_type"]: int(r["n"]) for r in
-              t.groupBy("edit_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    batches = {int(r["batch_id"]) for r in t.select("batch_id").distinct().collect()}
-    return counts, batches
+        p = spark.read.parquet(progress_path(target))
+    except Exception:  # first batch: nothing taken yet
+        return {}
+    rows = (p.where(F.col("batch_id") < batch_id).groupBy("edit_type")
+            .agg(F.sum("n").alias("n")).collect())
+    return {r["edit_type"]: int(r["n"]) for r in rows}
 
 
 def make_batch_writer(target: str, quota: Mapping[str, int]):
-    """The ``foreachBatch`` function: quota-cut, idempotent append."""
+    """The ``foreachBatch`` function: quota-cut append, idempotent per batch.
+
+    Data and progress are written into the ``batch_id`` partition with dynamic
+    partition overwrite, so a replayed batch replaces its own output instead
+    of adding to it; the open quota comes from earlier batches only.
+    """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counts, done = _target_state(spark, target)
-        if batch_id in done:
-            return
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        counts = _taken_before(spark, target, batch_id)
         left = {t: q - counts.get(t, 0) for t, q in quota.items() if q - counts.get(t, 0) > 0}
         if not left:
             return
@@ -46,7 +55,10 @@ def make_batch_writer(target: str, quota: Mapping[str, int]):
         take = (rows.withColumn("_k", F.row_number().over(w))
                 .where(F.col("_k") <= F.col("remaining")).drop("_k", "remaining")
                 .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-        take.write.mode("append").parquet(target)
+        take.write.mode("overwrite").partitionBy("batch_id").parquet(target)
+        written = spark.read.parquet(target).where(F.col("batch_id") == batch_id)
+        (written.groupBy("batch_id", "edit_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+         .write.mode("overwrite").partitionBy("batch_id").parquet(progress_path(target)))
 
     return write_batch
 
