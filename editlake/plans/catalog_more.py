@@ -583,20 +583,96 @@ def q_tolerant_scan(spark, sf_dir):
                  F.count_if(F.col("ok")).cast("bigint").alias("good")))
 
 
-@register("packed_roundtrip")
-def q_packed_roundtrip(spark, sf_dir):
-    """S5 + S4 + V2: corpus pairs written as packed shards, read back lazily."""
+def _packed(spark, sf_dir, shards=4):
+    """Corpus pairs (decodable, with pixels) written as packed shards into a
+    fresh folder under the shared checkpoint location; returns the folder."""
     from ..sources import packed as PK
     ci = corpus_images(spark, sf_dir).where(F.col("decodable"))
     rows = ci.select("row_id", F.col("px").alias("before"), F.col("after_px").alias("after"), "res",
                      "instruction", "edit_type")
     path = _scratch(spark, "packed")
-    PK.write_packed_pairs(rows, path, shards=4, want_val=30, source="orders")
-    back = PK.read_packed_pairs(spark, path, records_per_partition=256)
+    PK.write_packed_pairs(rows, path, shards=shards, want_val=30, source="orders")
+    return path
+
+
+@register("write_packed_pairs")
+def q_write_packed_pairs(spark, sf_dir):
+    """Packed export, one shard per task; the meta record of each shard."""
+    path = _packed(spark, sf_dir)
+    meta = spark.read.json(f"{path}/*_meta.json")
+    return meta.select(F.col("n").cast("bigint"), F.col("val_n").cast("bigint"),
+                       F.col("res").cast("bigint"), "source")
+
+
+@register("read_packed_pairs")
+def q_read_packed_pairs(spark, sf_dir):
+    """Packed shards read back lazily, one partition per record range."""
+    from ..sources import packed as PK
+    back = PK.read_packed_pairs(spark, _packed(spark, sf_dir), records_per_partition=256)
     return back.select("prefix", "row", "res", F.octet_length("before").cast("bigint").alias("before_bytes"),
                        "edit_type")
 
 
+@register("check_sizes")
+def q_check_sizes(spark, sf_dir):
+    """V2: every packed images file holds whole records of the stated size."""
+    path = _packed(spark, sf_dir)
+    return CK.check_sizes(spark, path, fx.IMAGE_SIDE).select("check", "path", "actual", "records", "ok")
+
+
+@register("union_shards")
+def q_union_shards(spark, sf_dir):
+    """Per-shard outputs under one root, read as one tagged table."""
+    root = _scratch(spark, "shards")
+    taken = _slice(spark, sf_dir, PLAN_A).select("row_id", "shard", "edit_type", "instruction")
+    taken.write.partitionBy("shard").parquet(root)
+    return SC.union_shards(spark, root).select("row_id", "edit_type", "source_shard")
+
+
+@register("skip_if_complete")
+def q_skip_if_complete(spark, sf_dir):
+    """A slice output is complete once it holds its quota; a rerun skips it."""
+    target = _scratch(spark, "slice")
+    want = sum(PLAN_A[0].values())
+    before = SC.skip_if_complete(spark, target, want)
+    _slice(spark, sf_dir, PLAN_A).select("row_id", "edit_type").write.parquet(target)
+    have = spark.read.parquet(target).count()
+    after = SC.skip_if_complete(spark, target, have)
+    return spark.range(1).select(F.lit(target).alias("target"), F.lit(have).cast("bigint").alias("rows"),
+                                 F.lit(before).alias("complete_before"), F.lit(after).alias("complete_after"))
+
+
+@register("read_vectors")
+def q_read_vectors(spark, sf_dir):
+    """Prompt vectors stored as Parquet array<array<float>> and read back."""
+    path = _scratch(spark, "vectors")
+    p = fx.pairs(spark, sf_dir).select("shard", "row_id", "instruction")
+    V.embed_text(p, "instruction").drop("instruction").write.partitionBy("shard").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("shard", "row_id", F.size("vectors").cast("bigint").alias("seq_len"),
+                       F.round(V.norm(F.flatten("vectors")), 3).alias("norm"))
+
+
+@register("positional_join", W(PAIRS, IMAGES) + """
+, pr as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, instruction from pairs)
+, ty as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, edit_type_nullable as edit_type
+  from pairs where edit_type_nullable is not null)
+, im as (select img_id // 100 as shard, (row_number() over (partition by img_id // 100 order by img_id) - 1)::BIGINT as pos, img_id from images)
+select im.shard::BIGINT as shard, im.pos, im.img_id, pr.instruction, coalesce(ty.edit_type, '') as edit_type
+from im join pr on pr.shard = im.shard and pr.pos = im.pos left join ty on ty.shard = im.shard and ty.pos = im.pos""")
+def q_positional_join(spark, sf_dir):
+    """Images, prompts and types of each shard joined by position."""
+    from ..operators.ordering import ordered_position
+    p = fx.pairs(spark, sf_dir)
+    prompts = SC.read_sidecar(SC.sidecar_arrays(p, "instruction"), "instruction")
+    types = SC.read_sidecar(SC.sidecar_arrays(p, "edit_type_nullable"), "edit_type")
+    img = _images(spark, sf_dir).select("img_id", (F.col("img_id") / 100).cast("bigint").alias("shard"))
+    img = ordered_position(img, ["shard"], [], "img_id", name="pos").withColumn("pos", F.col("pos") - 1)
+    j = img.join(prompts, ["shard", "pos"]).join(types, ["shard", "pos"], "left")
+    return j.select("shard", "pos", "img_id", "instruction",
+                    F.coalesce("edit_type", F.lit("")).alias("edit_type"))
+
+
 # ------------------------------------------------------------ streaming (2.12)
 
 @register("stream_ingest")
