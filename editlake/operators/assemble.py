@@ -41,15 +41,20 @@ def build_pools(prepared: DataFrame, split: str, want_val: int = 30,
 def _build_pools(prepared: DataFrame, split: str, want_val: int, min_rows: int) -> DataFrame:
     rows = split_train_val(prepared, want_val).where(F.col("split") == split).drop(
         "shard_pos", "shard_rows")
-    image = ordered_position(rows.select("shard", "row_id"), [], ["shard"], "row_id",
-                             name="pos", total_name="pool_size")
-    image = image.select(F.lit(IMAGE_POOL).cast("bigint").alias("pool_id"), "shard", "row_id",
-                         (F.col("pos") - 1).alias("pos"), "pool_size")
-    typed = min_support(drop_unnamed(classified(rows)), min_rows)
-    index = ordered_position(typed.select(F.col("type_id").alias("pool_id"), "shard", "row_id"),
-                             ["pool_id"], ["shard"], "row_id", name="pos", total_name="pool_size")
-    index = index.select("pool_id", "shard", "row_id", (F.col("pos") - 1).alias("pos"), "pool_size")
-    return image.unionByName(index)
+    typed = classified(rows).select("shard", "row_id", "type_id")
+    # Types with enough rows in this split: at most 64 rows, broadcast.
+    keep = (typed.where(F.col("type_id").isNotNull()).groupBy("type_id")
+            .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+            .select(F.col("type_id").alias("pool_id")))
+    # Every row is in the image pool, and in its type's pool when the type is
+    # kept: one explode, then one ordered-position pass for all pools at once.
+    member = typed.select("shard", "row_id", F.explode(F.array(
+        F.lit(IMAGE_POOL).cast("bigint"), F.col("type_id"))).alias("pool_id")).where(
+        F.col("pool_id").isNotNull())
+    kept = member.join(F.broadcast(keep), "pool_id", "left_semi").unionByName(
+        member.where(F.col("pool_id") == IMAGE_POOL))
+    pos = ordered_position(kept, ["pool_id"], ["shard"], "row_id", name="pos", total_name="pool_size")
+    return pos.select("pool_id", "shard", "row_id", (F.col("pos") - 1).alias("pos"), "pool_size")
 
 
 def pool_sizes(pools: DataFrame) -> dict[int, int]:

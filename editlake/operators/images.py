@@ -247,10 +247,11 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
     keep = tuple(keep)
     tune_arrow_batch(df, res_hint)
     sel = df.select(*keep, type_col, px_col, res_col)
-    after_type = "binary" if out == "u8" else "array<double>"
+    after_type = {"u8": "binary", "float": "array<double>", "digest": "s1 bigint, s2 bigint"}[out]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in sel.schema.fields if f.name in keep)
-    schema = f"{fields + ', ' if fields else ''}`{type_col}` string, after {after_type}"
+    schema = (f"{fields + ', ' if fields else ''}`{type_col}` string, "
+              + (after_type if out == "digest" else f"after {after_type}"))
 
     def run(batches):
         for b in batches:
@@ -264,6 +265,8 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
             known = np.isin(types, list(EDITS)) & (res > 0) & np.asarray(px.is_valid())
             uniform = known.all() and len(np.unique(res)) == 1
             width0 = 3 * int(res[0]) * int(res[0])
+            if out == "digest" and not uniform:
+                raise ValueError("digest output needs one known type and resolution per row")
             full = np.empty((n, width0), dtype=np.uint8 if out == "u8" else np.float64) \
                 if uniform else None
             outs: list = [None] * n
@@ -281,6 +284,12 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
                         for j, i in enumerate(rows):
                             outs[i] = y[j]
             cols = [b.column(k) for k in keep] + [b.column(type_col)]
+            if out == "digest":
+                q = _round_half_away(full * 1e6).astype(np.int64)
+                pos = np.arange(1, full.shape[1] + 1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(q.sum(axis=1)), pa.array(q @ pos)],
+                                                 names=list(keep) + [type_col, "s1", "s2"])
+                continue
             if uniform:
                 after = _binary_rows(full) if out == "u8" else _list_of_doubles(full)
             elif out == "u8":

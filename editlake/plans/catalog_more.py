@@ -139,8 +139,7 @@ def q_synthetic_pairs(spark, sf_dir):
     """All 13 exact edits of every image by the Arrow/NumPy job, as an
     exact integer digest per (image, edit)."""
     cross = IM.synthetic_cross(_images_binary(spark, sf_dir))
-    after = IM.synthetic_pairs(cross, out="float")
-    return IM.array_digest(after, "after", ("img_id", "edit_type"))
+    return IM.synthetic_pairs(cross, out="digest")
 
 
 @register("synthetic_pairs_sql", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + f"""
