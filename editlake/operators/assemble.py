@@ -31,28 +31,32 @@ def build_pools(prepared: DataFrame, split: str, want_val: int = 30,
     reliable checkpoint both avoids recomputing the split and positions and
     survives the loss of executors.
     """
-    pools = _build_pools(prepared, split, want_val, min_rows)
+    pools = _build_pools(prepared, split, want_val, min_rows, materialize)
     if materialize:
         from ..session import cut_lineage
         return cut_lineage(pools)
     return pools
 
 
-def _build_pools(prepared: DataFrame, split: str, want_val: int, min_rows: int) -> DataFrame:
-    rows = split_train_val(prepared, want_val).where(F.col("split") == split).drop(
-        "shard_pos", "shard_rows")
+def _build_pools(prepared: DataFrame, split: str, want_val: int, min_rows: int,
+                 materialize: bool) -> DataFrame:
+    rows = split_train_val(prepared, want_val).where(F.col("split") == split).drop("shard_rows")
     typed = classified(rows).select("shard", "row_id", "type_id")
+    if materialize:
+        # Read three times below (support counts, position counts, rows).
+        from ..session import cut_lineage
+        typed = cut_lineage(typed)
     # Types with enough rows in this split: at most 64 rows, broadcast.
     keep = (typed.where(F.col("type_id").isNotNull()).groupBy("type_id")
             .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-            .select(F.col("type_id").alias("pool_id")))
+            .select(F.col("type_id").alias("pool_id"), F.lit(True).alias("_kept")))
     # Every row is in the image pool, and in its type's pool when the type is
     # kept: one explode, then one ordered-position pass for all pools at once.
     member = typed.select("shard", "row_id", F.explode(F.array(
         F.lit(IMAGE_POOL).cast("bigint"), F.col("type_id"))).alias("pool_id")).where(
         F.col("pool_id").isNotNull())
-    kept = member.join(F.broadcast(keep), "pool_id", "left_semi").unionByName(
-        member.where(F.col("pool_id") == IMAGE_POOL))
+    kept = (member.join(F.broadcast(keep), "pool_id", "left")
+            .where((F.col("pool_id") == IMAGE_POOL) | F.col("_kept")).drop("_kept"))
     pos = ordered_position(kept, ["pool_id"], ["shard"], "row_id", name="pos", total_name="pool_size")
     return pos.select("pool_id", "shard", "row_id", (F.col("pos") - 1).alias("pos"), "pool_size")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as T
-from .ordering import ordered_position
+from .ordering import DEFAULT_BLOCK_ROWS, ordered_position
 from .shards import shard_semi_join
 
 
@@ -57,13 +57,43 @@ def val_count(n: Column, want_val: int) -> Column:
     return F.least(F.lit(want_val).cast("bigint"), F.floor(n / 10).cast("bigint"))
 
 
+def split_cutoffs(corpus: DataFrame, want_val: int,
+                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Per shard: ``shard_rows`` and the row id of its first val row
+    (``val_cut``, null when the shard has no val rows).
+
+    Only counts per (shard, row block) and the one block per shard that
+    holds the cut are ever ranked; no corpus row is shuffled.
+    """
+    blk = corpus.select("shard", "row_id").withColumn(
+        "_blk", F.floor(F.col("row_id") / F.lit(block_rows)).cast("bigint"))
+    counts = blk.groupBy("shard", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    c = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+         .withColumn("shard_rows", F.sum("_n").over(Window.partitionBy("shard")).cast("bigint")))
+    c = c.withColumn("_k", F.col("shard_rows") - val_count(F.col("shard_rows"), want_val))
+    # The block holding position _k + 1 (1-based), i.e. the first val row.
+    edge = c.where((F.col("_off") <= F.col("_k")) & (F.col("_k") < F.col("_off") + F.col("_n"))) \
+        .select("shard", "_blk", "_off", "_k")
+    ranked = blk.join(edge, ["shard", "_blk"]).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("shard", "_blk").orderBy("row_id")))
+    cut = ranked.where(F.col("_off") + F.col("_rn") == F.col("_k") + 1).select(
+        "shard", F.col("row_id").alias("val_cut"))
+    sizes = c.groupBy("shard").agg(F.max("shard_rows").alias("shard_rows"))
+    return sizes.join(cut, "shard", "left")
+
+
 def split_train_val(corpus: DataFrame, want_val: int) -> DataFrame:
-    """Within each shard the first ``n - val_n`` rows are train, the rest val."""
-    pos = ordered_position(corpus, ["shard"], [], "row_id", name="shard_pos",
-                           total_name="shard_rows")
-    val_n = val_count(F.col("shard_rows"), want_val)
-    return (pos.withColumn("split", F.when(F.col("shard_pos") - 1 < F.col("shard_rows") - val_n,
-                                           F.lit("train")).otherwise(F.lit("val"))))
+    """Within each shard the first ``n - val_n`` rows (in row order) are
+    train, the rest val, with ``val_n = least(want_val, n div 10)``.
+
+    Each row only meets its shard's cut-off (a table of one row per shard,
+    which AQE broadcasts when small), so labelling never shuffles the corpus.
+    """
+    cuts = split_cutoffs(corpus, want_val)
+    out = corpus.join(cuts, "shard")
+    return out.withColumn("split", F.when(F.col("val_cut").isNull() | (F.col("row_id") < F.col("val_cut")),
+                                          F.lit("train")).otherwise(F.lit("val"))).drop("val_cut")
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:

@@ -389,13 +389,12 @@ def q_slice_rows(spark, sf_dir):
 
 
 @register("split_train_val", W(PAIRS) + """
-select row_id, shard, shard_pos, shard_rows, case when shard_pos - 1 < shard_rows - least(30, shard_rows // 10) then 'train' else 'val' end as split
+select row_id, shard, shard_rows, case when shard_pos - 1 < shard_rows - least(30, shard_rows // 10) then 'train' else 'val' end as split
 from (select row_id, shard, row_number() over (partition by shard order by row_id)::BIGINT as shard_pos,
  count(*) over (partition by shard)::BIGINT as shard_rows from pairs)""")
 def q_split_train_val(spark, sf_dir):
     """Per-shard train/val split with val_n = least(30, n div 10)."""
-    return S.split_train_val(_pairs(spark, sf_dir), 30).select(
-        "row_id", "shard", "shard_pos", "shard_rows", "split")
+    return S.split_train_val(_pairs(spark, sf_dir), 30).select("row_id", "shard", "shard_rows", "split")
 
 
 _SPLIT_SQL = ("split as (select *, case when row_number() over (partition by shard order by row_id) - 1 < "

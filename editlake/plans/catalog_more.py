@@ -294,7 +294,7 @@ def _prepared(spark, sf_dir):
     return fx.pairs(spark, sf_dir).where(F.col("decodable"))
 
 
-def _train_pools(spark, sf_dir, materialize=False):
+def _train_pools(spark, sf_dir, materialize=True):
     return AS.build_pools(_prepared(spark, sf_dir), "train", 30, materialize=materialize)
 
 

@@ -68,12 +68,14 @@ def spread(df: DataFrame, *keys: str, barrier: bool = True) -> DataFrame:
 
     Catalyst pushes deterministic filters through a repartition, so an
     expensive filter (e.g. "no rule matches this text") would run back in the
-    single scan task. With ``barrier`` the spread rows are checkpointed to the
-    shared checkpoint folder, which filters cannot cross. Only small inputs
-    ever reach this branch.
+    single scan task. With ``barrier`` the spread rows are persisted
+    (memory, then disk): filters stop at the cached relation, every query
+    over the same input shares it, and a lost block is recomputed from its
+    short lineage (scan + repartition). Only small inputs reach this branch.
     """
+    from pyspark import StorageLevel
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
     out = df.repartition(want, *keys) if keys else df.repartition(want)
-    return cut_lineage(out) if barrier else out
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if barrier else out
