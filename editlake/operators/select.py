@@ -19,7 +19,8 @@ def classified(corpus: DataFrame, strict_article: bool = False) -> DataFrame:
     return corpus.withColumn("type_name", name).join(dim, "type_name", "left")
 
 
-def quota_rows(corpus: DataFrame, quota: DataFrame, shards: DataFrame | None = None) -> DataFrame:
+def quota_rows(corpus: DataFrame, quota: DataFrame, shards: DataFrame | None = None,
+               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """R2: the first ``quota[type]`` decodable rows per type in (shard, row) order.
 
     Unwanted types and undecodable rows are dropped before positions are
@@ -32,7 +33,7 @@ def quota_rows(corpus: DataFrame, quota: DataFrame, shards: DataFrame | None = N
         rows = shard_semi_join(rows, shards)
     rows = rows.where(F.col("decodable"))
     pos = ordered_position(rows, ["edit_type", "quota"], ["shard"], "row_id", name="type_pos",
-                           keep_block=lambda o: o["_off"] < o["quota"])
+                           block_rows=block_rows, keep_block=lambda o: o["_off"] < o["quota"])
     return pos.where(F.col("type_pos") <= F.col("quota"))
 
 
