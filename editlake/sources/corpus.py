@@ -121,3 +121,21 @@ def skip_if_complete(spark: SparkSession, target: str, n: int, fmt: str = "parqu
 def shard_number(path: str) -> int | None:
     m = re.search(_SHARD_RE, os.path.basename(path))
     return int(m.group(1)) if m else None
+
+
+def tolerant_decode(df: DataFrame, cell_col: str, keep: tuple[str, ...] = ("img_id",), name: str = "decode"):
+    """S12 rows: decode image cells, drop the unreadable ones, and report how
+    many rows were read and how many were dropped.
+
+    Returns ``(good_rows, observation)``; ``observation.get`` holds
+    ``{"rows": .., "bad": ..}`` once an action has run on ``good_rows``. The
+    counts come from the same pass that produces the rows (``df.observe``),
+    not from a second scan.
+    """
+    from pyspark.sql import Observation
+
+    from ..operators.images import decode_images
+    obs = Observation(name)
+    decoded = decode_images(df, cell_col, keep).observe(
+        obs, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("ok")).alias("bad"))
+    return decoded.where(F.col("ok")), obs

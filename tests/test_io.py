@@ -90,3 +90,12 @@ def test_stream_equals_batch(spark, scratch):
     again = G.stream_ingest(spark, src, os.path.join(scratch, "out"), os.path.join(scratch, "ck"),
                             quota, p.schema, files_per_trigger=2)
     assert again.count() == out.count()
+
+
+def test_tolerant_decode_reports_counts(spark):
+    good = bytes(range(192))
+    rows = [(i, (good if i % 4 else good[:50], None)) for i in range(40)]
+    df = spark.createDataFrame(rows, "img_id long, c struct<bytes: binary, path: string>")
+    out, obs = SC.tolerant_decode(df, "c")
+    assert out.count() == 30
+    assert obs.get == {"rows": 40, "bad": 10}
