@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as T
+from ..functions.literal import literal_table
 from .ordering import DEFAULT_BLOCK_ROWS, ordered_position
 from .shards import shard_semi_join
 
@@ -160,3 +161,52 @@ def slice_overlap(a: DataFrame, b: DataFrame, col: str = "instruction",
 def slice_except(newer: DataFrame, older: DataFrame) -> DataFrame:
     """Rows of the newer slice not in the older one (multiset difference)."""
     return newer.exceptAll(older)
+
+
+def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str = "image_file",
+                       keep: tuple[str, ...] = ("row_id", "shard", "edit_type"),
+                       slack: float = 0.05, max_rounds: int = 12, decoder=None,
+                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """R2 when decodability is only known after decoding (two-phase quota).
+
+    Round r takes, per type, the first ``quota + slack_r`` rows in (shard,
+    row) order *without decoding*, decodes only those, and checks whether
+    each type now has ``quota`` decodable rows. Types still short (and with
+    rows left) get a doubled slack next round. The answer is exactly the
+    first ``quota`` decodable rows per type: if the first k candidates hold
+    at least ``quota`` decodable rows, no later row can be among them.
+
+    Returns keep columns, ``type_pos`` (position among decodable rows) and
+    the decoded ``px``/``height``/``width``.
+    """
+    from .images import decode_images
+    from ..session import cut_lineage
+
+    spark = corpus.sparkSession
+    quota = quota.where(F.col("quota") > 0)
+    rows = corpus.join(F.broadcast(quota), "edit_type")
+    ranked = ordered_position(rows, ["edit_type", "quota"], ["shard"], "row_id", name="_cand",
+                              block_rows=block_rows)
+    ranked = cut_lineage(ranked.select(*keep, "quota", "_cand", cell_col))
+    totals = {r["edit_type"]: int(r["n"]) for r in
+              ranked.groupBy("edit_type").agg(F.max("_cand").alias("n")).collect()}
+    want = {r["edit_type"]: int(r["quota"]) for r in quota.collect()}
+    limit = {t: min(totals.get(t, 0), q + max(1, int(q * slack))) for t, q in want.items()}
+    done: DataFrame | None = None
+    for _ in range(max_rounds):
+        lim = literal_table(spark, list(limit.items()), "edit_type string, _lim bigint")
+        cand = ranked.join(lim, "edit_type").where(F.col("_cand") <= F.col("_lim"))
+        dec = decode_images(cand, cell_col, keep=tuple(keep) + ("quota", "_cand"))
+        good = dec.where(F.col("ok"))
+        w = Window.partitionBy("edit_type").orderBy("shard", "row_id")
+        picked = cut_lineage(good.withColumn("type_pos", F.row_number().over(w).cast("bigint"))
+                             .where(F.col("type_pos") <= F.col("quota")))
+        got = {r["edit_type"]: int(r["n"]) for r in
+               picked.groupBy("edit_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = {t for t, q in want.items() if got.get(t, 0) < q and limit[t] < totals.get(t, 0)}
+        done = picked
+        if not short:
+            break
+        for t in short:
+            limit[t] = min(totals[t], limit[t] + 2 * (limit[t] - want[t]) + 1)
+    return done.select(*keep, "type_pos", "px", "height", "width")

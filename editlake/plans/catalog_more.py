@@ -686,3 +686,20 @@ def q_stream_ingest(spark, sf_dir):
     out = G.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", PLAN_A[0], schema,
                           files_per_trigger=8)
     return out.select("row_id", "shard", "edit_type", "batch_id")
+
+
+@register("quota_rows_decoded", W(PAIRS, IMAGES) + """
+select row_id, shard, edit_type, type_pos from (select p.row_id, p.shard, p.edit_type,
+ row_number() over (partition by p.edit_type order by p.shard, p.row_id)::BIGINT as type_pos
+ from pairs p join images i on i.img_id = p.row_id
+ where p.edit_type in ('add', 'tune_transfer', 'style_change') and i.img_id % 97 <> 0)
+where type_pos <= case edit_type when 'add' then 150 when 'tune_transfer' then 100 else 60 end""")
+def q_quota_rows_decoded(spark, sf_dir):
+    """R2, two-phase: quota rows whose images must decode, decoding only the
+    candidates (quota + slack) and widening the slack for short types."""
+    from ..operators import shards as SHD
+    cells = _cells(spark, sf_dir).withColumnRenamed("img_id", "row_id")
+    corpus = fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type").join(cells, "row_id")
+    quota = SHD.quota_table(spark, {"add": 150, "tune_transfer": 100, "style_change": 60})
+    out = S.quota_rows_decoded(corpus, quota, "image_file", slack=0.02)
+    return out.select("row_id", "shard", "edit_type", "type_pos")

@@ -109,3 +109,21 @@ def test_shard_map_roundtrip(spark):
     doc = sm.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
         F.col("shard").cast("string"), F.from_json("entry_json", SH.SHARD_ENTRY_SCHEMA))))).alias("value"))
     assert sorted(SH.read_shard_map_document(doc).collect()) == sorted(want.collect())
+
+
+def test_quota_rows_decoded_widens_until_met(spark):
+    good = bytes(range(192))
+    data = []
+    for i in range(60):
+        bad = i % 3 == 0          # a third of the cells cannot be decoded
+        data.append((i, i // 10, "add" if i % 2 else "tune_transfer", (good[:7] if bad else good, None)))
+    df = spark.createDataFrame(data, "row_id bigint, shard bigint, edit_type string, "
+                                     "image_file struct<bytes: binary, path: string>")
+    quota = SH.quota_table(spark, {"add": 12, "tune_transfer": 25})
+    out = S.quota_rows_decoded(df, quota, slack=0.0, block_rows=8).collect()
+    want = []
+    for t, q in (("add", 12), ("tune_transfer", 25)):
+        ok = [i for i in range(60) if (i % 2 == (1 if t == "add" else 0)) and i % 3 != 0]
+        want += ok[:q]          # tune has only 20 decodable rows: all of them
+    assert sorted(r.row_id for r in out) == sorted(want)
+    assert all(len(r.px) == 192 for r in out)
