@@ -163,7 +163,7 @@ def slice_except(newer: DataFrame, older: DataFrame) -> DataFrame:
     return newer.exceptAll(older)
 
 
-def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str = "image_file",
+def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tuple = "image_file",
                        keep: tuple[str, ...] = ("row_id", "shard", "edit_type"),
                        slack: float = 0.05, max_rounds: int = 12, decoder=None,
                        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -176,8 +176,10 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str = "ima
     first ``quota`` decodable rows per type: if the first k candidates hold
     at least ``quota`` decodable rows, no later row can be among them.
 
-    Returns keep columns, ``type_pos`` (position among decodable rows) and
-    the decoded ``px``/``height``/``width``.
+    ``cell_col`` may name several cells (e.g. before and after); a row counts
+    only when all of them decode. Returns keep columns, ``type_pos`` (position
+    among decodable rows) and per cell ``<prefix>px``/``height``/``width``,
+    with no prefix for a single cell and ``c0_``, ``c1_``, ... otherwise.
     """
     from .images import decode_images
     from ..session import cut_lineage
@@ -187,7 +189,9 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str = "ima
     rows = corpus.join(F.broadcast(quota), "edit_type")
     ranked = ordered_position(rows, ["edit_type", "quota"], ["shard"], "row_id", name="_cand",
                               block_rows=block_rows)
-    ranked = cut_lineage(ranked.select(*keep, "quota", "_cand", cell_col))
+    cells = (cell_col,) if isinstance(cell_col, str) else tuple(cell_col)
+    prefixes = [""] if len(cells) == 1 else [f"c{i}_" for i in range(len(cells))]
+    ranked = cut_lineage(ranked.select(*keep, "quota", "_cand", *cells))
     totals = {r["edit_type"]: int(r["n"]) for r in
               ranked.groupBy("edit_type").agg(F.max("_cand").alias("n")).collect()}
     want = {r["edit_type"]: int(r["quota"]) for r in quota.collect()}
@@ -196,8 +200,16 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str = "ima
     for _ in range(max_rounds):
         lim = literal_table(spark, list(limit.items()), "edit_type string, _lim bigint")
         cand = ranked.join(lim, "edit_type").where(F.col("_cand") <= F.col("_lim"))
-        dec = decode_images(cand, cell_col, keep=tuple(keep) + ("quota", "_cand"))
-        good = dec.where(F.col("ok"))
+        dec = cand
+        carried = tuple(keep) + ("quota", "_cand")
+        for i, (cell, pre) in enumerate(zip(cells, prefixes)):
+            rest = tuple(c for c in cells[i + 1:])
+            out_cols = tuple(f"{p}{k}" for p in prefixes[:i] for k in ("ok", "height", "width", "px"))
+            dec = decode_images(dec, cell, keep=carried + out_cols + rest, prefix=pre)
+        ok = F.lit(True)
+        for pre in prefixes:
+            ok = ok & F.col(f"{pre}ok")
+        good = dec.where(ok)
         w = Window.partitionBy("edit_type").orderBy("shard", "row_id")
         picked = cut_lineage(good.withColumn("type_pos", F.row_number().over(w).cast("bigint"))
                              .where(F.col("type_pos") <= F.col("quota")))
@@ -209,4 +221,4 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str = "ima
             break
         for t in short:
             limit[t] = min(totals[t], limit[t] + 2 * (limit[t] - want[t]) + 1)
-    return done.select(*keep, "type_pos", "px", "height", "width")
+    return done.select(*keep, "type_pos", *[f"{p}{k}" for p in prefixes for k in ("px", "height", "width")])

@@ -703,3 +703,40 @@ def q_quota_rows_decoded(spark, sf_dir):
     quota = SHD.quota_table(spark, {"add": 150, "tune_transfer": 100, "style_change": 60})
     out = S.quota_rows_decoded(corpus, quota, "image_file", slack=0.02)
     return out.select("row_id", "shard", "edit_type", "type_pos")
+
+
+PLAN_PREP = ({"add": 150, "tune_transfer": 100, "style_change": 60}, 1)
+
+
+def _prep_corpus(spark, sf_dir):
+    """Corpus rows with before/after cells: image k before (one in 97 is
+    unreadable), image k + 1 after (cut short too when k + 1 is a multiple of 97)."""
+    cells = _cells(spark, sf_dir)
+    before = cells.select(F.col("img_id").alias("row_id"), "image_file")
+    after = cells.select((F.col("img_id") - 1).alias("row_id"), F.col("image_file").alias("edited_file"))
+    return fx.pairs(spark, sf_dir).join(before, "row_id").join(after, "row_id")
+
+
+@register("prepare_slice", W(PAIRS, IMAGES, D.quota_cte("pq", PLAN_PREP[0])) + """
+, corpus as (select p.* from pairs p join images a on a.img_id = p.row_id join images b on b.img_id = p.row_id + 1)
+, smap2 as (select shard, edit_type, count(*)::BIGINT as n from corpus group by 1, 2)
+, wanted as (select s.shard, s.edit_type, s.n, k.quota from smap2 s join pq k on k.edit_type = s.edit_type)
+, cut as (select max(shard) as c from (select distinct shard from wanted order by shard limit 1))
+, post as (select * from wanted where shard > (select c from cut))
+, picked as (select w.shard from post w where (select coalesce(sum(p.n), 0) from post p
+   where p.edit_type = w.edit_type and p.shard < w.shard) < w.quota)
+, ranked as (select c.row_id, c.shard, c.edit_type, c.instruction, k.quota,
+   row_number() over (partition by c.edit_type order by c.shard, c.row_id)::BIGINT as type_pos
+   from corpus c join pq k on k.edit_type = c.edit_type
+   where c.shard in (select shard from picked) and c.row_id % 97 <> 0 and (c.row_id + 1) % 97 <> 0)
+select row_id, shard, edit_type, instruction, type_pos, 48::BIGINT as before_bytes, 48::BIGINT as after_bytes, 4::BIGINT as res
+from ranked where type_pos <= quota""")
+def q_prepare_slice(spark, sf_dir):
+    """The prep job: shards for a quota (skipping one), pruned read, decoded
+    quota over both images, both resized 8 -> 4 px."""
+    from .prep import prepare_slice
+    out = prepare_slice(_prep_corpus(spark, sf_dir), PLAN_PREP[0], skip_shards=PLAN_PREP[1], res=4)
+    return out.select("row_id", "shard", "edit_type", "instruction", "type_pos",
+                      F.octet_length("before").cast("bigint").alias("before_bytes"),
+                      F.octet_length("after").cast("bigint").alias("after_bytes"),
+                      F.col("res").cast("bigint"))

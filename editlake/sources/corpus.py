@@ -139,3 +139,39 @@ def tolerant_decode(df: DataFrame, cell_col: str, keep: tuple[str, ...] = ("img_
     decoded = decode_images(df, cell_col, keep).observe(
         obs, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("ok")).alias("bad"))
     return decoded.where(F.col("ok")), obs
+
+
+def read_image_files(spark: SparkSession, path: str) -> DataFrame:
+    """I1 for image files: Spark's ``image`` source decodes PNG/JPEG/...; its
+    pixels are BGR(A), row-interleaved, so one Arrow batch job turns them into
+    RGB CHW bytes. Unreadable files stay as rows with ``ok = false``.
+
+    Returns (path, ok, height, width, px BINARY CHW RGB).
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    img = (spark.read.format("image").option("dropInvalid", "false").load(path)
+           .select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"),
+                   F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"),
+                   F.col("image.data").alias("data")))
+
+    def run(batches):
+        for b in batches:
+            hs, ws, cs = (b.column(k).to_pylist() for k in ("h", "w", "c"))
+            datas = b.column("data").to_pylist()
+            oks, pxs = [], []
+            for h, w, c, d in zip(hs, ws, cs, datas):
+                if h is None or h <= 0 or not d or len(d) != h * w * c:
+                    oks.append(False)
+                    pxs.append(None)
+                    continue
+                a = np.frombuffer(d, np.uint8).reshape(h, w, c)
+                rgb = a[..., [2, 1, 0]] if c >= 3 else np.repeat(a[..., :1], 3, axis=2)
+                oks.append(True)
+                pxs.append(np.ascontiguousarray(rgb.transpose(2, 0, 1)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("path"), pa.array(oks, pa.bool_()), b.column("h"), b.column("w"),
+                 pa.array(pxs, pa.binary())], names=["path", "ok", "height", "width", "px"])
+
+    return img.mapInArrow(run, "path string, ok boolean, height int, width int, px binary")

@@ -108,3 +108,35 @@ def test_registered_edits(spark):
     arr.limit(3).createOrReplaceTempView("edit_imgs")
     rows = spark.sql("SELECT i.img_id, e.edit_type FROM edit_imgs i, LATERAL synthetic_edits(i.x, 8) e").collect()
     assert len(rows) == 3 * 13 and {r.edit_type for r in rows} == set(tx.SYNTHETIC_TYPES)
+
+
+def _png(path, rgb):
+    """Minimal PNG writer (8-bit RGB, no filtering) for the test."""
+    import struct
+    import zlib
+    h, w, _ = rgb.shape
+    raw = b"".join(b"\x00" + rgb[y].tobytes() for y in range(h))
+
+    def chunk(tag, data):
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF)
+    with open(path, "wb") as fh:
+        fh.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0))
+                 + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_read_image_files(spark, scratch):
+    import os
+
+    from editlake.sources import corpus as SC
+    rng = np.random.default_rng(5)
+    imgs = {f"a{i}.png": rng.integers(0, 256, (8, 8, 3), dtype=np.uint8) for i in range(3)}
+    for name, arr in imgs.items():
+        _png(os.path.join(scratch, name), arr)
+    with open(os.path.join(scratch, "broken.png"), "wb") as fh:
+        fh.write(b"\x89PNG\r\n\x1a\nnot really")
+    out = {os.path.basename(r.path): r for r in SC.read_image_files(spark, scratch).collect()}
+    assert not out["broken.png"].ok
+    for name, arr in imgs.items():
+        r = out[name]
+        assert r.ok and r.height == 8 and r.width == 8
+        assert bytes(r.px) == arr.transpose(2, 0, 1).tobytes()
