@@ -236,22 +236,29 @@ def array_digest(df: DataFrame, col: str, keep: tuple[str, ...]) -> DataFrame:
 
 def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
                     type_col: str = "edit_type", out: str = "u8",
-                    keep: tuple[str, ...] = ("img_id",), res_hint: int = 128) -> DataFrame:
+                    keep: tuple[str, ...] = ("img_id",), res_hint: int = 128,
+                    compare_col: str | None = None) -> DataFrame:
     """Exact edits of ``px`` for the type in ``type_col`` (one of the 13).
 
     Output: ``keep`` columns, ``type_col`` and ``after`` as BINARY uint8 CHW
     (``out='u8'``, the storage form) or as array<double> in [-1, 1]
-    (``out='float'``, for checks). Rows of one batch are grouped by
-    (type, res) so each edit runs once per group on a stacked array.
+    (``out='float'``, for checks). ``out='digest'`` gives the exact
+    integer digest (s1, s2) instead of the pixels; ``out='error'`` with
+    ``compare_col`` (stored after-image bytes) gives ``e_truth`` and
+    ``e_input``, the summed squared differences of the stored image against
+    the exact edit and against the input, plus ``n``. Rows of one batch are
+    grouped by (type, res) so each edit runs once per group on a stacked array.
     """
     keep = tuple(keep)
     tune_arrow_batch(df, res_hint)
-    sel = df.select(*keep, type_col, px_col, res_col)
-    after_type = {"u8": "binary", "float": "array<double>", "digest": "s1 bigint, s2 bigint"}[out]
+    extra = (compare_col,) if out == "error" else ()
+    sel = df.select(*keep, type_col, px_col, res_col, *extra)
+    after_type = {"u8": "binary", "float": "array<double>", "digest": "s1 bigint, s2 bigint",
+                  "error": "e_truth double, e_input double, n bigint"}[out]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in sel.schema.fields if f.name in keep)
     schema = (f"{fields + ', ' if fields else ''}`{type_col}` string, "
-              + (after_type if out == "digest" else f"after {after_type}"))
+              + (after_type if out in ("digest", "error") else f"after {after_type}"))
 
     def run(batches):
         for b in batches:
@@ -265,8 +272,11 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
             known = np.isin(types, list(EDITS)) & (res > 0) & np.asarray(px.is_valid())
             uniform = known.all() and len(np.unique(res)) == 1
             width0 = 3 * int(res[0]) * int(res[0])
-            if out == "digest" and not uniform:
-                raise ValueError("digest output needs one known type and resolution per row")
+            if out in ("digest", "error") and not uniform:
+                raise ValueError(f"{out} output needs one known type and resolution per row")
+            if out == "error":
+                ref = normalize_u8(_binary_matrix(b.column(compare_col), width0, np.arange(n)))
+                inp = normalize_u8(_binary_matrix(px, width0, np.arange(n)))
             full = np.empty((n, width0), dtype=np.uint8 if out == "u8" else np.float64) \
                 if uniform else None
             outs: list = [None] * n
@@ -284,6 +294,13 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
                         for j, i in enumerate(rows):
                             outs[i] = y[j]
             cols = [b.column(k) for k in keep] + [b.column(type_col)]
+            if out == "error":
+                e_t = ((ref - full) ** 2).sum(axis=1)
+                e_i = ((ref - inp) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    cols + [pa.array(e_t), pa.array(e_i), pa.array(np.full(n, width0, np.int64))],
+                    names=list(keep) + [type_col, "e_truth", "e_input", "n"])
+                continue
             if out == "digest":
                 q = _round_half_away(full * 1e6).astype(np.int64)
                 pos = np.arange(1, full.shape[1] + 1, dtype=np.int64)

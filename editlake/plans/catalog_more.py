@@ -167,12 +167,10 @@ def q_pair_error(spark, sf_dir):
     """I8: per type, mean squared error of the stored after-image (the next
     image) against the exact edit, and against the unedited input."""
     img = _images_binary(spark, sf_dir)
-    after = IM.synthetic_pairs(IM.synthetic_cross(img), out="float")
-    stored = _images(spark, sf_dir).select((F.col("img_id") - 1).alias("img_id"),
-                                           PX.normalize(F.col("px")).alias("stored"))
-    before = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("before"))
-    j = after.join(stored, "img_id").join(before, "img_id")
-    per = IM.sq_diff_sums(j, {"e_t": ("stored", "after"), "e_i": ("stored", "before")}, ("edit_type",))
+    stored = img.select((F.col("img_id") - 1).alias("img_id"), F.col("px").alias("stored"))
+    pairs = img.join(stored, "img_id")      # 192-byte images, before the x13 fan-out
+    per = IM.synthetic_pairs(IM.synthetic_cross(pairs), out="error", compare_col="stored",
+                             keep=()).withColumnRenamed("e_truth", "e_t").withColumnRenamed("e_input", "e_i")
     return per.groupBy("edit_type").agg(
         F.round(F.sum("e_t") / F.sum("n"), 6).alias("mse_truth"),
         F.round(F.sum("e_i") / F.sum("n"), 6).alias("mse_input"))
