@@ -41,7 +41,7 @@ ADD_HEAD_STRICT_RE = (r"(?iUd)^\s*(?:" + _alt(tx.ADD_VERBS) + r")\s+(?:(?:"
 # slower in Java, and plain ``\b`` changed meaning in JDK 19). The lookahead
 # on the possible first letters only skips positions where no boundary word
 # can start, so the first cut found is the same.
-_WORD_CHAR = r"[\p{L}\p{Nd}_]"
+_WORD_CHAR = r"[\p{L}\p{N}_]"
 _FIRST_LETTERS = "".join(sorted({w[0] for w in tx.ADD_BOUNDARY_WORDS}))
 ADD_BOUNDARY_RE = (rf"(?<!{_WORD_CHAR})(?=[{_FIRST_LETTERS}])(?:" + _alt(tx.ADD_BOUNDARY_WORDS)
                    + rf")(?!{_WORD_CHAR})[\s\S]*")
