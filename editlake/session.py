@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "8g")
+             .config("spark.driver.memory", os.environ.get("EDITLAKE_DRIVER_MEMORY", "4g"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
