@@ -17,27 +17,29 @@ CUT = re.compile(r"\b(?:" + "|".join(tx.ADD_BOUNDARY_WORDS) + r")\b")
 STOP = set(tx.NOT_AN_OBJECT)
 
 
-def py_add_object(s):
-    m = HEAD.match(s or "")
-    if not m:
-        return None
-    phrase = m.group(1).lower()
-    c = CUT.search(phrase)
-    if c:
-        phrase = phrase[:c.start()]
-    words = [w for w in re.split(r"[^a-z]+", phrase) if w]
-    while words and words[-1] in STOP:
-        words.pop()
-    if not words:
+def py_singular(word):
+    """SURVEY C4, rule by rule."""
+    n = len(word)
+    if word[-3:] == "ies" and n > 4:
+        return word[: n - 3] + "y"
+    if word[-3:] in ("ses", "xes", "hes"):
+        return word[: n - 2]
+    if word[-1:] == "s" and word[-2:] != "ss" and n > 3:
+        return word[: n - 1]
+    return word
+
+
+def py_add_object(text):
+    """SURVEY 2.3.1 steps 1-5 with Python's re."""
+    head = HEAD.match(text or "")                                   # step 1
+    if head is None:
         return None
-    w = words[-1]
-    if w.endswith("ies") and len(w) > 4:
-        return w[:-3] + "y"
-    if w.endswith(("ses", "xes", "hes")):
-        return w[:-2]
-    if w.endswith("s") and not w.endswith("ss") and len(w) > 3:
-        return w[:-1]
-    return w
+    rest = head.group(1).lower()                                    # step 2
+    boundary = CUT.search(rest)
+    kept = rest if boundary is None else rest[: boundary.start()]
+    tokens = list(filter(None, re.split(r"[^a-z]+", kept)))         # step 3
+    objects = [t for t in tokens if t not in STOP]                  # step 4: last non-member
+    return py_singular(objects[-1]) if objects else None            # step 5
 
 
 def py_tune(s):

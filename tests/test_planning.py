@@ -12,21 +12,22 @@ from editlake.operators.ordering import ordered_position
 
 
 def greedy_walk(smap, quota, skip):
-    """The walk, written as a loop (test oracle only)."""
-    taken, got, seen = [], {t: 0 for t in quota}, 0
+    """Brute-force R1 from its definition, as a plain loop."""
+    filled = dict.fromkeys(quota, 0)
+    chosen, passed_over = [], 0
     for shard in sorted(smap):
-        useful = {t: n for t, n in smap[shard].items() if t in quota and got[t] < quota[t]}
-        if not useful:
+        if all(filled[t] >= quota[t] for t in quota):
+            break
+        open_here = {t for t in smap[shard] if t in quota and filled[t] < quota[t]}
+        if not open_here:
             continue
-        seen += 1
-        if seen <= skip:
+        if passed_over < skip:
+            passed_over += 1
             continue
-        taken.append((shard, set(useful)))
-        for t, n in useful.items():
-            got[t] += n
-        if all(got[t] >= quota[t] for t in quota):
-            break
-    return taken, got
+        chosen.append((shard, open_here))
+        for t in open_here:
+            filled[t] += smap[shard][t]
+    return chosen, filled
 
 
 def test_pick_shards_matches_walk(spark):
