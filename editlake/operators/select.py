@@ -20,6 +20,18 @@ def classified(corpus: DataFrame, strict_article: bool = False) -> DataFrame:
     return corpus.withColumn("type_name", name).join(dim, "type_name", "left")
 
 
+def wanted_types_only(corpus: DataFrame, quota: DataFrame) -> DataFrame:
+    """``edit_type IN (<quota types>)`` as a literal predicate.
+
+    A broadcast join alone is not pushed into the Parquet scan; this literal
+    list is (the quota table is a handful of rows), so row-group min/max
+    statistics on ``edit_type`` skip row groups of unwanted types, which on
+    nearly homogeneous shards is most of them.
+    """
+    types = sorted({r["edit_type"] for r in quota.where(F.col("quota") > 0).select("edit_type").collect()})
+    return corpus.where(F.col("edit_type").isin(*types))
+
+
 def quota_rows(corpus: DataFrame, quota: DataFrame, shards: DataFrame | None = None,
                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """R2: the first ``quota[type]`` decodable rows per type in (shard, row) order.
@@ -29,7 +41,8 @@ def quota_rows(corpus: DataFrame, quota: DataFrame, shards: DataFrame | None = N
     shards are read when ``shards`` is given. Whole blocks that start beyond
     the quota are dropped before the row shuffle.
     """
-    rows = corpus.join(F.broadcast(quota.where(F.col("quota") > 0)), "edit_type")
+    rows = wanted_types_only(corpus, quota).join(F.broadcast(quota.where(F.col("quota") > 0)),
+                                                 "edit_type")
     if shards is not None:
         rows = shard_semi_join(rows, shards)
     rows = rows.where(F.col("decodable"))
@@ -186,7 +199,7 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tupl
 
     spark = corpus.sparkSession
     quota = quota.where(F.col("quota") > 0)
-    rows = corpus.join(F.broadcast(quota), "edit_type")
+    rows = wanted_types_only(corpus, quota).join(F.broadcast(quota), "edit_type")
     ranked = ordered_position(rows, ["edit_type", "quota"], ["shard"], "row_id", name="_cand",
                               block_rows=block_rows)
     cells = (cell_col,) if isinstance(cell_col, str) else tuple(cell_col)

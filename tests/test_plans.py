@@ -48,6 +48,15 @@ def test_slice_filter_pushed_to_scan(spark):
     assert "GreaterThanOrEqual(o_orderkey,2000)" in txt and "LessThan(o_orderkey,3000)" in txt
 
 
+def test_quota_types_reach_parquet_scan(spark, scratch):
+    path = os.path.join(scratch, "typed")
+    fx.pairs(spark, SF).select("row_id", "shard", "edit_type", "decodable").write.parquet(path)
+    corpus = spark.read.parquet(path)
+    r = S.quota_rows(corpus, SH.quota_table(spark, {"add": 50, "replace": 5}))
+    txt = formatted(r)
+    assert "In(edit_type, [add,replace])" in txt
+
+
 def test_quota_semi_join_broadcasts_shard_list(spark):
     p = fx.pairs(spark, SF)
     picked = SH.pick_shards(SH.shard_type_counts(p), SH.quota_table(spark, {"add": 500}))
