@@ -189,18 +189,24 @@ def _finish(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            res = b.column("res").to_pylist()
-            px, after = b.column("px").to_pylist(), b.column("after").to_pylist()
-            flips = b.column("flipped").to_pylist()
-            drops = b.column("image_dropped").to_pylist()
-            out_b, out_a = [], []
-            for r, p, a, f, d in zip(res, px, after, flips, drops):
-                p8 = np.frombuffer(p, np.uint8).reshape(3, r, r)
-                a8 = np.frombuffer(a, np.uint8).reshape(3, r, r)
-                if f:
-                    p8, a8 = p8[..., ::-1], a8[..., ::-1]
-                out_b.append(None if d else np.ascontiguousarray(p8).tobytes())
-                out_a.append(np.ascontiguousarray(a8).tobytes())
+            n = b.num_rows
+            res = np.asarray(b.column("res").to_numpy(zero_copy_only=False), np.int64)
+            flips = np.asarray(b.column("flipped").to_numpy(zero_copy_only=False), bool)
+            drops = np.asarray(b.column("image_dropped").to_numpy(zero_copy_only=False), bool)
+            out_b, out_a = [None] * n, [None] * n
+            for r in np.unique(res):
+                rows = np.nonzero(res == r)[0]
+                w = 3 * int(r) * int(r)
+                for name, store in (("px", out_b), ("after", out_a)):
+                    col = b.column(name).cast(pa.large_binary())
+                    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + n + 1]
+                    data = np.frombuffer(col.buffers()[2], np.uint8)
+                    imgs = data[offs[rows][:, None] + np.arange(w)].reshape(-1, 3, int(r), int(r))
+                    f = flips[rows]
+                    imgs[f] = imgs[f][..., ::-1]          # mirror both images of a flipped draw
+                    for j, i in enumerate(rows):
+                        if not (name == "px" and drops[i]):
+                            store[i] = imgs[j].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [b.column("draw_id"), b.column("type_id"), b.column("res"),
                  pa.array(out_b, pa.binary()), pa.array(out_a, pa.binary()),
