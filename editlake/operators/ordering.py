@@ -33,26 +33,32 @@ def ordered_position(df: DataFrame, group_cols: Sequence[str], major_cols: Seque
     (``major_cols``, ``row_col``) order.
 
     ``row_col`` must be a non-negative integer, unique within a group and a
-    major key. Group keys must be non-null. ``total_name`` adds the group's
+    major key. A null group key is a group of its own (the join back is
+    null-safe, so no row is ever dropped). ``total_name`` adds the group's
     row count. ``keep_block(offsets)`` may drop whole blocks before rows are
     shuffled (columns ``_off`` = rows before the block and ``_n`` = rows in it).
     """
     group_cols, major_cols = list(group_cols), list(major_cols)
-    blk = df.withColumn("_blk", F.floor(F.col(row_col) / F.lit(block_rows)).cast("bigint"))
-    seg = group_cols + major_cols + ["_blk"]
-    counts = blk.groupBy(*seg).agg(F.count(F.lit(1)).alias("_n"))
-    w_before = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0)))
-    w_before = w_before.orderBy(*[F.col(c) for c in major_cols + ["_blk"]])
+    # The group is packed into one struct key: a struct is never null and
+    # compares null fields as equal, so the plain equi-join below is null-safe
+    # while the join and the in-block window still share one partitioning.
+    grp = F.struct(*group_cols) if group_cols else F.lit(0)
+    blk = (df.withColumn("_grp", grp)
+           .withColumn("_blk", F.floor(F.col(row_col) / F.lit(block_rows)).cast("bigint")))
+    seg = ["_grp"] + major_cols + ["_blk"]
+    counts = blk.groupBy(*seg).agg(F.count(F.lit(1)).alias("_n"),
+                                   *[F.first(c).alias(c) for c in group_cols])
+    w_before = Window.partitionBy("_grp").orderBy(*[F.col(c) for c in major_cols + ["_blk"]])
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w_before.rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)).cast("bigint"))
     if total_name:
-        w_all = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-        offsets = offsets.withColumn(total_name, F.sum("_n").over(w_all).cast("bigint"))
+        offsets = offsets.withColumn(total_name,
+                                     F.sum("_n").over(Window.partitionBy("_grp")).cast("bigint"))
     if keep_block is not None:
         offsets = offsets.where(keep_block(offsets))
-    offsets = offsets.drop("_n")
+    offsets = offsets.drop("_n", *group_cols)
     joined = blk.join(offsets, on=seg, how="inner")
     w_in = Window.partitionBy(*seg).orderBy(F.col(row_col))
     out = joined.withColumn(name, (F.col("_off") + F.row_number().over(w_in)).cast("bigint"))
-    return out.drop("_blk", "_off")
+    return out.drop("_grp", "_blk", "_off")

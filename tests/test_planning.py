@@ -66,6 +66,13 @@ def test_ordered_position_equals_row_number(spark):
         sorted(want.select("g", "shard", "row_id", "pos", "tot").collect())
 
 
+def test_ordered_position_keeps_null_groups(spark):
+    rows = [(None, 0, i) for i in range(5)] + [("a", 0, i) for i in range(5, 8)]
+    df = spark.createDataFrame(rows, "g string, shard bigint, row_id bigint")
+    got = sorted((r.g or "", r.pos) for r in ordered_position(df, ["g"], ["shard"], "row_id").collect())
+    assert got == [("", 1), ("", 2), ("", 3), ("", 4), ("", 5), ("a", 1), ("a", 2), ("a", 3)]
+
+
 def test_quota_rows_counts_decodable_only(spark):
     p = fx.pairs(spark, "/root/testdata/sf0.01")
     q = SH.quota_table(spark, {"add": 500, "replace": 10})
