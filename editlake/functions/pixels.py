@@ -115,11 +115,6 @@ def hwc_to_chw(x: Column, side: int) -> Column:
         lambda i: _at(a, (i % F.lit(hw)) * F.lit(3) + F.floor(i / F.lit(hw)))))
 
 
-def sum_sq_diff(a: Column, b: Column) -> Column:
-    """Sum of squared differences of two equal-length arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0),
-                       lambda acc, v: acc + v)
-
 
 def array_mean(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.size(x)

@@ -216,7 +216,3 @@ def _finish(df: DataFrame) -> DataFrame:
     schema = ("draw_id bigint, type_id bigint, res int, before binary, after binary, "
               "flipped boolean, image_dropped boolean")
     return sel.mapInArrow(run, schema)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

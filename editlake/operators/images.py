@@ -164,72 +164,11 @@ def array_to_u8(df: DataFrame, src: str, dst: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def sq_diff_sums(df: DataFrame, pairs: dict[str, tuple[str, str]],
-                 keep: tuple[str, ...]) -> DataFrame:
-    """Per row, the sum of squared differences of two equal-length
-    array<double> columns, for each ``out: (a, b)`` of ``pairs``, plus ``n``
-    (the array length); vectorised per Arrow batch."""
-    cols = sorted({c for ab in pairs.values() for c in ab})
-    sel = df.select(*keep, *cols)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sel.schema.fields
-                        if f.name in keep] + [f"`{o}` double" for o in pairs] + ["n bigint"])
-
-    def flat(col):
-        arr = _as_list_array(col)
-        offsets = np.frombuffer(arr.buffers()[1], dtype=np.int32)[: len(arr) + 1]
-        return arr.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]
-
-    def run(batches):
-        for b in batches:
-            data = {c: flat(b.column(c)) for c in cols}
-            rel = data[cols[0]][1]
-            starts, nonempty = rel[:-1], np.diff(rel) > 0
-            outs = []
-            for o, (a, c) in pairs.items():
-                d = data[a][0] - data[c][0]
-                s = np.zeros(len(starts))
-                if len(d):
-                    s[nonempty] = np.add.reduceat(d * d, starts[nonempty])
-                outs.append(pa.array(s))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(k) for k in keep] + outs + [pa.array(np.diff(rel).astype(np.int64))],
-                names=list(keep) + list(pairs) + ["n"])
-
-    return sel.mapInArrow(run, schema)
-
 
 def _round_half_away(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
 
-def array_digest(df: DataFrame, col: str, keep: tuple[str, ...]) -> DataFrame:
-    """Exact check digest of an array<double> column, vectorised per batch:
-    values rounded to 1e-6 (half away from zero) as integers, their sum
-    ``s1`` and position-weighted sum ``s2`` (same as ``pixels.digest``)."""
-    sel = df.select(*keep, col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sel.schema.fields
-                        if f.name in keep] + ["s1 bigint", "s2 bigint"])
-
-    def run(batches):
-        for b in batches:
-            arr = _as_list_array(b.column(col))
-            offsets = np.frombuffer(arr.buffers()[1], dtype=np.int32)[: len(arr) + 1]
-            vals = arr.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
-            q = _round_half_away(vals * 1e6).astype(np.int64)
-            rel = offsets - offsets[0]
-            pos = np.arange(len(q)) - np.repeat(rel[:-1], np.diff(rel)) + 1
-            starts = rel[:-1]
-            nonempty = np.diff(rel) > 0
-            s1 = np.zeros(len(arr), np.int64)
-            s2 = np.zeros(len(arr), np.int64)
-            if len(q):
-                s1[nonempty] = np.add.reduceat(q, starts[nonempty])
-                s2[nonempty] = np.add.reduceat(q * pos, starts[nonempty])
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(s1), pa.array(s2)],
-                                             names=list(keep) + ["s1", "s2"])
-
-    return sel.mapInArrow(run, schema)
-
 
 # ------------------------------------------------------------------- I5 job
 

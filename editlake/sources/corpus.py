@@ -7,9 +7,6 @@ column pruning and file metadata, JSON sidecars parsed with ``from_json`` +
 
 from __future__ import annotations
 
-import glob
-import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +32,6 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
                      F.col("_metadata.file_name").alias("file_name"))
 
 
-def cells_to_rows(df: DataFrame) -> DataFrame:
-    """The corpus shape used by the operators: (shard, edit_type, instruction, cells)."""
-    return df.withColumnRenamed("edit_instruction", "instruction")
-
 
 def write_shard_map(shard_json: DataFrame, path: str) -> None:
     """S3 sink: one JSON line per shard (``{"shard": .., "rows": .., "types": {..}}``)."""
@@ -94,11 +87,6 @@ def write_meta(corpus: DataFrame, want_val: int, res: int, source: str,
                        F.to_json(F.struct("n", "val_n", "res", "source", "counts")).alias("meta_json"))
 
 
-def discover_prefixes(root: str, suffix: str = "_meta.json") -> list[str]:
-    """S8 helper: every output prefix under ``root`` (sorted), found by its meta file."""
-    hits = sorted(glob.glob(os.path.join(root, "**", "*" + suffix), recursive=True))
-    return [h[: -len(suffix)] for h in hits]
-
 
 def union_shards(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """Every shard output under ``root`` read as one logical table, each
@@ -118,10 +106,6 @@ def skip_if_complete(spark: SparkSession, target: str, n: int, fmt: str = "parqu
     return have >= n
 
 
-def shard_number(path: str) -> int | None:
-    m = re.search(_SHARD_RE, os.path.basename(path))
-    return int(m.group(1)) if m else None
-
 
 def tolerant_decode(df: DataFrame, cell_col: str, keep: tuple[str, ...] = ("img_id",), name: str = "decode"):
     """S12 rows: decode image cells, drop the unreadable ones, and report how

@@ -135,3 +135,15 @@ def test_quota_rows_decoded_widens_until_met(spark):
         want += ok[:q]          # tune has only 20 decodable rows: all of them
     assert sorted(r.row_id for r in out) == sorted(want)
     assert all(len(r.px) == 192 for r in out)
+
+
+def test_quota_words_and_empty_plan(spark):
+    import pytest
+    assert SH.parse_quota_words(["add=60000", "tune_transfer=5"]) == {"add": 60000, "tune_transfer": 5}
+    empty = spark.createDataFrame([], "shard bigint")
+    with pytest.raises(ValueError):
+        SH.require_nonempty(empty, "next slice")
+    from editlake.functions import text as T
+    ids = spark.createDataFrame([("add_hat",), ("nope",)], "n string").select(
+        T.type_id_of(F.col("n")).alias("i")).collect()
+    assert [r.i for r in ids] == [56, None]
