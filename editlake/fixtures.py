@@ -52,9 +52,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pick(values, index_sql: str) -> str:
-    """``values[index]`` as an array lookup (0-based index expression)."""
+    """``values[index]`` as an array lookup (0-based index expression).
+
+    The index is taken ``pmod`` the list length, which changes nothing for
+    the table's own keys (already in range) but keeps the lookup total:
+    Catalyst may copy a filter on these columns to the other side of an
+    equi-join on ``o_orderkey`` (inferred constraints), where keys outside
+    the table's range (e.g. -1) exist, and an index of 0 fails under ANSI.
+    """
     arr = "array(" + ", ".join("'" + v + "'" for v in values) + ")"
-    return f"element_at({arr}, cast({index_sql} as int) + 1)"
+    return f"element_at({arr}, cast(pmod({index_sql}, {len(values)}) as int) + 1)"
 
 
 # The same values as the CASE text above, as array lookups: a few small
