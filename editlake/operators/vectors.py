@@ -42,16 +42,31 @@ class HashedTokenEncoder:
         return (v / np.linalg.norm(v)).astype(np.float32)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.seq_len, self.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            toks = _TOKEN.findall((t or "").lower())
-            head = toks[: self.seq_len - 1]
-            for j, tok in enumerate(head):
-                out[i, j] = self.token_vector(tok) + self.position[j]
-            rest = toks[self.seq_len - 1:]
-            if rest:
-                out[i, self.seq_len - 1] = (np.mean([self.token_vector(x) for x in rest], axis=0)
-                                            + self.position[self.seq_len - 1])
+        """One token table per batch, then vectorised scatter: head tokens go
+        to their slots, the rest of a long text is averaged into the last."""
+        n, head_len = len(texts), self.seq_len - 1
+        out = np.zeros((n, self.seq_len, self.dim), dtype=np.float32)
+        toks = [_TOKEN.findall((t or "").lower()) for t in texts]
+        vocab = {}
+        for ts in toks:
+            for tok in ts:
+                vocab.setdefault(tok, len(vocab))
+        if not vocab:
+            return out
+        table = np.stack([self.token_vector(t) for t in vocab])
+        lens = np.fromiter((len(ts) for ts in toks), np.int64, n)
+        ids = np.fromiter((vocab[t] for ts in toks for t in ts), np.int64, int(lens.sum()))
+        row = np.repeat(np.arange(n), lens)
+        pos = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
+        head = pos < head_len
+        out[row[head], pos[head]] = table[ids[head]] + self.position[pos[head]]
+        tail = ~head
+        if tail.any():
+            sums = np.zeros((n, self.dim), dtype=np.float64)
+            np.add.at(sums, row[tail], table[ids[tail]])
+            extra = np.maximum(lens - head_len, 0)
+            has = extra > 0
+            out[has, head_len] = (sums[has] / extra[has, None]).astype(np.float32) + self.position[head_len]
         return out
 
 
@@ -89,8 +104,8 @@ def refresh_embeddings(prompts: DataFrame, meta_n: int, out_path: str, *, key=("
         raise ValueError(f"{n} prompts but the corpus says n={meta_n}; refusing to re-embed")
     vec = embed_text(prompts.select(*key, text_col), text_col, **kw).drop(text_col)
     spark = prompts.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    vec.write.mode("overwrite").partitionBy(key[0]).parquet(out_path)
+    (vec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(key[0]).parquet(out_path))
     return spark.read.parquet(out_path)
 
 

@@ -44,7 +44,6 @@ def make_batch_writer(target: str, quota: Mapping[str, int]):
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         counts = _taken_before(spark, target, batch_id)
         left = {t: q - counts.get(t, 0) for t, q in quota.items() if q - counts.get(t, 0) > 0}
         if not left:
@@ -55,10 +54,12 @@ def make_batch_writer(target: str, quota: Mapping[str, int]):
         take = (rows.withColumn("_k", F.row_number().over(w))
                 .where(F.col("_k") <= F.col("remaining")).drop("_k", "remaining")
                 .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-        take.write.mode("overwrite").partitionBy("batch_id").parquet(target)
+        take.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(target)
         written = spark.read.parquet(target).where(F.col("batch_id") == batch_id)
         (written.groupBy("batch_id", "edit_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(progress_path(target)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(progress_path(target)))
 
     return write_batch
 

@@ -60,3 +60,18 @@ def test_materialize_examples_content(spark):
     assert bytes(out[1].after) == exact(imgs[1])[..., ::-1].tobytes()
     assert out[2].before is None and bytes(out[2].after) == imgs[3].tobytes()
     assert out[3].type_id == 0 and bytes(out[3].after) == imgs[0][..., ::-1].tobytes()
+
+
+def test_hashed_encoder_whole_text():
+    import numpy as np
+
+    from editlake.operators.vectors import HashedTokenEncoder
+    enc = HashedTokenEncoder(dim=16, seq_len=4)
+    texts = ["add a hat", "", None, "one two three four five six"]
+    out = enc.encode(texts)
+    assert out.shape == (4, 4, 16)
+    np.testing.assert_allclose(out[0, 0], enc.token_vector("add") + enc.position[0], rtol=1e-6)
+    assert np.all(out[0, 3] == 0) and np.all(out[1] == 0) and np.all(out[2] == 0)
+    # tokens past the head are averaged into the last slot, not dropped
+    rest = np.mean([enc.token_vector(t) for t in ["four", "five", "six"]], axis=0)
+    np.testing.assert_allclose(out[3, 3], rest + enc.position[3], rtol=1e-5)
