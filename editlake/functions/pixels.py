@@ -145,6 +145,15 @@ def digest(x: Column) -> tuple[Column, Column]:
     return s1, s2
 
 
+def digest_struct(x: Column) -> Column:
+    """``digest`` with ``x`` evaluated once: struct(s1, s2). Select the struct
+    into a column first, then its fields."""
+    def body(a):
+        s1, s2 = digest(a)
+        return F.struct(s1.alias("s1"), s2.alias("s2"))
+    return bind(x, body)
+
+
 def u8_to_binary(px: Column) -> Column:
     """array<int 0..255> -> BINARY, JVM-side (hex pairs, then unhex)."""
     return F.unhex(F.concat_ws("", F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0"))))

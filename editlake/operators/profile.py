@@ -163,12 +163,10 @@ def head_hist_per_type(corpus: DataFrame, k: int = 60) -> DataFrame:
     The window runs over (type, head) counts, never over rows; the literal
     bound lets Spark plan a partial WindowGroupLimit.
     """
-    heads = None
-    for et in ("add", "tune_transfer"):
-        h = (corpus.where(F.col("edit_type") == et)
-             .select(F.lit(et).alias("edit_type"),
-                     T.head_noun_v1(F.col("instruction"), et).alias("head")))
-        heads = h if heads is None else heads.unionByName(h)
+    head = (F.when(F.col("edit_type") == "add", T.head_noun_v1(F.col("instruction"), "add"))
+            .otherwise(T.head_noun_v1(F.col("instruction"), "tune_transfer")))
+    heads = (corpus.where(F.col("edit_type").isin("add", "tune_transfer"))
+             .select("edit_type", head.alias("head")))   # one scan, one pattern per row
     counts = (heads.where(F.col("head").isNotNull())
               .groupBy("edit_type", "head").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     w = Window.partitionBy("edit_type").orderBy(F.col("n").desc(), F.col("head").asc())

@@ -149,12 +149,15 @@ where edit_type not in ('blur_background', 'sharper') group by 1, 2""")
 def q_synthetic_pairs_sql(spark, sf_dir):
     """I5, SQL form: the 11 per-pixel edits as array ``transform`` expressions."""
     img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
-    out = None
+    # One scan: each image fans out to the 11 edit names, and a CASE on the
+    # name evaluates exactly one transform per row.
+    fan = img.withColumn("edit_type", F.explode(F.array(*[F.lit(e) for e in PX.SQL_EDITS])))
+    after = None
     for e in PX.SQL_EDITS:
-        s1, s2 = PX.digest(PX.synthetic_sql(F.col("x"), e, SIDE))
-        one = img.select("img_id", F.lit(e).alias("edit_type"), s1.alias("s1"), s2.alias("s2"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        t = PX.synthetic_sql(F.col("x"), e, SIDE)
+        after = F.when(F.col("edit_type") == e, t) if after is None else after.when(F.col("edit_type") == e, t)
+    d = fan.select("img_id", "edit_type", PX.digest_struct(after).alias("d"))
+    return d.select("img_id", "edit_type", "d.s1", "d.s2")
 
 
 @register("pair_error", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + """
