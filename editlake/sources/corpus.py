@@ -17,7 +17,10 @@ _SHARD_RE = r"(\d+)-of-\d+"
 
 def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool = True) -> DataFrame:
     """S1 (+ S12): read only type, instruction and the two image columns of
-    a Parquet corpus, with the shard number from the file name.
+    a Parquet corpus, with the shard number from the file name and a stable
+    ``row_id``: the row's position in its file (``_metadata.row_index``), so
+    (shard, row_id) is the same key on every run, unlike an id generated at
+    read time.
 
     Catalyst prunes the scan to these four columns (the captions are never
     read); ``tolerant`` skips unreadable or vanished files instead of failing.
@@ -29,6 +32,7 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
     shard = F.regexp_extract(F.col("_metadata.file_path"), _SHARD_RE, 1)
     return df.select(*CORPUS_COLUMNS,
                      F.when(shard != "", shard.cast("bigint")).alias("shard"),
+                     F.col("_metadata.row_index").cast("bigint").alias("row_id"),
                      F.col("_metadata.file_name").alias("file_name"))
 
 

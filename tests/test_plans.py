@@ -35,7 +35,9 @@ def test_scan_corpus_prunes_columns(spark, scratch):
     s = SC.scan_corpus(spark, os.path.join(path, "*.parquet"))
     p = plan(s)
     assert "input" not in p.split("ReadSchema")[1].split("\n")[0]
-    assert {r.shard for r in s.collect()} == {7}
+    rows = s.collect()
+    assert {r.shard for r in rows} == {7}
+    assert sorted(r.row_id for r in rows) == list(range(10))
 
 
 def test_slice_filter_pushed_to_scan(spark):
