@@ -199,12 +199,16 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tupl
 
     spark = corpus.sparkSession
     quota = quota.where(F.col("quota") > 0)
-    rows = wanted_types_only(corpus, quota).join(F.broadcast(quota), "edit_type")
-    ranked = ordered_position(rows, ["edit_type", "quota"], ["shard"], "row_id", name="_cand",
-                              block_rows=block_rows)
     cells = (cell_col,) if isinstance(cell_col, str) else tuple(cell_col)
     prefixes = [""] if len(cells) == 1 else [f"c{i}_" for i in range(len(cells))]
-    ranked = cut_lineage(ranked.select(*keep, "quota", "_cand", *cells))
+    rows = wanted_types_only(corpus, quota).join(F.broadcast(quota), "edit_type")
+    # Rank keys only: the image cells stay out of the ranking shuffle and are
+    # attached to the (few) candidates of each round instead.
+    keys = tuple(dict.fromkeys(tuple(keep) + ("row_id", "shard", "edit_type")))
+    ranked = ordered_position(rows.select(*keys, "quota"), ["edit_type", "quota"], ["shard"], "row_id",
+                              name="_cand", block_rows=block_rows)
+    ranked = cut_lineage(ranked.select(*keys, "quota", "_cand"))
+    cell_rows = rows.select("shard", "row_id", *cells)
     totals = {r["edit_type"]: int(r["n"]) for r in
               ranked.groupBy("edit_type").agg(F.max("_cand").alias("n")).collect()}
     want = {r["edit_type"]: int(r["quota"]) for r in quota.collect()}
@@ -212,7 +216,8 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tupl
     done: DataFrame | None = None
     for _ in range(max_rounds):
         lim = literal_table(spark, list(limit.items()), "edit_type string, _lim bigint")
-        cand = ranked.join(lim, "edit_type").where(F.col("_cand") <= F.col("_lim"))
+        cand = (ranked.join(lim, "edit_type").where(F.col("_cand") <= F.col("_lim"))
+                .join(cell_rows, ["shard", "row_id"]))
         dec = cand
         carried = tuple(keep) + ("quota", "_cand")
         for i, (cell, pre) in enumerate(zip(cells, prefixes)):
