@@ -380,21 +380,13 @@ def lanczos_matrix(n_in: int, n_out: int, a: int = 3) -> np.ndarray:
 
 
 def resize_chw(u8: np.ndarray, out_side: int) -> np.ndarray:
-    """(n, 3, h, w) uint8 -> (n, 3, out, out) uint8: horizontal pass, 8-bit
-    intermediate, vertical pass (rounded and clipped after each)."""
-    n, c, h, w = u8.shape
-    x = u8.astype(np.float64)
-    if w != out_side:
-        x = np.clip(np.floor(x @ lanczos_matrix(w, out_side).T + 0.5), 0, 255)
-    if h != out_side:
-        x = np.clip(np.floor(np.einsum("ij,ncjw->nciw", lanczos_matrix(h, out_side), x) + 0.5),
-                    0, 255)
-    return x.astype(np.uint8)
+    """(n, 3, side, side) uint8 -> (n, 3, out, out) uint8 (see ``resize_hw``)."""
+    return resize_hw(u8, out_side)
 
 
 def resize_hw(u8: np.ndarray, out_side: int) -> np.ndarray:
-    """(n, 3, h, w) uint8 of any h, w -> (n, 3, out, out) uint8 (same passes
-    as ``resize_chw``)."""
+    """(n, 3, h, w) uint8 of any h, w -> (n, 3, out, out) uint8: horizontal
+    pass, 8-bit intermediate, vertical pass (rounded and clipped after each)."""
     n, c, h, w = u8.shape
     x = u8.astype(np.float64)
     if w != out_side:
