@@ -115,3 +115,28 @@ def test_stream_batch_replay_is_idempotent(spark, scratch):
     write(fx.pairs(spark, SF).where("shard >= 3 and shard < 6"), 1)
     counts = {r.edit_type: r["count"] for r in spark.read.parquet(target).groupBy("edit_type").count().collect()}
     assert counts == {"add": 40, "tune_transfer": 30}
+
+
+def test_shard_map_document_file(spark, scratch):
+    """S2 on the single-document JSON form, read as whole text; keys sort numerically."""
+    import json
+    doc = {"10": {"rows": 5, "types": {"add": 3, "MIX:add/replace": 2}},
+           "9": {"rows": 4, "types": {"replace": 4}}, "2": {"rows": 0, "types": {}}}
+    path = os.path.join(scratch, "shardmap.json")
+    with open(path, "w") as fh:
+        json.dump(doc, fh)
+    text = spark.read.option("wholetext", "true").text(path)
+    rows = SH.read_shard_map_document(text).orderBy("shard", "edit_type").collect()
+    assert [(r.shard, r.edit_type, r.n) for r in rows] == [
+        (9, "replace", 4), (10, "MIX:add/replace", 2), (10, "add", 3)]
+
+
+def test_refresh_embeddings_refuses_count_mismatch(spark, scratch):
+    import pytest
+
+    from editlake.operators import vectors as V
+    p = fx.pairs(spark, SF).select("shard", "row_id", "instruction")
+    with pytest.raises(ValueError):
+        V.refresh_embeddings(p, p.count() + 1, os.path.join(scratch, "v"))
+    out = V.refresh_embeddings(p, p.count(), os.path.join(scratch, "v"), dim=8)
+    assert out.count() == p.count()
