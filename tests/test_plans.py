@@ -79,3 +79,14 @@ def test_head_hist_uses_window_group_limit(spark):
     df = P.head_hist_per_type(fx.pairs(spark, SF))
     df.collect()
     assert "WindowGroupLimit" in plan(df)
+
+
+def test_shard_semi_join_prunes_partitions(spark, scratch):
+    path = os.path.join(scratch, "by_shard")
+    fx.pairs(spark, SF).select("row_id", "shard", "edit_type", "decodable").write.partitionBy("shard").parquet(path)
+    corpus = spark.read.parquet(path)
+    picked = SH.pick_shards(SH.shard_type_counts(corpus), SH.quota_table(spark, {"add": 300}))
+    rows = SH.shard_semi_join(corpus, SH.taken_shards(picked))
+    rows.collect()
+    txt = formatted(rows)
+    assert "dynamicpruning" in txt.lower()
