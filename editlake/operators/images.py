@@ -415,12 +415,12 @@ def resize_columns(df: DataFrame, out_side: int, images: dict[str, tuple[str, st
             for out, (pc, hc, wc) in images.items():
                 hs = np.asarray(b.column(hc).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 ws = np.asarray(b.column(wc).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-                px = b.column(pc).to_pylist()
+                col = b.column(pc)
+                valid = np.asarray(col.is_valid()) & (hs > 0) & (ws > 0)
                 res_col = [None] * n
-                shapes = {(int(h), int(w)) for h, w, p in zip(hs, ws, px) if p is not None and h > 0}
-                for h, w in shapes:
-                    rows = [i for i in range(n) if hs[i] == h and ws[i] == w and px[i] is not None]
-                    stack = np.stack([np.frombuffer(px[i], np.uint8).reshape(3, h, w) for i in rows])
+                for h, w in {(int(h), int(w)) for h, w in zip(hs[valid], ws[valid])}:
+                    rows = np.nonzero(valid & (hs == h) & (ws == w))[0]
+                    stack = _binary_matrix(col, 3 * h * w, rows).reshape(-1, 3, h, w)
                     y = resize_hw(stack, out_side)
                     for j, i in enumerate(rows):
                         res_col[i] = y[j].tobytes()
