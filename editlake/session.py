@@ -79,3 +79,26 @@ def spread(df: DataFrame, *keys: str, barrier: bool = True) -> DataFrame:
         return df
     out = df.repartition(want, *keys) if keys else df.repartition(want)
     return out.persist(StorageLevel.MEMORY_AND_DISK) if barrier else out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package (``addPyFile``), once per session.
+
+    Kernels are sent to workers by reference, so workers must be able to
+    import ``editlake``. A cluster where it is installed is left alone through
+    ``spark.editlake.installed=true``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_editlake_shipped", False) or spark.conf.get("spark.editlake.installed", "false") == "true":
+        return
+    import zipfile
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="editlake-ship-"), "editlake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._editlake_shipped = True
