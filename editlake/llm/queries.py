@@ -6,15 +6,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import byte_bpe, mixing
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Vocabulary files of the queries; operators take them as parameters.
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
@@ -47,5 +57,8 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES: dict[str, Query] = {"op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {
+    "op6_byte_bpe": op6_byte_bpe,
+    "op10_mixing": op10_mixing,
+}
 ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
