@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing
+from . import byte_bpe, mixing, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = wavelet.new_folder(spark, "wavelet")
+    wavelet.write(documents(spark, sf_dir), folder, WORD_TOKENIZER, end_id=1)
+    return wavelet.documents_of(wavelet.read(spark, folder))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -58,6 +64,7 @@ FROM r
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_wavelet": op2_wavelet,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_mixing": op10_mixing,
 }
