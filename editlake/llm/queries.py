@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, wavelet
+from . import byte_bpe, mixing, quality, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents_of(wavelet.read(spark, folder))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("row.doc_id", "quality.*").drop("rejected_by")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -65,6 +70,7 @@ FROM r
 
 QUERIES: dict[str, Query] = {
     "op2_wavelet": op2_wavelet,
+    "op3_quality": op3_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_mixing": op10_mixing,
 }
