@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, wavelet
+from . import byte_bpe, language, mixing, quality, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.learn(docs, language.may_learn())
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "language").select("doc_id", language.held_out("doc_id").alias("held_out"), "language.*")
+
+
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = wavelet.new_folder(spark, "wavelet")
     wavelet.write(documents(spark, sf_dir), folder, WORD_TOKENIZER, end_id=1)
@@ -69,6 +76,7 @@ FROM r
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
     "op2_wavelet": op2_wavelet,
     "op3_quality": op3_quality,
     "op6_byte_bpe": op6_byte_bpe,
