@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, quality, wavelet
+from . import byte_bpe, language, mixing, quality, simhash, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "quality.*").drop("rejected_by")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, max_bits=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_wavelet": op2_wavelet,
     "op3_quality": op3_quality,
+    "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_mixing": op10_mixing,
 }
