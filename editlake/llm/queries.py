@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, quality, simhash, wavelet
+from . import byte_bpe, language, licenses, mixing, quality, simhash, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.search(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "found.*")
+    base, spans = F.col("base"), F.col("spans")
+    both = F.array_union(F.transform(base, lambda b: b["label"]), F.transform(spans, lambda s: s["label"]))
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda b: b["word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda b: b["word"])).alias("last_word"),
+        listed(F.transform(base, lambda b: b["label"])).alias("base_labels"), listed(both).alias("labels"),
+        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(
+            F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0))).alias("score"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
@@ -86,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_licenses": op8_licenses,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
