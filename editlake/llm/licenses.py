@@ -103,7 +103,8 @@ class Scanner:
         return out
 
     def fuzzy(self, joined: str) -> list[Span]:
-        """Verified matches, in order of notice and place."""
+        """Verified matches, in order of notice and place. Of overlapping matches
+        with different labels, those with more edits go."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(joined):
             at = end + 1 - size
@@ -131,7 +132,9 @@ class Scanner:
                     out.append(Span(label, first, first + joined.count(" ", s, e) + 1, edits,
                                     1 - edits / len(notice), joined[s:e]))
                     done = e
-        return out
+        return [x for x in out if not any(
+            y.edits < x.edits and y.label != x.label and y.start_word < x.end_word and x.start_word < y.end_word
+            for y in out)]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[Span]]:
         """Number of words, base places, fuzzy spans."""
