@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, licenses, mixing, quality, simhash, wavelet
+from . import byte_bpe, language, licenses, mixing, neighbours, quality, simhash, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,21 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0))).alias("score"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, k=20)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
@@ -101,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_licenses": op8_licenses,
+    "op9_neighbours": op9_neighbours,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_neighbours": OP9_SQL, "op10_mixing": OP10_SQL}
