@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, language, licenses, mixing, neighbours, quality, simhash, wavelet
-from .common import documents
+from .common import documents, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = wavelet.new_folder(spark, "wavelet")
+    folder = new_folder(spark, "wavelet")
     wavelet.write(documents(spark, sf_dir), folder, WORD_TOKENIZER, end_id=1)
     return wavelet.documents_of(wavelet.read(spark, folder))
 
