@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, licenses, mixing, neighbours, quality, simhash, wavelet
+from . import byte_bpe, edit_counts, language, licenses, mixing, neighbours, quality, simhash, wavelet
 from .common import documents, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "quality.*").drop("rejected_by")
 
 
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    revised = edit_counts.revisions(documents(spark, sf_dir).select("doc_id", "text"))
+    return edit_counts.count(revised, BYTE_RANKS, public_tokenizers.PATTERN).select("row.doc_id", "counts.*")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, max_bits=4, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_wavelet": op2_wavelet,
     "op3_quality": op3_quality,
+    "op4_edit_counts": op4_edit_counts,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_licenses": op8_licenses,
