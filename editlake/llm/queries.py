@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, edit_counts, language, licenses, mixing, neighbours, quality, simhash, wavelet
+from . import backoff, byte_bpe, edit_counts, language, licenses, mixing, neighbours, quality, simhash, wavelet
 from .common import documents, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,32 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.score(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text, count(*) OVER (PARTITION BY doc_id, text) AS copies FROM documents),
+t AS (SELECT doc_id, text, copies,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, text, copies, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+      FROM t, unnest(generate_series(1, len(w))) AS u(i)),
+uni AS (SELECT b, sum(copies) AS c FROM g GROUP BY b),
+his AS (SELECT a, sum(copies) AS c FROM g GROUP BY a),
+bi AS (SELECT a, b, sum(copies) AS c FROM g GROUP BY a, b),
+n AS (SELECT sum(copies) AS n FROM g),
+s AS (SELECT g.doc_id, g.text, count(*) AS n_words,
+             sum(CASE WHEN bi.c >= 2 THEN ln(bi.c::DOUBLE / his.c) ELSE ln(0.4 * uni.c / n.n) END) AS s
+      FROM g JOIN bi ON g.a IS NOT DISTINCT FROM bi.a AND g.b = bi.b
+             JOIN his ON g.a IS NOT DISTINCT FROM his.a JOIN uni ON g.b = uni.b CROSS JOIN n
+      GROUP BY g.doc_id, g.text)
+SELECT t.doc_id, coalesce(s.n_words, 0)::BIGINT AS n_words, round(coalesce(s.s, 0), 6)::DOUBLE AS log_score
+FROM t LEFT JOIN s ON t.doc_id IS NOT DISTINCT FROM s.doc_id AND t.text IS NOT DISTINCT FROM s.text
+"""
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.search(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "found.*")
     base, spans = F.col("base"), F.col("spans")
@@ -121,8 +147,9 @@ QUERIES: dict[str, Query] = {
     "op4_edit_counts": op4_edit_counts,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_backoff": op7_backoff,
     "op8_licenses": op8_licenses,
     "op9_neighbours": op9_neighbours,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op9_neighbours": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_backoff": OP7_SQL, "op9_neighbours": OP9_SQL, "op10_mixing": OP10_SQL}
