@@ -161,58 +161,67 @@ def exposure_report(draws: DataFrame, pools: DataFrame, synthetic_share: float)
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+GREY = 128  # stored byte of a dropped image: the zero of normalised pixels
+
+
 def materialize_examples(draws: DataFrame, corpus_images: DataFrame) -> DataFrame:
     """Refs -> (before, after, type). ``after`` is the exact edit for
-    synthetic types and the stored after-image otherwise; flips and image
-    dropout are applied last. ``corpus_images`` has (row_id, px, after_px, res)."""
-    from .images import synthetic_pairs
-    imgs = corpus_images.select("row_id", "px", "after_px", "res")
-    j = draws.join(imgs, "row_id")
-    is_syn = F.col("type_in").isin(*SYNTH_IDS)
-    synth_rows = j.where(is_syn).withColumn(
-        "edit_type", F.element_at(F.array(*[F.lit(n) for n in tx.TYPE_NAMES]),
-                                  (F.col("type_in") + 1).cast("int")))
-    edited = synthetic_pairs(synth_rows, keep=("draw_id",), out="u8")
-    synth = synth_rows.drop("edit_type").join(edited.drop("edit_type"), "draw_id")
-    real = j.where(~is_syn).withColumn("after", F.col("after_px"))
-    both = synth.unionByName(real)
-    return _finish(both)
-
-
-def _finish(df: DataFrame) -> DataFrame:
-    """Apply flips (both images) and image dropout to packed CHW bytes."""
+    synthetic types (stored rounded) and the stored after-image otherwise;
+    flips mirror both images, and a dropped input image is all grey.
+
+    Rows of the corpus are keyed by (shard, row_id), the position in a file.
+    ``corpus_images`` has (shard, row_id, px, after_px, res). One join brings
+    the pixels to the draws and one Arrow job edits, flips and drops; a row
+    drawn very often is a hot key of that join, which AQE splits.
+    """
     import numpy as np
     import pyarrow as pa
 
-    cols = ["draw_id", "type_id", "type_in", "res", "px", "after", "flipped", "image_dropped"]
-    sel = df.select(*cols)
+    from .images import EDITS, bounded, normalize_u8, stored_u8, _binary_matrix
+
+    imgs = corpus_images.select("shard", "row_id", "px", "after_px", "res")
+    joined = draws.select("draw_id", "shard", "row_id", "type_id", "type_in", "flipped", "image_dropped").join(
+        imgs, ["shard", "row_id"]).drop("shard", "row_id")
+    names = {tx.TYPE_ID[n]: n for n in tx.SYNTHETIC_TYPES}
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             n = b.num_rows
-            res = np.asarray(b.column("res").to_numpy(zero_copy_only=False), np.int64)
-            flips = np.asarray(b.column("flipped").to_numpy(zero_copy_only=False), bool)
-            drops = np.asarray(b.column("image_dropped").to_numpy(zero_copy_only=False), bool)
-            out_b, out_a = [None] * n, [None] * n
-            for r in np.unique(res):
-                rows = np.nonzero(res == r)[0]
-                w = 3 * int(r) * int(r)
-                for name, store in (("px", out_b), ("after", out_a)):
-                    col = b.column(name).cast(pa.large_binary())
-                    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + n + 1]
-                    data = np.frombuffer(col.buffers()[2], np.uint8)
-                    imgs = data[offs[rows][:, None] + np.arange(w)].reshape(-1, 3, int(r), int(r))
-                    f = flips[rows]
-                    imgs[f] = imgs[f][..., ::-1]          # mirror both images of a flipped draw
-                    for j, i in enumerate(rows):
-                        if not (name == "px" and drops[i]):
-                            store[i] = imgs[j].tobytes()
+            if n == 0:
+                continue
+            res = np.asarray(b.column("res").fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            kind = np.asarray(b.column("type_in").fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
+            flips = np.asarray(b.column("flipped").fill_null(False).to_numpy(zero_copy_only=False), bool)
+            drops = np.asarray(b.column("image_dropped").fill_null(False).to_numpy(zero_copy_only=False), bool)
+            has_px, has_after = (np.asarray(b.column(c).is_valid()) for c in ("px", "after_px"))
+            before, after = [None] * n, [None] * n
+            for r in np.unique(res[res > 0]).tolist():
+                width = 3 * r * r
+                for name, store, have in (("px", before, has_px), ("after_px", after, has_after)):
+                    edited = np.isin(kind, list(names)) if name == "after_px" else np.zeros(n, bool)
+                    rows = np.flatnonzero((res == r) & have & ~edited)
+                    if len(rows):
+                        stack = _binary_matrix(b.column(name), width, rows).reshape(-1, 3, r, r)
+                        _place(store, rows, stack, flips, drops if name == "px" else None)
+                for t in np.unique(kind[res == r]).tolist():
+                    rows = np.flatnonzero((res == r) & (kind == t) & has_px) if t in names else []
+                    if len(rows):
+                        x = normalize_u8(_binary_matrix(b.column("px"), width, rows)).reshape(-1, 3, r, r)
+                        _place(after, rows, stored_u8(EDITS[names[t]](x)), flips, None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("draw_id"), b.column("type_id"), b.column("res"),
-                 pa.array(out_b, pa.binary()), pa.array(out_a, pa.binary()),
+                 pa.array(before, pa.binary()), pa.array(after, pa.binary()),
                  b.column("flipped"), b.column("image_dropped")],
                 names=["draw_id", "type_id", "res", "before", "after", "flipped", "image_dropped"])
 
+    def _place(store, rows, stack, flips, drops):
+        mirrored = flips[rows]
+        stack[mirrored] = stack[mirrored][..., ::-1].copy()
+        if drops is not None:
+            stack[drops[rows]] = GREY
+        for i, image in zip(rows, stack):
+            store[i] = image.tobytes()
+
     schema = ("draw_id bigint, type_id bigint, res int, before binary, after binary, "
               "flipped boolean, image_dropped boolean")
-    return sel.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

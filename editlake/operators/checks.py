@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 from .. import taxonomy as tx
 
 
-def check_lengths(corpus: DataFrame) -> DataFrame:
-    """V1: per shard, prompts = types = images = meta n.
+def check_lengths(corpus: DataFrame, meta: DataFrame) -> DataFrame:
+    """V1: per shard, prompts = types = images = the ``n`` of its meta record.
 
-    One aggregate per shard counts every sidecar at once; ``stack`` turns the
-    counts into one row per (shard, part) without a join.
+    One aggregate per shard counts every sidecar at once and meets the meta
+    table (``shard, n``; one row per shard) in a full join, so a shard without
+    a record, or a record without rows, fails too.
     """
     per = corpus.groupBy("shard").agg(
-        F.count(F.lit(1)).alias("n"),
         F.count("instruction").alias("prompts"),
         F.count("edit_type_nullable").alias("types"),
         F.count_if(F.col("decodable")).alias("images"))
-    long = per.select("shard", "n", F.expr(
-        "stack(3, 'prompts', prompts, 'types', types, 'images', images) as (part, actual)"))
+    both = per.join(meta.select("shard", F.col("n").alias("n")), "shard", "full")
+    long = both.select("shard", F.coalesce("n", F.lit(0)).alias("n"), F.expr(
+        "stack(3, 'prompts', coalesce(prompts, 0), 'types', coalesce(types, 0), 'images', coalesce(images, 0)) "
+        "as (part, actual)"))
     return long.select(F.concat(F.lit("lengths:"), F.col("part")).alias("check"), "shard",
                        (F.col("actual") == F.col("n")).alias("ok"),
                        F.col("n").cast("bigint").alias("expected"),
@@ -32,7 +34,7 @@ def check_nonempty(quota: DataFrame, taken: DataFrame) -> DataFrame:
     """V3: a quota shortfall or zero rows is a failure even when the job ended
     cleanly. One row per quota type."""
     got = taken.groupBy("edit_type").agg(F.count(F.lit(1)).alias("actual"))
-    j = quota.join(F.broadcast(got), "edit_type", "left")
+    j = quota.join(got, "edit_type", "left")
     actual = F.coalesce(F.col("actual"), F.lit(0)).cast("bigint")
     return j.select(F.concat(F.lit("nonempty:"), F.col("edit_type")).alias("check"),
                     F.lit(None).cast("bigint").alias("shard"),

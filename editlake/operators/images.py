@@ -95,9 +95,16 @@ def normalize_u8(u8: np.ndarray) -> np.ndarray:
 
 
 def denormalize_u8(x: np.ndarray) -> np.ndarray:
+    """I4's inverse, which cuts off; for checks and previews, not for storing."""
     return np.floor((_clamp(x) + 1.0) * 127.5).astype(np.uint8)
 
 
+def stored_u8(x: np.ndarray) -> np.ndarray:
+    """Rounded bytes, the storage form of edited images: an edit that returns
+    its input gives the same bytes."""
+    return np.floor((_clamp(x) + 1.0) * 127.5 + 0.5).astype(np.uint8)
+
+
 # ------------------------------------------------------------ arrow helpers
 
 
@@ -125,19 +132,16 @@ def _binary_rows(mat: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, offsets, data])
 
 
-def arrow_batch_rows(res: int, budget_bytes: int = 64 << 20) -> int:
-    """Rows per Arrow batch so that a batch of pairs stays near ``budget_bytes``
-    (a 256 px pair is 384 KB; the 10,000-row default would be 3.8 GB)."""
-    return max(16, min(10_000, budget_bytes // max(1, 2 * 3 * res * res * 8)))
+BATCH_BYTES = 32 << 20
 
 
-def tune_arrow_batch(df: DataFrame, res: int) -> None:
-    """Lower ``maxRecordsPerBatch`` for large images (never raises it)."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    want = arrow_batch_rows(res)
-    if int(conf.get(key, "10000")) > want:
-        conf.set(key, str(want))
+def bounded(batches, max_bytes: int = BATCH_BYTES):
+    """Arrow batches cut to slices of about ``max_bytes`` (one row at least), so
+    a kernel's float copies are bounded whatever the image size."""
+    for b in batches:
+        step = max(1, int(b.num_rows * max_bytes // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def _as_list_array(col: pa.Array) -> pa.Array:
@@ -152,7 +156,7 @@ def array_to_u8(df: DataFrame, src: str, dst: str) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{dst}` binary"])
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             col = _as_list_array(b.column(src))
             offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[: len(col) + 1]
             values = col.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.uint8)
@@ -175,7 +179,7 @@ def _round_half_away(x: np.ndarray) -> np.ndarray:
 
 def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
                     type_col: str = "edit_type", out: str = "u8",
-                    keep: tuple[str, ...] = ("img_id",), res_hint: int = 128,
+                    keep: tuple[str, ...] = ("img_id",),
                     compare_col: str | None = None) -> DataFrame:
     """Exact edits of ``px`` for the type in ``type_col`` (one of the 13).
 
@@ -189,7 +193,6 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
     grouped by (type, res) so each edit runs once per group on a stacked array.
     """
     keep = tuple(keep)
-    tune_arrow_batch(df, res_hint)
     extra = (compare_col,) if out == "error" else ()
     sel = df.select(*keep, type_col, px_col, res_col, *extra)
     after_type = {"u8": "binary", "float": "array<double>", "digest": "s1 bigint, s2 bigint",
@@ -200,7 +203,7 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
               + (after_type if out in ("digest", "error") else f"after {after_type}"))
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             n = b.num_rows
             if n == 0:
                 continue
@@ -226,7 +229,7 @@ def synthetic_pairs(df: DataFrame, px_col: str = "px", res_col: str = "res",
                     rows = np.nonzero(known & (types == t) & (res == r))[0]
                     x = normalize_u8(_binary_matrix(px, width, rows)).reshape(-1, 3, r, r)
                     y = EDITS[t](x).reshape(len(rows), width)
-                    y = denormalize_u8(y) if out == "u8" else y
+                    y = stored_u8(y) if out == "u8" else y
                     if uniform:
                         full[rows] = y
                     else:
@@ -283,34 +286,35 @@ def raw_rgb_decoder(data: bytes):
 def _pil_decoder(data: bytes):
     import io
 
-    from PIL import Image  # optional
-    img = Image.open(io.BytesIO(data)).convert("RGB")
-    arr = np.asarray(img, dtype=np.uint8)
+    from PIL import Image, UnidentifiedImageError  # a codec; not needed for raw cells
+    try:
+        arr = np.asarray(Image.open(io.BytesIO(data)).convert("RGB"), dtype=np.uint8)
+    except (UnidentifiedImageError, OSError, SyntaxError) as e:  # what PIL raises for damaged data
+        raise ValueError(str(e)) from e
     return arr.shape[0], arr.shape[1], arr
 
 
-def default_decoder():
-    try:
-        import PIL  # noqa: F401
-    except ImportError:
-        return raw_rgb_decoder
-    def both(data):
-        try:
-            return raw_rgb_decoder(data)
-        except ValueError:
-            return _pil_decoder(data)
-    return both
+#: First bytes of the compressed formats.
+MAGIC = (b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF8", b"RIFF", b"BM")
+
+
+def default_decoder(data: bytes):
+    """The codec follows from the first bytes: a compressed format goes to PIL
+    (whose absence is an error, not a bad cell), anything else is raw RGB."""
+    return _pil_decoder(data) if data.startswith(MAGIC) else raw_rgb_decoder(data)
 
 
 def decode_images(df: DataFrame, cell_col: str, keep: tuple[str, ...] = ("img_id",),
                   decoder=None, prefix: str = "") -> DataFrame:
     """struct<bytes, path> cells -> (ok, height, width, px CHW BINARY).
 
-    Bytes are tried first, then the path. A cell that cannot be decoded gives
-    ``ok = false`` and null pixels instead of failing the task; count them with
-    ``df.observe`` or a plain aggregate.
+    Bytes are tried first, then the path. ``decoder(bytes)`` returns (height,
+    width, HWC uint8) and raises ``ValueError`` for data it cannot decode: such
+    a cell, and one without bytes and path, gives ``ok = false`` and null pixels.
+    Anything else (a missing codec, a failed read, a bug) fails the task. A path
+    is opened as a file, so it must lie on a mount that every executor has.
     """
-    dec = decoder or default_decoder()
+    dec = decoder or default_decoder
     keep = tuple(keep)
     sel = df.select(*keep, F.col(cell_col).alias("_cell"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
@@ -332,12 +336,12 @@ def decode_images(df: DataFrame, cell_col: str, keep: tuple[str, ...] = ("img_id
         return h, w, np.ascontiguousarray(hwc.transpose(2, 0, 1)).tobytes()
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             oks, hs, ws, pxs = [], [], [], []
             for cell in b.column("_cell").to_pylist():
                 try:
                     r = one(cell)
-                except Exception:  # unreadable cell: reported, not fatal
+                except ValueError:  # undecodable cell: reported, not fatal
                     r = None
                 oks.append(r is not None)
                 hs.append(None if r is None else r[0])
@@ -409,7 +413,7 @@ def resize_columns(df: DataFrame, out_side: int, images: dict[str, tuple[str, st
                        + [f"`{o}` binary" for o in images] + ["res int"])
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             n = b.num_rows
             outs = []
             for out, (pc, hc, wc) in images.items():
@@ -442,7 +446,7 @@ def resize_images(df: DataFrame, out_side: int, px_col: str = "px", res_col: str
     schema = f"{fields + ', ' if fields else ''}px binary, res int"
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             n = b.num_rows
             if n == 0:
                 continue

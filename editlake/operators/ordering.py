@@ -44,7 +44,7 @@ def ordered_position(df: DataFrame, group_cols: Sequence[str], major_cols: Seque
     # while the join and the in-block window still share one partitioning.
     grp = F.struct(*group_cols) if group_cols else F.lit(0)
     blk = (df.withColumn("_grp", grp)
-           .withColumn("_blk", F.floor(F.col(row_col) / F.lit(block_rows)).cast("bigint")))
+           .withColumn("_blk", F.expr(f"`{row_col}` div {int(block_rows)}")))
     seg = ["_grp"] + major_cols + ["_blk"]
     counts = blk.groupBy(*seg).agg(F.count(F.lit(1)).alias("_n"),
                                    *[F.first(c).alias(c) for c in group_cols])

@@ -62,9 +62,26 @@ def slice_rows(corpus: DataFrame, k: int, n: int) -> DataFrame:
     return corpus.where((F.col("row_id") >= lo) & (F.col("row_id") < hi) & F.col("decodable"))
 
 
+def slice_of_shards(corpus: DataFrame, k: int, n: int) -> DataFrame:
+    """R3 for a corpus keyed by (shard, row_id) with ids counted per file, as
+    ``scan_corpus`` gives them: rows ``[k*n, (k+1)*n)`` in (shard, row) order,
+    then bad rows dropped.
+
+    Each shard's offset is a running sum over one count per shard; the slice is
+    then a row-id range per shard, so no row is ranked or shuffled.
+    """
+    lo, hi = k * n, (k + 1) * n
+    before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = corpus.groupBy("shard").agg(F.max("row_id").alias("_last"))
+    ranges = (sizes.withColumn("_off", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)))
+              .where((F.col("_off") < hi) & (F.col("_off") + F.col("_last") >= lo)).drop("_last"))
+    pos = F.col("row_id") + F.col("_off")
+    return corpus.join(ranges, "shard").where((pos >= lo) & (pos < hi) & F.col("decodable")).drop("_off")
+
+
 def slice_index(corpus: DataFrame, n: int) -> DataFrame:
     """R3 for all slices at once: ``k = row_id div n``, bad rows dropped."""
-    return corpus.withColumn("k", F.floor(F.col("row_id") / n).cast("bigint")).where(F.col("decodable"))
+    return corpus.withColumn("k", F.expr(f"row_id div {int(n)}")).where(F.col("decodable"))
 
 
 def val_count(n: Column, want_val: int) -> Column:
@@ -81,7 +98,7 @@ def split_cutoffs(corpus: DataFrame, want_val: int,
     holds the cut are ever ranked; no corpus row is shuffled.
     """
     blk = corpus.select("shard", "row_id").withColumn(
-        "_blk", F.floor(F.col("row_id") / F.lit(block_rows)).cast("bigint"))
+        "_blk", F.expr(f"row_id div {int(block_rows)}"))
     counts = blk.groupBy("shard", "_blk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     c = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -128,9 +145,12 @@ def min_support(df: DataFrame, min_rows: int = tx.MIN_TYPE_SUPPORT,
     return df.join(F.broadcast(keep), list(keys), "left_semi")
 
 
-def overlap_anti(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFrame:
+KEY = ("shard", "row_id")
+
+
+def overlap_anti(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Rows of slice ``a`` whose key is not in slice ``b``."""
-    return a.join(b.select(key), key, "left_anti")
+    return a.join(b.select(*key), list(key), "left_anti")
 
 
 def slice_union(slices: dict[str, DataFrame]) -> DataFrame:
@@ -143,18 +163,18 @@ def slice_union(slices: dict[str, DataFrame]) -> DataFrame:
 
 
 def slice_overlap(a: DataFrame, b: DataFrame, col: str = "instruction",
-                  key: str = "row_id") -> DataFrame:
+                  key: tuple[str, ...] = KEY) -> DataFrame:
     """Distinct values shared by two slices, the share of the smaller
     slice they cover, and total vs unique rows across both."""
     # One pass: tag rows by side, aggregate per value (partial + final), then
     # fold the per-value flags into one row. Each row id carries one value, so
     # distinct ids per value add up to the distinct ids overall.
-    tagged = (a.select(col, key, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-              .unionByName(b.select(col, key, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
+    tagged = (a.select(col, *key, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+              .unionByName(b.select(col, *key, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
     per_val = tagged.groupBy(col).agg(
         F.max("_a").alias("ha"), F.max("_b").alias("hb"),
         F.sum("_a").alias("ra"), F.sum("_b").alias("rb"),
-        F.count_distinct(F.col(key)).alias("uk"))
+        F.count_distinct(F.struct(*key)).alias("uk"))
     one = per_val.agg(
         F.sum("ra").alias("rows_a"), F.sum("rb").alias("rows_b"),
         F.count_if(F.col("ha") == 1).alias("distinct_a"),
@@ -171,6 +191,19 @@ def slice_overlap(a: DataFrame, b: DataFrame, col: str = "instruction",
         F.col("unique_rows").cast("bigint"))
 
 
+def slices_overlap(slices: dict[str, DataFrame], col: str = "instruction") -> DataFrame:
+    """U2 over k slices: per set of slices the distinct values found in exactly
+    those slices. One row per value and slice reaches the shuffle; no pairs of
+    slices or of rows are formed."""
+    names = sorted(slices)
+    held = None
+    for name in names:
+        one = slices[name].select(col, F.lit(name).alias("slice")).distinct()
+        held = one if held is None else held.unionAll(one)
+    per_value = held.groupBy(col).agg(F.array_join(F.array_sort(F.collect_set("slice")), ",").alias("slices"))
+    return per_value.groupBy("slices").agg(F.count(F.lit(1)).alias("distinct_values"))
+
+
 def slice_except(newer: DataFrame, older: DataFrame) -> DataFrame:
     """Rows of the newer slice not in the older one (multiset difference)."""
     return newer.exceptAll(older)
@@ -178,65 +211,73 @@ def slice_except(newer: DataFrame, older: DataFrame) -> DataFrame:
 
 def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tuple = "image_file",
                        keep: tuple[str, ...] = ("row_id", "shard", "edit_type"),
-                       slack: float = 0.05, max_rounds: int = 12, decoder=None,
+                       slack: float = 0.05, decoder=None, finish=None,
                        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """R2 when decodability is only known after decoding (two-phase quota).
 
-    Round r takes, per type, the first ``quota + slack_r`` rows in (shard,
-    row) order *without decoding*, decodes only those, and checks whether
-    each type now has ``quota`` decodable rows. Types still short (and with
-    rows left) get a doubled slack next round. The answer is exactly the
-    first ``quota`` decodable rows per type: if the first k candidates hold
-    at least ``quota`` decodable rows, no later row can be among them.
+    Keys are ranked per type in (shard, row) order without decoding. Round by
+    round the next candidates of each type that is still short are decoded,
+    ``quota + slack`` first and then as many again as are missing plus twice
+    the slack; a round decodes new candidates only. It ends when every type has
+    its quota or no candidate is left, so the result is exactly the first
+    ``quota`` decodable rows per type.
 
     ``cell_col`` may name several cells (e.g. before and after); a row counts
-    only when all of them decode. Returns keep columns, ``type_pos`` (position
-    among decodable rows) and per cell ``<prefix>px``/``height``/``width``,
-    with no prefix for a single cell and ``c0_``, ``c1_``, ... otherwise.
+    only when all of them decode. ``finish(decoded, keep)`` may shrink the
+    decoded rows (e.g. resize) and must return ``keep`` columns and its own;
+    what it returns is written once to the shared folder and met again by key
+    for the rows that are taken. Only keys are ranked or shuffled by type.
+
+    Returns keep columns, ``type_pos`` (position among decodable rows) and,
+    without ``finish``, per cell ``<prefix>px``/``height``/``width``, with no
+    prefix for a single cell and ``c0_``, ``c1_``, ... otherwise.
     """
+    import uuid
+
+    from ..session import cut_lineage, ensure_checkpoint_dir
     from .images import decode_images
-    from ..session import cut_lineage
 
     spark = corpus.sparkSession
     quota = quota.where(F.col("quota") > 0)
     cells = (cell_col,) if isinstance(cell_col, str) else tuple(cell_col)
     prefixes = [""] if len(cells) == 1 else [f"c{i}_" for i in range(len(cells))]
-    rows = wanted_types_only(corpus, quota).join(F.broadcast(quota), "edit_type")
-    # Rank keys only: the image cells stay out of the ranking shuffle and are
-    # attached to the (few) candidates of each round instead.
     keys = tuple(dict.fromkeys(tuple(keep) + ("row_id", "shard", "edit_type")))
-    ranked = ordered_position(rows.select(*keys, "quota"), ["edit_type", "quota"], ["shard"], "row_id",
-                              name="_cand", block_rows=block_rows)
-    ranked = cut_lineage(ranked.select(*keys, "quota", "_cand"))
-    cell_rows = rows.select("shard", "row_id", *cells)
-    totals = {r["edit_type"]: int(r["n"]) for r in
+    rows = wanted_types_only(corpus, quota).join(F.broadcast(quota), "edit_type")
+    ranked = cut_lineage(ordered_position(rows.select("row_id", "shard", "edit_type", "quota"), ["edit_type", "quota"],
+                                          ["shard"], "row_id", name="_cand", block_rows=block_rows))
+    totals = {r["edit_type"]: int(r["n"]) for r in  # one entry per wanted type
               ranked.groupBy("edit_type").agg(F.max("_cand").alias("n")).collect()}
     want = {r["edit_type"]: int(r["quota"]) for r in quota.collect()}
-    limit = {t: min(totals.get(t, 0), q + max(1, int(q * slack))) for t, q in want.items()}
-    done: DataFrame | None = None
-    for _ in range(max_rounds):
-        lim = literal_table(spark, list(limit.items()), "edit_type string, _lim bigint")
-        cand = (ranked.join(lim, "edit_type").where(F.col("_cand") <= F.col("_lim"))
-                .join(cell_rows, ["shard", "row_id"]))
-        dec = cand
-        carried = tuple(keep) + ("quota", "_cand")
+    more = {t: max(1, int(q * slack)) for t, q in want.items()}
+    done = dict.fromkeys(want, 0)
+    limit = {t: min(totals.get(t, 0), q + more[t]) for t, q in want.items()}
+    got = dict.fromkeys(want, 0)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decoded-{uuid.uuid4().hex}"
+    payload = rows.select(*keys, *cells)
+    while True:
+        window = literal_table(spark, [(t, done[t], limit[t]) for t in want], "edit_type string, _from bigint, _to bigint")
+        due = (ranked.join(F.broadcast(window), "edit_type")
+               .where((F.col("_cand") > F.col("_from")) & (F.col("_cand") <= F.col("_to")))
+               .select("shard", "row_id", "edit_type"))
+        dec = payload.join(due, ["shard", "row_id", "edit_type"], "left_semi")
         for i, (cell, pre) in enumerate(zip(cells, prefixes)):
-            rest = tuple(c for c in cells[i + 1:])
-            out_cols = tuple(f"{p}{k}" for p in prefixes[:i] for k in ("ok", "height", "width", "px"))
-            dec = decode_images(dec, cell, keep=carried + out_cols + rest, prefix=pre)
-        ok = F.lit(True)
-        for pre in prefixes:
-            ok = ok & F.col(f"{pre}ok")
-        good = dec.where(ok)
-        w = Window.partitionBy("edit_type").orderBy("shard", "row_id")
-        picked = cut_lineage(good.withColumn("type_pos", F.row_number().over(w).cast("bigint"))
-                             .where(F.col("type_pos") <= F.col("quota")))
-        got = {r["edit_type"]: int(r["n"]) for r in
-               picked.groupBy("edit_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-        short = {t for t, q in want.items() if got.get(t, 0) < q and limit[t] < totals.get(t, 0)}
-        done = picked
+            made = tuple(f"{p}{k}" for p in prefixes[:i] for k in ("height", "width", "px"))
+            dec = decode_images(dec, cell, keep=keys + made + cells[i + 1:], decoder=decoder, prefix=pre)
+            dec = dec.where(F.col(f"{pre}ok")).drop(f"{pre}ok")
+        (finish(dec, keys) if finish else dec).write.mode("append").parquet(folder)
+        stored = spark.read.parquet(folder)
+        got |= {r["edit_type"]: int(r["n"]) for r in
+                stored.groupBy("edit_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+        done = dict(limit)
+        short = [t for t in want if got[t] < want[t] and limit[t] < totals.get(t, 0)]
         if not short:
             break
         for t in short:
-            limit[t] = min(totals[t], limit[t] + 2 * (limit[t] - want[t]) + 1)
-    return done.select(*keep, "type_pos", *[f"{p}{k}" for p in prefixes for k in ("px", "height", "width")])
+            more[t] *= 2
+            limit[t] = min(totals[t], limit[t] + want[t] - got[t] + more[t])
+    good = stored.select("shard", "row_id", "edit_type").join(F.broadcast(quota), "edit_type")
+    taken = ordered_position(good, ["edit_type", "quota"], ["shard"], "row_id", name="type_pos", block_rows=block_rows,
+                             keep_block=lambda o: o["_off"] < o["quota"]).where(F.col("type_pos") <= F.col("quota"))
+    out = stored.join(taken.select("shard", "row_id", "edit_type", "type_pos"), ["shard", "row_id", "edit_type"])
+    own = [c for c in stored.columns if c not in keys]
+    return out.select(*keep, "type_pos", *own)

@@ -125,11 +125,11 @@ def taken_shards(picked: DataFrame) -> DataFrame:
 def shard_semi_join(corpus: DataFrame, shards: DataFrame) -> DataFrame:
     """Only rows of the chosen shards.
 
-    The shard list is metadata-sized (one row per file), so it is broadcast;
-    on a corpus partitioned by ``shard`` this also becomes a dynamic
-    partition-pruning filter and unchosen files are never opened.
+    The shard list has one row per file; AQE broadcasts it when it has measured
+    it small. On a corpus partitioned by ``shard`` it also becomes a dynamic
+    partition-pruning filter, and unchosen files are never opened.
     """
-    return corpus.join(F.broadcast(shards.select("shard").distinct()), "shard", "left_semi")
+    return corpus.join(shards.select("shard").distinct(), "shard", "left_semi")
 
 
 def remaining_stock(shard_map: DataFrame, quota: DataFrame, consumed: DataFrame) -> DataFrame:

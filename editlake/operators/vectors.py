@@ -109,6 +109,16 @@ def refresh_embeddings(prompts: DataFrame, meta_n: int, out_path: str, *, key=("
     return spark.read.parquet(out_path)
 
 
+def refresh_meta(meta: DataFrame, dim: int, seq_len: int, encoder: str) -> DataFrame:
+    """E2's meta update: ``meta_json`` of every shard with the new vectors' shape
+    and encoder name; all other fields stay as they are."""
+    fields = "n bigint, val_n bigint, res bigint, source string, counts map<string,bigint>"
+    m = F.from_json("meta_json", fields)
+    return meta.withColumn("meta_json", F.to_json(F.struct(
+        *[m[f.split()[0]].alias(f.split()[0]) for f in fields.split(", ")],
+        F.lit(dim).alias("text_dim"), F.lit(seq_len).alias("seq_len"), F.lit(encoder).alias("encoder"))))
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, v: acc + v)

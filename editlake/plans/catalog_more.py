@@ -390,8 +390,8 @@ def q_materialize_examples(spark, sf_dir):
     draws = AS.flip_augment(AS.cond_dropout(AS.mixture_sample(pools, ids, SEED, SHARE),
                                             SEED, 0.1, 0.1), SEED)
     ex = AS.materialize_examples(draws, ci)
-    return ex.select("draw_id", "type_id", "res", F.octet_length("before").cast("bigint").alias("before_bytes"),
-                     F.octet_length("after").cast("bigint").alias("after_bytes"), "flipped", "image_dropped")
+    return ex.select("draw_id", "type_id", "res", F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"),
+                     "flipped", "image_dropped")
 
 
 # ------------------------------------------------------------- vectors (2.10)
@@ -461,7 +461,8 @@ select 'lengths:' || part as check, shard, actual = n as ok, n::BIGINT as expect
 from (unpivot per on prompts, types, images into name part value actual)""")
 def q_check_lengths(spark, sf_dir):
     """V1: per shard, the prompt, type and image counts against meta n."""
-    return CK.check_lengths(fx.pairs(spark, sf_dir))
+    p = fx.pairs(spark, sf_dir)
+    return CK.check_lengths(p, SC.write_meta(p, 30, 8, "orders"))
 
 
 PLAN_SHORT = ({"add": 4000, "replace": 100}, 0)
@@ -517,6 +518,11 @@ def q_check_taxonomy_append_only(spark, sf_dir):
 
 # -------------------------------------------------------------- sources (2.1)
 
+def _md5_sql(px: str) -> str:
+    """md5 of the bytes of an integer list."""
+    return f"md5(unhex(array_to_string(list_transform({px}, lambda x: printf('%02x', x)), '')))"
+
+
 def _cells_corpus(spark, sf_dir):
     """Typed corpus rows with struct<bytes, path> image cells (pair k: image k
     before, image k + 1 after)."""
@@ -529,21 +535,55 @@ def _cells_corpus(spark, sf_dir):
     return p.join(before, "row_id").join(after, "row_id")
 
 
-@register("scan_corpus", W(PAIRS, IMAGES) + """
-select p.row_id, p.edit_type, p.instruction, len(a.px)::BIGINT as before_bytes, len(b.px)::BIGINT as after_bytes
+def _corpus_files(spark, sf_dir):
+    """The typed corpus as one file per shard, named ``train-NNNNN-of-MMMMM``;
+    row ids then count within a file."""
+    path = _scratch(spark, "corpus")
+    c = _cells_corpus(spark, sf_dir)
+    name = F.format_string("train-%05d-of-%05d", F.col("shard"), F.lit(99999))
+    (c.withColumn("file", name).repartition("file").sortWithinPartitions("file", "row_id")
+     .select("file", "caption", *SC.CORPUS_COLUMNS).write.partitionBy("file").parquet(path))
+    return path
+
+
+@register("scan_corpus", W(PAIRS, IMAGES) + f"""
+select p.shard, (row_number() over (partition by p.shard order by p.row_id) - 1)::BIGINT as row_id, p.edit_type, p.instruction,
+ {_md5_sql('a.px')} as before_md5, {_md5_sql('b.px')} as after_md5
 from pairs p join images a on a.img_id = p.row_id join images b on b.img_id = p.row_id + 1""")
 def q_scan_corpus(spark, sf_dir):
-    """The corpus read as type, instruction and the two image cells only."""
-    c = _cells_corpus(spark, sf_dir).select("row_id", *SC.CORPUS_COLUMNS)
-    return c.select("row_id", "edit_type", F.col("edit_instruction").alias("instruction"),
-                    F.octet_length("image_file.bytes").cast("bigint").alias("before_bytes"),
-                    F.octet_length("edited_file.bytes").cast("bigint").alias("after_bytes"))
+    """Corpus files read as type, instruction and the two image cells only,
+    keyed by (shard, position in the file)."""
+    c = SC.scan_corpus(spark, _corpus_files(spark, sf_dir))
+    return c.select("shard", "row_id", "edit_type", F.col("edit_instruction").alias("instruction"),
+                    F.md5("image_file.bytes").alias("before_md5"), F.md5("edited_file.bytes").alias("after_md5"))
+
+
+@register("slice_of_shards", W(PAIRS) + """
+, c as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as row_id, instruction, decodable,
+ row_number() over (order by shard, row_id) - 1 as pos from pairs)
+select shard, row_id, instruction from c where pos >= 300 and pos < 600 and decodable""")
+def q_slice_of_shards(spark, sf_dir):
+    """R3 on ids counted per file: the second slice of 300 rows."""
+    from ..operators.ordering import ordered_position
+    c = ordered_position(fx.pairs(spark, sf_dir), ["shard"], [], "row_id", name="pos")
+    c = c.withColumn("row_id", F.col("pos") - 1).drop("pos")
+    return S.slice_of_shards(c, 1, 300).select("shard", "row_id", "instruction")
+
+
+@register("slices_overlap", W(PAIRS) + """
+, h as (select distinct instruction, case row_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as slice from pairs)
+, v as (select instruction, string_agg(slice, ',' order by slice) as slices from h group by 1)
+select slices, count(*)::BIGINT as distinct_values from v group by 1""")
+def q_slices_overlap(spark, sf_dir):
+    """U2 over three slices: distinct instructions per set of slices that hold them."""
+    p = fx.pairs(spark, sf_dir)
+    return S.slices_overlap({name: p.where(F.col("row_id") % 3 == i) for i, name in enumerate("abc")})
 
 
 @register("read_sidecars", W(PAIRS) + """
 , pr as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, instruction from pairs)
 , ty as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, edit_type_nullable as edit_type
-  from pairs where edit_type_nullable is not null)
+  from pairs)
 select pr.shard, pr.pos, pr.instruction, coalesce(ty.edit_type, '') as edit_type
 from pr left join ty on ty.shard = pr.shard and ty.pos = pr.pos""")
 def q_read_sidecars(spark, sf_dir):
@@ -591,36 +631,52 @@ def _packed(spark, sf_dir, shards=4):
     rows = ci.select("row_id", F.col("px").alias("before"), F.col("after_px").alias("after"), "res",
                      "instruction", "edit_type")
     path = _scratch(spark, "packed")
-    PK.write_packed_pairs(rows, path, shards=shards, want_val=30, source="orders")
+    for half in (0, 1):  # appended twice: nothing written earlier is lost
+        PK.write_packed_pairs(rows.where(F.col("row_id") % 2 == half), path, shards=shards, want_val=30, source="orders")
     return path
 
 
-@register("write_packed_pairs")
+_PACKED = W(PAIRS, IMAGES) + ", packed as (select p.*, a.px as b, c.px as a from pairs p join images a on a.img_id = p.row_id "\
+    "join images c on c.img_id = p.row_id + 1 where p.decodable) "
+
+
+@register("write_packed_pairs", _PACKED + """
+select count(*)::BIGINT as n, max(8)::BIGINT as res, 'orders' as source, true as published, true as val_rule,
+ count(*) filter (where edit_type = 'add')::BIGINT as n_add from packed""")
 def q_write_packed_pairs(spark, sf_dir):
-    """Packed export, one shard per task; the meta record of each shard."""
+    """Packed export, one shard per task; the meta records of all shards
+    (appended twice as two halves: both stay)."""
     path = _packed(spark, sf_dir)
-    meta = spark.read.json(f"{path}/*_meta.json")
-    return meta.select(F.col("n").cast("bigint"), F.col("val_n").cast("bigint"),
-                       F.col("res").cast("bigint"), "source")
+    from ..sources import packed as PK
+    meta = spark.read.json([p + "_meta.json" for p in PK.find_prefixes(path)])
+    return meta.agg(F.sum("n").alias("n"), F.max("res").alias("res"), F.max("source").alias("source"),
+                    (F.count(F.lit(1)) == 8).alias("published"),
+                    F.bool_and(F.col("val_n") == F.least(F.lit(30), F.expr("n div 10"))).alias("val_rule"),
+                    F.sum("counts.add").alias("n_add"))
 
 
-@register("read_packed_pairs")
+@register("read_packed_pairs", _PACKED + f"""
+select {_md5_sql('b')} as before_md5, {_md5_sql('a')} as after_md5, 8::BIGINT as res, instruction, edit_type from packed""")
 def q_read_packed_pairs(spark, sf_dir):
     """Packed shards read back lazily, one partition per record range."""
     from ..sources import packed as PK
     back = PK.read_packed_pairs(spark, _packed(spark, sf_dir), records_per_partition=256)
-    return back.select("prefix", "row", "res", F.octet_length("before").cast("bigint").alias("before_bytes"),
-                       "edit_type")
+    return back.select(F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"),
+                       F.col("res").cast("bigint").alias("res"), "instruction", "edit_type")
 
 
-@register("check_sizes")
+@register("check_sizes", _PACKED + "select 'sizes' as check, true as ok, count(*)::BIGINT as records, 8::BIGINT as files from packed")
 def q_check_sizes(spark, sf_dir):
     """V2: every packed images file holds whole records of the stated size."""
-    path = _packed(spark, sf_dir)
-    return CK.check_sizes(spark, path, fx.IMAGE_SIDE).select("check", "path", "actual", "records", "ok")
+    found = CK.check_sizes(spark, _packed(spark, sf_dir), fx.IMAGE_SIDE)
+    return found.groupBy("check").agg(F.bool_and("ok").alias("ok"), F.sum("records").alias("records"),
+                                      F.count(F.lit(1)).alias("files"))
 
 
-@register("union_shards")
+_SLICE_A = (W(PAIRS, D.SMAP_CTE, _pick_sql(PLAN_A, "pa"), D.quota_rows_sql("sa", "pa", "pa_quota")))
+
+
+@register("union_shards", _SLICE_A + "select row_id, edit_type, shard as source_shard from sa")
 def q_union_shards(spark, sf_dir):
     """Per-shard outputs under one root, read as one tagged table."""
     root = _scratch(spark, "shards")
@@ -629,17 +685,18 @@ def q_union_shards(spark, sf_dir):
     return SC.union_shards(spark, root).select("row_id", "edit_type", "source_shard")
 
 
-@register("skip_if_complete")
+@register("skip_if_complete", _SLICE_A + "select row_id, edit_type from sa")
 def q_skip_if_complete(spark, sf_dir):
-    """A slice output is complete once it holds its quota; a rerun skips it."""
+    """A slice is written once; the rerun finds it complete and does not
+    make it again (the second ``make`` would fail)."""
     target = _scratch(spark, "slice")
-    want = sum(PLAN_A[0].values())
-    before = SC.skip_if_complete(spark, target, want)
-    _slice(spark, sf_dir, PLAN_A).select("row_id", "edit_type").write.parquet(target)
-    have = spark.read.parquet(target).count()
-    after = SC.skip_if_complete(spark, target, have)
-    return spark.range(1).select(F.lit(target).alias("target"), F.lit(have).cast("bigint").alias("rows"),
-                                 F.lit(before).alias("complete_before"), F.lit(after).alias("complete_after"))
+    rows = _slice(spark, sf_dir, PLAN_A).select("row_id", "edit_type")
+    have = SC.run_unless_complete(spark, target, 1, lambda: rows).count()
+
+    def again():
+        raise RuntimeError("a complete slice was made again")
+
+    return SC.run_unless_complete(spark, target, have, again)
 
 
 @register("read_vectors")
@@ -656,7 +713,7 @@ def q_read_vectors(spark, sf_dir):
 @register("positional_join", W(PAIRS, IMAGES) + """
 , pr as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, instruction from pairs)
 , ty as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, edit_type_nullable as edit_type
-  from pairs where edit_type_nullable is not null)
+  from pairs)
 , im as (select img_id // 100 as shard, (row_number() over (partition by img_id // 100 order by img_id) - 1)::BIGINT as pos, img_id from images)
 select im.shard::BIGINT as shard, im.pos, im.img_id, pr.instruction, coalesce(ty.edit_type, '') as edit_type
 from im join pr on pr.shard = im.shard and pr.pos = im.pos left join ty on ty.shard = im.shard and ty.pos = im.pos""")
@@ -675,18 +732,19 @@ def q_positional_join(spark, sf_dir):
 
 # ------------------------------------------------------------ streaming (2.12)
 
-@register("stream_ingest")
+@register("stream_ingest", _SLICE_A + "select row_id, shard, edit_type from sa")
 def q_stream_ingest(spark, sf_dir):
-    """G1: shards arriving as files, ingested with plan A's quota; equals the
-    batch ``quota_rows`` of the same shards."""
+    """G1: shards arriving as files, ingested under plan A; equals the batch
+    ``quota_rows`` of the planned shards."""
     from ..streaming import ingest as G
+    from .catalog import _plan
     base = _scratch(spark, "stream")
     p = fx.pairs(spark, sf_dir)
     (p.repartition("shard").write.partitionBy("shard").parquet(f"{base}/in"))
     schema = spark.read.parquet(f"{base}/in").schema
     out = G.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", PLAN_A[0], schema,
-                          files_per_trigger=8)
-    return out.select("row_id", "shard", "edit_type", "batch_id")
+                          files_per_trigger=8, shards=SH.taken_shards(_plan(spark, sf_dir, PLAN_A)))
+    return out.select("row_id", "shard", "edit_type")
 
 
 @register("quota_rows_decoded", W(PAIRS, IMAGES) + """

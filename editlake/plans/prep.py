@@ -20,7 +20,7 @@ from ..operators import shards as SH
 
 
 def prepare_slice(corpus: DataFrame, quota: Mapping[str, int], *, skip_shards: int = 0,
-                  res: int = 128, slack: float = 0.02, shard_map: DataFrame | None = None,
+                  res: int = 128, slack: float = 0.02, decoder=None, shard_map: DataFrame | None = None,
                   keep: tuple[str, ...] = ("row_id", "shard", "edit_type", "instruction")) -> DataFrame:
     """One prep slice: (keep..., type_pos, before, after, res).
 
@@ -32,8 +32,8 @@ def prepare_slice(corpus: DataFrame, quota: Mapping[str, int], *, skip_shards: i
     smap = shard_map if shard_map is not None else SH.shard_type_counts(corpus)
     picked = SH.pick_shards(smap, qt, skip_shards)
     rows = SH.shard_semi_join(corpus, SH.taken_shards(picked))
-    dec = S.quota_rows_decoded(rows, qt, ("image_file", "edited_file"), keep=keep, slack=slack)
-    out = IM.resize_columns(dec, res, {"before": ("c0_px", "c0_height", "c0_width"),
-                                       "after": ("c1_px", "c1_height", "c1_width")},
-                            keep=tuple(keep) + ("type_pos",))
+    out = S.quota_rows_decoded(
+        rows, qt, ("image_file", "edited_file"), keep=keep, slack=slack, decoder=decoder,
+        finish=lambda dec, kept: IM.resize_columns(dec, res, {"before": ("c0_px", "c0_height", "c0_width"),
+                                                              "after": ("c1_px", "c1_height", "c1_width")}, keep=kept))
     return out.select(*keep, "type_pos", "before", "after", "res")

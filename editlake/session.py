@@ -35,8 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this is set by the deployment and is used as given. Only when
-    it is unset (local tests) is a fresh scratch folder created and set.
+    On a cluster this is set by the deployment and is used as given; there an
+    unset folder is an error, because executors do not see the driver's disk.
+    Only a local session (tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
@@ -44,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="editlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, path)
     sc.setCheckpointDir(path)
@@ -56,29 +59,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str, barrier: bool = True) -> DataFrame:
-    """Hash-repartition on ``keys`` only when the scan gives fewer partitions
-    than the cluster can run at once.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition on ``keys`` when the scan gives fewer partitions than
+    the cluster can run at once (one big row group is one task), so that
+    expensive per-row work that follows runs on all cores.
 
-    A file with a single large row group is a single task; expensive per-row
-    work (regex classification, tokenising, NumPy edits) that follows would
-    then run on one core. On a big input with thousands of splits this is a
-    no-op, so no shuffle is added where the scan is already parallel. Hashing
-    on a key (not round-robin) keeps the placement deterministic on retries.
-
-    Catalyst pushes deterministic filters through a repartition, so an
-    expensive filter (e.g. "no rule matches this text") would run back in the
-    single scan task. With ``barrier`` the spread rows are persisted
-    (memory, then disk): filters stop at the cached relation, every query
-    over the same input shares it, and a lost block is recomputed from its
-    short lineage (scan + repartition). Only small inputs reach this branch.
+    Nothing is persisted: filters that Catalyst pushes below the exchange reach
+    the scan. Hashing on a key (not round-robin) keeps the placement the same
+    on retries.
     """
-    from pyspark import StorageLevel
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    out = df.repartition(want, *keys) if keys else df.repartition(want)
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if barrier else out
+    return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ CORPUS_COLUMNS = ["edit_type", "edit_instruction", "image_file", "edited_file"]
 _SHARD_RE = r"(\d+)-of-\d+"
 
 
-def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool = True) -> DataFrame:
+def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool = False) -> DataFrame:
     """S1 (+ S12): read only type, instruction and the two image columns of
     a Parquet corpus, with the shard number from the file name and a stable
     ``row_id``: the row's position in its file (``_metadata.row_index``), so
@@ -23,7 +23,9 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
     read time.
 
     Catalyst prunes the scan to these four columns (the captions are never
-    read); ``tolerant`` skips unreadable or vanished files instead of failing.
+    read). An unreadable file fails the job; with ``tolerant`` it is skipped,
+    and ``skipped_files`` tells which files gave no rows. A file whose name
+    carries no shard number has a null ``shard``.
     """
     reader = spark.read
     if tolerant:
@@ -44,14 +46,24 @@ def write_shard_map(shard_json: DataFrame, path: str) -> None:
      .select("shard", "e.rows", "e.types").write.mode("overwrite").json(path))
 
 
+def skipped_files(spark: SparkSession, path: str, scanned: DataFrame) -> DataFrame:
+    """S12 files: Parquet files under ``path`` that gave no row to ``scanned``
+    (a tolerant ``scan_corpus``): (file_name, length). Lists names and lengths
+    only; no content is read."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", "*.parquet").load(path)
+              .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length"))
+    return listed.join(scanned.select("file_name").distinct(), "file_name", "left_anti")
+
+
 def sidecar_arrays(corpus: DataFrame, value_col: str, order_col: str = "row_id",
                    key: str = "shard") -> DataFrame:
     """One JSON array per shard of ``value_col`` in row order (the sidecar
     file format of a packed shard). A shard's array is one record, as in the
-    format itself; null values are left out, as a sidecar simply lacks them."""
-    rows = corpus.where(F.col(value_col).isNotNull())
-    arr = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order_col, value_col))).alias("a"))
-    return arr.select(key, F.to_json(F.transform("a", lambda s: s[value_col])).alias("json"))
+    format itself, and has one slot per row: a null value is a null slot, so
+    later values keep their positions."""
+    arr = corpus.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order_col, value_col))).alias("a"))
+    return arr.select(key, F.to_json(F.transform("a", lambda s: s[value_col]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def read_sidecar(json_arrays: DataFrame, name: str, key: str = "shard") -> DataFrame:
@@ -94,20 +106,35 @@ def write_meta(corpus: DataFrame, want_val: int, res: int, source: str,
 
 def union_shards(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """Every shard output under ``root`` read as one logical table, each
-    row tagged with the shard number parsed from its file path. Shards with
+    row tagged with the shard number of the last path segment that names one. Shards with
     extra columns are aligned by name (missing ones are null)."""
     df = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").format(fmt).load(root)
-    num = F.regexp_extract(F.col("_metadata.file_path"), r"shard[=_-]?(\d+)", 1)
+    num = F.regexp_extract(F.col("_metadata.file_path"), r".*/[^/]*shard[=_-]?(\d+)", 1)
     return df.withColumn("source_shard", F.when(num != "", num.cast("bigint")))
 
 
 def skip_if_complete(spark: SparkSession, target: str, n: int, fmt: str = "parquet") -> bool:
-    """True when ``target`` already holds at least ``n`` rows (nothing to do)."""
-    try:
-        have = spark.read.format(fmt).load(target).count()
-    except Exception:  # missing or unreadable target: not complete
+    """True when ``target`` already holds at least ``n`` rows (nothing to do).
+
+    A missing target is not complete; any other failure to read it is raised."""
+    if not path_exists(spark, target):
         return False
-    return have >= n
+    return spark.read.format(fmt).load(target).count() >= n
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that Spark would read it from."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def run_unless_complete(spark: SparkSession, target: str, n: int, make, fmt: str = "parquet") -> DataFrame:
+    """S11 as a job: write ``make()`` to ``target`` unless it already holds
+    ``n`` rows; returns the table either way."""
+    if not skip_if_complete(spark, target, n, fmt):
+        make().write.mode("overwrite").format(fmt).save(target)
+    return spark.read.format(fmt).load(target)
 
 
 

@@ -11,9 +11,12 @@ Format of one output shard ``<prefix>``:
 
 The reader splits every images file into record ranges (one input partition
 per range) and yields Arrow batches, so a 10 GB file is read lazily by many
-tasks. The writer writes one shard per task under temporary names and
-publishes them in ``commit`` (all or nothing). The paths must be on a file
-system every executor mounts; Parquet (``df.write.partitionBy('shard')``)
+tasks. A file that does not hold exactly its ``n`` records is an error. The
+writer writes one shard per task under names of its own, and ``commit`` makes
+all of them visible at once by replacing ``_manifest.json``, the list of
+published prefixes (a folder without one is read by its meta files). Concurrent
+writers to one folder are not supported. Paths must be on a mount that the
+driver and every executor have (a URI of another store is refused); Parquet (``df.write.partitionBy('shard')``)
 remains the default sink for everything that is not an export.
 """
 
@@ -23,6 +26,7 @@ import glob
 import json
 import os
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,25 @@ def record_bytes(res: int) -> int:
     return 2 * 3 * res * res
 
 
+SUFFIXES = ("_images.bin", "_prompts.json", "_types.json", "_meta.json")
+MANIFEST = "_manifest.json"
+
+
+def local_path(path: str) -> str:
+    """The mounted folder of a path; stores that ``open`` cannot reach are refused."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"packed pairs need a path on a shared mount, not {path}")
+    return path
+
+
 def find_prefixes(path: str) -> list[str]:
+    path = local_path(path)
+    manifest = os.path.join(path, MANIFEST)
+    if os.path.isfile(manifest):
+        with open(manifest) as fh:
+            return [os.path.join(path, name) for name in json.load(fh)]
     if os.path.isfile(path + "_meta.json"):
         return [path]
     hits = sorted(glob.glob(os.path.join(path, "**", "*_meta.json"), recursive=True))
@@ -51,7 +73,9 @@ class _Range(InputPartition):
         self.prefix, self.start, self.count, self.res = prefix, start, count, res
 
 
+@lru_cache(maxsize=4)
 def _load_json_list(path: str) -> list | None:
+    """A sidecar, parsed once per worker for all ranges of its shard."""
     if not os.path.exists(path):
         return None
     with open(path) as fh:
@@ -69,8 +93,9 @@ class PackedReader(DataSourceReader):
             with open(prefix + "_meta.json") as fh:
                 meta = json.load(fh)
             n, res = int(meta["n"]), int(meta["res"])
-            size = os.path.getsize(prefix + "_images.bin") if os.path.exists(prefix + "_images.bin") else 0
-            n = min(n, size // record_bytes(res))  # a short file yields only whole records
+            size = os.path.getsize(prefix + "_images.bin")
+            if size != n * record_bytes(res):
+                raise ValueError(f"{prefix}_images.bin has {size} bytes; {n} records of {res} px need {n * record_bytes(res)}")
             for start in range(0, n, self.records):
                 parts.append(_Range(prefix, start, min(self.records, n - start), res))
         return parts or [_Range("", 0, 0, 0)]
@@ -101,15 +126,22 @@ class PackedReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]], n: int):
-        self.files, self.n = files, n
+    def __init__(self, names: list[str], n: int):
+        self.names, self.n = names, n
+
+
+def _remove(prefix: str) -> None:
+    for s in (*SUFFIXES, "_text.bin"):
+        if os.path.exists(prefix + s):
+            os.remove(prefix + s)
 
 
 class PackedWriter(DataSourceWriter):
     """One task = one output shard; files appear only when the job commits."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
+        self.path = local_path(options["path"])
+        self.write_id = uuid.uuid4().hex[:8]
         self.want_val = int(options.get("valN", "300"))
         self.source = options.get("source", "")
         self.prefix_name = options.get("prefixName", "part")
@@ -120,8 +152,16 @@ class PackedWriter(DataSourceWriter):
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
         os.makedirs(self.path, exist_ok=True)
-        final = os.path.join(self.path, f"{self.prefix_name}-{pid:05d}")
-        tmp = os.path.join(self.path, f".tmp-{uuid.uuid4().hex}-{pid:05d}")
+        # a name of its own for every attempt: the manifest says which one counts
+        name = f"{self.prefix_name}-{self.write_id}-{pid:05d}-{uuid.uuid4().hex[:8]}"
+        try:
+            n = self._write_shard(os.path.join(self.path, name), rows)
+        except BaseException:
+            _remove(os.path.join(self.path, name))
+            raise
+        return _Written([name] if n else [], n)
+
+    def _write_shard(self, tmp: str, rows) -> int:
         n, res, prompts, types, counts = 0, None, [], [], {}
         with open(tmp + "_images.bin", "wb") as img:
             for r in rows:
@@ -141,27 +181,27 @@ class PackedWriter(DataSourceWriter):
         for suffix, obj in (("_prompts.json", prompts), ("_types.json", types), ("_meta.json", meta)):
             with open(tmp + suffix, "w") as fh:
                 json.dump(obj, fh)
-        suffixes = ["_images.bin", "_prompts.json", "_types.json", "_meta.json"]
-        return _Written([(tmp + s, final + s) for s in suffixes], n)
+        if not n:
+            _remove(tmp)
+        return n
 
     def commit(self, messages):
+        os.makedirs(self.path, exist_ok=True)
+        old = [os.path.relpath(p, self.path) for p in find_prefixes(self.path) if os.path.exists(p + "_meta.json")
+               and not os.path.basename(p).startswith(f"{self.prefix_name}-{self.write_id}-")]
+        made = sorted(name for m in messages for name in m.names)
+        staged = os.path.join(self.path, f".{MANIFEST}-{self.write_id}")
+        with open(staged, "w") as fh:
+            json.dump(made if self.overwrite else old + made, fh)
+        os.replace(staged, os.path.join(self.path, MANIFEST))  # the moment of publication
         if self.overwrite:
-            for old in find_prefixes(self.path):
-                for s in ("_images.bin", "_prompts.json", "_types.json", "_meta.json", "_text.bin"):
-                    if os.path.exists(old + s):
-                        os.remove(old + s)
-        for m in messages:
-            # _meta.json last: a prefix is visible to readers only when complete.
-            for src, dst in m.files:
-                os.replace(src, dst)
+            for name in old:
+                _remove(os.path.join(self.path, name))
 
     def abort(self, messages):
         for m in messages or []:
-            if m is None:
-                continue
-            for src, _ in m.files:
-                if os.path.exists(src):
-                    os.remove(src)
+            for name in m.names if m is not None else []:
+                _remove(os.path.join(self.path, name))
 
 
 class PackedPairsDataSource(DataSource):

@@ -46,19 +46,23 @@ def test_materialize_examples_content(spark):
     rng = np.random.default_rng(9)
     imgs = {i: rng.integers(0, 256, (3, 8, 8), dtype=np.uint8) for i in range(4)}
     corpus = spark.createDataFrame(
-        [(i, bytearray(imgs[i].tobytes()), bytearray(imgs[(i + 1) % 4].tobytes()), 8) for i in range(4)],
-        "row_id bigint, px binary, after_px binary, res int")
+        [(i, bytearray(imgs[i].tobytes()), bytearray(imgs[(i + 1) % 4].tobytes()), 8, 0) for i in range(4)]
+        + [(i, bytearray(bytes(192)), bytearray(bytes(192)), 8, 1) for i in range(4)],  # the same ids in another shard
+        "row_id bigint, px binary, after_px binary, res int, shard bigint")
     inv, tune = tx.TYPE_ID["inverted"], tx.TYPE_ID["season_winter"]
     draws = spark.createDataFrame(
         [(0, 0, inv, inv, False, False), (1, 1, inv, inv, True, False),
          (2, 2, tune, tune, False, True), (3, 3, 0, tune, True, False)],
-        "draw_id bigint, row_id bigint, type_id bigint, type_in bigint, flipped boolean, image_dropped boolean")
+        "draw_id bigint, row_id bigint, type_id bigint, type_in bigint, flipped boolean, image_dropped boolean").withColumn(
+        "shard", F.lit(0).cast("bigint"))
     out = {r.draw_id: r for r in AS.materialize_examples(draws, corpus).collect()}
-    exact = lambda a: IM.denormalize_u8(IM.EDITS["inverted"](IM.normalize_u8(a)[None]))[0]
+    exact = lambda a: IM.stored_u8(IM.EDITS["inverted"](IM.normalize_u8(a)[None]))[0]
     assert bytes(out[0].after) == exact(imgs[0]).tobytes() and bytes(out[0].before) == imgs[0].tobytes()
     assert bytes(out[1].before) == imgs[1][..., ::-1].tobytes()
     assert bytes(out[1].after) == exact(imgs[1])[..., ::-1].tobytes()
-    assert out[2].before is None and bytes(out[2].after) == imgs[3].tobytes()
+    assert len(out) == 4
+    assert exact(exact(imgs[0])).tobytes() == imgs[0].tobytes()  # stored rounded: inverting twice changes nothing
+    assert bytes(out[2].before) == bytes([AS.GREY]) * 192 and bytes(out[2].after) == imgs[3].tobytes()
     assert out[3].type_id == 0 and bytes(out[3].after) == imgs[0][..., ::-1].tobytes()
 
 

@@ -39,7 +39,7 @@ def test_disjoint_finds_overlapping_slices(spark):
 
 
 def test_lengths_flag_missing_types(spark):
-    rows = CK.check_lengths(fx.pairs(spark, SF)).where(F.col("check") == "lengths:types").collect()
+    rows = CK.check_lengths(fx.pairs(spark, SF), fx.pairs(spark, SF).groupBy("shard").agg(F.count("*").alias("n"))).where(F.col("check") == "lengths:types").collect()
     assert any(not r.ok for r in rows)
-    assert all(r.ok for r in CK.check_lengths(fx.pairs(spark, SF)).where(
+    assert all(r.ok for r in CK.check_lengths(fx.pairs(spark, SF), fx.pairs(spark, SF).groupBy("shard").agg(F.count("*").alias("n"))).where(
         F.col("check") == "lengths:prompts").collect())

@@ -2,6 +2,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from editlake import fixtures as fx
@@ -33,12 +34,23 @@ def test_packed_roundtrip_and_sizes(spark, scratch):
     assert got == want
     sizes = CK.check_sizes(spark, path, 8).collect()
     assert len(sizes) == 3 and all(r.ok for r in sizes)
-    # a record cut short fails the size check and is not read
+    PK.write_packed_pairs(rows, path, shards=2, want_val=30, source="test")  # append keeps what was there
+    assert PK.read_packed_pairs(spark, path).count() == 2 * rows.count()
+    PK.write_packed_pairs(rows, path, shards=3, want_val=30, source="test", mode="overwrite")
+    assert PK.read_packed_pairs(spark, path).count() == rows.count()
+    bad = rows.withColumn("after", F.when(F.col("row_id") == 5, F.lit(b"x")).otherwise(F.col("after")))
+    with pytest.raises(Exception, match="bytes in a"):
+        PK.write_packed_pairs(bad, path, shards=3)
+    assert PK.read_packed_pairs(spark, path).count() == rows.count()  # a failed write publishes nothing
+    # a record cut short fails the size check and the read
     victim = sorted(PK.find_prefixes(path))[0] + "_images.bin"
     with open(victim, "r+b") as fh:
         fh.truncate(os.path.getsize(victim) - 10)
     assert not all(r.ok for r in CK.check_sizes(spark, path, 8).collect())
-    assert PK.read_packed_pairs(spark, path).count() == len(want) - 1
+    with pytest.raises(Exception, match="records of 8 px need"):
+        PK.read_packed_pairs(spark, path).count()
+    with pytest.raises(Exception, match="shared mount"):
+        PK.read_packed_pairs(spark, "s3a://bucket/x").count()
 
 
 def test_vectors_export(scratch):
@@ -52,11 +64,15 @@ def test_sidecars_pad_and_truncate(spark):
     p = fx.pairs(spark, SF)
     prompts = SC.read_sidecar(SC.sidecar_arrays(p, "instruction"), "instruction")
     types = SC.read_sidecar(SC.sidecar_arrays(p, "edit_type_nullable"), "edit_type")
-    train = SC.join_sidecars(prompts, types, "train")
-    probe = SC.join_sidecars(prompts, types, "probe")
-    assert train.count() == p.count()
-    assert probe.count() == p.where("edit_type_nullable is not null").count()
-    assert train.where("edit_type = ''").count() == p.count() - probe.count()
+    missing = p.where("edit_type_nullable is null").count()
+    assert SC.join_sidecars(prompts, types, "train").where("edit_type = ''").count() == missing > 0
+    short = types.where("pos < 3")  # a list that ends early
+    train = SC.join_sidecars(prompts, short, "train")
+    probe = SC.join_sidecars(prompts, short, "probe")
+    assert train.count() == p.count() and probe.count() == short.count()
+    one = spark.createDataFrame([(0, 0, "A"), (0, 1, None), (0, 2, "C")], "shard bigint, row_id bigint, t string")
+    back = SC.read_sidecar(SC.sidecar_arrays(one, "t"), "t").orderBy("pos").collect()
+    assert [r.t for r in back] == ["A", None, "C"]  # every value keeps its place
 
 
 def test_union_shards_and_skip(spark, scratch):
@@ -92,6 +108,70 @@ def test_stream_equals_batch(spark, scratch):
     assert again.count() == out.count()
 
 
+def test_planned_stream_in_any_order_equals_batch(spark, scratch):
+    from editlake.streaming import ingest as G
+    p = fx.pairs(spark, SF)
+    quota = {"add": 120, "tune_transfer": 70}
+    qt = SH.quota_table(spark, quota)
+    shards = SH.taken_shards(SH.pick_shards(SH.shard_type_counts(p), qt))
+    src = os.path.join(scratch, "in")
+    p.where("shard < 0").coalesce(1).write.parquet(src)  # a first file without rows
+    for s in sorted((r.shard for r in p.select("shard").distinct().collect()), reverse=True):
+        p.where(F.col("shard") == s).coalesce(1).write.mode("append").parquet(src)
+    out = G.stream_ingest(spark, src, os.path.join(scratch, "out"), os.path.join(scratch, "ck"), quota, p.schema,
+                          files_per_trigger=2, shards=shards)
+    want = S.quota_rows(p, qt, shards).select("row_id")
+    assert sorted(r.row_id for r in out.select("row_id").collect()) == sorted(r.row_id for r in want.collect())
+
+
+def test_first_batch_without_wanted_rows(spark, scratch):
+    from editlake.streaming import ingest as G
+    write = G.make_batch_writer(os.path.join(scratch, "t"), {"add": 4})
+    p = fx.pairs(spark, SF)
+    write(p.where("edit_type = 'replace'"), 0)
+    write(p.where("shard < 3"), 1)
+    assert spark.read.parquet(os.path.join(scratch, "t")).count() == 4
+
+
+def test_strict_and_tolerant_scan(spark, scratch):
+    cell = "struct<bytes: binary, path: string>"
+    rows = [(t, t, (b"x", None), (b"y", None)) for t in "abc"]
+    schema = f"edit_type string, edit_instruction string, image_file {cell}, edited_file {cell}"
+    root = os.path.join(scratch, "c")
+    for k in range(2):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(root, f"train-0000{k}-of-00002"))
+    with open(os.path.join(root, "train-00001-of-00002", "bad.parquet"), "wb") as fh:
+        fh.write(b"not parquet")
+    path = os.path.join(root, "*")
+    with pytest.raises(Exception):
+        SC.scan_corpus(spark, path).count()
+    found = SC.scan_corpus(spark, path, tolerant=True)
+    assert found.count() == 6 and {(r.shard, r.row_id) for r in found.collect()} == {(s, i) for s in (0, 1) for i in range(3)}
+    assert [r.file_name for r in SC.skipped_files(spark, root, found).collect()] == ["bad.parquet"]
+
+
+def test_decode_errors_only(spark):
+    from editlake.operators import images as IM
+    df = spark.createDataFrame([(1, (bytes(12), None)), (2, (bytes(5), None)), (3, (None, None))],
+                               "img_id bigint, c struct<bytes: binary, path: string>")
+    assert [r.ok for r in IM.decode_images(df, "c").orderBy("img_id").collect()] == [True, False, False]
+
+    def broken(data):
+        raise RuntimeError("codec is missing")
+
+    with pytest.raises(Exception, match="codec is missing"):
+        IM.decode_images(df, "c", decoder=broken).collect()
+
+
+def test_quota_decoded_takes_rare_good_rows(spark):
+    """Rounds go on until the quota is met, however few rows decode."""
+    rows = [(i, 0, "add", (bytes(12) if i % 30 == 29 else bytes(5), None)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id bigint, shard bigint, edit_type string, image_file struct<bytes: binary, path: string>")
+    out = S.quota_rows_decoded(df, SH.quota_table(spark, {"add": 50}), slack=0.02)
+    got = out.orderBy("type_pos").collect()
+    assert [r.row_id for r in got] == [30 * k + 29 for k in range(50)] and [r.type_pos for r in got] == list(range(1, 51))
+
+
 def test_tolerant_decode_reports_counts(spark):
     good = bytes(range(192))
     rows = [(i, (good if i % 4 else good[:50], None)) for i in range(40)]
