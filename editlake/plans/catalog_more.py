@@ -231,20 +231,49 @@ def q_decode_images(spark, sf_dir):
                       F.when(F.col("ok"), _binary_digest(F.col("px"))).alias("s1"))
 
 
-@register("resize_images")
+def _resize_sql(n_in: int, n_out: int) -> str:
+    """Two Lanczos passes (a = 3, rounded and clipped after each) over ``pxc``."""
+    scale = n_in / n_out
+    sinc = lambda e: f"(case when {e} = 0 then 1 else sin(pi() * {e}) / (pi() * {e}) end)"
+    byte = "least(greatest(floor(sum(w.w * p.v) + 0.5), 0), 255)"
+    return ",\n".join([
+        f"taps as (select o, i, (i - (o + 0.5) * {scale} + 0.5) / {scale} as d from range(0, {n_out}) t(o), range(0, {n_in}) u(i) "
+        f"where i >= greatest(floor((o + 0.5) * {scale} - {3 * scale} + 0.5), 0) and i < least(floor((o + 0.5) * {scale} + {3 * scale} + 0.5), {n_in}))",
+        f"raw_w as (select o, i, case when abs(d) < 3 then {sinc('d')} * {sinc('(d / 3)')} else 0 end as w from taps)",
+        "weights as (select o, i, w / sum(w) over (partition by o) as w from raw_w)",
+        f"wide_px as (select p.img_id, p.c, p.y, w.o as x, {byte} as v from pxc p join weights w on w.i = p.x group by 1, 2, 3, 4)",
+        f"small_px as (select p.img_id, p.c, w.o as y, p.x, {byte} as v from wide_px p join weights w on w.i = p.y group by 1, 2, 3, 4)",
+    ])
+
+
+@register("resize_images", W(IMAGES, PX_LONG, PX_COORD, _resize_sql(SIDE, 4)) + """
+select img_id, 4::BIGINT as res, md5(unhex(string_agg(printf('%02x', v::INTEGER), '' order by c, y, x))) as px_md5
+from small_px group by 1""")
 def q_resize_images(spark, sf_dir):
     """Every image resized 8 -> 4 px (Lanczos, a = 3) by the NumPy job."""
     r = IM.resize_images(_images_binary(spark, sf_dir), 4)
-    return r.select("img_id", "res", F.octet_length("px").cast("bigint").alias("n_bytes"))
+    return r.select("img_id", F.col("res").cast("bigint").alias("res"), F.md5("px").alias("px_md5"))
 
 
-@register("register_edits")
+@register("register_edits", W(IMAGES, PX_LONG, PX_COORD, _edits_sql()) + """
+, digest as (select img_id, edit_type, sum(round(r * 1e6)::BIGINT)::BIGINT as s1,
+ sum(round(r * 1e6)::BIGINT * (pos + 1))::BIGINT as s2 from all_edits group by 1, 2)
+select 'function' as form, * from digest union all select 'table' as form, * from digest""")
 def q_register_edits(spark, sf_dir):
-    """The edits called by name as registered SQL functions."""
+    """All 13 edits called by name as SQL functions, and the table function."""
     IM.register_edits(spark)
     img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
-    out = img.select("img_id", F.call_function("edit_inverted", F.col("x"), F.lit(SIDE)).alias("inv"))
-    return out.select("img_id", F.size("inv").cast("bigint").alias("n"))
+    stacked = F.array(*[F.struct(F.lit(n).alias("edit_type"), F.call_function(f"edit_{n}", F.col("x"), F.lit(SIDE)).alias("after"))
+                        for n in tx.SYNTHETIC_TYPES])
+    by_function = img.select(F.lit("function").alias("form"), "img_id", F.inline(stacked))
+    img.createOrReplaceTempView("edit_inputs")
+    by_table = spark.sql(f"select 'table' as form, i.img_id, e.edit_type, e.after from edit_inputs i, "
+                         f"lateral synthetic_edits(i.x, {SIDE}) e")
+    q = F.transform("after", lambda r: F.round(r * 1e6).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return by_function.unionByName(by_table).withColumn("q", q).select(
+        "form", "img_id", "edit_type", F.aggregate("q", zero, lambda t, v: t + v).alias("s1"),
+        F.aggregate(F.transform("q", lambda v, i: v * (i + 1)), zero, lambda t, v: t + v).alias("s2"))
 
 
 # ---------------------------------------------------------------- assembly (2.9)
@@ -255,17 +284,17 @@ from .catalog import PAIRS  # noqa: E402
 SHARE = 0.25
 
 
-def _pools_sql(split: str) -> str:
+def _pools_sql(split: str, rows: str = "pairs", min_rows: int = 50) -> str:
     return ",\n".join([
         D.TYPES_CTE,
-        "prep as (select * from pairs where decodable)",
+        f"prep as (select * from {rows} where decodable)",
         "splitted as (select *, case when row_number() over (partition by shard order by row_id) - 1 < "
         "count(*) over (partition by shard) - least(30, count(*) over (partition by shard) // 10) "
         "then 'train' else 'val' end as split from prep)",
         f"srows as (select * from splitted where split = '{split}')",
         f"named as (select r.shard, r.row_id, t.type_id from (select shard, row_id, "
         f"{D.classify_edit('edit_type', 'instruction')} as type_name from srows) r join types t on t.name = r.type_name)",
-        "keep as (select type_id from named group by 1 having count(*) >= 50)",
+        f"keep as (select type_id from named group by 1 having count(*) >= {min_rows})",
         "pools as (select -1::BIGINT as pool_id, shard, row_id, (row_number() over (order by shard, row_id) - 1)::BIGINT as pos, "
         "count(*) over ()::BIGINT as pool_size from srows union all "
         "select type_id, shard, row_id, (row_number() over (partition by type_id order by shard, row_id) - 1)::BIGINT, "
@@ -380,7 +409,30 @@ def corpus_images(spark, sf_dir):
     return fx.pairs(spark, sf_dir).join(before, "row_id").join(after, "row_id")
 
 
-@register("materialize_examples")
+def _hex_md5(px: str, flipped: str = "false") -> str:
+    """md5 of the bytes of an integer list, mirrored per image row where ``flipped``."""
+    mirrored = f"list_transform(range(0, len({px})), lambda i: {px}[((i // {SIDE}) * {SIDE} + {SIDE - 1} - i % {SIDE} + 1)::INTEGER])"
+    text = lambda e: f"array_to_string(list_transform({e}, lambda v: printf('%02x', v::INTEGER)), '')"
+    return f"md5(unhex(case when {flipped} then {text(mirrored)} else {text(px)} end))"
+
+
+_NAMES = ", ".join(f"({tx.TYPE_ID[n]}, '{n}')" for n in tx.SYNTHETIC_TYPES)
+
+
+@register("materialize_examples", W(PAIRS, IMAGES) + ", ci as (select p.* from pairs p join images a on a.img_id = p.row_id "
+          "join images b on b.img_id = p.row_id + 1), " + ", ".join([
+              _pools_sql("train", "ci", 5), _draws_sql(SEED), PX_LONG, PX_COORD, _edits_sql()]) + f"""
+, flags as (select *, {D.md5_uniform(str(SEED), 'draw_id', '3')} < 0.1 as td, {D.md5_uniform(str(SEED), 'draw_id', '4')} < 0.1 as idr,
+  {D.md5_uniform(str(SEED), 'draw_id', '5')} < 0.5 as flipped from draws)
+, names as (select * from (values {_NAMES}) t(type_id, name))
+, edited as (select img_id, edit_type, list(floor((least(greatest(r, -1.0), 1.0) + 1.0) * 127.5 + 0.5) order by pos) as px
+  from all_edits group by 1, 2)
+select f.draw_id, case when td then 0 else f.type_id end::BIGINT as type_id, 8::BIGINT as res,
+ case when idr then md5(unhex(repeat('80', 192))) else {_hex_md5('a.px', 'f.flipped')} end as before_md5,
+ case when n.name is not null then {_hex_md5('e.px', 'f.flipped')} else {_hex_md5('b.px', 'f.flipped')} end as after_md5,
+ f.flipped, idr as image_dropped
+from flags f join images a on a.img_id = f.row_id join images b on b.img_id = f.row_id + 1
+ left join names n on n.type_id = f.type_id left join edited e on e.img_id = f.row_id and e.edit_type = n.name""")
 def q_materialize_examples(spark, sf_dir):
     """Sampled refs turned into (before, after, type) training rows."""
     ci = corpus_images(spark, sf_dir)
@@ -390,7 +442,7 @@ def q_materialize_examples(spark, sf_dir):
     draws = AS.flip_augment(AS.cond_dropout(AS.mixture_sample(pools, ids, SEED, SHARE),
                                             SEED, 0.1, 0.1), SEED)
     ex = AS.materialize_examples(draws, ci)
-    return ex.select("draw_id", "type_id", "res", F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"),
+    return ex.select("draw_id", "type_id", F.col("res").cast("bigint").alias("res"), F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"),
                      "flipped", "image_dropped")
 
 
