@@ -73,12 +73,12 @@ def check_taxonomy_append_only(stored: DataFrame, id_col: str = "type_id",
                     F.coalesce(F.col("current_name") == F.col(name_col), F.lit(False)).alias("ok"))
 
 
-def check_sizes(spark, root: str, res: int, counts: dict[str, int] | None = None) -> DataFrame:
+def check_sizes(spark, root: str, res: int, counts: DataFrame | None = None) -> DataFrame:
     """V2: every packed images file is ``n * 2 * 3 * res * res`` bytes.
 
     Uses the ``binaryFile`` source for the file length only (the content
-    column is never selected, so no file is read). ``counts`` maps a file
-    prefix to its expected n; without it, the file must hold whole records.
+    column is never selected, so no file is read). ``counts`` has (prefix, n),
+    one row per file; without it, the file must hold whole records.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*_images.bin")
              .option("recursiveFileLookup", "true").load(root).select("path", "length"))
@@ -87,10 +87,8 @@ def check_sizes(spark, root: str, res: int, counts: dict[str, int] | None = None
                        F.col("length").cast("bigint").alias("actual"),
                        (F.col("length") % rec == 0).alias("whole_records"),
                        (F.col("length") / rec).cast("bigint").alias("records"))
-    if counts:
-        exp = spark.createDataFrame([(k, int(v) * rec) for k, v in counts.items()],
-                                    "prefix string, expected bigint")
-        out = out.withColumn("prefix", F.regexp_extract("path", r"([^/]*)_images\.bin$", 1)).join(
-            F.broadcast(exp), "prefix", "left")
+    if counts is not None:
+        exp = counts.select("prefix", (F.col("n") * rec).cast("bigint").alias("expected"))
+        out = out.withColumn("prefix", F.regexp_extract("path", r"([^/]*)_images\.bin$", 1)).join(exp, "prefix", "left")
         return out.withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
     return out.withColumn("ok", F.col("whole_records"))

@@ -153,6 +153,34 @@ def q_addition_head(spark, sf_dir):
     return P.addition_heads(_pairs(spark, sf_dir))
 
 
+def _conversations(spark, sf_dir):
+    return fx.table(spark, sf_dir, "conversations")
+
+
+@register("classify_real_documents", f"select doc_id, {D.classify_real_case('text')} as type_name from documents")
+def q_classify_real_documents(spark, sf_dir):
+    """C1 over every whole document text."""
+    return fx.documents(spark, sf_dir).select("doc_id", T.classify_real(F.col("text")).alias("type_name"))
+
+
+@register("classify_tune_documents", f"select doc_id, {D.classify_tune('text')} as type_name from documents")
+def q_classify_tune_documents(spark, sf_dir):
+    """C2 over every whole document text."""
+    return fx.documents(spark, sf_dir).select("doc_id", T.classify_tune(F.col("text")).alias("type_name"))
+
+
+@register("add_object_conversations", f"select conv_id, turn, {D.add_object('text')} as head from conversations")
+def q_add_object_conversations(spark, sf_dir):
+    """C3 + C4 over every conversation turn."""
+    return _conversations(spark, sf_dir).select("conv_id", "turn", T.add_object(F.col("text")).alias("head"))
+
+
+@register("addition_head_conversations", f"select conv_id, turn, {D.addition_head('text')} as head from conversations")
+def q_addition_head_conversations(spark, sf_dir):
+    """C7 over every conversation turn."""
+    return _conversations(spark, sf_dir).select("conv_id", "turn", T.addition_head(F.col("text")).alias("head"))
+
+
 @register("word_tokens", f"""
 select word, count(*)::BIGINT as n from (select unnest({D.raw_words('text')}) as word from documents)
 where {D.profile_word('word')} group by word""")

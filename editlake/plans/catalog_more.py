@@ -499,7 +499,8 @@ def q_embed_text(spark, sf_dir):
 def q_refresh_embeddings(spark, sf_dir):
     """Re-embed the prompts of the corpus into their own vector table."""
     p = fx.pairs(spark, sf_dir).select("shard", "row_id", "instruction")
-    n = p.count()
+    meta = SC.write_meta(fx.pairs(spark, sf_dir), 30, 8, "orders")  # the corpus's own record, not a count of its prompts
+    n = meta.agg(F.sum("n")).first()[0]
     out = V.refresh_embeddings(p, n, _scratch(spark, "vectors"))
     return out.select("shard", "row_id", F.size("vectors").cast("bigint").alias("seq_len"))
 

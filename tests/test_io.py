@@ -211,6 +211,26 @@ def test_shard_map_document_file(spark, scratch):
         (9, "replace", 4), (10, "MIX:add/replace", 2), (10, "add", 3)]
 
 
+def test_refresh_meta_keeps_the_record(spark):
+    import json
+
+    from editlake.operators import vectors as V
+    meta = SC.write_meta(fx.pairs(spark, SF), 30, 8, "orders")
+    for r in V.refresh_meta(meta, 64, 32, "hashed-token").collect():
+        m = json.loads(r.meta_json)
+        assert (m.pop("text_dim"), m.pop("seq_len"), m.pop("encoder")) == (64, 32, "hashed-token")
+        assert m["n"] == r.n == sum(m["counts"].values()) and m["source"] == "orders"
+
+
+def test_sizes_against_counts(spark, scratch):
+    path = os.path.join(scratch, "p")
+    PK.write_packed_pairs(_rows(spark), path, shards=2)
+    names = [os.path.basename(p) for p in PK.find_prefixes(path)]
+    n = [int(r.records) for r in sorted(CK.check_sizes(spark, path, 8).collect(), key=lambda r: r.path)]
+    counts = spark.createDataFrame(list(zip(sorted(names), [n[0], n[1] + 1])), "prefix string, n bigint")
+    assert [r.ok for r in CK.check_sizes(spark, path, 8, counts).orderBy("prefix").collect()] == [True, False]
+
+
 def test_refresh_embeddings_refuses_count_mismatch(spark, scratch):
     import pytest
 
