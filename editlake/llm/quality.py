@@ -88,10 +88,15 @@ def _same_lines(t: Text) -> bool:
     return len(lines) >= 4 and len(set(lines)) < 0.5 * len(lines)
 
 
+def _stutters(t: Text) -> bool:
+    w = t.words
+    return len(w) >= 20 and sum(map(str.__eq__, w, w[1:])) > 0.3 * len(w)
+
+
 #: Thresholds sit far from ordinary prose; texts in any alphabet pass.
 RULES = (Rule("symbols", _symbols), Rule("exclaims", _exclaims), Rule("shouts", _shouts),
          Rule("word_length", _word_length), Rule("few_distinct", _few_distinct),
-         Rule("few_letters", _few_letters), Rule("same_lines", _same_lines))
+         Rule("few_letters", _few_letters), Rule("same_lines", _same_lines), Rule("stutters", _stutters))
 
 
 def repeated_words(found: Sequence[Sequence[str]]) -> np.ndarray:
