@@ -19,6 +19,7 @@ from .ordering import ordered_position
 from .select import classified, drop_unnamed, min_support, split_train_val
 
 IMAGE_POOL = -1
+SALTED_KEYS = 4096
 SYNTH_IDS = [tx.TYPE_ID[n] for n in tx.SYNTHETIC_TYPES]
 
 
@@ -91,6 +92,10 @@ def mixture_sample(pools: DataFrame, draws: DataFrame | int, seed: int,
     when no type is indexed); then a row uniformly from that type's pool.
 
     ``draws`` is a count (``spark.range``) or a DataFrame with ``draw_id``.
+
+    A small pool would meet all draws of its type in a few join keys, so its
+    refs are repeated under ``SALTED_KEYS`` keys in total and every draw picks
+    one of the copies by its hash; that adds at most ``SALTED_KEYS`` lines a pool.
     """
     spark = pools.sparkSession
     if isinstance(draws, int):
@@ -104,8 +109,11 @@ def mixture_sample(pools: DataFrame, draws: DataFrame | int, seed: int,
                        .otherwise(F.lit(len(SYNTH_IDS)))).cast("bigint"))
     d = (d.join(choice_table(spark, sizes), ["kind", "idx"])
          .withColumn("pos", F.floor(u(2) * F.col("size")).cast("bigint")))
-    refs = pools.select("pool_id", "pos", "shard", "row_id")
-    return d.join(refs, ["pool_id", "pos"]).select("draw_id", "type_id", "pool_id", "shard", "row_id")
+    copies = lambda size: F.greatest(F.lit(1), F.ceil(F.lit(SALTED_KEYS) / size)).cast("bigint")
+    d = d.withColumn("salt", F.pmod(F.xxhash64("draw_id"), copies(F.col("size"))))
+    refs = pools.select("pool_id", "pos", "shard", "row_id", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), copies(F.col("pool_size")) - 1)).alias("salt"))
+    return d.join(refs, ["pool_id", "pos", "salt"]).select("draw_id", "type_id", "pool_id", "shard", "row_id")
 
 
 def val_items(pools: DataFrame, val_pairs: int) -> DataFrame:
