@@ -62,10 +62,10 @@ def slice_rows(corpus: DataFrame, k: int, n: int) -> DataFrame:
     return corpus.where((F.col("row_id") >= lo) & (F.col("row_id") < hi) & F.col("decodable"))
 
 
-def slice_of_shards(corpus: DataFrame, k: int, n: int) -> DataFrame:
+def slice_of_shards(corpus: DataFrame, k: int, n: int, good: Column | None = None) -> DataFrame:
     """R3 for a corpus keyed by (shard, row_id) with ids counted per file, as
     ``scan_corpus`` gives them: rows ``[k*n, (k+1)*n)`` in (shard, row) order,
-    then bad rows dropped.
+    then rows that are not ``good`` (default: ``decodable``) dropped.
 
     Each shard's offset is a running sum over one count per shard; the slice is
     then a row-id range per shard, so no row is ranked or shuffled.
@@ -76,7 +76,8 @@ def slice_of_shards(corpus: DataFrame, k: int, n: int) -> DataFrame:
     ranges = (sizes.withColumn("_off", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)))
               .where((F.col("_off") < hi) & (F.col("_off") + F.col("_last") >= lo)).drop("_last"))
     pos = F.col("row_id") + F.col("_off")
-    return corpus.join(ranges, "shard").where((pos >= lo) & (pos < hi) & F.col("decodable")).drop("_off")
+    good = F.col("decodable") if good is None else good
+    return corpus.join(ranges, "shard").where((pos >= lo) & (pos < hi) & good).drop("_off")
 
 
 def slice_index(corpus: DataFrame, n: int) -> DataFrame:

@@ -623,6 +623,39 @@ def q_slice_of_shards(spark, sf_dir):
     return S.slice_of_shards(c, 1, 300).select("shard", "row_id", "instruction")
 
 
+# Raw cells hold interleaved RGB: the fixture's bytes are read as rows of pixels.
+_CELL_COORD = f"pxc as (select img_id, v, pos % 3 as c, pos // 3 // {SIDE} as y, pos // 3 % {SIDE} as x from pxl)"
+
+_UNTYPED = (W(PAIRS, IMAGES, PX_LONG, _CELL_COORD, _resize_sql(SIDE, 4)) + """
+, tiny as (select img_id, md5(unhex(string_agg(printf('%02x', v::INTEGER), '' order by c, y, x))) as h from small_px group by 1)
+, c as (select p.shard, (row_number() over (partition by p.shard order by p.row_id) - 1)::BIGINT as row_id, p.instruction,
+  row_number() over (order by p.shard, p.row_id) - 1 as pos, a.h as before_md5, b.h as after_md5
+  from pairs p join tiny a on a.img_id = p.row_id join tiny b on b.img_id = p.row_id + 1)
+, s as (select * from c where pos >= 250 and pos < 500)
+""")
+
+
+@register("prepare_untyped", _UNTYPED + "select shard, row_id, instruction as prompt, before_md5, after_md5, 4::BIGINT as res from s")
+def q_prepare_untyped(spark, sf_dir):
+    """The untyped prep over corpus files: the second slice of 250 rows, both
+    images resized 8 -> 4 px."""
+    from .prep import prepare_untyped
+    out = prepare_untyped(SC.scan_corpus(spark, _corpus_files(spark, sf_dir)), 1, 250, res=4)
+    return out.select("shard", "row_id", "prompt", F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"),
+                      F.col("res").cast("bigint").alias("res"))
+
+
+@register("untyped_meta", _UNTYPED + """
+select count(*)::BIGINT as n, least(30, count(*) // 10)::BIGINT as val_n, 4::BIGINT as res,
+ array_to_string((select list(instruction order by shard, row_id) from (select * from s order by shard, row_id limit 20)), '|') as prompts
+from s""")
+def q_untyped_meta(spark, sf_dir):
+    """S7 of an untyped slice: counts and a sample of its first prompts."""
+    from .prep import prepare_untyped, untyped_meta
+    out = prepare_untyped(SC.scan_corpus(spark, _corpus_files(spark, sf_dir)), 1, 250, res=4)
+    return untyped_meta(out, 30).select("n", "val_n", "res", F.array_join("prompts_sample", "|").alias("prompts"))
+
+
 @register("slices_overlap", W(PAIRS) + """
 , h as (select distinct instruction, case row_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as slice from pairs)
 , v as (select instruction, string_agg(slice, ',' order by slice) as slices from h group by 1)
