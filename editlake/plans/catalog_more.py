@@ -844,12 +844,19 @@ def q_quota_rows_decoded(spark, sf_dir):
     candidates (quota + slack) and widening the slack for short types."""
     from ..operators import shards as SHD
     cells = _cells(spark, sf_dir).withColumnRenamed("img_id", "row_id")
-    corpus = fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type").join(cells, "row_id")
+    corpus = _as_files(spark, fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type").join(cells, "row_id"), "cells")
     quota = SHD.quota_table(spark, {"add": 150, "tune_transfer": 100, "style_change": 60})
     out = S.quota_rows_decoded(corpus, quota, "image_file", slack=0.02)
     return out.select("row_id", "shard", "edit_type", "type_pos")
 
 
+def _as_files(spark, df, name: str):
+    """A fixture as a written corpus, so that later passes prune its columns."""
+    path = _scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 PLAN_PREP = ({"add": 150, "tune_transfer": 100, "style_change": 60}, 1)
 
 
@@ -880,7 +887,7 @@ def q_prepare_slice(spark, sf_dir):
     """The prep job: shards for a quota (skipping one), pruned read, decoded
     quota over both images, both resized 8 -> 4 px."""
     from .prep import prepare_slice
-    out = prepare_slice(_prep_corpus(spark, sf_dir), PLAN_PREP[0], skip_shards=PLAN_PREP[1], res=4)
+    out = prepare_slice(_as_files(spark, _prep_corpus(spark, sf_dir), "corpus"), PLAN_PREP[0], skip_shards=PLAN_PREP[1], res=4)
     return out.select("row_id", "shard", "edit_type", "instruction", "type_pos",
                       F.octet_length("before").cast("bigint").alias("before_bytes"),
                       F.octet_length("after").cast("bigint").alias("after_bytes"),
