@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from .common import slices
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512         # bits between stored rank counts
-CACHED = 200_000    # words kept per worker, and as many of the generation before
+CACHED = 300_000    # words kept per worker, and as many of the generation before
 LONG_WORD = 128
+#: Latin letters whose lower case is one letter, up to LONG_WORD of them.
+PARTS = re.compile(rf"(?m)^(?:((?:[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]){{1,{LONG_WORD}}})"
+                   r"([.,]*)|([^\n]+))$").findall
 ODD = "\x1c\x1d\x1e\x1f"  # split by str.split() but not white space to the tokenizer
 
 FILE_SCHEMA = ("partition int, shard int, doc_ids array<bigint>, ends array<bigint>, width int, n bigint, "
@@ -56,15 +58,18 @@ def build(tokens: np.ndarray, width: int) -> tuple[list[int], list[bytes], list[
     zeros, planes, ranks = [], [], []
     seq = tokens
     for k in range(width - 1, -1, -1):
-        bit = ((seq >> k) & 1).astype(bool)
+        bit = (seq & seq.dtype.type(1 << k)) != 0
         packed = np.packbits(bit, bitorder="little")
         pad = -len(packed) % (BLOCK // 8)
-        counts = np.bitwise_count(np.concatenate([packed, np.zeros(pad, np.uint8)])).reshape(-1, BLOCK // 8).sum(1)
-        ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4").tobytes())
+        blocks = np.concatenate([packed, np.zeros(pad, np.uint8)]).view("<u8").reshape(-1, BLOCK // 64)
+        ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(blocks).sum(1))]).astype("<u4").tobytes())
         planes.append(packed.tobytes())
-        low = seq[~bit]
-        zeros.append(len(low))
-        seq = np.concatenate([low, seq[bit]])
+        n_low = len(seq) - int(np.count_nonzero(bit))
+        zeros.append(n_low)
+        down = np.empty_like(seq)
+        np.compress(bit, seq, out=down[n_low:])
+        np.compress(np.logical_not(bit, out=bit), seq, out=down[:n_low])
+        seq = down
     return zeros, planes, ranks
 
 
@@ -156,8 +161,8 @@ class Shard:
         for k in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(seq)
-            up[~bit] = seq[:self.zeros[k]]
-            up[bit] = seq[self.zeros[k]:] | dtype(1 << (self.width - 1 - k))
+            up[np.flatnonzero(~bit)] = seq[:self.zeros[k]]
+            up[np.flatnonzero(bit)] = seq[self.zeros[k]:] | dtype(1 << (self.width - 1 - k))
             seq = up
         return seq
 
@@ -172,23 +177,57 @@ class WordEncoder:
     holds only for a tokenizer that drops white space; one that does not is
     refused. Texts with U+001C to U+001F, which ``str.split`` would also split
     at, are encoded whole.
+
+    Words not met before go through the tokenizer together: those of Latin
+    letters, less full stops and commas at their end, as one text whose ids are
+    cut at the tokens that end a word; all others one by one.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer, self.kind = Tokenizer.from_str(content), kind
         for text in ("a b", "a  b", "a\n\tb"):
             if self._whole([text])[0] != self._whole(["a"])[0] + self._whole(["b"])[0]:
                 raise ValueError("the tokenizer does not drop white space; encode whole texts")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.kind).tobytes() for ids in self._whole(texts)]
+
+    def _letters(self, found: list[str]) -> list[bytes]:
+        """Words of Latin letters: one pre-token each, so one ending token each."""
+        ids = np.array(self._whole([" ".join(found)])[0], np.int64)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(found):
+            return self._packed(found)
+        size, data = np.dtype(self.kind).itemsize, ids.astype(self.kind).tobytes()
+        return [data[a * size:b * size] for a, b in zip([0, *cuts], cuts)]
+
+    def _add(self, missing: set[str]) -> None:
+        cache = self.cache
+        lines = PARTS("\n".join(missing))  # letters, full stops and commas after them; or anything else
+        rest = [other for _, _, other in lines if other]
+        whole = [(core, tail) for core, tail, _ in lines if core]
+        folded = "\n".join([core for core, _ in whole]).lower().split("\n") if whole else []
+        tails = {tail for _, tail in whole if tail}.difference(cache, rest)
+        rest += tails
+        cache.update(zip(rest, self._packed(rest)))
+        letters = list(set(folded).difference(cache))
+        if letters:
+            cache.update(zip(letters, self._letters(letters)))
+        cache.update([(core + tail, cache[low] + cache[tail]) if tail else (core, cache[low])
+                      for (core, tail), low in zip(whole, folded)])
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text as little-endian integers of ``kind``."""
         if len(self.cache) > CACHED:
             self.older, self.cache = self.cache, {}
         split = [t.split() if t and not any(c in t for c in ODD) else None for t in texts]
@@ -199,16 +238,14 @@ class WordEncoder:
         for w in missing & self.older.keys():
             self.cache[w] = self.older.pop(w)
             missing.discard(w)
-        new = list(missing)
-        for w, ids in zip(new, self._whole(new)):
-            self.cache[w] = np.array(ids, "<u4").tobytes()
+        self._add(missing)
         out = []
         for text, words in zip(texts, split):
             if words is not None:
                 out.append(b"".join(map(self.cache.__getitem__, words)))
             else:
-                out.append(np.array(self._whole([text])[0], "<u4").tobytes() if text else b"")
-        for w in new:
+                out.append(self._packed([text])[0] if text else b"")
+        for w in missing:
             if len(w) > LONG_WORD:
                 del self.cache[w]
         return out
@@ -217,10 +254,10 @@ class WordEncoder:
 _LOADED: dict[str, WordEncoder] = {}
 
 
-def _encoder(content: str) -> WordEncoder:
-    key = hashlib.md5(content.encode()).hexdigest()
+def _encoder(content: str, kind: str = "<u4") -> WordEncoder:
+    key = hashlib.md5(content.encode()).hexdigest() + kind
     if key not in _LOADED:
-        _LOADED[key] = WordEncoder(content)
+        _LOADED[key] = WordEncoder(content, kind)
     return _LOADED[key]
 
 
@@ -242,9 +279,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 1, *, id_col: str
     def run(batches):
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids = _encoder(held.value).encode(part.column("text").to_pylist())
-                packed = [np.frombuffer(b, "<u4").astype(kind).tobytes() + end for b in ids]
+            for part in slices(batch, "text", 2 << 20):
+                ids = _encoder(held.value, kind).encode(part.column("text").to_pylist())
+                packed = [b + end for b in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     return (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -357,9 +394,3 @@ def lookup(shards: DataFrame, tokens: Sequence[int]) -> DataFrame:
     rows = shards.mapInArrow(run, "partition int, shard int, token bigint, inside bigint")
     return (rows.join(starts(shards), ["partition", "shard"])
             .select("token", (F.col("first") + F.col("inside")).alias("position")))
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder."""
-    import uuid
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{re.sub('[^a-z0-9]', '-', name)}-{uuid.uuid4().hex}"
