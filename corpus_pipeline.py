@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlake.llm import byte_bpe, language, mixing, quality, simhash
-from editlake.llm.common import documents, new_folder
+from editlake.llm.common import documents, drop_folder, new_folder
 
 #: With L languages a best share lies above 1 / L; only texts that fit none go.
 MIN_SCORE = 0.3
@@ -61,10 +61,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what a stage returns is written to the
-    cluster's shared folder and read again, so no stage is computed twice."""
-    docs = documents(spark, sf_dir)
+    cluster's shared folder and read again, so no stage is computed twice. Only
+    the last folder outlives the call: the result is read from it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            drop_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
