@@ -38,6 +38,7 @@ NONE = np.int64(1 << 40)
 LONG = 256          # bytes; longer pre-tokens get a tree of their own
 CACHED = 200_000    # pieces kept per worker, and as many of the generation before
 ROWS = 1 << 19      # leaves merged side by side
+FEW = 64            # fewer pre-tokens than this are merged one by one
 
 
 class Vocabulary:
@@ -172,6 +173,9 @@ class Vocabulary:
             else:
                 by_size.setdefault(1 << max(1, (len(p) - 1).bit_length()), []).append(p)
         for size, group in by_size.items():
+            if len(group) < FEW:
+                out.update((p, self.merge_long(p)) for p in group)
+                continue
             step = max(1, ROWS // size)
             for a in range(0, len(group), step):
                 part = group[a:a + step]
