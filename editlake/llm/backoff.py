@@ -15,7 +15,8 @@ sum of the logarithms.
    A partition holds every occurrence of its pairs, so it has ``c(ab)`` and
    ``c(b)`` and resolves the pairs that back off, and those with a hot history.
 4. What is left meets ``U``, partitioned by the same hash, for ``c(a.)``.
-5. Partial sums are added per document.
+5. Partial sums meet per document, one row each; until then they travel as
+   blocks, too, and are added up within every task.
 
 Exploded pairs travel in small column blocks, one per slice and hash bucket,
 with repeated values written once (a few bytes a pair); the number of buckets
@@ -31,7 +32,7 @@ scores) but each counts in the model. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,32 +47,47 @@ from .simhash import LOWER
 
 ALPHA, CUTOFF = 0.4, 2
 HOT = 1000
-BUCKET_PAIRS = 1 << 20
+BUCKET_PAIRS = 1 << 21
 SLICE = 12 << 20
 START = np.uint64(0)   # hash of the start mark; a word that hashes to 0 becomes 1
 
 
 # --- blocks -------------------------------------------------------------------
 
+def _planes(column: np.ndarray) -> bytes:
+    """Byte by byte of all values: the high bytes of small or rising values compress well."""
+    return column.view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes()
+
+
 def pack(**columns: np.ndarray) -> bytes:
     """Arrays as one compressed block; 64-bit integers as a sorted table of their
     values (as differences) and places in it."""
-    out = io.BytesIO()
-    made = {}
+    head, data = [], []
     for name, column in columns.items():
         if column.dtype == np.uint64:
             table, at = np.unique(column, return_inverse=True)
-            made[name + ".t"] = np.diff(table, prepend=np.uint64(0))
-            column = at.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32)
-        made[name] = column
-    np.savez(out, **made)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+            made = [(name + ".t", np.diff(table, prepend=np.uint64(0))),
+                    (name, at.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32))]
+        else:
+            made = [(name, column)]
+        for key, array in made:
+            head.append([key, array.dtype.str, len(array)])
+            data.append(_planes(np.ascontiguousarray(array)))
+    top = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=3).compress(len(top).to_bytes(4, "little") + top + b"".join(data))
 
 
 def unpack(block: bytes) -> dict[str, np.ndarray]:
-    found = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(block)))
-    return {name: np.cumsum(found[name + ".t"], dtype=np.uint64)[found[name]] if name + ".t" in found.files else found[name]
-            for name in found.files if not name.endswith(".t")}
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    found = {}
+    for name, dtype, n in json.loads(raw[4:at]):
+        size = np.dtype(dtype).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        found[name] = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
+        at += n * size
+    return {name: np.cumsum(found[name + ".t"], dtype=np.uint64)[v] if name + ".t" in found else v
+            for name, v in found.items() if not name.endswith(".t")}
 
 
 def mix_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,7 +203,9 @@ def _hot_pairs(docs: DataFrame, hot, text_col: str) -> DataFrame:
             .groupBy("a", "b").agg(F.sum("c").alias("c")))
 
 
-ROWS = "bucket bigint, kind int, block binary"   # kinds: 0 pairs, 1 sums, 2 histories to divide by, 3 word counts
+#: kinds: 0 pairs, 1 sums, 2 histories to divide by, 3 word counts, 4 texts
+ROWS = "bucket bigint, kind int, block binary"
+HELD_SUMS = 1 << 21    # partial sums that a task adds up before it passes them on
 
 
 def _rows(bucket, kind: int, blocks) -> pa.RecordBatch:
@@ -222,12 +240,34 @@ def _gather(blocks: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
 
 
-def _sums(total: int, key: np.ndarray, score: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Partial sums per document as one block, in any bucket."""
-    if len(key):
+def home(text: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket where everything about a text meets in the end; 256 texts that
+    follow each other share one, which keeps the blocks few."""
+    near = text >> np.uint64(8)
+    return (mix_hash(near, np.full_like(near, 7)) % np.uint64(buckets)).astype(np.int64)
+
+
+class Sums:
+    """Partial sums per text, added up within a task and dealt to the texts' buckets in blocks."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, key: np.ndarray, score: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         table, at = np.unique(key, return_inverse=True)
-        s, c = np.bincount(at, weights=score), np.bincount(at, weights=n).astype(np.int64)
-        yield _rows([int(table[0] % np.uint64(total))], 1, [pack(key=table, score=s, n=c)])
+        self.held.append((table, np.bincount(at, weights=score, minlength=len(table)),
+                          np.bincount(at, weights=n, minlength=len(table)).astype(np.uint32)))
+        self.size += len(table)
+        if self.size > HELD_SUMS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            key, score, n = (np.concatenate(c) for c in zip(*self.held))
+            table, at = np.unique(key, return_inverse=True)
+            yield from _dealt(home(table, self.buckets), 1, key=table, score=np.bincount(at, weights=score),
+                              n=np.bincount(at, weights=n).astype(np.uint32))
+        self.held, self.size = [], 0
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA,
@@ -251,11 +291,18 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
     log_total = float(np.log(total))
 
     def explode(batches):
+        from pyspark import TaskContext
+        # texts are numbered within the task; the numbers travel instead of ids
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 word, lengths = read_texts(part.column("text").to_pylist())
-                key = part.column("key").to_numpy().view(np.uint64)
-                own, a = np.repeat(key, lengths), histories(word, lengths)
+                ids = part.column("doc_id")
+                mine = np.arange(number, number + part.num_rows, dtype=np.uint64)
+                number += part.num_rows
+                yield from _dealt(home(mine, buckets), 4, text=mine, key=part.column("key").to_numpy(),
+                                  valid=np.asarray(ids.is_valid()).astype(np.uint8), doc_id=ids.fill_null(0).to_numpy())
+                own, a = np.repeat(mine, lengths), histories(word, lengths)
                 order, at = groups(word, a, own)
                 word, a, own = word[order][at], a[order][at], own[order][at]
                 n = np.diff(np.append(at, len(order))).astype(np.uint32)
@@ -264,23 +311,29 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
                 known = c > 0
                 s = np.zeros(len(c))
                 s[known] = np.log(c[known]) - np.log(hot.value.p[pa_[known]])
-                yield from _sums(buckets, own[known], (s * n)[known], n[known])
+                sums = Sums(buckets)
+                yield from sums.add(own[known], (s * n)[known], n[known])
+                yield from sums.flush()
                 rest = ~known
                 spread = np.where(pb >= 0, mix_hash(a, word), word)[rest]
                 yield from _dealt((spread % np.uint64(buckets)).astype(np.int64), 0,
-                                  b=word[rest], a=a[rest], key=own[rest], n=n[rest])
+                                  b=word[rest], a=a[rest], text=own[rest], n=n[rest])
 
     def resolve(batches):
+        sums = Sums(buckets)
         for bucket, held in _by_bucket(batches):
             for kind, block in held:
                 if kind == 1:
-                    yield _rows([bucket], 1, [block])
+                    f = unpack(block)
+                    yield from sums.add(f["key"], f["score"], f["n"])
+                elif kind == 4:
+                    yield _rows([bucket], 4, [block])
             blocks = [b for kind, b in held if kind == 0]
             if not blocks:
                 continue
             f = _gather(blocks)
             order, at = groups(f["b"], f["a"])
-            a, b, key, n = f["a"][order], f["b"][order], f["key"][order], f["n"][order].astype(np.int64)
+            a, b, text, n = f["a"][order], f["b"][order], f["text"][order], f["n"][order].astype(np.int64)
             size = np.diff(np.append(at, len(a)))
             c = np.repeat(np.add.reduceat(n, at), size)
             words_at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
@@ -293,16 +346,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
             s[seen] = np.log(c[seen])
             now = seen & (pa_ >= 0)
             s[now] -= np.log(hot.value.p[pa_[now]])
-            done = ~seen | now
-            yield from _sums(buckets, key[done], (s * n)[done], n[done])
-            left = ~done
-            # the pair's part is known; its history's count is subtracted after the join with U
-            yield from _sums(buckets, key[left], (s * n)[left], n[left])
-            order, at = groups(a[left], key[left])
+            yield from sums.add(text, s * n, n)
+            # the count of other histories is subtracted after the join with U
+            left = seen & (pa_ < 0)
+            order, at = groups(a[left], text[left])
             if len(order):
-                la, lk, ln = a[left][order], key[left][order], n[left][order]
+                la, lt, ln = a[left][order], text[left][order], n[left][order]
                 yield from _dealt((la[at] % np.uint64(buckets)).astype(np.int64), 2,
-                                  a=la[at], key=lk[at], n=np.add.reduceat(ln, at).astype(np.uint32))
+                                  a=la[at], text=lt[at], n=np.add.reduceat(ln, at).astype(np.uint32))
+        yield from sums.flush()
 
     def send_counts(batches):
         for batch in batches:
@@ -311,31 +363,44 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
                               p=batch.column("p").to_numpy().astype(np.uint32 if total < 1 << 32 else np.uint64))
 
     def divide(batches):
-        for _, held in _by_bucket(batches):
+        sums = Sums(buckets)
+        for bucket, held in _by_bucket(batches):
             for kind, block in held:
                 if kind == 1:
                     f = unpack(block)
-                    yield _partial(f["key"], f["score"], f["n"])
+                    yield from sums.add(f["key"], f["score"], f["n"])
+                elif kind == 4:
+                    yield _rows([bucket], 4, [block])
             blocks = [b for kind, b in held if kind == 2]
             if not blocks:
                 continue
             u, f = _gather([b for kind, b in held if kind == 3]), _gather(blocks)
             order = np.argsort(u["h"])
             p = u["p"][order][np.searchsorted(u["h"][order], f["a"])].astype(float)
-            key, at = np.unique(f["key"], return_inverse=True)
-            yield _partial(key, np.bincount(at, weights=-np.log(p) * f["n"]), np.zeros(len(key), np.int64))
+            yield from sums.add(f["text"], -np.log(p) * f["n"], np.zeros(len(p)))
+        yield from sums.flush()
 
-    def _partial(key, s, n):
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s), pa.array(n.astype(np.int64))],
-                                          ["key", "score", "n"])
+    def finish(batches):
+        for _, held in _by_bucket(batches):
+            f = _gather([b for kind, b in held if kind == 4])
+            order = np.argsort(f["text"])
+            score, n = np.zeros(len(order)), np.zeros(len(order), np.int64)
+            for kind, block in held:
+                if kind == 1:
+                    part = unpack(block)
+                    at = np.searchsorted(f["text"], part["key"], sorter=order)
+                    score[at] += part["score"]
+                    n[at] += part["n"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f["key"][order]), pa.array(f["doc_id"][order], pa.int64(), mask=f["valid"][order] == 0),
+                 pa.array(score), pa.array(n)], ["key", "doc_id", "score", "n"])
 
     texts = _texts(docs, id_col, text_col)
     met = (texts.mapInArrow(explode, ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
            .mapInArrow(resolve, ROWS))
     divided = (met.unionByName(counts.mapInArrow(send_counts, ROWS)).repartition(parts, "bucket")
-               .sortWithinPartitions("bucket").mapInArrow(divide, "key bigint, score double, n bigint"))
-    rows = texts.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    sums = divided.groupBy("key").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
-    return (rows.join(sums, "key", "left")
-            .select("doc_id", F.coalesce(F.expr("n div copies"), F.lit(0)).cast("bigint").alias("n_words"),
-                    F.coalesce(F.col("score") / F.col("copies"), F.lit(0.0)).alias("log_score")))
+               .sortWithinPartitions("bucket").mapInArrow(divide, ROWS))
+    per_text = (divided.repartition(parts, "bucket").sortWithinPartitions("bucket")
+                .mapInArrow(finish, "key bigint, doc_id bigint, score double, n bigint"))
+    return (per_text.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_words"),
+                                        F.max("score").alias("log_score")).drop("key"))
