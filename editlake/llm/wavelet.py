@@ -187,6 +187,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind = Tokenizer.from_str(content), kind
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words reach it once; its own lookup only costs time
         for text in ("a b", "a  b", "a\n\tb"):
             if self._whole([text])[0] != self._whole(["a"])[0] + self._whole(["b"])[0]:
                 raise ValueError("the tokenizer does not drop white space; encode whole texts")
