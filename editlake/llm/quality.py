@@ -34,6 +34,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+DISTINCT_WINDOW = 1000
 
 
 class Text:
@@ -75,8 +76,19 @@ def _word_length(t: Text) -> bool:
     return not 2 <= sum(map(len, t.words)) / t.n <= 15
 
 
+def distinct_share(found: Sequence[str]) -> float:
+    """Mean share of distinct words over consecutive windows of ``DISTINCT_WINDOW``
+    words that cover the whole text (the last one ends with it). The share over a
+    whole text falls with its length; this one does not. A shorter text is one window."""
+    n = len(found)
+    if n <= DISTINCT_WINDOW:
+        return len(set(found)) / max(1, n)
+    starts = [*range(0, n - DISTINCT_WINDOW, DISTINCT_WINDOW), n - DISTINCT_WINDOW]
+    return sum(len(set(found[a:a + DISTINCT_WINDOW])) for a in starts) / (len(starts) * DISTINCT_WINDOW)
+
+
 def _few_distinct(t: Text) -> bool:
-    return len(t.words) >= 50 and len(set(t.words)) < 0.1 * t.n
+    return len(t.words) >= 50 and distinct_share(t.words) < 0.1
 
 
 def _few_letters(t: Text) -> bool:

@@ -102,6 +102,22 @@ def test_cascade_verdict_is_the_same_in_any_order():
     assert quality.ordered(quality.RULES, measured)[0].name == "same_lines"
 
 
+def test_few_distinct_does_not_depend_on_length():
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    clean = [w for _ in range(200) for w in rnd.sample(vocabulary, 100)]
+    poor = [rnd.choice(vocabulary[:60]) for _ in range(20050)]
+    rejects = {r.name: r.rejects for r in quality.RULES}["few_distinct"]
+    for n in (60, 1000, 1001, 20000):
+        assert not rejects(quality.Text(" ".join(clean[:n])))
+    assert not rejects(quality.Text(" ".join(clean * 5)))
+    for n in (1000, 1001, 1999, 20050):
+        assert rejects(quality.Text(" ".join(poor[:n])))
+    half = poor[:1500] + [f"x{i}" for i in range(1500)]  # every window counts, the last one too
+    assert quality.distinct_share(half) == pytest.approx(sum(len(set(half[a:a + 1000])) for a in (0, 1000, 2000)) / 3000)
+    assert quality.distinct_share(half[:1001]) == pytest.approx((len(set(half[:1000])) + len(set(half[1:1001]))) / 2000)
+
+
 def test_language_messy_and_held_out(spark):
     docs = B.messy(spark)
     model = language.learn(docs, F.lit(True))
