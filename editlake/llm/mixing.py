@@ -14,7 +14,9 @@
    the one range of each source that holds the budget's end is sorted to find
    the cut row. A row belongs to the last, partial epoch when its midpoint in
    the prefix sum lies within the budget, so the words taken miss the target
-   by at most half of one document.
+   by at most half of one document. Rows that share the cut key (equal in id,
+   source and text) are counted first, and only as many of them are taken as
+   fit; where they do not all fit they are numbered in blocks of bounded size.
 
 All that a row needs (level of its source, cut point) is one line per source;
 rows meet it in a join that AQE broadcasts when it has measured it small.
@@ -32,6 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ordered_position
 from ..session import cut_lineage
 
 WORDS_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -89,20 +92,39 @@ def _plan(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
                  .join(plan.select("_src", "_rest"), "_src").where(F.col("_off") <= F.col("_rest"))
                  .groupBy("_src", "_rest").agg(F.max(F.struct("_rng", "_off")).alias("_c"))
                  .select("_src", "_rest", F.col("_c._rng").alias("_rng"), F.col("_c._off").alias("_off")))
-    in_range = Window.partitionBy("_src", "_rng").orderBy("_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (rows.select("_src", "_rng", "_ord", "_size").join(cut_range, ["_src", "_rng"])
-           .withColumn("_end", F.col("_off") + F.sum("_size").over(in_range))
-           .where(2 * F.col("_end") - F.col("_size") <= 2 * F.col("_rest"))
-           .groupBy("_src").agg(F.max("_ord").alias("_cut")))
+    in_range = (Window.partitionBy("_src", "_rng").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1))
+    keys = (rows.select("_src", "_rng", "_ord", "_size").join(cut_range, ["_src", "_rng"])
+            .groupBy("_src", "_rng", "_rest", "_off", "_ord", "_size").agg(F.count(F.lit(1)).alias("_same"))
+            .withColumn("_before", F.col("_off") + F.coalesce(F.sum(F.col("_same") * F.col("_size")).over(in_range), F.lit(0))))
+    # copy j of a key ends at _before + j * _size and is in when its midpoint lies within _rest
+    left = 2 * (F.col("_rest") - F.col("_before"))
+    fit = (F.when(left < F.col("_size"), 0)
+           .when(F.col("_size") == 0, F.col("_same"))
+           .otherwise(F.least("_same", F.expr("(2 * (_rest - _before) + _size) div greatest(2 * _size, 1)"))))
+    cut = (keys.withColumn("_fit", fit).where(F.col("_fit") > 0)
+           .groupBy("_src").agg(F.max(F.struct("_ord", "_fit", "_same")).alias("_c"))
+           .select("_src", F.col("_c._ord").alias("_cut"), F.col("_c._fit").alias("_fit"),
+                   (F.col("_c._fit") < F.col("_c._same")).alias("_split")))
     return (plan.join(cut_range.select("_src", F.col("_rng").alias("_cut_rng")), "_src", "left")
             .join(cut, "_src", "left")
-            .select("_src", "source_size", "target", "_epochs", "_cut_rng", "_cut"))
-
-
-def _copies() -> Column:
-    partial = ((F.col("_rng") < F.col("_cut_rng"))
-               | ((F.col("_rng") == F.col("_cut_rng")) & (F.col("_ord") <= F.col("_cut"))))
-    return (F.col("_epochs") + F.coalesce(partial, F.lit(False)).cast("bigint")).cast("bigint")
+            .select("_src", "source_size", "target", "_epochs", "_cut_rng", "_cut", "_fit", "_split"))
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with ``_src``, ``_rng``, ``_ord``) joined with ``plan``, plus ``copies``."""
+    whole = ((F.col("_rng") < F.col("_cut_rng"))
+             | ((F.col("_rng") == F.col("_cut_rng")) & (F.col("_ord") <= F.col("_cut"))))
+    copies = lambda partial: (F.col("_epochs") + F.coalesce(partial, F.lit(False)).cast("bigint")).cast("bigint")
+    joined = rows.join(plan, "_src")
+    if plan.where("_split").isEmpty():
+        return joined.withColumn("copies", copies(whole))
+    split = F.coalesce(F.col("_split") & (F.col("_ord") == F.col("_cut")), F.lit(False))
+    # rows of a cut key are told apart by their place, which is fixed before they are numbered
+    some = cut_lineage(joined.where(split).withColumn("_part", F.spark_partition_id())
+                       .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    nth = ordered_position(some, ["_src"], ["_part"], "_at", name="_nth")
+    return (joined.where(~split).withColumn("copies", copies(whole))
+            .unionByName(nth.withColumn("copies", copies(F.col("_nth") <= F.col("_fit"))).drop("_part", "_at", "_nth")))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -110,7 +132,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """Per row: ``id_col``, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``."""
     cols = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
     rows = cut_lineage(docs.select(*_narrow(*cols, seed)))  # narrow; texts are read and counted once
-    out = rows.join(_plan(rows, weights, cap), "_src", "left").withColumn("copies", _copies())
+    out = _with_copies(rows, cut_lineage(_plan(rows, weights, cap)))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
                       (F.col("copies") * F.col("_size")).alias("taken"), "copies")
 
@@ -125,6 +147,5 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     cols = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
     plan = cut_lineage(_plan(cut_lineage(docs.select(*_narrow(*cols, seed))), weights, cap))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    out = (docs.select(row, *_narrow(*cols, seed)).join(plan, "_src")
-           .withColumn("copies", _copies()).where(F.col("copies") > 0))
+    out = _with_copies(docs.select(row, *_narrow(*cols, seed)), plan).where(F.col("copies") > 0)
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

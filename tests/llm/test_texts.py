@@ -296,6 +296,23 @@ def test_mixing_messy(spark):
     assert mixing.mix(B.empty(spark)).collect() == [] and mixing.mixed_rows(B.empty(spark)).collect() == []
 
 
+def test_mixing_takes_as_many_equal_rows_as_fit(spark):
+    words = "w " * 10
+    rows = [(7, words, "a")] * 40 + [(i, words, "a") for i in range(100, 160)] + [(i, words, "b") for i in range(200, 300)]
+    rows += [(8, words, None)] * 50 + [(9, "", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    for seed in ("mix", "s1", "s2"):  # the repeated key lies elsewhere in the order
+        for weights in ((5, 2, 1), (1, 9, 2), (3, 1, 4)):
+            got = mixing.mix(docs, weights=weights, seed=seed).collect()
+            assert sorted((r.doc_id, r.size) for r in got) == sorted((r[0], len(r[1].split())) for r in rows)
+            taken = {}
+            for r in got:  # sources differ in size
+                taken[r.source_size, r.target] = taken.get((r.source_size, r.target), 0) + r.taken
+            assert len(taken) == 3 and all(abs(n - int(t)) <= 5 for (_, t), n in taken.items())
+    one = mixing.mix(docs, weights=(1, 9, 2))
+    assert mixing.mixed_rows(docs, weights=(1, 9, 2)).count() == sum(r.copies for r in one.collect())
+
+
 def test_targets_share_excess(spark):
     sizes = spark.createDataFrame([(("a",), 10), (("b",), 100), (("c",), 1000), ((None,), 5), (("\U0001F600",), 0)],
                                   "_src struct<s:string>, source_size bigint")
