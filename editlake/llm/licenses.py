@@ -102,6 +102,18 @@ class Scanner:
                 out.append((joined.count(" ", 0, at), label))
         return out
 
+    def places(self, i: int, joined: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """``(start, end, edits)`` of notice ``i`` in ``joined[a:b]``, in order. A search
+        gives the best match of its part, so the parts before and after it are searched, too."""
+        out, parts = [], [(a, b)]
+        while parts:
+            a, b = parts.pop()
+            if m := self.verify[i].search(joined[a:b]):
+                s, e = a + m.start(), a + m.end()
+                out.append((s, e, sum(m.fuzzy_counts)))
+                parts += [(a, s), (e, b)]
+        return sorted(out)
+
     def fuzzy(self, joined: str) -> list[Span]:
         """Verified matches, in order of notice and place. Of overlapping matches
         with different labels, those with more edits go."""
@@ -125,9 +137,7 @@ class Scanner:
                 b = joined.find(" ", b) if joined.find(" ", b) >= 0 else len(joined)
                 if a < done:
                     a = done
-                for m in self.verify[i].finditer(joined[a:b]):
-                    s, e = a + m.start(), a + m.end()
-                    edits = sum(m.fuzzy_counts)
+                for s, e, edits in self.places(i, joined, a, b):
                     first = joined.count(" ", 0, s)
                     out.append(Span(label, first, first + joined.count(" ", s, e) + 1, edits,
                                     1 - edits / len(notice), joined[s:e]))

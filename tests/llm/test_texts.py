@@ -237,6 +237,17 @@ def test_license_seeds_lose_no_match():
             assert any(x.label == s.notices[i][1] or x.edits < sum(direct.fuzzy_counts) for x in found), joined
 
 
+def test_license_places_of_one_notice_close_together():
+    s = licenses.Scanner()
+    for words in ("the gnu general publik license gnu general public license text",
+                  "gnu general public license gnu general publik license",
+                  "gnu general publik license gnu general public license gnu generel publik license gnu general public license"):
+        found = sorted((x.start_word, x.matched) for x in s.fuzzy(words) if x.label == "gpl" and x.matched.startswith("gnu"))
+        listed = words.removeprefix("the ").removesuffix(" text").split(" ")
+        first = words.startswith("the ")
+        assert found == [(first + k, " ".join(listed[k:k + 4])) for k in range(0, len(listed), 4)]
+
+
 def test_edit_counts_follow_full_encoding(spark):
     c = edit_counts.counter(open(B.RANKS, "rb").read(), P.PATTERN)
     rnd = random.Random(8)
