@@ -7,9 +7,11 @@ pair was found ``CUTOFF`` times or more, and ``ALPHA * c(b) / N`` elsewhere;
 sum of the logarithms.
 
 1. Word counts ``U``: per slice of texts, then summed by word hash.
-2. Hot words hold 1 / ``HOT`` of all words or more, so there are at most
-   2 ``HOT`` (as word or as history); hot pairs likewise, and both words of a
-   hot pair are hot. Their counts are broadcast; hot pairs are scored where the
+2. Hot words are found (as word or as history) in 1 / ``HOT`` of all places or
+   in ``BUCKET_PAIRS`` places, whichever is less, so one word brings a bucket
+   fewer than ``BUCKET_PAIRS`` pairs at any scale, and there are at most
+   2 ``HOT`` or 2 N / ``BUCKET_PAIRS`` of them; hot pairs likewise, and both
+   words of a hot pair are hot. Their counts are broadcast; hot pairs are scored where the
    text is, and pairs with a hot second word spread by the hash of the pair.
 3. All other pairs are exploded and partitioned by the hash of the second word.
    A partition holds every occurrence of its pairs, so it has ``c(ab)`` and
@@ -20,8 +22,9 @@ sum of the logarithms.
 
 Exploded pairs travel in small column blocks, one per slice and hash bucket,
 with repeated values written once (a few bytes a pair); the number of buckets
-grows with N, so a bucket holds about ``BUCKET_PAIRS`` pairs at any scale and a
-task holds one bucket at a time. Words are told apart by their 64-bit hash.
+grows with N, so a bucket holds ``BUCKET_PAIRS`` pairs on average at any scale,
+words below the hot count add less than that each, and a task holds one bucket
+at a time. Words are told apart by their 64-bit hash.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case.
 
@@ -270,6 +273,11 @@ class Sums:
         self.held, self.size = [], 0
 
 
+def hot_count(total: int, hot_share: int = HOT, bucket_pairs: int = BUCKET_PAIRS) -> int:
+    """Places from which on a word or pair is hot; never more than ``bucket_pairs``, however many words there are."""
+    return min(-(-total // hot_share), bucket_pairs)
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA,
           cutoff: int = CUTOFF, hot_share: int = HOT, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """``doc_id, n_words, log_score`` per distinct row; the model is of all rows."""
@@ -282,10 +290,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
     if not total:
         return _texts(docs, id_col, text_col).select("doc_id", F.lit(0).cast("bigint").alias("n_words"),
                                                      F.lit(0.0).alias("log_score")).distinct()
+    hot_from = hot_count(total, hot_share, bucket_pairs)
     words = [(r.h % (1 << 64), r.n, r.p) for r in
-             counts.where(F.greatest("n", "p") * hot_share >= total).collect()]  # at most 2 * hot_share
+             counts.where(F.greatest("n", "p") >= hot_from).collect()]  # at most 2 * total / hot_from
     first = spark.sparkContext.broadcast(Hot(words, []))
-    pairs = [(r.a, r.b, r.c) for r in _hot_pairs(docs, first, text_col).where(F.col("c") * hot_share >= total).collect()]
+    pairs = [(r.a, r.b, r.c) for r in _hot_pairs(docs, first, text_col).where(F.col("c") >= hot_from).collect()]
     hot = spark.sparkContext.broadcast(Hot(words, pairs))
     buckets = max(parts, -(-total // bucket_pairs))
     log_total = float(np.log(total))

@@ -293,6 +293,17 @@ def test_backoff_messy(spark, hot, pairs):
     assert backoff.score(B.empty(spark)).collect() == []
 
 
+def test_backoff_hot_words_do_not_grow_with_the_table(spark, monkeypatch):
+    assert backoff.hot_count(80_000_000) == 80_000 and backoff.hot_count(5 * 10 ** 9) == backoff.hot_count(10 ** 13) == 1 << 21
+    seen, made = [], backoff.Hot.__init__
+    monkeypatch.setattr(backoff.Hot, "__init__", lambda self, words, pairs: seen.append((words, pairs)) or made(self, words, pairs))
+    rows = lambda **k: sorted((repr(r[0]), r[1], round(r[2], 4)) for r in backoff.score(B.messy(spark), **k).collect())
+    got = rows(hot_share=1, bucket_pairs=5000)  # no word holds all places; some are in 5,000
+    words, pairs = seen[-1]
+    assert len(words) > 2 and pairs and all(max(n, p) >= 5000 for _, n, p in words) and min(c for _, _, c in pairs) >= 5000
+    assert got == rows()
+
+
 def test_mixing_messy(spark):
     got = mixing.mix(B.messy(spark)).collect()
     sizes = sorted((repr(r[0]), len(B.WORD.findall(r[1] or ""))) for r in B.ROWS)
