@@ -68,16 +68,19 @@ def slice_of_shards(corpus: DataFrame, k: int, n: int, good: Column | None = Non
     then rows that are not ``good`` (default: ``decodable``) dropped.
 
     Each shard's offset is a running sum over one count per shard; the slice is
-    then a row-id range per shard, so no row is ranked or shuffled.
+    then a row-id range per shard, so no row is ranked or shuffled. Rows of a
+    null shard are a shard of their own, the first.
     """
     lo, hi = k * n, (k + 1) * n
     before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = corpus.groupBy("shard").agg(F.max("row_id").alias("_last"))
+    key = F.struct("shard").alias("_key")  # null-safe in a plain join
+    sizes = corpus.groupBy("shard").agg(F.max("row_id").alias("_last")).withColumn("_key", key)
     ranges = (sizes.withColumn("_off", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)))
-              .where((F.col("_off") < hi) & (F.col("_off") + F.col("_last") >= lo)).drop("_last"))
+              .where((F.col("_off") < hi) & (F.col("_off") + F.col("_last") >= lo)).select("_key", "_off"))
     pos = F.col("row_id") + F.col("_off")
     good = F.col("decodable") if good is None else good
-    return corpus.join(ranges, "shard").where((pos >= lo) & (pos < hi) & good).drop("_off")
+    return (corpus.withColumn("_key", key).join(ranges, "_key").where((pos >= lo) & (pos < hi) & good)
+            .drop("_off", "_key"))
 
 
 def slice_index(corpus: DataFrame, n: int) -> DataFrame:

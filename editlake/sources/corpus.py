@@ -25,15 +25,17 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
     Catalyst prunes the scan to these four columns (the captions are never
     read). An unreadable file fails the job; with ``tolerant`` it is skipped,
     and ``skipped_files`` tells which files gave no rows. A file whose name
-    carries no shard number has a null ``shard``.
+    carries no shard number (Spark's own part files) is a shard of its own: its
+    number is negative and a hash of its path, so no row has a null ``shard``.
     """
     reader = spark.read
     if tolerant:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     df = reader.parquet(*([path] if isinstance(path, str) else path))
     shard = F.regexp_extract(F.col("_metadata.file_path"), _SHARD_RE, 1)
+    own = F.xxhash64(F.col("_metadata.file_path")).bitwiseOR(F.lit(-(1 << 63)))
     return df.select(*CORPUS_COLUMNS,
-                     F.when(shard != "", shard.cast("bigint")).alias("shard"),
+                     F.when(shard != "", shard.cast("bigint")).otherwise(own).alias("shard"),
                      F.col("_metadata.row_index").cast("bigint").alias("row_id"),
                      F.col("_metadata.file_name").alias("file_name"))
 

@@ -90,3 +90,18 @@ def test_shard_semi_join_prunes_partitions(spark, scratch):
     rows.collect()
     txt = formatted(rows)
     assert "dynamicpruning" in txt.lower()
+
+
+def test_files_without_a_shard_number_keep_their_rows(spark, scratch):
+    path = os.path.join(scratch, "parts")
+    cell = "struct<bytes: binary, path: string>"
+    rows = [("add", f"p{i}", (b"x", None), (b"y", None)) for i in range(30)]
+    spark.createDataFrame(rows, f"edit_type string, edit_instruction string, image_file {cell}, edited_file {cell}") \
+        .repartition(3).write.parquet(path)  # Spark's own file names
+    c = SC.scan_corpus(spark, path)
+    assert c.where("shard is null or shard >= 0").count() == 0 and c.select("shard", "row_id").distinct().count() == 30
+    got = [[r.edit_instruction for r in S.slice_of_shards(c, k, 12, F.lit(True)).collect()] for k in range(3)]
+    assert [len(g) for g in got] == [12, 12, 6] and sorted(sum(got, [])) == sorted(r[1] for r in rows)
+    typed = spark.createDataFrame([(None, i) for i in range(5)] + [(0, i) for i in range(5)], "shard bigint, row_id bigint")
+    got = [sorted(map(repr, map(tuple, S.slice_of_shards(typed, k, 6, F.lit(True)).collect()))) for k in range(2)]
+    assert got == [sorted(["(0, 0)"] + [f"(None, {i})" for i in range(5)]), [f"(0, {i})" for i in range(1, 5)]]
