@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, byte_bpe, edit_counts, language, licenses, mixing, neighbours, quality, simhash, wavelet
+from . import (backoff, byte_bpe, edit_counts, hard_negatives, language, licenses, mixing, neighbours, packing, periodic, quality,
+               simhash, wavelet)
 from .common import documents, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vocabulary files of the queries; operators take them as parameters.
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -140,6 +142,42 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0, label=label)
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+      FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, p.nth ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+      FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+      WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic.with_echoes(documents(spark, sf_dir).select("doc_id", "text"))
+    return periodic.digests(periodic.periodic_runs(planted))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), BYTE_TOKENIZER, end_id=0, max_length=1024, keep_ids=False)
+    return packed.select("doc_id", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens",
+                         "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_wavelet": op2_wavelet,
@@ -151,5 +189,9 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_neighbours": op9_neighbours,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic": op12_periodic,
+    "op13_packing": op13_packing,
 }
-ORACLES: dict[str, str] = {"op7_backoff": OP7_SQL, "op9_neighbours": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_backoff": OP7_SQL, "op9_neighbours": OP9_SQL, "op10_mixing": OP10_SQL,
+                           "op11_hard_negatives": OP11_SQL}
