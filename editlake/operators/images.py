@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions import pixels as PX
+from ..functions import png
 
 # ------------------------------------------------------------------ kernels
 
@@ -115,8 +116,11 @@ def _binary_matrix(col: pa.Array, width: int, rows: np.ndarray) -> np.ndarray:
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset:col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8)
     starts = offsets[rows]
-    idx = starts[:, None] + np.arange(width)[None, :]
-    return data[idx]
+    if width == 0 or not len(rows):
+        return np.zeros((len(rows), width), np.uint8)
+    if (np.diff(starts) == width).all():  # one stretch of the buffer
+        return data[starts[0]:starts[0] + width * len(rows)].reshape(len(rows), width).copy()
+    return np.lib.stride_tricks.sliding_window_view(data, width)[starts]
 
 
 def _list_of_doubles(mat: np.ndarray) -> pa.Array:
@@ -294,68 +298,103 @@ def _pil_decoder(data: bytes):
     return arr.shape[0], arr.shape[1], arr
 
 
-#: First bytes of the compressed formats.
-MAGIC = (b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF8", b"RIFF", b"BM")
+#: First bytes of the compressed formats that need a codec from outside.
+MAGIC = (b"\xff\xd8\xff", b"GIF8", b"RIFF", b"BM")
 
 
 def default_decoder(data: bytes):
-    """The codec follows from the first bytes: a compressed format goes to PIL
-    (whose absence is an error, not a bad cell), anything else is raw RGB."""
+    """One cell; the codec follows from the first bytes: PNG is decoded here,
+    another compressed format by PIL (whose absence is an error, not a bad
+    cell), anything else is raw RGB."""
+    if data.startswith(png.SIGNATURE):
+        found = png.decode([data])[0]
+        if isinstance(found, ValueError):
+            raise found
+        return found.shape[0], found.shape[1], found
     return _pil_decoder(data) if data.startswith(MAGIC) else raw_rgb_decoder(data)
 
 
+def _cell_bytes(cell) -> bytes | None:
+    if cell is None:
+        return None
+    data = cell.get("bytes")
+    if data is None and cell.get("path"):
+        with open(cell["path"], "rb") as fh:
+            data = fh.read()
+    return data
+
+
 def decode_images(df: DataFrame, cell_col: str, keep: tuple[str, ...] = ("img_id",),
-                  decoder=None, prefix: str = "") -> DataFrame:
+                  decoder=None, prefix: str = "", errors: bool = False) -> DataFrame:
     """struct<bytes, path> cells -> (ok, height, width, px CHW BINARY).
 
-    Bytes are tried first, then the path. ``decoder(bytes)`` returns (height,
-    width, HWC uint8) and raises ``ValueError`` for data it cannot decode: such
-    a cell, and one without bytes and path, gives ``ok = false`` and null pixels.
-    Anything else (a missing codec, a failed read, a bug) fails the task. A path
-    is opened as a file, so it must lie on a mount that every executor has.
+    Bytes are tried first, then the path. PNG cells of a batch are decoded
+    together; a JPEG (or any other) codec is a ``decoder(bytes)``, which gets
+    every cell, returns (height, width, HWC uint8) and raises ``ValueError`` for
+    data it cannot decode: such a cell, and one without bytes and path, gives
+    ``ok = false`` and null pixels, and with ``errors`` the reason in a column
+    ``error``. Anything else (a missing codec, a failed read, a bug) fails the
+    task. A path is opened as a file, so it must lie on a mount that every
+    executor has.
     """
-    dec = decoder or default_decoder
     keep = tuple(keep)
     sel = df.select(*keep, F.col(cell_col).alias("_cell"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in sel.schema.fields if f.name in keep)
     p = prefix
     schema = (f"{fields + ', ' if fields else ''}`{p}ok` boolean, `{p}height` int, "
-              f"`{p}width` int, `{p}px` binary")
-
-    def one(cell):
-        if cell is None:
-            return None
-        data = cell.get("bytes")
-        if data is None and cell.get("path"):
-            with open(cell["path"], "rb") as fh:
-                data = fh.read()
-        if data is None:
-            return None
-        h, w, hwc = dec(bytes(data))
-        return h, w, np.ascontiguousarray(hwc.transpose(2, 0, 1)).tobytes()
+              f"`{p}width` int, `{p}px` binary") + (f", `{p}error` string" if errors else "")
+
+    def decoded(cells: list[bytes | None]) -> list:
+        """(height, width, pixels) or the error of each cell."""
+        out: list = [ValueError("no bytes and no path") if c is None else None for c in cells]
+        pngs = [i for i, c in enumerate(cells) if decoder is None and c is not None and c.startswith(png.SIGNATURE)]
+        for i, found in zip(pngs, png.decode([cells[i] for i in pngs])):
+            out[i] = found if isinstance(found, ValueError) else (*found.shape[:2], found)
+        for i, c in enumerate(cells):
+            if out[i] is None:
+                try:
+                    out[i] = (decoder or default_decoder)(c)
+                except ValueError as e:  # undecodable cell: reported, not fatal
+                    out[i] = e
+        return out
 
     def run(batches):
         for b in bounded(batches):
-            oks, hs, ws, pxs = [], [], [], []
-            for cell in b.column("_cell").to_pylist():
-                try:
-                    r = one(cell)
-                except ValueError:  # undecodable cell: reported, not fatal
-                    r = None
-                oks.append(r is not None)
-                hs.append(None if r is None else r[0])
-                ws.append(None if r is None else r[1])
-                pxs.append(None if r is None else r[2])
-            cols = [b.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(oks, pa.bool_()), pa.array(hs, pa.int32()),
-                        pa.array(ws, pa.int32()), pa.array(pxs, pa.binary())],
-                names=list(keep) + [f"{p}ok", f"{p}height", f"{p}width", f"{p}px"])
+            rows = decoded([_cell_bytes(c) for c in b.column("_cell").to_pylist()])
+            good = [None if isinstance(r, ValueError) else r for r in rows]
+            cols = [b.column(k) for k in keep] + [
+                pa.array([r is not None for r in good], pa.bool_()),
+                pa.array([None if r is None else r[0] for r in good], pa.int32()),
+                pa.array([None if r is None else r[1] for r in good], pa.int32()),
+                pa.array([None if r is None else np.ascontiguousarray(r[2].transpose(2, 0, 1)).tobytes() for r in good],
+                         pa.binary())]
+            names = [*keep, f"{p}ok", f"{p}height", f"{p}width", f"{p}px"]
+            if errors:
+                cols.append(pa.array([str(r) if isinstance(r, ValueError) else None for r in rows], pa.string()))
+                names.append(f"{p}error")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return sel.mapInArrow(run, schema)
 
 
+def png_cells(df: DataFrame, px_col: str = "px", height_col: str = "height", width_col: str = "width",
+              keep: tuple[str, ...] = ("img_id",), kinds: tuple[int, ...] = (png.PAETH,), out_col: str = "image_file") -> DataFrame:
+    """CHW pixels -> ``struct<bytes, path>`` cells holding PNG files (lossless), the
+    form in which corpora store images; row y of an image uses filter ``kinds[y % len(kinds)]``."""
+    sel = df.select(*keep, F.col(px_col).alias("_px"), F.col(height_col).cast("int").alias("_h"), F.col(width_col).cast("int").alias("_w"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sel.schema.fields if f.name in keep)
+
+    def run(batches):
+        for b in bounded(batches):
+            files = [None if px is None else png.encode(np.frombuffer(px, np.uint8).reshape(3, h, w).transpose(1, 2, 0), kinds)
+                     for px, h, w in zip(b.column("_px").to_pylist(), b.column("_h").to_pylist(), b.column("_w").to_pylist())]
+            cell = pa.StructArray.from_arrays([pa.array(files, pa.binary()), pa.nulls(len(files), pa.string())], ["bytes", "path"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], cell], names=[*keep, out_col])
+
+    return sel.mapInArrow(run, f"{fields + ', ' if fields else ''}`{out_col}` struct<bytes:binary,path:string>")
+
+
 # ------------------------------------------------------------------- I2 job
 
 

@@ -1,7 +1,6 @@
 """Packed source and sink, sidecars, size check, stream = batch, skip-if-complete."""
 import os
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,13 +52,6 @@ def test_packed_roundtrip_and_sizes(spark, scratch):
         PK.read_packed_pairs(spark, "s3a://bucket/x").count()
 
 
-def test_vectors_export(scratch):
-    v = np.random.default_rng(0).standard_normal((5, 32, 16)).astype(np.float32)
-    prefix = os.path.join(scratch, "x")
-    PK.write_vectors(prefix, v)
-    np.testing.assert_array_equal(PK.read_vectors(prefix, 32, 16), v)
-
-
 def test_sidecars_pad_and_truncate(spark):
     p = fx.pairs(spark, SF)
     prompts = SC.read_sidecar(SC.sidecar_arrays(p, "instruction"), "instruction")
