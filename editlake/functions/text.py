@@ -110,15 +110,18 @@ def classify_tune(instruction: Column) -> Column:
 
 
 def classify_real(prompt: Column) -> Column:
-    """First rule with a needle contained in the lower-cased prompt, else null."""
-    p = F.lower(prompt)
-    out = None
-    for name, needles in tx.REAL_RULES:
-        cond = p.contains(needles[0])
-        for needle in needles[1:]:
-            cond = cond | p.contains(needle)
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return out
+    """First rule with a needle contained in the lower-cased prompt, else
+    null. The prompt is lower-cased once, not once for every needle."""
+    def first_rule(p: Column) -> Column:
+        out = None
+        for name, needles in tx.REAL_RULES:
+            cond = p.contains(needles[0])
+            for needle in needles[1:]:
+                cond = cond | p.contains(needle)
+            out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
+        return out
+
+    return bind(F.lower(prompt), first_rule)
 
 
 def classify_real_by_rule_table(prompt: Column) -> Column:

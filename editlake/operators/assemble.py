@@ -97,25 +97,111 @@ def mixture_sample(pools: DataFrame, draws: DataFrame | int, seed: int,
     refs are repeated under ``SALTED_KEYS`` keys in total and every draw picks
     one of the copies by its hash; that adds at most ``SALTED_KEYS`` lines a pool.
     """
-    spark = pools.sparkSession
+    sizes = pool_sizes(pools)
+    d = _draw_positions(pools.sparkSession, draws, sizes, seed, synthetic_share)
+    return _meet(d, pools.select("pool_id", "pos", "shard", "row_id", "pool_size"))
+
+
+def _draw_positions(spark: SparkSession, draws: DataFrame | int, sizes: dict[int, int], seed: int, synthetic_share: float) -> DataFrame:
+    """Per draw its type, pool, the pool's size, and a position in the pool."""
     if isinstance(draws, int):
         draws = spark.range(draws).withColumnRenamed("id", "draw_id")
-    sizes = pool_sizes(pools)
     k_real = sum(1 for t in sizes if t >= 0)
     u = lambda k: H.uniform(seed, F.col("draw_id"), k)
     kind = F.when(F.lit(k_real > 0) & (u(0) >= synthetic_share), 1).otherwise(0)
     d = draws.select("draw_id").withColumn("kind", kind).withColumn(
         "idx", F.floor(u(1) * F.when(F.col("kind") == 1, F.lit(k_real))
                        .otherwise(F.lit(len(SYNTH_IDS)))).cast("bigint"))
-    d = (d.join(choice_table(spark, sizes), ["kind", "idx"])
-         .withColumn("pos", F.floor(u(2) * F.col("size")).cast("bigint")))
+    return (d.join(choice_table(spark, sizes), ["kind", "idx"])
+            .withColumn("pos", F.floor(u(2) * F.col("size")).cast("bigint")))
+
+
+def _meet(d: DataFrame, refs: DataFrame) -> DataFrame:
+    """Draws with the rows at their positions; refs of small pools are repeated under salts."""
     copies = lambda size: F.greatest(F.lit(1), F.ceil(F.lit(SALTED_KEYS) / size)).cast("bigint")
     d = d.withColumn("salt", F.pmod(F.xxhash64("draw_id"), copies(F.col("size"))))
-    refs = pools.select("pool_id", "pos", "shard", "row_id", F.explode(
+    refs = refs.select("pool_id", "pos", "shard", "row_id", F.explode(
         F.sequence(F.lit(0).cast("bigint"), copies(F.col("pool_size")) - 1)).alias("salt"))
     return d.join(refs, ["pool_id", "pos", "salt"]).select("draw_id", "type_id", "pool_id", "shard", "row_id")
 
 
+BLOCK_BITS = 1 << 15   # rows of a bitmap (Spark's bitmap aggregate holds 4 KB)
+STRIDE = 1024          # positions of an entry that leads to bitmaps
+
+
+def build_index(prepared: DataFrame, split: str, want_val: int = 30, min_rows: int = tx.MIN_TYPE_SUPPORT) -> DataFrame:
+    """T1/A10 as bitmaps: per pool, shard and block of row ids one bitmap of the
+    pool's rows, their number ``n`` and the rows before them in the pool (``off``).
+
+    Same pools as ``build_pools``, at 4 KB for up to 32,768 rows instead of a
+    line for every row; a row is never shuffled, only its task's partial bitmaps
+    are. ``row_id`` counts within a shard (a position in a file)."""
+    from ..session import cut_lineage
+    rows = split_train_val(prepared, want_val).where(F.col("split") == split).drop("shard_rows")
+    typed = classified(rows).select("shard", "row_id", "type_id")
+    member = typed.select("shard", "row_id", F.explode(F.array(F.lit(IMAGE_POOL).cast("bigint"), F.col("type_id"))).alias("pool_id"))
+    blocks = (member.where(F.col("pool_id").isNotNull())
+              .groupBy("pool_id", F.struct("shard").alias("at"), F.expr(f"row_id div {BLOCK_BITS}").alias("block"))
+              .agg(F.bitmap_construct_agg(F.col("row_id") % BLOCK_BITS).alias("bits")))
+    blocks = cut_lineage(blocks.withColumn("n", F.bitmap_count("bits")))
+    counts = blocks.select("pool_id", "at", "block", "n")  # from here on without the bitmaps
+    before = Window.partitionBy("pool_id").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
+              .withColumn("pool_size", F.sum("n").over(Window.partitionBy("pool_id")).cast("bigint"))
+              .where((F.col("pool_id") == IMAGE_POOL) | (F.col("pool_size") >= min_rows)))
+    return blocks.drop("n").join(counts, ["pool_id", "at", "block"])
+
+
+def rows_at(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows at positions of pools: ``wanted`` (``pool_id, pos``, distinct) ->
+    ``pool_id, pos, shard, row_id, pool_size``.
+
+    A position meets the entry of its stride, which lists the blocks that the
+    stride runs through (one row each at least, so ``STRIDE`` + 1 at most); the
+    positions of a block (its rows at most) then meet its bitmap once, and the
+    k-th set bit is the row."""
+    import numpy as np
+    import pyarrow as pa
+
+    places = index.select("pool_id", "pool_size", F.struct("off", "n", "at", "block").alias("b"), F.explode(
+        F.sequence(F.expr(f"off div {STRIDE}"), F.expr(f"(off + n - 1) div {STRIDE}"))).alias("stride"))
+    strides = places.groupBy("pool_id", "stride").agg(F.collect_list("b").alias("blocks"), F.max("pool_size").alias("pool_size"))
+    met = wanted.withColumn("stride", F.expr(f"pos div {STRIDE}")).join(strides, ["pool_id", "stride"])
+    of = F.element_at(F.filter("blocks", lambda b: (b["off"] <= F.col("pos")) & (F.col("pos") < b["off"] + b["n"])), 1)
+    located = met.select("pool_id", "pool_size", "pos", of.alias("b")).select(
+        "pool_id", "pool_size", "b.at", "b.block", F.struct((F.col("pos") - F.col("b.off")).alias("k"), "pos").alias("p"))
+    asked = located.groupBy("pool_id", "pool_size", "at", "block").agg(F.collect_list("p").alias("p"))
+    both = asked.join(index.select("pool_id", "at", "block", "bits"), ["pool_id", "at", "block"]).select(
+        "pool_id", "pool_size", F.col("at.shard").alias("shard"), "block", "p", "bits")
+
+    def select(batches):
+        for batch in batches:
+            pools, sizes, shards, rows, places = [], [], [], [], []
+            for pool, size, shard, block, asked, bits in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                ones = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+                k = np.array([a["k"] for a in asked], np.int64)
+                rows.append(block * BLOCK_BITS + ones[k])
+                places.append(np.array([a["pos"] for a in asked], np.int64))
+                pools += [pool] * len(k)
+                sizes += [size] * len(k)
+                shards += [shard] * len(k)
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pools, pa.int64()), pa.array(np.concatenate([none, *places])), pa.array(shards, pa.int64()),
+                 pa.array(np.concatenate([none, *rows])), pa.array(sizes, pa.int64())],
+                names=["pool_id", "pos", "shard", "row_id", "pool_size"])
+
+    return both.mapInArrow(select, "pool_id bigint, pos bigint, shard bigint, row_id bigint, pool_size bigint")
+
+
+def mixture_sample_indexed(index: DataFrame, draws: DataFrame | int, seed: int, synthetic_share: float = 0.25) -> DataFrame:
+    """T2 from the bitmap index: the same draws as ``mixture_sample``, but only
+    the rows that are drawn ever become lines, and they alone meet the draws."""
+    sizes = pool_sizes(index)
+    d = _draw_positions(index.sparkSession, draws, sizes, seed, synthetic_share)
+    return _meet(d, rows_at(index, d.select("pool_id", "pos").distinct()))
+
+
 def val_items(pools: DataFrame, val_pairs: int) -> DataFrame:
     """For k in 0..val_pairs-1 and every sampleable type (synthetic first,
     then indexed ids ascending): the row at ``k mod size`` of its pool."""

@@ -513,9 +513,11 @@ def resize_images(df: DataFrame, out_side: int, px_col: str = "px", res_col: str
 
 def register_edits(spark, prefix: str = "edit_") -> list[str]:
     """Each exact edit as a SQL function ``edit_<name>(array<double>, side)``
-    (a vectorised pandas UDF), plus the table function ``synthetic_edits(px,
-    side)`` giving one row per edit. Returns the registered names."""
-    from pyspark.sql.functions import pandas_udf, udtf
+    (a vectorised pandas UDF), plus two table functions that give one row per
+    edit: ``synthetic_edit_rows(TABLE(SELECT id, px, side ...))`` for tables,
+    which takes whole Arrow batches, and ``synthetic_edits(px, side)`` for a
+    lateral join, which is called row by row. Returns the registered names."""
+    from pyspark.sql.functions import arrow_udtf, pandas_udf, udtf
 
     names = []
     for name, fn in EDITS.items():
@@ -544,5 +546,20 @@ def register_edits(spark, prefix: str = "edit_") -> list[str]:
                 yield name, tx.TYPE_ID[name], fn(arr).reshape(-1).tolist()
 
     spark.udtf.register("synthetic_edits", SyntheticEdits)
-    names.append("synthetic_edits")
-    return names
+
+    @arrow_udtf(returnType="id bigint, edit_type string, type_id int, after array<double>")
+    class SyntheticEditRows:
+        def eval(self, batch: pa.RecordBatch):
+            for part in bounded([batch]):
+                ids, px = part.column("id").cast(pa.int64()), part.column("px")
+                sides = np.where(np.asarray(px.is_valid()), part.column("side").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
+                for s in np.unique(sides[sides > 0]).tolist():  # images of one size run stacked
+                    rows = pa.array(np.flatnonzero(sides == s))
+                    stack = px.take(rows).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 3, s, s)
+                    for name, fn in EDITS.items():
+                        yield pa.table({"id": ids.take(rows), "edit_type": pa.array([name] * len(rows)),
+                                        "type_id": pa.array(np.full(len(rows), tx.TYPE_ID[name], np.int32)),
+                                        "after": _list_of_doubles(fn(stack).reshape(len(rows), -1))})
+
+    spark.udtf.register("synthetic_edit_rows", SyntheticEditRows)
+    return [*names, "synthetic_edits", "synthetic_edit_rows"]

@@ -33,8 +33,8 @@ def ordered_position(df: DataFrame, group_cols: Sequence[str], major_cols: Seque
     (``major_cols``, ``row_col``) order.
 
     ``row_col`` must be a non-negative integer, unique within a group and a
-    major key. A null group key is a group of its own (the join back is
-    null-safe, so no row is ever dropped). ``total_name`` adds the group's
+    major key. A null group key is a group of its own, and a null major key
+    comes first (the join back is null-safe, so no row is ever dropped). ``total_name`` adds the group's
     row count. ``keep_block(offsets)`` may drop whole blocks before rows are
     shuffled (columns ``_off`` = rows before the block and ``_n`` = rows in it).
     """
@@ -42,13 +42,15 @@ def ordered_position(df: DataFrame, group_cols: Sequence[str], major_cols: Seque
     # The group is packed into one struct key: a struct is never null and
     # compares null fields as equal, so the plain equi-join below is null-safe
     # while the join and the in-block window still share one partitioning.
+    # The major columns are packed the same way (a null shard is a shard).
     grp = F.struct(*group_cols) if group_cols else F.lit(0)
-    blk = (df.withColumn("_grp", grp)
+    maj = F.struct(*major_cols) if major_cols else F.lit(0)
+    blk = (df.withColumn("_grp", grp).withColumn("_maj", maj)
            .withColumn("_blk", F.expr(f"`{row_col}` div {int(block_rows)}")))
-    seg = ["_grp"] + major_cols + ["_blk"]
+    seg = ["_grp", "_maj", "_blk"]
     counts = blk.groupBy(*seg).agg(F.count(F.lit(1)).alias("_n"),
                                    *[F.first(c).alias(c) for c in group_cols])
-    w_before = Window.partitionBy("_grp").orderBy(*[F.col(c) for c in major_cols + ["_blk"]])
+    w_before = Window.partitionBy("_grp").orderBy("_maj", "_blk")
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w_before.rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)).cast("bigint"))
@@ -61,4 +63,4 @@ def ordered_position(df: DataFrame, group_cols: Sequence[str], major_cols: Seque
     joined = blk.join(offsets, on=seg, how="inner")
     w_in = Window.partitionBy(*seg).orderBy(F.col(row_col))
     out = joined.withColumn(name, (F.col("_off") + F.row_number().over(w_in)).cast("bigint"))
-    return out.drop("_grp", "_blk", "_off")
+    return out.drop("_grp", "_maj", "_blk", "_off")

@@ -258,12 +258,13 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tupl
     got = dict.fromkeys(want, 0)
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decoded-{uuid.uuid4().hex}"
     payload = rows.select(*keys, *cells)
+    key = F.struct("shard", "row_id", "edit_type")  # equal where its fields are, nulls too
     while True:
         window = literal_table(spark, [(t, done[t], limit[t]) for t in want], "edit_type string, _from bigint, _to bigint")
         due = (ranked.join(F.broadcast(window), "edit_type")
                .where((F.col("_cand") > F.col("_from")) & (F.col("_cand") <= F.col("_to")))
                .select("shard", "row_id", "edit_type"))
-        dec = payload.join(due, ["shard", "row_id", "edit_type"], "left_semi")
+        dec = payload.withColumn("_key", key).join(due.select(key.alias("_key")), "_key", "left_semi").drop("_key")
         for i, (cell, pre) in enumerate(zip(cells, prefixes)):
             made = tuple(f"{p}{k}" for p in prefixes[:i] for k in ("height", "width", "px"))
             dec = decode_images(dec, cell, keep=keys + made + cells[i + 1:], decoder=decoder, prefix=pre)
@@ -282,6 +283,6 @@ def quota_rows_decoded(corpus: DataFrame, quota: DataFrame, cell_col: str | tupl
     good = stored.select("shard", "row_id", "edit_type").join(F.broadcast(quota), "edit_type")
     taken = ordered_position(good, ["edit_type", "quota"], ["shard"], "row_id", name="type_pos", block_rows=block_rows,
                              keep_block=lambda o: o["_off"] < o["quota"]).where(F.col("type_pos") <= F.col("quota"))
-    out = stored.join(taken.select("shard", "row_id", "edit_type", "type_pos"), ["shard", "row_id", "edit_type"])
+    out = stored.withColumn("_key", key).join(taken.select(key.alias("_key"), "type_pos"), "_key")
     own = [c for c in stored.columns if c not in keys]
     return out.select(*keep, "type_pos", *own)

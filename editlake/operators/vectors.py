@@ -1,6 +1,6 @@
 """Text vectors and vector checks: E1-E4.
 
-E1 runs as an iterator pandas UDF so the encoder is built once per Python
+E1 runs as an iterator Arrow UDF so the encoder is built once per Python
 worker and fed whole Arrow batches (64 prompts per encoder call by default).
 The encoder is a parameter; the built-in one is a hashed-token encoder that
 needs no weights. E3/E4 are native array expressions.
@@ -9,15 +9,16 @@ needs no weights. E3/E4 are native array expressions.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 SEQ_LEN = 32
 _TOKEN = re.compile(r"\w+|[^\w\s]", re.UNICODE)
@@ -28,10 +29,11 @@ class HashedTokenEncoder:
     vector (seeded by its hash) plus a position signal; output is
     ``(seq_len, dim)`` float32 per text, zero-padded. Texts longer than
     ``seq_len`` tokens are not cut: the last slot holds the mean of every
-    remaining token, so the whole text contributes."""
+    remaining token, so the whole text contributes. ``cut=True`` drops what is
+    beyond ``seq_len`` tokens instead, as fixed-length encoders do."""
 
-    def __init__(self, dim: int = 64, seq_len: int = SEQ_LEN):
-        self.dim, self.seq_len = dim, seq_len
+    def __init__(self, dim: int = 64, seq_len: int = SEQ_LEN, cut: bool = False):
+        self.dim, self.seq_len, self.cut = dim, seq_len, cut
         pos = np.arange(seq_len)[:, None] / np.power(10000.0, np.arange(dim)[None, :] / dim)
         self.position = (0.1 * np.where(np.arange(dim) % 2 == 0, np.sin(pos), np.cos(pos))).astype(np.float32)
 
@@ -47,6 +49,9 @@ class HashedTokenEncoder:
         n, head_len = len(texts), self.seq_len - 1
         out = np.zeros((n, self.seq_len, self.dim), dtype=np.float32)
         toks = [_TOKEN.findall((t or "").lower()) for t in texts]
+        if self.cut:
+            toks = [ts[:self.seq_len] for ts in toks]
+            head_len = self.seq_len
         vocab = {}
         for ts in toks:
             for tok in ts:
@@ -71,42 +76,118 @@ class HashedTokenEncoder:
 
 
 def embed_text(df: DataFrame, text_col: str, out_col: str = "vectors", *, dim: int = 64,
-               seq_len: int = SEQ_LEN, batch_size: int = 64, encoder_factory=None) -> DataFrame:
+               seq_len: int = SEQ_LEN, batch_size: int = 64, cut: bool = False, encoder_factory=None) -> DataFrame:
     """Batch-encode a text column into ``array<array<float>>`` (seq_len x dim).
 
+    Longer texts end in the mean of their remaining tokens, or are cut off
+    after ``seq_len`` tokens with ``cut`` (built-in encoder).
+
     ``encoder_factory()`` must return an object with ``encode(list[str]) ->
     ndarray[n, seq_len, dim]``; it is called once per Python worker process.
     """
-    factory = encoder_factory or (lambda: HashedTokenEncoder(dim, seq_len))
+    factory = encoder_factory or (lambda: HashedTokenEncoder(dim, seq_len, cut))
 
-    @pandas_udf("array<array<float>>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<array<float>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = factory()
-        for s in batches:
-            texts = s.tolist()
+        for batch in batches:
+            texts = batch.to_pylist()
             parts = [enc.encode(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
             arr = np.concatenate(parts) if parts else np.zeros((0, seq_len, dim), np.float32)
-            yield pd.Series([list(m) for m in arr])
+            n, slots, width = arr.shape
+            steps = lambda count, size: np.arange(0, count * size + 1, max(size, 1), dtype=np.int32)[:count + 1]
+            rows = pa.ListArray.from_arrays(steps(n * slots, width), pa.array(np.ascontiguousarray(arr, np.float32).reshape(-1)))
+            yield pa.ListArray.from_arrays(steps(n, slots), rows)
 
     return df.withColumn(out_col, encode(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def refresh_embeddings(prompts: DataFrame, meta_n: int, out_path: str, *, key=("shard", "row_id"),
-                       text_col: str = "instruction", **kw) -> DataFrame:
-    """Recompute only the vector table of a stored corpus.
+CURRENT = "CURRENT"
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Folder of the published version under ``root``; none yet: null."""
+    from ..sources.corpus import path_exists
+    pointer = f"{root.rstrip('/')}/{CURRENT}"
+    if not path_exists(spark, pointer):
+        return None
+    return f"{root.rstrip('/')}/{spark.read.option('wholetext', 'true').text(pointer).first()[0]}"
+
+
+def read_version(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The published vectors and the meta records that belong to them."""
+    version = current_version(spark, root)
+    if version is None:
+        raise ValueError(f"no version is published under {root}")
+    return spark.read.parquet(f"{version}/vectors"), spark.read.parquet(f"{version}/meta")
+
+
+def _point_to(spark: SparkSession, root: str, name: str) -> None:
+    """Replace the pointer by one rename over the old one (atomic on HDFS and on mounts)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    pointer, staged = path(f"{root.rstrip('/')}/{CURRENT}"), path(f"{root.rstrip('/')}/.{CURRENT}-{uuid.uuid4().hex}")
+    out = staged.getFileSystem(conf).create(staged)
+    out.write(bytearray(name.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf)
+    context.rename(context.makeQualified(staged), context.makeQualified(pointer), over)
 
-    Refuses (raises) when the prompt count differs from the corpus's ``n``;
-    images are never touched. The vector table is keyed by ``key`` and is the
-    only thing overwritten (dynamic partition overwrite by shard).
+
+def refresh_version(prompts: DataFrame, meta: DataFrame, root: str, *, key=("shard", "row_id"), text_col: str = "instruction",
+                    dim: int = 64, seq_len: int = SEQ_LEN, encoder: str = "hashed-token", keep_old: bool = False, **kw) -> DataFrame:
+    """Recompute the vectors of a stored corpus and publish them together
+    with the updated meta records; images are never touched.
+
+    Vectors and meta go into a folder of their own; readers see them when the
+    pointer file under ``root`` is replaced, the last step. A run that fails
+    before it leaves the old version as it is. Refuses when the prompts of a
+    shard are not as many as its meta record says. The version before the last
+    one is kept for readers that still hold it; with ``keep_old`` all are.
     """
+    spark = prompts.sparkSession
+    have = prompts.groupBy(key[0]).agg(F.count(F.lit(1)).alias("_have"))
+    said = meta.select(F.struct(key[0]).alias("_k"), "n")
+    odd = (have.select(F.struct(key[0]).alias("_k"), "_have").join(said, "_k", "full")
+           .where(~F.col("_have").eqNullSafe(F.col("n"))))
+    wrong = odd.limit(3).collect()
+    if wrong:
+        raise ValueError("refusing to re-embed: " + "; ".join(f"shard {r._k[0]} has {r._have} prompts, its meta says {r.n}" for r in wrong))
+    before = current_version(spark, root)
+    name = f"v-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}"
+    # narrow rows are dealt by key range first: few files a shard, and a large shard is many tasks
+    dealt = prompts.select(*key, text_col).repartitionByRange(*key)
+    (embed_text(dealt, text_col, dim=dim, seq_len=seq_len, **kw).drop(text_col)
+     .write.partitionBy(key[0]).parquet(f"{folder}/vectors"))
+    refresh_meta(meta, dim, seq_len, encoder).write.parquet(f"{folder}/meta")
+    _point_to(spark, root, name)
+    if not keep_old:
+        _drop_versions(spark, root, {name, before.rsplit("/", 1)[1] if before else name})
+    return read_version(spark, root)[0]
+
+
+def _drop_versions(spark: SparkSession, root: str, keep: set[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in files.listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name not in keep:
+            files.delete(f.getPath(), True)
+
+
+def refresh_embeddings(prompts: DataFrame, meta_n: int, out_path: str, *, key=("shard", "row_id"),
+                       text_col: str = "instruction", **kw) -> DataFrame:
+    """E2 without meta records: as ``refresh_version``, for a corpus of ``meta_n`` rows in all."""
     n = prompts.count()
     if n != meta_n:
         raise ValueError(f"{n} prompts but the corpus says n={meta_n}; refusing to re-embed")
-    vec = embed_text(prompts.select(*key, text_col), text_col, **kw).drop(text_col)
-    spark = prompts.sparkSession
-    (vec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(key[0]).parquet(out_path))
-    return spark.read.parquet(out_path)
+    per_shard = prompts.groupBy(key[0]).agg(F.count(F.lit(1)).alias("n"))
+    meta = per_shard.select(key[0], "n", F.to_json(F.struct("n")).alias("meta_json"))
+    return refresh_version(prompts, meta, out_path, key=key, text_col=text_col, **kw)
 
 
 def refresh_meta(meta: DataFrame, dim: int, seq_len: int, encoder: str) -> DataFrame:

@@ -232,15 +232,27 @@ def q_type_counts_total(spark, sf_dir):
     return P.type_counts_total(p)
 
 
-@register("object_histogram", W(PAIRS) + f"""
+_OBJECT_HISTOGRAM = (W(PAIRS) + f"""
 select head, n, n >= {tx.OWN_TYPE_THRESHOLD} as own_type from
  (select head, count(*)::BIGINT as n from (select {D.add_object('instruction')} as head from pairs where edit_type = 'add')
   where head is not null group by head) order by n desc, head asc limit 80""")
+
+
+@register("object_histogram", _OBJECT_HISTOGRAM)
 def q_object_histogram(spark, sf_dir):
     """A4: top 80 add-object heads with the own-type flag."""
     return P.object_histogram(_pairs(spark, sf_dir))
 
 
+@register("object_histogram_sketched", _OBJECT_HISTOGRAM)
+def q_object_histogram_sketched(spark, sf_dir):
+    """A4 from one frequent-items sketch per shard and an exact recount of the heads they name."""
+    from ..operators import sketches as SK
+    heads = _pairs(spark, sf_dir).where(F.col("edit_type") == "add").select("shard", T.add_object(F.col("instruction")).alias("head"))
+    top = SK.top_heads(heads, "head", 80)
+    return top.select("head", "n", (F.col("n") >= tx.OWN_TYPE_THRESHOLD).alias("own_type"))
+
+
 @register("threshold_winners", W(PAIRS) + f"""
 , heads as (select head, count(*)::BIGINT as n from (select {D.add_object('instruction')} as head from pairs where edit_type = 'add')
   where head is not null group by head)
@@ -301,7 +313,7 @@ def q_unmatched_words_documents(spark, sf_dir):
     return P.unmatched_words(fx.documents(spark, sf_dir), prompt_col="text")
 
 
-@register("head_hist_per_type", W(PAIRS) + f"""
+_HEAD_HIST = (W(PAIRS) + f"""
 select edit_type, head, n, rank from (select edit_type, head, n,
  row_number() over (partition by edit_type order by n desc, head asc)::BIGINT as rank from
  (select edit_type, head, count(*)::BIGINT as n from
@@ -309,11 +321,24 @@ select edit_type, head, n, rank from (select edit_type, head, n,
     ELSE {D.head_v1('instruction', tx.HEAD_V1_TUNE_PATTERN)} END as head
    from pairs where edit_type in ('add', 'tune_transfer')) where head is not null group by 1, 2))
 where rank <= 60""")
+
+
+@register("head_hist_per_type", _HEAD_HIST)
 def q_head_hist_per_type(spark, sf_dir):
     """Top 60 earlier-pattern heads per type."""
     return P.head_hist_per_type(_pairs(spark, sf_dir))
 
 
+@register("head_hist_per_type_sketched", _HEAD_HIST)
+def q_head_hist_per_type_sketched(spark, sf_dir):
+    """A8 from one frequent-items sketch per shard and type and an exact recount."""
+    from ..operators import sketches as SK
+    p = _pairs(spark, sf_dir).where(F.col("edit_type").isin("add", "tune_transfer"))
+    head = F.when(F.col("edit_type") == "add", T.head_noun_v1(F.col("instruction"), "add")).otherwise(
+        T.head_noun_v1(F.col("instruction"), "tune_transfer"))
+    return SK.top_heads(p.select("shard", "edit_type", head.alias("head")), "head", 60, groups=["edit_type"])
+
+
 @register("sample_rows", W(PAIRS) + f"""
 select row_id, caption from pairs where ({D.classify_real_case('caption')}) is null order by row_id limit 40""")
 def q_sample_rows(spark, sf_dir):
@@ -483,6 +508,24 @@ def q_slice_overlap(spark, sf_dir):
     return S.slice_overlap(_slice(spark, sf_dir, PLAN_A), _slice(spark, sf_dir, PLAN_B))
 
 
+@register("slice_overlap_sketched", _TWO_SLICES + """
+, a as (select distinct instruction from sa), b as (select distinct instruction from sb), s as (select * from a intersect select * from b)
+select 'a' as slice_a, 'b' as slice_b, (select count(*) from a)::BIGINT as distinct_a, (select count(*) from b)::BIGINT as distinct_b,
+ (select count(*) from s)::BIGINT as shared, round((select count(*) from s) / least((select count(*) from a), (select count(*) from b)), 6) as share_of_smaller,
+ 0.0::DOUBLE as shared_error, (select count(*) from s)::BIGINT as exact_shared""")
+def q_slice_overlap_sketched(spark, sf_dir):
+    """U2 from stored theta sketches of two slices, beside the exact count
+    (below 2^14 distinct values a sketch is exact)."""
+    from ..operators import sketches as SK
+    from .catalog_more import _scratch
+    slices = {"a": _slice(spark, sf_dir, PLAN_A), "b": _slice(spark, sf_dir, PLAN_B)}
+    folder = _scratch(spark, "sketches")
+    for name, df in slices.items():  # each slice's sketch is stored when the slice is made
+        SK.store_sketches(SK.slice_sketches({name: df}), folder)
+    exact = S.slice_overlap(slices["a"], slices["b"]).select(F.col("shared").alias("exact_shared"), F.lit("a").alias("slice_a"))
+    return SK.sketch_overlap(SK.stored_sketches(spark, folder), [("a", "b")]).join(exact, "slice_a")
+
+
 @register("slice_except", _TWO_SLICES + """
 select row_id, edit_type, instruction from sb except all select row_id, edit_type, instruction from sa""")
 def q_slice_except(spark, sf_dir):

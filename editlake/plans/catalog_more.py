@@ -231,6 +231,23 @@ def q_decode_images(spark, sf_dir):
                       F.when(F.col("ok"), _binary_digest(F.col("px"))).alias("s1"))
 
 
+@register("decode_png", W(IMAGES) + f"""
+select img_id, img_id % 97 <> 0 as ok, case when img_id % 97 <> 0 then {SIDE} end::BIGINT as height,
+ case when img_id % 97 <> 0 then {SIDE} end::BIGINT as width,
+ case when img_id % 97 <> 0 then md5(unhex(array_to_string(list_transform(px, lambda x: printf('%02x', x)), ''))) end as px_md5,
+ case when img_id % 97 = 0 then 'PNG cut short' end as error from images""")
+def q_decode_png(spark, sf_dir):
+    """Compressed cells (PNG files that use all five row filters) decoded to
+    CHW; files cut short are flagged with the reason."""
+    img = _images_binary(spark, sf_dir).select("img_id", "px", F.col("res").alias("height"), F.col("res").alias("width"))
+    cells = IM.png_cells(img, kinds=(4, 3, 2, 1, 0))
+    short = F.struct(F.expr("substring(image_file.bytes, 1, octet_length(image_file.bytes) - 20)").alias("bytes"),
+                     F.lit(None).cast("string").alias("path"))
+    cells = cells.withColumn("image_file", F.when(F.col("img_id") % 97 == 0, short).otherwise(F.col("image_file")))
+    dec = IM.decode_images(cells, "image_file", errors=True)
+    return dec.select("img_id", "ok", F.col("height").cast("bigint"), F.col("width").cast("bigint"), F.md5("px").alias("px_md5"), "error")
+
+
 def _resize_sql(n_in: int, n_out: int) -> str:
     """Two Lanczos passes (a = 3, rounded and clipped after each) over ``pxc``."""
     scale = n_in / n_out
@@ -267,8 +284,8 @@ def q_register_edits(spark, sf_dir):
                         for n in tx.SYNTHETIC_TYPES])
     by_function = img.select(F.lit("function").alias("form"), "img_id", F.inline(stacked))
     img.createOrReplaceTempView("edit_inputs")
-    by_table = spark.sql(f"select 'table' as form, i.img_id, e.edit_type, e.after from edit_inputs i, "
-                         f"lateral synthetic_edits(i.x, {SIDE}) e")
+    by_table = spark.sql("select 'table' as form, id as img_id, edit_type, after from "
+                         f"synthetic_edit_rows(table(select img_id as id, x as px, {SIDE} as side from edit_inputs))")
     q = F.transform("after", lambda r: F.round(r * 1e6).cast("bigint"))
     zero = F.lit(0).cast("bigint")
     return by_function.unionByName(by_table).withColumn("q", q).select(
@@ -362,6 +379,27 @@ def q_mixture_sample(spark, sf_dir):
     return _draws(spark, sf_dir)[0]
 
 
+def _train_index(spark, sf_dir):
+    from ..session import cut_lineage
+    return cut_lineage(AS.build_index(_prepared(spark, sf_dir), "train", 30))
+
+
+@register("mixture_sample_indexed", W(PAIRS, _pools_sql("train"), _draws_sql(SEED)) + "select * from draws")
+def q_mixture_sample_indexed(spark, sf_dir):
+    """T2 from the bitmap index of types: the same draws, without a pool table."""
+    index = _train_index(spark, sf_dir)
+    n = AS.pool_sizes(index)[AS.IMAGE_POOL]
+    return AS.mixture_sample_indexed(index, n, SEED, SHARE)
+
+
+@register("type_bitmaps", W(PAIRS, _pools_sql("train")) + f"""
+select pool_id, shard, row_id // {AS.BLOCK_BITS} as block, count(*)::BIGINT as n, min(pos)::BIGINT as off, max(pool_size)::BIGINT as pool_size
+from pools group by 1, 2, 3""")
+def q_type_bitmaps(spark, sf_dir):
+    """A10 as bitmaps: rows of each pool, shard and block, and the rows before them."""
+    return _train_index(spark, sf_dir).select("pool_id", "at.shard", "block", F.bitmap_count("bits").alias("n"), "off", "pool_size")
+
+
 @register("val_items", W(PAIRS, _pools_sql("val")) + """
 select k.k::BIGINT as k, c.slot, c.type_id, c.pool_id, p.shard, p.row_id from choices c, range(0, 4) k(k)
 join pools p on p.pool_id = c.pool_id and p.pos = k.k % c.size""")
@@ -486,23 +524,45 @@ def q_vector_health(spark, sf_dir):
     return V.vector_health(fx.table(spark, sf_dir, "embeddings"))
 
 
-@register("embed_text")
+_TOKENS = "len(regexp_extract_all(lower(coalesce(instruction, '')), '\\w+|[^\\w\\s]'))"
+_ALIKE = "count(*) over (partition by lower(instruction))::BIGINT as alike"
+
+
+def _vector_facts(df, *keep):
+    """Per row: shape, slots that hold something, and rows with equal vectors."""
+    filled = F.size(F.filter("vectors", lambda v: F.exists(v, lambda x: x != 0)))
+    facts = df.select(*keep, F.size("vectors").cast("bigint").alias("seq_len"), F.size(F.element_at("vectors", 1)).cast("bigint").alias("dim"),
+                      filled.cast("bigint").alias("filled"), F.xxhash64("vectors").alias("_h"))
+    return facts.join(facts.groupBy("_h").agg(F.count(F.lit(1)).alias("alike")), "_h").drop("_h")
+
+
+@register("embed_text", W(PAIRS) + f"select row_id, 32::BIGINT as seq_len, 64::BIGINT as dim, least({_TOKENS}, 32)::BIGINT as filled, {_ALIKE} from pairs")
 def q_embed_text(spark, sf_dir):
-    """Every instruction encoded (32 x 64 per row; whole text, no cut)."""
+    """Every instruction encoded (32 x 64 per row): one slot a token, equal
+    vectors for equal texts and for no others."""
     p = fx.pairs(spark, sf_dir).select("row_id", "instruction")
-    v = V.embed_text(p, "instruction")
-    return v.select("row_id", F.size("vectors").cast("bigint").alias("seq_len"),
-                    F.size(F.element_at("vectors", 1)).cast("bigint").alias("dim"))
+    return _vector_facts(V.embed_text(p, "instruction"), "row_id")
 
 
-@register("refresh_embeddings")
+@register("refresh_embeddings", W(PAIRS) + f"""
+, meta as (select shard, count(*) as n from pairs group by 1)
+select p.shard, row_id, 32::BIGINT as seq_len, 64::BIGINT as dim, least({_TOKENS}, 32)::BIGINT as filled, {_ALIKE}, m.n::BIGINT as meta_n,
+ 64::BIGINT as meta_dim, 32::BIGINT as meta_seq_len, 'second' as meta_encoder, 'orders' as meta_source
+from pairs p join meta m on m.shard = p.shard""")
 def q_refresh_embeddings(spark, sf_dir):
-    """Re-embed the prompts of the corpus into their own vector table."""
+    """Prompts re-embedded twice; the second version of vectors and meta
+    records replaces the first in one step."""
     p = fx.pairs(spark, sf_dir).select("shard", "row_id", "instruction")
-    meta = SC.write_meta(fx.pairs(spark, sf_dir), 30, 8, "orders")  # the corpus's own record, not a count of its prompts
-    n = meta.agg(F.sum("n")).first()[0]
-    out = V.refresh_embeddings(p, n, _scratch(spark, "vectors"))
-    return out.select("shard", "row_id", F.size("vectors").cast("bigint").alias("seq_len"))
+    meta = SC.write_meta(fx.pairs(spark, sf_dir), 30, 8, "orders")
+    root = _scratch(spark, "vectors")
+    V.refresh_version(p, meta, root, dim=8, encoder="first")
+    V.refresh_version(p, meta, root, encoder="second")
+    vectors, records = V.read_version(spark, root)
+    m = F.from_json("meta_json", "n bigint, source string, text_dim bigint, seq_len bigint, encoder string")
+    records = records.select(F.col("shard"), m.alias("m")).select(
+        "shard", F.col("m.n").alias("meta_n"), F.col("m.text_dim").alias("meta_dim"), F.col("m.seq_len").alias("meta_seq_len"),
+        F.col("m.encoder").alias("meta_encoder"), F.col("m.source").alias("meta_source"))
+    return _vector_facts(vectors.withColumn("shard", F.col("shard").cast("bigint")), "shard", "row_id").join(records, "shard")
 
 
 # ----------------------------------------------------------- validators (2.11)
@@ -785,24 +845,60 @@ def q_skip_if_complete(spark, sf_dir):
     return SC.run_unless_complete(spark, target, have, again)
 
 
-@register("read_vectors")
+def _with_vectors(spark, sf_dir):
+    """Packed pairs with the vector of embedding ``row_id mod n`` as 8 x 8 text vectors beside them."""
+    from ..sources import packed as PK
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    ci = corpus_images(spark, sf_dir).where(F.col("decodable")).withColumn("vec_id", F.col("row_id") % n)
+    rows = ci.join(e, "vec_id").select("row_id", F.col("px").alias("before"), F.col("after_px").alias("after"), "res", "instruction", "edit_type",
+                                       cut.alias("vectors"))
+    path = _scratch(spark, "packed")
+    PK.write_packed_pairs(rows, path, shards=4, want_val=30, source="orders")
+    return path
+
+
+_WITH_VECTORS = (", v as (select vec_id, embedding as e, (select count(*) from embeddings) as n from embeddings), "
+                 "facts as (select p.instruction, p.edit_type, v.e[1]::DOUBLE as first, v.e[37]::DOUBLE as middle, v.e[64]::DOUBLE as last "
+                 "from packed p join v on v.vec_id = p.row_id % v.n) ")
+
+
+@register("read_vectors", _PACKED + _WITH_VECTORS + """
+select 8::BIGINT as seq_len, 8::BIGINT as dim, first, middle, last from facts""")
 def q_read_vectors(spark, sf_dir):
-    """Prompt vectors stored as Parquet array<array<float>> and read back."""
-    path = _scratch(spark, "vectors")
-    p = fx.pairs(spark, sf_dir).select("shard", "row_id", "instruction")
-    V.embed_text(p, "instruction").drop("instruction").write.partitionBy("shard").parquet(path)
-    back = spark.read.parquet(path)
-    return back.select("shard", "row_id", F.size("vectors").cast("bigint").alias("seq_len"),
-                       F.round(V.norm(F.flatten("vectors")), 3).alias("norm"))
+    """The text vectors beside packed pairs, read range by range without the pixels."""
+    from ..sources import packed as PK
+    back = PK.read_vectors(spark, _with_vectors(spark, sf_dir), records_per_partition=512)
+    return back.select(F.size("vectors").cast("bigint").alias("seq_len"), F.size(F.element_at("vectors", 1)).cast("bigint").alias("dim"),
+                       *_three_values())
+
+
+def _three_values():
+    at = lambda i, j, name: F.element_at(F.element_at("vectors", i), j).cast("double").alias(name)
+    return at(1, 1, "first"), at(5, 5, "middle"), at(8, 8, "last")
+
+
+@register("read_packed_typed", _PACKED + _WITH_VECTORS + """
+select instruction, edit_type, first, middle, last from facts where edit_type in ('add', 'replace')""")
+def q_read_packed_typed(spark, sf_dir):
+    """S4 + S10: packed pairs of some edit types with their vectors; where the
+    session hands filters down, ranges without these types are not planned."""
+    from ..sources import packed as PK
+    back = PK.read_packed_pairs(spark, _with_vectors(spark, sf_dir), records_per_partition=512, vectors=True)
+    return back.where(F.col("edit_type").isin("add", "replace")).select("instruction", "edit_type", *_three_values())
 
 
-@register("positional_join", W(PAIRS, IMAGES) + """
+_POSITIONAL = (W(PAIRS, IMAGES) + """
 , pr as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, instruction from pairs)
 , ty as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, edit_type_nullable as edit_type
   from pairs)
 , im as (select img_id // 100 as shard, (row_number() over (partition by img_id // 100 order by img_id) - 1)::BIGINT as pos, img_id from images)
 select im.shard::BIGINT as shard, im.pos, im.img_id, pr.instruction, coalesce(ty.edit_type, '') as edit_type
 from im join pr on pr.shard = im.shard and pr.pos = im.pos left join ty on ty.shard = im.shard and ty.pos = im.pos""")
+
+
+@register("positional_join", _POSITIONAL)
 def q_positional_join(spark, sf_dir):
     """Images, prompts and types of each shard joined by position."""
     from ..operators.ordering import ordered_position
@@ -816,6 +912,25 @@ def q_positional_join(spark, sf_dir):
                     F.coalesce("edit_type", F.lit("")).alias("edit_type"))
 
 
+@register("positional_join_bucketed", _POSITIONAL)
+def q_positional_join_bucketed(spark, sf_dir):
+    """J1 repeated: the three tables bucketed once by (shard, position); their join has no exchange."""
+    from ..operators.ordering import ordered_position
+    from ..sources import bucketed as BK
+    p = fx.pairs(spark, sf_dir)
+    place = lambda df, order, *cols: ordered_position(df, ["shard"], [], order, name="pos").select(
+        "shard", (F.col("pos") - 1).alias("pos"), *cols)
+    img = _images(spark, sf_dir).select("img_id", (F.col("img_id") / 100).cast("bigint").alias("shard"))
+    tables = {"images": place(img, "img_id", "img_id"), "prompts": place(p, "row_id", "instruction"),
+              "types": place(p, "row_id", F.col("edit_type_nullable").alias("edit_type"))}
+    read = {}
+    for name, df in tables.items():
+        folder = _scratch(spark, f"bucketed-{name}")
+        BK.write_bucketed(df, folder, 8)
+        read[name] = BK.read_bucketed(spark, folder, 8)
+    return BK.join_by_position(**read).select("shard", "pos", "img_id", "instruction", "edit_type")
+
+
 # ------------------------------------------------------------ streaming (2.12)
 
 @register("stream_ingest", _SLICE_A + "select row_id, shard, edit_type from sa")
@@ -833,6 +948,23 @@ def q_stream_ingest(spark, sf_dir):
     return out.select("row_id", "shard", "edit_type")
 
 
+@register("stream_ingest_stateful", _SLICE_A + "select row_id, shard, edit_type from sa")
+def q_stream_ingest_stateful(spark, sf_dir):
+    """G1 with keyed state: planned shards arrive in two runs of the stream; the
+    second goes on with the quotas left in the state store."""
+    from ..streaming.quota_state import stateful_ingest
+    from .catalog import _plan
+    base = _scratch(spark, "stream")
+    p = fx.pairs(spark, sf_dir)
+    shards = _as_files(spark, SH.taken_shards(_plan(spark, sf_dir, PLAN_A)), "plan")
+    middle = shards.agg(F.percentile_approx("shard", 0.5)).first()[0] or 0
+    for first in (True, False):
+        part = p.where((F.col("shard") <= middle) == first)
+        part.coalesce(4).write.mode("append").parquet(f"{base}/in")
+        out = stateful_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", PLAN_A[0], p.schema, files_per_trigger=8, shards=shards)
+    return out.select("row_id", "shard", "edit_type")
+
+
 @register("quota_rows_decoded", W(PAIRS, IMAGES) + """
 select row_id, shard, edit_type, type_pos from (select p.row_id, p.shard, p.edit_type,
  row_number() over (partition by p.edit_type order by p.shard, p.row_id)::BIGINT as type_pos

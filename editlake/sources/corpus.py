@@ -7,6 +7,7 @@ column pruning and file metadata, JSON sidecars parsed with ``from_json`` +
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ CORPUS_COLUMNS = ["edit_type", "edit_instruction", "image_file", "edited_file"]
 _SHARD_RE = r"(\d+)-of-\d+"
 
 
-def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool = False) -> DataFrame:
+def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool = False, shard_of: str = "number") -> DataFrame:
     """S1 (+ S12): read only type, instruction and the two image columns of
     a Parquet corpus, with the shard number from the file name and a stable
     ``row_id``: the row's position in its file (``_metadata.row_index``), so
@@ -27,15 +28,27 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
     and ``skipped_files`` tells which files gave no rows. A file whose name
     carries no shard number (Spark's own part files) is a shard of its own: its
     number is negative and a hash of its path, so no row has a null ``shard``.
+
+    Files with equal numbers (``add/00000-of-00010``, ``replace/00000-of-00010``)
+    would share row keys, so they are refused; ``shard_of="path"`` keys every
+    file by a hash of its path instead.
     """
+    if shard_of not in ("number", "path"):
+        raise ValueError(f"shard_of is number or path, not {shard_of}")
     reader = spark.read
     if tolerant:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     df = reader.parquet(*([path] if isinstance(path, str) else path))
     shard = F.regexp_extract(F.col("_metadata.file_path"), _SHARD_RE, 1)
     own = F.xxhash64(F.col("_metadata.file_path")).bitwiseOR(F.lit(-(1 << 63)))
+    if shard_of == "number":
+        seen: dict[int, str] = {}
+        for name in df.inputFiles():  # the planner's own list of files
+            if found := re.search(_SHARD_RE, name):
+                if (first := seen.setdefault(int(found[1]), name)) != name:
+                    raise ValueError(f"two files are shard {int(found[1])}: {first} and {name}; pass shard_of='path'")
     return df.select(*CORPUS_COLUMNS,
-                     F.when(shard != "", shard.cast("bigint")).otherwise(own).alias("shard"),
+                     F.when((shard != "") & F.lit(shard_of == "number"), shard.cast("bigint")).otherwise(own).alias("shard"),
                      F.col("_metadata.row_index").cast("bigint").alias("row_id"),
                      F.col("_metadata.file_name").alias("file_name"))
 
