@@ -33,19 +33,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices
+from .word_lookup import SIGNS, Words, spelled, spread_out, with_whole
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512         # bits between stored rank counts
 CACHED = 300_000    # words kept per worker, and as many of the generation before
-LONG_WORD = 128
-#: Latin letters whose lower case is one letter, up to LONG_WORD of them.
-PARTS = re.compile(rf"(?m)^(?:((?:[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]){{1,{LONG_WORD}}})"
-                   r"([.,]*)|([^\n]+))$").findall
-ODD = "\x1c\x1d\x1e\x1f"  # split by str.split() but not white space to the tokenizer
+SLICE = 8 << 20     # bytes of texts encoded together (one text at least)
+#: Latin letters whose lower case is one letter, and signs after them (RE2).
+PARTS = r"^(?P<core>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>" + SIGNS + ")$"
+#: Texts with these are encoded whole: the mark below, and what is white space to Python but not to the tokenizer.
+ODD = "[\x01\x1c-\x1f]"
+LAST = "\x01"  # stands for the end of a text
+BLANKS = "[\t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 FILE_SCHEMA = ("partition int, shard int, doc_ids array<bigint>, ends array<bigint>, width int, n bigint, "
                "zeros array<bigint>, planes array<binary>, ranks array<binary>")
@@ -151,8 +155,23 @@ class Shard:
             i = self._select_bit(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def _places(self, level: int, bit: int) -> np.ndarray:
+        """Positions of all bits of one value on a level, in order."""
+        bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+        return np.flatnonzero(bits if bit else bits ^ 1)
+
     def find(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All positions of ``token``: its range below the last level, mapped up level by level as a whole."""
+        if token >> self.width:
+            return []
+        a, b = self._range(token, self.n)
+        at = np.arange(a, b)
+        for level in range(self.width - 1, -1, -1):
+            if not len(at):
+                return []
+            bit = token >> (self.width - 1 - level) & 1
+            at = self._places(level, bit)[at - self.zeros[level] if bit else at]
+        return at.tolist()
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the stable partitions undone from the last level up."""
@@ -175,28 +194,36 @@ class WordEncoder:
     The tokenizer's normalizer and pre-tokenizer never join characters across
     white space, so the ids of a text are those of its words in order. That
     holds only for a tokenizer that drops white space; one that does not is
-    refused. Texts with U+001C to U+001F, which ``str.split`` would also split
-    at, are encoded whole.
-
-    Words not met before go through the tokenizer together: those of Latin
-    letters, less full stops and commas at their end, as one text whose ids are
-    cut at the tokens that end a word; all others one by one.
+    refused. Texts with U+001C to U+001F, which Python would also split at, are
+    encoded whole.
+
+    Words are looked up (``word_lookup``). Those of Latin letters, less
+    signs at their end, go in lower case through the tokenizer's
+    model alone, as one text: such a word is one pre-token, spelled byte by byte
+    here, and the ids are cut at the tokens that end a word. All others go one
+    by one through the whole tokenizer.
     """
 
     def __init__(self, content: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind = Tokenizer.from_str(content), kind
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # words reach it once; its own lookup only costs time
+        plain = json.loads(content) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}
+        self.model = Tokenizer.from_str(json.dumps(plain))
+        for t in (self.tokenizer, self.model):
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # words reach it once; its own lookup only costs time
         for text in ("a b", "a  b", "a\n\tb"):
             if self._whole([text])[0] != self._whole(["a"])[0] + self._whole(["b"])[0]:
                 raise ValueError("the tokenizer does not drop white space; encode whole texts")
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        probe = ["Ox", "éÀa", "internationally"]
+        self.plain = (self._letters([w.lower() for w in probe]) == self._packed(probe)
+                      and self._whole(["ox., b"])[0] == sum(self._whole(["ox", ".,", "b"]), []))
+        self.words = Words(PARTS if self.plain else r"^(?P<core>)(?P<tail>)$", self._letters,
+                           self._packed, self._packed, lower=True, kept=CACHED)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -205,52 +232,40 @@ class WordEncoder:
         return [np.array(ids, self.kind).tobytes() for ids in self._whole(texts)]
 
     def _letters(self, found: list[str]) -> list[bytes]:
-        """Words of Latin letters: one pre-token each, so one ending token each."""
-        ids = np.array(self._whole([" ".join(found)])[0], np.int64)
+        """Words of Latin letters in lower case: one pre-token each, so one ending token each."""
+        text = " ".join(found)
+        ids = np.array(self.model.encode_batch_fast([text if text.isascii() else spelled(text, " ")], add_special_tokens=False)[0].ids, np.int64)
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) != len(found):
             return self._packed(found)
         size, data = np.dtype(self.kind).itemsize, ids.astype(self.kind).tobytes()
         return [data[a * size:b * size] for a, b in zip([0, *cuts], cuts)]
 
-    def _add(self, missing: set[str]) -> None:
-        cache = self.cache
-        lines = PARTS("\n".join(missing))  # letters, full stops and commas after them; or anything else
-        rest = [other for _, _, other in lines if other]
-        whole = [(core, tail) for core, tail, _ in lines if core]
-        folded = "\n".join([core for core, _ in whole]).lower().split("\n") if whole else []
-        tails = {tail for _, tail in whole if tail}.difference(cache, rest)
-        rest += tails
-        cache.update(zip(rest, self._packed(rest)))
-        letters = list(set(folded).difference(cache))
-        if letters:
-            cache.update(zip(letters, self._letters(letters)))
-        cache.update([(core + tail, cache[low] + cache[tail]) if tail else (core, cache[low])
-                      for (core, tail), low in zip(whole, folded)])
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[bytes, np.ndarray]:
+        """Ids of all texts, each with ``end`` after it, as little-endian integers
+        of ``kind`` one after the other; and where each text ends, in bytes."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = pc.if_else(odd, "", texts)
+        lines = pc.replace_substring(plain, "\n", " ")
+        if pc.any(pc.match_substring_regex(lines, BLANKS)).as_py():
+            lines = pc.replace_substring_regex(lines, BLANKS, " ")
+        lists = pc.split_pattern(pc.binary_join_element_wise(lines, LAST, " "), " ")
+        data, ends = spread_out(lists, lambda words: self._with_end(words, end))
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        return with_whole(data, ends, {i: b + end for i, b in zip(where, self._packed([texts[i].as_py() for i in where]))})
+
+    def _with_end(self, words: pa.Array, end: bytes) -> pa.Array:
+        found = self.words(words)
+        at = pc.index(words, LAST).as_py()
+        if at < 0:
+            return found
+        return pa.concat_arrays([found[:at], pa.array([end], pa.large_binary()), found[at + 1:]])
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        if len(self.cache) > CACHED:
-            self.older, self.cache = self.cache, {}
-        split = [t.split() if t and not any(c in t for c in ODD) else None for t in texts]
-        missing: set[str] = set()
-        for words in split:
-            if words:
-                missing.update(set(words).difference(self.cache))
-        for w in missing & self.older.keys():
-            self.cache[w] = self.older.pop(w)
-            missing.discard(w)
-        self._add(missing)
-        out = []
-        for text, words in zip(texts, split):
-            if words is not None:
-                out.append(b"".join(map(self.cache.__getitem__, words)))
-            else:
-                out.append(self._packed([text])[0] if text else b"")
-        for w in missing:
-            if len(w) > LONG_WORD:
-                del self.cache[w]
-        return out
+        data, ends = self.encode_all(pa.array(texts, pa.string()))
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -281,10 +296,11 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 1, *, id_col: str
     def run(batches):
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                ids = _encoder(held.value, kind).encode(part.column("text").to_pylist())
-                packed = [b + end for b in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, "text", SLICE):
+                data, ends = _encoder(held.value, kind).encode_all(part.column("text"), end)
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+                packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], ["doc_id", "ids"])
 
     return (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
             .mapInArrow(run, "doc_id bigint, ids binary"))
