@@ -30,6 +30,7 @@ import json
 import os
 import re
 import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,21 +39,17 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import slices
+from .word_lookup import SIGNS, SPACE, Words, spelled, spread_out, with_whole
 
 MAX_LENGTH = 1024
 CACHED = 400_000        # words kept per worker, and as many of the generation before
-#: How byte-level BPE spells a byte: printable ones as themselves, the others from U+0100 on.
-SPACE = "\u0120"
-_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SPELLED = dict(zip([b for b in range(256) if b not in _KEPT], range(256, 512))) | {10: 10}  # a line feed stays, to split at
-LONG_WORD = 200         # longer words are not kept
 SLICE = 8 << 20
 FEW_COUNTS = 100_000    # rows of the numbering table that are broadcast; more are joined by a shuffle
 #: Texts with these are encoded whole: runs of white space, other white space, and the marks below.
 ODD = "[ \n][ \n]|[\\x00\\x01\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 FIRST, LAST = "\0", "\1"   # marks before the first word and for the end of a text
-#: A word of letters, and signs after it that neither join it nor each other's neighbours; or anything else.
-PARTS = re.compile(r"^(?:([^\W\d_]+)([.,;:!?)]*)|(.*))$", re.M).findall
+#: A word of letters, and signs after it that letters never join (RE2).
+PARTS = r"^(?P<core>\pL+)(?P<tail>" + SIGNS + ")$"
 
 
 class ByteEncoder:
@@ -79,8 +76,7 @@ class ByteEncoder:
             self.model.model._resize_cache(0)
         if self._letters(["ox", "Éé中"]) != self._packed([" ox", " Éé中"]):
             raise ValueError("the tokenizer does not spell bytes like byte-level BPE")
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Words(PARTS, self._letters, self._packed, self._others, kept=CACHED)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,47 +89,18 @@ class ByteEncoder:
         if not words:
             return []
         joined = "\n" + "\n".join(words)
-        spelled = (joined.replace("\n", "\n" + SPACE) if joined.isascii()
-                   else joined.replace("\n", "\n ").encode().decode("latin-1").translate(SPELLED))
-        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        text = joined.replace("\n", "\n" + SPACE) if joined.isascii() else spelled(joined.replace("\n", "\n "), "\n")
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.begins[ids]).tolist()
         if len(cuts) != len(words):
             return self._packed([" " + w for w in words])
         data = ids.tobytes()
         return [data[4 * a:4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
 
-    def _add(self, missing: set[str]) -> None:
-        """Keys of the lookup: ``word`` stands for a space and the word, ``\\nword``
-        for a line feed and the word, ``\\0word`` for a word that begins a text."""
-        cache = self.cache
-        other = [w for w in missing if not w or w[0] in "\0\n"]
-        cache.update(zip(other, self._packed([w[1:] if w[:1] == FIRST else w or " " for w in other])))
-        lines = PARTS("\n".join([w for w in missing if w and w[0] not in "\0\n"]))
-        cores = {core for core, _, _ in lines if core}.difference(cache)
-        wide = {w for w in cores if not w.isascii()}
-        rest = [rest for _, _, rest in lines if rest] + [w for w in wide if not w.isalpha()]  # number signs and the like
-        for some in (list(cores - wide), [w for w in wide if w.isalpha()]):
-            cache.update(zip(some, self._letters(some)))
-        cache.update(zip(rest, self._packed([" " + w for w in rest])))
-        tails = list({FIRST + tail for _, tail, _ in lines if tail}.difference(cache))
-        cache.update(zip(tails, self._packed([t[1:] for t in tails])))
-        cache.update([(core + tail, cache[core] + cache[FIRST + tail]) for core, tail, _ in lines if tail])
-
-    def _looked_up(self, words: list[str]) -> list[bytes]:
-        """Bytes of different words, from the lookup."""
-        if len(self.cache) > CACHED:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        missing = set(words).difference(cache)
-        for w in [w for w in missing if w in older] if older else ():
-            cache[w] = older.pop(w)
-            missing.discard(w)
-        self._add(missing)
-        out = [cache[w] for w in words]
-        for w in missing:
-            if len(w) > LONG_WORD:
-                cache.pop(w, None)
-        return out
+    def _others(self, words: list[str]) -> list[bytes]:
+        """``word`` stands for a space and the word, ``\\nword`` for a line feed
+        and the word, ``\\0word`` for a word that begins a text."""
+        return self._packed([w[1:] if w[:1] == FIRST else w if w[:1] == "\n" else " " + w for w in words])
 
     def encode(self, texts: pa.Array, end: bytes) -> tuple[bytes, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, as little-endian unsigned
@@ -141,25 +108,18 @@ class ByteEncoder:
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD)
         plain = pc.if_else(odd, "", texts)
-        split = pc.split_pattern(pc.replace_substring(
+        lists = pc.split_pattern(pc.replace_substring(
             pc.binary_join_element_wise(FIRST, plain, " " + LAST, ""), "\n", " \n"), " ")
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        ids = self._looked_up([w for w in words if w != LAST])
-        if LAST in words:
-            ids.insert(words.index(LAST), end)
-        values = pa.array(ids, pa.large_binary()).take(coded.indices)
-        at = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
-        data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
-        ends = at[split.offsets.to_numpy()[1:]]
-        if not pc.any(odd).as_py():
-            return data, ends
-        begins = np.concatenate([[0], ends[:-1]])
-        each = [data[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+        data, ends = spread_out(lists, lambda words: self._with_end(words, end))
         where = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
-        for i, whole in zip(where, self._packed([texts[i].as_py() for i in where])):
-            each[i] = whole + end
-        return b"".join(each), np.cumsum([len(b) for b in each])
+        return with_whole(data, ends, {i: b + end for i, b in zip(where, self._packed([texts[i].as_py() for i in where]))})
+
+    def _with_end(self, words: pa.Array, end: bytes) -> pa.Array:
+        found = self.words(words)
+        at = pc.index(words, LAST).as_py()
+        if at < 0:
+            return found
+        return pa.concat_arrays([found[:at], pa.array([end], pa.large_binary()), found[at + 1:]])
 
 
 _LOADED: dict[str, ByteEncoder] = {}
