@@ -29,8 +29,9 @@ at a time. Words are told apart by their 64-bit hash.
 Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case.
 
 Defined results: a null text, or one without words, has 0 words and score 0.
-Rows equal in id and text have one result row between them (they have equal
-scores) but each counts in the model. An empty table gives an empty result.
+Every row has a result row, repeated ones too. An empty table gives an empty
+result. Texts are numbered in the order in which their task reads them, so the
+input must come in the same order when a task runs again (files, a checkpoint).
 """
 
 from __future__ import annotations
@@ -139,8 +140,7 @@ def _sum(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    ident, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
-    return docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("key"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def hot_count(total: int, hot_share: int = HOT, bucket_pairs: int = BUCKET_PAIRS
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA,
           cutoff: int = CUTOFF, hot_share: int = HOT, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
-    """``doc_id, n_words, log_score`` per distinct row; the model is of all rows."""
+    """``doc_id, n_words, log_score`` per row; the model is of all rows."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, "word-counts")
@@ -289,7 +289,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return _texts(docs, id_col, text_col).select("doc_id", F.lit(0).cast("bigint").alias("n_words"),
-                                                     F.lit(0.0).alias("log_score")).distinct()
+                                                     F.lit(0.0).alias("log_score"))
     hot_from = hot_count(total, hot_share, bucket_pairs)
     words = [(r.h % (1 << 64), r.n, r.p) for r in
              counts.where(F.greatest("n", "p") >= hot_from).collect()]  # at most 2 * total / hot_from
@@ -309,7 +309,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
                 ids = part.column("doc_id")
                 mine = np.arange(number, number + part.num_rows, dtype=np.uint64)
                 number += part.num_rows
-                yield from _dealt(home(mine, buckets), 4, text=mine, key=part.column("key").to_numpy(),
+                yield from _dealt(home(mine, buckets), 4, text=mine,
                                   valid=np.asarray(ids.is_valid()).astype(np.uint8), doc_id=ids.fill_null(0).to_numpy())
                 own, a = np.repeat(mine, lengths), histories(word, lengths)
                 order, at = groups(word, a, own)
@@ -401,15 +401,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", al
                     score[at] += part["score"]
                     n[at] += part["n"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(f["key"][order]), pa.array(f["doc_id"][order], pa.int64(), mask=f["valid"][order] == 0),
-                 pa.array(score), pa.array(n)], ["key", "doc_id", "score", "n"])
+                [pa.array(f["doc_id"][order], pa.int64(), mask=f["valid"][order] == 0), pa.array(n), pa.array(score)],
+                ["doc_id", "n_words", "log_score"])
 
     texts = _texts(docs, id_col, text_col)
     met = (texts.mapInArrow(explode, ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
            .mapInArrow(resolve, ROWS))
     divided = (met.unionByName(counts.mapInArrow(send_counts, ROWS)).repartition(parts, "bucket")
                .sortWithinPartitions("bucket").mapInArrow(divide, ROWS))
-    per_text = (divided.repartition(parts, "bucket").sortWithinPartitions("bucket")
-                .mapInArrow(finish, "key bigint, doc_id bigint, score double, n bigint"))
-    return (per_text.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_words"),
-                                        F.max("score").alias("log_score")).drop("key"))
+    return (divided.repartition(parts, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(finish, "doc_id bigint, n_words bigint, log_score double"))

@@ -61,23 +61,23 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH d AS (SELECT DISTINCT doc_id, text, count(*) OVER (PARTITION BY doc_id, text) AS copies FROM documents),
-t AS (SELECT doc_id, text, copies,
-             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                '[^\\x20\\x09-\\x0D]+') AS w FROM d),
-g AS (SELECT doc_id, text, copies, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
       FROM t, unnest(generate_series(1, len(w))) AS u(i)),
-uni AS (SELECT b, sum(copies) AS c FROM g GROUP BY b),
-his AS (SELECT a, sum(copies) AS c FROM g GROUP BY a),
-bi AS (SELECT a, b, sum(copies) AS c FROM g GROUP BY a, b),
-n AS (SELECT sum(copies) AS n FROM g),
-s AS (SELECT g.doc_id, g.text, count(*) AS n_words,
+uni AS (SELECT b, count(*) AS c FROM g GROUP BY b),
+his AS (SELECT a, count(*) AS c FROM g GROUP BY a),
+bi AS (SELECT a, b, count(*) AS c FROM g GROUP BY a, b),
+n AS (SELECT count(*) AS n FROM g),
+s AS (SELECT g.r, count(*) AS n_words,
              sum(CASE WHEN bi.c >= 2 THEN ln(bi.c::DOUBLE / his.c) ELSE ln(0.4 * uni.c / n.n) END) AS s
       FROM g JOIN bi ON g.a IS NOT DISTINCT FROM bi.a AND g.b = bi.b
              JOIN his ON g.a IS NOT DISTINCT FROM his.a JOIN uni ON g.b = uni.b CROSS JOIN n
-      GROUP BY g.doc_id, g.text)
+      GROUP BY g.r)
 SELECT t.doc_id, coalesce(s.n_words, 0)::BIGINT AS n_words, round(coalesce(s.s, 0), 6)::DOUBLE AS log_score
-FROM t LEFT JOIN s ON t.doc_id IS NOT DISTINCT FROM s.doc_id AND t.text IS NOT DISTINCT FROM s.text
+FROM t LEFT JOIN s ON t.r = s.r
 """
 
 
