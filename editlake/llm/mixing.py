@@ -18,8 +18,10 @@
    source and text) are counted first, and only as many of them are taken as
    fit; where they do not all fit they are numbered in blocks of bounded size.
 
-All that a row needs (level of its source, cut point) is one line per source;
-rows meet it in a join that AQE broadcasts when it has measured it small.
+All that a row needs (level of its source, cut point) is one line per source.
+The sources are counted: up to ``FEW_SOURCES`` lines are broadcast, so rows (and
+their texts) stay where they are; more meet the rows in a shuffled join in which
+every source is spread over ``SALTS`` keys.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; a null id is allowed. Rows equal in id, source and text share a
@@ -41,6 +43,7 @@ WORDS_PATTERN = r"[^\x20\x09-\x0D]+"
 RANGE_BITS = 12
 KEY_BITS = 60
 WEIGHTS = (5, 2, 1)
+FEW_SOURCES, SALTS = 20_000, 64
 
 
 def _narrow(ident: Column, text: Column, source: Column, seed: str) -> list[Column]:
@@ -110,12 +113,20 @@ def _plan(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
             .select("_src", "source_size", "target", "_epochs", "_cut_rng", "_cut", "_fit", "_split"))
 
 
+def _beside(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every row with the line of its source."""
+    if plan.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(plan), "_src")
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_ord"), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"]).drop("_salt")
+
+
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (with ``_src``, ``_rng``, ``_ord``) joined with ``plan``, plus ``copies``."""
     whole = ((F.col("_rng") < F.col("_cut_rng"))
              | ((F.col("_rng") == F.col("_cut_rng")) & (F.col("_ord") <= F.col("_cut"))))
     copies = lambda partial: (F.col("_epochs") + F.coalesce(partial, F.lit(False)).cast("bigint")).cast("bigint")
-    joined = rows.join(plan, "_src")
+    joined = _beside(rows, plan)
     if plan.where("_split").isEmpty():
         return joined.withColumn("copies", copies(whole))
     split = F.coalesce(F.col("_split") & (F.col("_ord") == F.col("_cut")), F.lit(False))
@@ -141,8 +152,8 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                weights: Sequence[int] = WEIGHTS, cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken.
 
-    Texts are not shuffled: the plan (one line per source) comes from narrow
-    rows and meets the whole rows in a join small enough to broadcast.
+    Texts are not shuffled (up to ``FEW_SOURCES`` sources): the plan (one line
+    per source) comes from narrow rows and is broadcast to the whole rows.
     """
     cols = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
     plan = cut_lineage(_plan(cut_lineage(docs.select(*_narrow(*cols, seed))), weights, cap))

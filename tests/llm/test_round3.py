@@ -277,3 +277,43 @@ def test_bounds_spare_scores_on_clustered_vectors():
     for k, at, score in hard_negatives.walk(x[::10][order], parent, edge, rows, choose):
         assert (score == x[at] @ x[::10][order][k]).all()
     assert scored < 0.35 * len(x) * len(order)
+
+
+# --- wavelet: encoder and occurrences ------------------------------------------
+
+def test_word_encoder_equals_library_on_whole_texts():
+    from editlake.llm import wavelet
+    enc = wavelet.WordEncoder(open(B.WORDS, encoding="utf-8").read())
+    assert enc.plain
+    rnd = random.Random(9)
+    texts = ODD_TEXTS + ["".join(rnd.choice("abÉÀ日1.,'!?\n \t\r\x0b　 \x85") for _ in range(rnd.randint(0, 200))) for _ in range(300)]
+    texts += [r[1] for r in B.ROWS] + ["İstanbul ﬁn Straße ǅ \1 \x1c x", "a" * 300 + ".", "A,B. c.,", "  ", "\n"]
+    for _ in range(2):
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == (B.TOK.encode(t, add_special_tokens=False).ids if t else []), t
+
+
+def test_wavelet_lookup_positions(spark):
+    from editlake.llm import wavelet
+    folder = new_folder(spark, "wavelet")
+    wavelet.write(B.messy(spark), folder, B.WORDS, shard_tokens=500, partitions=3)
+    shards = wavelet.read(spark, folder)
+    stream = []
+    for r in sorted(B.ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        stream += (B.TOK.encode(r[1], add_special_tokens=False).ids if r[1] else []) + [1]
+    asked = [1, stream[0], max(set(stream), key=stream.count), 40000]
+    want = sorted((t, i) for t in set(asked) for i, x in enumerate(stream) if x == t)
+    assert sorted(map(tuple, wavelet.lookup(shards, list(set(asked))).collect())) == want
+
+
+# --- mixing: the join with the plan --------------------------------------------
+
+def test_mixed_rows_do_not_shuffle_texts(spark, monkeypatch):
+    from editlake.llm import mixing
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.mixed_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    few = sorted(map(repr, mixing.mixed_rows(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)  # the way beyond the size check gives the same rows
+    assert sorted(map(repr, mixing.mixed_rows(docs).collect())) == few
+    assert sorted(map(repr, mixing.mix(B.messy(spark)).collect()))
