@@ -29,6 +29,8 @@ NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 #: Larger images are refused before anything is inflated.
 MOST_PIXELS = 1 << 28
+#: Images undone at once; more no longer fit a core's cache.
+TOGETHER = 64
 
 
 class Header(NamedTuple):
@@ -167,13 +169,15 @@ def decode(files: Sequence[bytes]) -> list[np.ndarray | ValueError]:
             alike.setdefault(header, []).append((i, rows, palette))
         except ValueError as e:
             out[i] = e
-    for header, members in alike.items():
-        data = unfilter(np.stack([rows for _, rows, _ in members]), header.step)
-        for (i, _, palette), one in zip(members, data):
-            try:
-                out[i] = to_rgb(header, one, palette)
-            except ValueError as e:
-                out[i] = e
+    for header, all_members in alike.items():
+        for first in range(0, len(all_members), TOGETHER):
+            members = all_members[first:first + TOGETHER]
+            data = unfilter(np.stack([rows for _, rows, _ in members]), header.step)
+            for (i, _, palette), one in zip(members, data):
+                try:
+                    out[i] = to_rgb(header, one, palette)
+                except ValueError as e:
+                    out[i] = e
     return out
 
 

@@ -435,7 +435,7 @@ def resize_hw(u8: np.ndarray, out_side: int) -> np.ndarray:
     if w != out_side:
         x = np.clip(np.floor(x @ lanczos_matrix(w, out_side).T + 0.5), 0, 255)
     if h != out_side:
-        x = np.clip(np.floor(np.einsum("ij,ncjw->nciw", lanczos_matrix(h, out_side), x) + 0.5), 0, 255)
+        x = np.clip(np.floor(lanczos_matrix(h, out_side) @ x + 0.5), 0, 255)
     return x.astype(np.uint8)
 
 

@@ -438,13 +438,20 @@ def q_exposure_report(spark, sf_dir):
     return AS.exposure_report(draws, pools, SHARE)
 
 
+def _beside_images(spark, sf_dir, pairs, before, after):
+    """Every pair with its images: pair k holds image ``k mod n`` before and image
+    ``k + 1 mod n`` after. ``before`` and ``after`` are tables of ``img_id`` and more."""
+    n = fx.table(spark, sf_dir, "part").count()
+    return (pairs.withColumn("_before", F.col("row_id") % n).withColumn("_after", (F.col("row_id") + 1) % n)
+            .join(before.withColumnRenamed("img_id", "_before"), "_before").join(after.withColumnRenamed("img_id", "_after"), "_after")
+            .drop("_before", "_after"))
+
+
 def corpus_images(spark, sf_dir):
-    """The typed corpus with pixels: pair row k holds image k as before and
-    image k + 1 as its stored after-image."""
+    """The typed corpus with pixels: every pair with its before- and after-image."""
     imgs = fx.images_binary(spark, sf_dir)
-    after = imgs.select((F.col("img_id") - 1).alias("row_id"), F.col("px").alias("after_px"))
-    before = imgs.select(F.col("img_id").alias("row_id"), "px", "res")
-    return fx.pairs(spark, sf_dir).join(before, "row_id").join(after, "row_id")
+    return _beside_images(spark, sf_dir, fx.pairs(spark, sf_dir), imgs.select("img_id", "px", "res"),
+                          imgs.select("img_id", F.col("px").alias("after_px")))
 
 
 def _hex_md5(px: str, flipped: str = "false") -> str:
@@ -457,8 +464,7 @@ def _hex_md5(px: str, flipped: str = "false") -> str:
 _NAMES = ", ".join(f"({tx.TYPE_ID[n]}, '{n}')" for n in tx.SYNTHETIC_TYPES)
 
 
-@register("materialize_examples", W(PAIRS, IMAGES) + ", ci as (select p.* from pairs p join images a on a.img_id = p.row_id "
-          "join images b on b.img_id = p.row_id + 1), " + ", ".join([
+@register("materialize_examples", W(PAIRS, IMAGES) + ", ci as (select * from pairs), " + ", ".join([
               _pools_sql("train", "ci", 5), _draws_sql(SEED), PX_LONG, PX_COORD, _edits_sql()]) + f"""
 , flags as (select *, {D.md5_uniform(str(SEED), 'draw_id', '3')} < 0.1 as td, {D.md5_uniform(str(SEED), 'draw_id', '4')} < 0.1 as idr,
   {D.md5_uniform(str(SEED), 'draw_id', '5')} < 0.5 as flipped from draws)
@@ -469,8 +475,8 @@ select f.draw_id, case when td then 0 else f.type_id end::BIGINT as type_id, 8::
  case when idr then md5(unhex(repeat('80', 192))) else {_hex_md5('a.px', 'f.flipped')} end as before_md5,
  case when n.name is not null then {_hex_md5('e.px', 'f.flipped')} else {_hex_md5('b.px', 'f.flipped')} end as after_md5,
  f.flipped, idr as image_dropped
-from flags f join images a on a.img_id = f.row_id join images b on b.img_id = f.row_id + 1
- left join names n on n.type_id = f.type_id left join edited e on e.img_id = f.row_id and e.edit_type = n.name""")
+from flags f join images a on a.img_id = f.row_id % (select count(*) from part) join images b on b.img_id = (f.row_id + 1) % (select count(*) from part)
+ left join names n on n.type_id = f.type_id left join edited e on e.img_id = f.row_id % (select count(*) from part) and e.edit_type = n.name""")
 def q_materialize_examples(spark, sf_dir):
     """Sampled refs turned into (before, after, type) training rows."""
     ci = corpus_images(spark, sf_dir)
@@ -637,15 +643,12 @@ def _md5_sql(px: str) -> str:
 
 
 def _cells_corpus(spark, sf_dir):
-    """Typed corpus rows with struct<bytes, path> image cells (pair k: image k
-    before, image k + 1 after)."""
+    """Typed corpus rows with struct<bytes, path> image cells."""
     img = _images(spark, sf_dir).select("img_id", PX.u8_to_binary(F.col("px")).alias("b"))
-    cell = lambda c: F.struct(F.col(c).alias("bytes"), F.lit(None).cast("string").alias("path"))
-    before = img.select(F.col("img_id").alias("row_id"), cell("b").alias("image_file"))
-    after = img.select((F.col("img_id") - 1).alias("row_id"), cell("b").alias("edited_file"))
+    cell = F.struct(F.col("b").alias("bytes"), F.lit(None).cast("string").alias("path"))
     p = fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type",
                                        F.col("instruction").alias("edit_instruction"), "caption")
-    return p.join(before, "row_id").join(after, "row_id")
+    return _beside_images(spark, sf_dir, p, img.select("img_id", cell.alias("image_file")), img.select("img_id", cell.alias("edited_file")))
 
 
 def _corpus_files(spark, sf_dir):
@@ -662,7 +665,7 @@ def _corpus_files(spark, sf_dir):
 @register("scan_corpus", W(PAIRS, IMAGES) + f"""
 select p.shard, (row_number() over (partition by p.shard order by p.row_id) - 1)::BIGINT as row_id, p.edit_type, p.instruction,
  {_md5_sql('a.px')} as before_md5, {_md5_sql('b.px')} as after_md5
-from pairs p join images a on a.img_id = p.row_id join images b on b.img_id = p.row_id + 1""")
+from pairs p join images a on a.img_id = p.row_id % (select count(*) from part) join images b on b.img_id = (p.row_id + 1) % (select count(*) from part)""")
 def q_scan_corpus(spark, sf_dir):
     """Corpus files read as type, instruction and the two image cells only,
     keyed by (shard, position in the file)."""
@@ -690,7 +693,7 @@ _UNTYPED = (W(PAIRS, IMAGES, PX_LONG, _CELL_COORD, _resize_sql(SIDE, 4)) + """
 , tiny as (select img_id, md5(unhex(string_agg(printf('%02x', v::INTEGER), '' order by c, y, x))) as h from small_px group by 1)
 , c as (select p.shard, (row_number() over (partition by p.shard order by p.row_id) - 1)::BIGINT as row_id, p.instruction,
   row_number() over (order by p.shard, p.row_id) - 1 as pos, a.h as before_md5, b.h as after_md5
-  from pairs p join tiny a on a.img_id = p.row_id join tiny b on b.img_id = p.row_id + 1)
+  from pairs p join tiny a on a.img_id = p.row_id % (select count(*) from part) join tiny b on b.img_id = (p.row_id + 1) % (select count(*) from part))
 , s as (select * from c where pos >= 250 and pos < 500)
 """)
 
@@ -782,8 +785,8 @@ def _packed(spark, sf_dir, shards=4):
     return path
 
 
-_PACKED = W(PAIRS, IMAGES) + ", packed as (select p.*, a.px as b, c.px as a from pairs p join images a on a.img_id = p.row_id "\
-    "join images c on c.img_id = p.row_id + 1 where p.decodable) "
+_PACKED = W(PAIRS, IMAGES) + ", packed as (select p.*, a.px as b, c.px as a from pairs p join images a on a.img_id = p.row_id % (select count(*) from part) "\
+    "join images c on c.img_id = (p.row_id + 1) % (select count(*) from part) where p.decodable) "
 
 
 @register("write_packed_pairs", _PACKED + """
@@ -893,7 +896,7 @@ _POSITIONAL = (W(PAIRS, IMAGES) + """
 , pr as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, instruction from pairs)
 , ty as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, edit_type_nullable as edit_type
   from pairs)
-, im as (select img_id // 100 as shard, (row_number() over (partition by img_id // 100 order by img_id) - 1)::BIGINT as pos, img_id from images)
+, im as (select shard, (row_number() over (partition by shard order by row_id) - 1)::BIGINT as pos, row_id % (select count(*) from part) as img_id from pairs)
 select im.shard::BIGINT as shard, im.pos, im.img_id, pr.instruction, coalesce(ty.edit_type, '') as edit_type
 from im join pr on pr.shard = im.shard and pr.pos = im.pos left join ty on ty.shard = im.shard and ty.pos = im.pos""")
 
@@ -905,8 +908,8 @@ def q_positional_join(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
     prompts = SC.read_sidecar(SC.sidecar_arrays(p, "instruction"), "instruction")
     types = SC.read_sidecar(SC.sidecar_arrays(p, "edit_type_nullable"), "edit_type")
-    img = _images(spark, sf_dir).select("img_id", (F.col("img_id") / 100).cast("bigint").alias("shard"))
-    img = ordered_position(img, ["shard"], [], "img_id", name="pos").withColumn("pos", F.col("pos") - 1)
+    img = p.select("shard", "row_id", (F.col("row_id") % fx.table(spark, sf_dir, "part").count()).alias("img_id"))
+    img = ordered_position(img, ["shard"], [], "row_id", name="pos").withColumn("pos", F.col("pos") - 1)
     j = img.join(prompts, ["shard", "pos"]).join(types, ["shard", "pos"], "left")
     return j.select("shard", "pos", "img_id", "instruction",
                     F.coalesce("edit_type", F.lit("")).alias("edit_type"))
@@ -920,8 +923,8 @@ def q_positional_join_bucketed(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
     place = lambda df, order, *cols: ordered_position(df, ["shard"], [], order, name="pos").select(
         "shard", (F.col("pos") - 1).alias("pos"), *cols)
-    img = _images(spark, sf_dir).select("img_id", (F.col("img_id") / 100).cast("bigint").alias("shard"))
-    tables = {"images": place(img, "img_id", "img_id"), "prompts": place(p, "row_id", "instruction"),
+    n = fx.table(spark, sf_dir, "part").count()
+    tables = {"images": place(p, "row_id", (F.col("row_id") % n).alias("img_id")), "prompts": place(p, "row_id", "instruction"),
               "types": place(p, "row_id", F.col("edit_type_nullable").alias("edit_type"))}
     read = {}
     for name, df in tables.items():
@@ -968,15 +971,16 @@ def q_stream_ingest_stateful(spark, sf_dir):
 @register("quota_rows_decoded", W(PAIRS, IMAGES) + """
 select row_id, shard, edit_type, type_pos from (select p.row_id, p.shard, p.edit_type,
  row_number() over (partition by p.edit_type order by p.shard, p.row_id)::BIGINT as type_pos
- from pairs p join images i on i.img_id = p.row_id
+ from pairs p join images i on i.img_id = p.row_id % (select count(*) from part)
  where p.edit_type in ('add', 'tune_transfer', 'style_change') and i.img_id % 97 <> 0)
 where type_pos <= case edit_type when 'add' then 150 when 'tune_transfer' then 100 else 60 end""")
 def q_quota_rows_decoded(spark, sf_dir):
     """R2, two-phase: quota rows whose images must decode, decoding only the
     candidates (quota + slack) and widening the slack for short types."""
     from ..operators import shards as SHD
-    cells = _cells(spark, sf_dir).withColumnRenamed("img_id", "row_id")
-    corpus = _as_files(spark, fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type").join(cells, "row_id"), "cells")
+    cells = _cells(spark, sf_dir)
+    pairs = fx.pairs(spark, sf_dir).select("row_id", "shard", "edit_type")
+    corpus = _as_files(spark, _beside_images(spark, sf_dir, pairs, cells, cells.select("img_id")), "cells")
     quota = SHD.quota_table(spark, {"add": 150, "tune_transfer": 100, "style_change": 60})
     out = S.quota_rows_decoded(corpus, quota, "image_file", slack=0.02)
     return out.select("row_id", "shard", "edit_type", "type_pos")
@@ -993,16 +997,13 @@ PLAN_PREP = ({"add": 150, "tune_transfer": 100, "style_change": 60}, 1)
 
 
 def _prep_corpus(spark, sf_dir):
-    """Corpus rows with before/after cells: image k before (one in 97 is
-    unreadable), image k + 1 after (cut short too when k + 1 is a multiple of 97)."""
+    """Corpus rows with before/after cells (one image in 97 is cut short)."""
     cells = _cells(spark, sf_dir)
-    before = cells.select(F.col("img_id").alias("row_id"), "image_file")
-    after = cells.select((F.col("img_id") - 1).alias("row_id"), F.col("image_file").alias("edited_file"))
-    return fx.pairs(spark, sf_dir).join(before, "row_id").join(after, "row_id")
+    return _beside_images(spark, sf_dir, fx.pairs(spark, sf_dir), cells, cells.withColumnRenamed("image_file", "edited_file"))
 
 
 @register("prepare_slice", W(PAIRS, IMAGES, D.quota_cte("pq", PLAN_PREP[0])) + """
-, corpus as (select p.* from pairs p join images a on a.img_id = p.row_id join images b on b.img_id = p.row_id + 1)
+, corpus as (select * from pairs)
 , smap2 as (select shard, edit_type, count(*)::BIGINT as n from corpus group by 1, 2)
 , wanted as (select s.shard, s.edit_type, s.n, k.quota from smap2 s join pq k on k.edit_type = s.edit_type)
 , cut as (select max(shard) as c from (select distinct shard from wanted order by shard limit 1))
@@ -1012,7 +1013,7 @@ def _prep_corpus(spark, sf_dir):
 , ranked as (select c.row_id, c.shard, c.edit_type, c.instruction, k.quota,
    row_number() over (partition by c.edit_type order by c.shard, c.row_id)::BIGINT as type_pos
    from corpus c join pq k on k.edit_type = c.edit_type
-   where c.shard in (select shard from picked) and c.row_id % 97 <> 0 and (c.row_id + 1) % 97 <> 0)
+   where c.shard in (select shard from picked) and c.row_id % (select count(*) from part) % 97 <> 0 and (c.row_id + 1) % (select count(*) from part) % 97 <> 0)
 select row_id, shard, edit_type, instruction, type_pos, 48::BIGINT as before_bytes, 48::BIGINT as after_bytes, 4::BIGINT as res
 from ranked where type_pos <= quota""")
 def q_prepare_slice(spark, sf_dir):
