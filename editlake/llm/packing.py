@@ -20,7 +20,7 @@ differently is refused.
 Defined results: a null or empty text is its end id alone, one piece of length
 1. Rows are independent, so repeated rows and null ids repeat their pieces; an
 empty table gives an empty result. Strings of special tokens in a text are
-ordinary text. A worker holds one slice of texts (8 MB, one text at least).
+ordinary text. A worker holds one slice of texts (4 MB, one text at least).
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ from .common import slices
 from .word_lookup import SIGNS, SPACE, Words, spelled, spread_out, with_whole
 
 MAX_LENGTH = 1024
-CACHED = 400_000        # words kept per worker, and as many of the generation before
-SLICE = 8 << 20
+CACHED = 250_000        # words kept per worker, and as many of the generation before
+SLICE = 4 << 20
 FEW_COUNTS = 100_000    # rows of the numbering table that are broadcast; more are joined by a shuffle
 #: Texts with these are encoded whole: runs of white space, other white space, and the marks below.
 ODD = "[ \n][ \n]|[\\x00\\x01\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
