@@ -513,11 +513,10 @@ def resize_images(df: DataFrame, out_side: int, px_col: str = "px", res_col: str
 
 def register_edits(spark, prefix: str = "edit_") -> list[str]:
     """Each exact edit as a SQL function ``edit_<name>(array<double>, side)``
-    (a vectorised pandas UDF), plus two table functions that give one row per
-    edit: ``synthetic_edit_rows(TABLE(SELECT id, px, side ...))`` for tables,
-    which takes whole Arrow batches, and ``synthetic_edits(px, side)`` for a
-    lateral join, which is called row by row. Returns the registered names."""
-    from pyspark.sql.functions import arrow_udtf, pandas_udf, udtf
+    (a vectorised pandas UDF), plus the table function ``synthetic_edits(px,
+    side)`` for a lateral join, which is called row by row and gives one row per
+    edit (for tables see ``register_edit_rows``). Returns the registered names."""
+    from pyspark.sql.functions import pandas_udf, udtf
 
     names = []
     for name, fn in EDITS.items():
@@ -546,6 +545,14 @@ def register_edits(spark, prefix: str = "edit_") -> list[str]:
                 yield name, tx.TYPE_ID[name], fn(arr).reshape(-1).tolist()
 
     spark.udtf.register("synthetic_edits", SyntheticEdits)
+    names.append("synthetic_edits")
+    return names
+
+
+def register_edit_rows(spark) -> str:
+    """I9 for tables: ``synthetic_edit_rows(TABLE(SELECT id, px, side ...))`` takes
+    whole Arrow batches and gives one row per image and edit."""
+    from pyspark.sql.functions import arrow_udtf
 
     @arrow_udtf(returnType="id bigint, edit_type string, type_id int, after array<double>")
     class SyntheticEditRows:
@@ -562,4 +569,4 @@ def register_edits(spark, prefix: str = "edit_") -> list[str]:
                                         "after": _list_of_doubles(fn(stack).reshape(len(rows), -1))})
 
     spark.udtf.register("synthetic_edit_rows", SyntheticEditRows)
-    return [*names, "synthetic_edits", "synthetic_edit_rows"]
+    return "synthetic_edit_rows"

@@ -279,6 +279,7 @@ select 'function' as form, * from digest union all select 'table' as form, * fro
 def q_register_edits(spark, sf_dir):
     """All 13 edits called by name as SQL functions, and the table function."""
     IM.register_edits(spark)
+    IM.register_edit_rows(spark)
     img = _images(spark, sf_dir).select("img_id", PX.normalize(F.col("px")).alias("x"))
     stacked = F.array(*[F.struct(F.lit(n).alias("edit_type"), F.call_function(f"edit_{n}", F.col("x"), F.lit(SIDE)).alias("after"))
                         for n in tx.SYNTHETIC_TYPES])
