@@ -6,10 +6,15 @@ stands unchanged (pigeonhole). One pass of an Aho-Corasick automaton over all
 pieces of all notices finds these seeds; around each seed lies the only window
 where its notice can be, and there the regex library's bounded-error matching
 verifies it, counts the edits and gives the span. Matches start and end at
-words. Base phrases are exact and are found by their words in a row.
+words. Words that tell one licence from another (``EXACT``) must stand as they
+are; edits are allowed in the rest of the notice. Base phrases are exact and are
+found by their words in a row.
 
-The number of words of a text and the spans cover the whole text. Windows of
-one notice that overlap are merged, so a seed that repeats is verified once.
+The number of words of a text and the spans cover the whole text. Each window
+is as long as its notice and the edits, and is verified once, so the work grows
+with the number of seeds, however close together the notices stand. Of
+overlapping matches of one notice the one with the fewest edits stays, then the
+first; of overlapping matches with different labels those with more edits go.
 
 Defined results: a null or empty text has no words, places or labels and score
 0. Rows are independent; an empty table gives an empty result.
@@ -17,7 +22,8 @@ Defined results: a null or empty text has no words, places or labels and score
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 import regex
@@ -46,6 +52,9 @@ NOTICES = (
     ("all rights reserved", "reserved"),
 )
 
+#: Words of a notice that must stand exactly, at its start or its end: an edit in them names another licence.
+EXACT = {"licensed under cc by nc": "cc by nc", "licensed under cc by sa": "cc by sa", "mit license": "mit"}
+
 #: Bytes between words become spaces, A-Z become a-z; other bytes stay.
 REDUCE = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32)
                for b in range(256))
@@ -65,6 +74,21 @@ def edits_allowed(notice: str) -> int:
     return max(1, len(notice) // 10)
 
 
+def pattern(notice: str, k: int, exact: str = "") -> str:
+    """The notice with up to ``k`` edits outside of ``exact``, the best match first."""
+    plain = lambda t: regex.escape(t, literal_spaces=True)
+    fuzzy = lambda t: f"(?:{plain(t)}){{e<={k}}}"
+    if not exact:
+        body = fuzzy(notice)
+    elif notice.startswith(exact + " "):
+        body = plain(exact) + " " + fuzzy(notice[len(exact) + 1:])
+    elif notice.endswith(" " + exact):
+        body = fuzzy(notice[:-len(exact) - 1]) + " " + plain(exact)
+    else:
+        raise ValueError(f"{exact!r} neither begins nor ends {notice!r}")
+    return rf"(?b)(?<![^ ]){body}(?![^ ])"
+
+
 def pieces(notice: str, k: int) -> list[tuple[int, str]]:
     """``k + 1`` pieces of near-equal length with their offsets."""
     cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
@@ -76,13 +100,80 @@ def reduce_text(text: str | None) -> list[str]:
     return text.encode().translate(REDUCE).decode().split(" ") if text else []
 
 
+def word_starts(joined: str) -> list[int]:
+    """Where each word of a reduced text begins."""
+    starts, at = [0], -1
+    while (at := joined.find(" ", at + 1)) >= 0:
+        starts.append(at + 1)
+    return starts
+
+
+def whole_words(joined: str, starts: Sequence[int], a: int, b: int, most: int) -> tuple[int, int]:
+    """A window moved out to words; a word longer than ``most`` is left out, it is in no match."""
+    at = bisect_right(starts, a) - 1
+    if a - starts[at] > most:
+        at += 1
+    first = starts[at] if at < len(starts) else len(joined)
+    last = joined.find(" ", b, b + most)
+    if last < 0:
+        last = len(joined) if len(joined) <= b + most else max(first, joined.rfind(" ", 0, b))
+    return first, last
+
+
+def best_apart(matches: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches ``(edits, start, end)`` of one notice that do not overlap, fewest edits
+    first, then the first; in order of place. Overlaps are sought in runs of
+    matches that touch each other."""
+    out: list[tuple[int, int, int]] = []
+    ordered = sorted(matches, key=lambda m: m[1:])
+    run: list[tuple[int, int, int]] = []
+
+    def settle() -> None:
+        kept: list[tuple[int, int]] = []
+        for edits, s, e in sorted(run, key=lambda m: (m[0], m[1], m[2])):
+            at = bisect_right(kept, (s, e))
+            if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or e <= kept[at][0]):
+                insort(kept, (s, e))
+                out.append((edits, s, e))
+
+    reach = -1
+    for m in ordered:
+        if run and m[1] >= reach:
+            settle()
+            run = []
+        run.append(m)
+        reach = max(reach, m[2])
+    if run:
+        settle()
+    return sorted(out, key=lambda m: m[1])
+
+
+def beaten(spans: Sequence[Span]) -> list[bool]:
+    """Which spans overlap one of another label with fewer edits. By start, only
+    spans that begin within the longest span's length can reach another."""
+    order = sorted(range(len(spans)), key=lambda i: spans[i].start_word)
+    longest = max((x.end_word - x.start_word for x in spans), default=0)
+    hit = [False] * len(spans)
+    for place, i in enumerate(order):
+        x = spans[i]
+        for step in (-1, 1):
+            j = place + step
+            while 0 <= j < len(order):
+                y = spans[order[j]]
+                if y.start_word <= x.start_word - longest or y.start_word >= x.end_word:
+                    break
+                if y.end_word > x.start_word and y.label != x.label:
+                    hit[i] |= y.edits < x.edits
+                j += step
+    return hit
+
+
 class Scanner:
     def __init__(self, notices: Sequence[tuple[str, str]] = NOTICES, phrases: Sequence[tuple[str, str]] = PHRASES):
         import ahocorasick
         self.notices, self.phrases = list(notices), list(phrases)
         self.allowed = [edits_allowed(n) for n, _ in self.notices]
-        self.verify = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}(?![^ ])")
-                       for (n, _), k in zip(self.notices, self.allowed)]
+        self.verify = [regex.compile(pattern(n, k, EXACT.get(n, ""))) for (n, _), k in zip(self.notices, self.allowed)]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, ((n, _), k) in enumerate(zip(self.notices, self.allowed)):
             for offset, piece in pieces(n, k):
@@ -92,65 +183,46 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), places))
         self.seeds.make_automaton()
 
-    def base(self, joined: str) -> list[tuple[int, str]]:
+    def base(self, joined: str, starts: Sequence[int]) -> list[tuple[int, str]]:
         """``(word, label)`` of every place where a phrase's words stand in a row."""
         padded = f" {joined} "
         out = []
         for phrase, label in self.phrases:
             target, at = f" {phrase} ", -1
             while (at := padded.find(target, at + 1)) >= 0:
-                out.append((joined.count(" ", 0, at), label))
+                out.append((bisect_right(starts, at) - 1, label))
         return out
 
-    def places(self, i: int, joined: str, a: int, b: int) -> list[tuple[int, int, int]]:
-        """``(start, end, edits)`` of notice ``i`` in ``joined[a:b]``, in order. A search
-        gives the best match of its part, so the parts before and after it are searched, too."""
-        out, parts = [], [(a, b)]
-        while parts:
-            a, b = parts.pop()
-            if m := self.verify[i].search(joined[a:b]):
-                s, e = a + m.start(), a + m.end()
-                out.append((s, e, sum(m.fuzzy_counts)))
-                parts += [(a, s), (e, b)]
-        return sorted(out)
-
     def fuzzy(self, joined: str) -> list[Span]:
-        """Verified matches, in order of notice and place. Of overlapping matches
-        with different labels, those with more edits go."""
-        windows: dict[int, list[list[int]]] = {}
+        """Verified matches, in order of notice and place."""
+        return self.spans(joined, word_starts(joined))
+
+    def spans(self, joined: str, starts: Sequence[int]) -> list[Span]:
+        windows: dict[int, dict[int, None]] = {}
         for end, (size, places) in self.seeds.iter(joined):
             at = end + 1 - size
             for i, offset in places:
-                k, n = self.allowed[i], len(self.notices[i][0])
-                a, b = max(0, at - offset - k), min(len(joined), at - offset + n + k)
-                rows = windows.setdefault(i, [])
-                if rows and a <= rows[-1][1]:
-                    rows[-1][0], rows[-1][1] = min(a, rows[-1][0]), max(b, rows[-1][1])
-                else:
-                    rows.append([a, b])
+                windows.setdefault(i, {})[at - offset] = None  # where the notice would begin without edits
         out = []
         for i in sorted(windows):
             notice, label = self.notices[i]
-            done = -1
-            for a, b in windows[i]:
-                a = joined.rfind(" ", 0, a) + 1        # whole words
-                b = joined.find(" ", b) if joined.find(" ", b) >= 0 else len(joined)
-                if a < done:
-                    a = done
-                for s, e, edits in self.places(i, joined, a, b):
-                    first = joined.count(" ", 0, s)
-                    out.append(Span(label, first, first + joined.count(" ", s, e) + 1, edits,
-                                    1 - edits / len(notice), joined[s:e]))
-                    done = e
-        return [x for x in out if not any(
-            y.edits < x.edits and y.label != x.label and y.start_word < x.end_word and x.start_word < y.end_word
-            for y in out)]
+            k, n = self.allowed[i], len(notice)
+            found = set()
+            for begin in windows[i]:
+                a, b = whole_words(joined, starts, max(0, begin - k), begin + n + k, n)
+                if m := self.verify[i].search(joined, a, b):
+                    found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            for edits, s, e in best_apart(found):
+                first = bisect_right(starts, s) - 1
+                out.append(Span(label, first, bisect_right(starts, e - 1), edits, 1 - edits / n, joined[s:e]))
+        return [x for x, hit in zip(out, beaten(out)) if not hit]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[Span]]:
         """Number of words, base places, fuzzy spans."""
         found = [w for w in reduce_text(text) if w]
         joined = " ".join(found)
-        return len(found), self.base(joined), self.fuzzy(joined) if found else []
+        starts = word_starts(joined)
+        return len(found), self.base(joined, starts), self.spans(joined, starts) if found else []
 
 
 _LOADED: dict[tuple, Scanner] = {}

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute as B
@@ -317,3 +318,114 @@ def test_mixed_rows_do_not_shuffle_texts(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FEW_SOURCES", 0)  # the way beyond the size check gives the same rows
     assert sorted(map(repr, mixing.mixed_rows(docs).collect())) == few
     assert sorted(map(repr, mixing.mix(B.messy(spark)).collect()))
+
+
+# --- neighbours: cells ------------------------------------------------------------
+
+def test_neighbour_cells_stay_bounded_with_one_long_vector(spark, monkeypatch):
+    from editlake.llm import neighbours
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 6))
+    x[17] *= 100  # sends most queries to one range
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    seen, deal = [], neighbours.in_cells
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "in_cells", lambda *a: seen.append((a[2], *deal(*a))) or seen[-1][1:])
+    got = neighbours.search(df, lambda i: i % 2 == 0, k=4, range_rows=150).collect()
+    score = x[::2] @ x.T
+    score[np.arange(450), np.arange(0, 900, 2)] = -np.inf
+    want = {(2 * q, r + 1): int(i) for q in range(450) for r, i in enumerate(np.lexsort((np.arange(900), -score[q]))[:4])}
+    assert {(r.query_id, r.rank): r.vec_id for r in got} == want
+    assert len(seen) == 2
+    for by, asking, held in seen:
+        assert asking.groupBy(*by, "g", "s").count().agg(F.max("count")).first()[0] <= 3 * 16
+        assert held.groupBy(*by, "g", "s").count().agg(F.max("count")).first()[0] <= 3 * 40
+
+
+# --- licences: labels over whole texts, many notices ---------------------------------
+
+def edit_distance(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def brute_spans(words):
+    """Every stretch of words against every notice; the best that do not overlap, then the labels' contest."""
+    from editlake.llm import licenses as L
+    out = []
+    for notice, label in L.NOTICES:
+        k, exact, found = L.edits_allowed(notice), L.EXACT.get(notice, ""), []
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + len(notice.split()) + k) + 1):
+                text = " ".join(words[i:j])
+                if abs(len(text) - len(notice)) <= k:
+                    whole, target = text, notice
+                    if exact and notice.startswith(exact):
+                        if not text.startswith(exact + " "):
+                            continue
+                        whole, target = text[len(exact) + 1:], notice[len(exact) + 1:]
+                    elif exact:
+                        if not text.endswith(" " + exact):
+                            continue
+                        whole, target = text[:-len(exact) - 1], notice[:-len(exact) - 1]
+                    d = edit_distance(whole, target, k)
+                    if d <= k:
+                        found.append((d, i, j))
+        kept = []
+        for d, i, j in sorted(found):
+            if all(j <= a or b <= i for _, a, b in kept):
+                kept.append((d, i, j))
+        out += [(label, i, j, d, 1 - d / len(notice)) for d, i, j in kept]
+    return [x for x in out if not any(y[3] < x[3] and y[0] != x[0] and y[1] < x[2] and x[1] < y[2] for y in out)]
+
+
+def test_license_labels_and_scores_against_brute_force():
+    from editlake.llm import licenses as L
+    scan, rnd = L.Scanner(), random.Random(11)
+    for n in range(120):
+        words = []
+        for _ in range(rnd.randint(1, 5)):
+            words += [rnd.choice(["the", "by", "kit", "licence", "public", "x" * 90, "permit", "general"]) for _ in range(rnd.randint(0, 5))]
+            text = list(rnd.choice(L.NOTICES)[0])
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randrange(len(text))
+                text[at:at + rnd.choice((0, 1))] = rnd.choice(("", "q", "e"))
+            words += "".join(text).split()
+        joined = " ".join(words)
+        got, want = scan.scan(joined)[2], brute_spans(words)
+        assert {x.label for x in got} == {x[0] for x in want}, joined
+        assert max((round(x.score, 9) for x in got), default=0) == max((round(x[4], 9) for x in want), default=0), joined
+
+
+def test_license_words_that_tell_apart_must_stand():
+    from editlake.llm import licenses as L
+    scan = L.Scanner()
+    labels = lambda t: [(x.label, x.edits) for x in scan.scan(t)[2]]
+    assert labels("licensed under cc by nd") == labels("kit license") == labels("permit license") == []
+    assert labels("licenced undr CC-BY-NC") == [("cc-by-nc", 2)] and labels("the MIT licence, here") == [("mit", 1)]
+
+
+def test_licenses_are_linear_in_notices():
+    import time
+
+    from editlake.llm import licenses as L
+    scan, rnd = L.Scanner(), random.Random(12)
+    text = " ".join(rnd.choice(["gnu general publik license", "released into teh public domain", "mit licence"]) for _ in range(6400))
+    began = time.process_time()
+    assert len(scan.scan(text)[2]) == 6400
+    assert time.process_time() - began < 5
+
+
+def test_language_stage_without_labels_keeps_texts(spark):
+    import corpus_pipeline
+    docs = B.messy(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted(repr(r.doc_id) for r in kept) == sorted(repr(r[0]) for r in B.ROWS if r[1] and any(c.isalpha() for c in r[1]))
