@@ -4,10 +4,11 @@ near-duplicates, mixing, encoding. Each stage calls one operator of
 return the columns of ``documents``.
 
 Defined results: a text that the quality rules reject, one without a language
-(no letter) or with a best language under ``MIN_SCORE`` goes; of each group of
-near-duplicates the row of the smallest id stays; the mix repeats or drops rows
-to meet its sources' targets; the last stage has one line per row of the mix.
-An empty table passes through every stage.
+(no letter) or with a best language under ``MIN_SCORE`` goes (if no row is
+labelled, only texts without a letter go); of each group of near-duplicates the
+row of the smallest id stays; the mix repeats or drops rows to meet its sources'
+targets; the last stage has one line per row of the mix. An empty table passes
+through every stage.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.learn(docs, language.may_learn()))
+    model = language.learn(docs, language.may_learn())
+    if model is None:  # no row has a language: nothing to judge by, so only texts without a letter go
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language.identify(docs, model)
     fits = (F.col("language.lang_pred") != language.UNKNOWN) & (F.col("language.score") >= MIN_SCORE)
     return found.where(fits).select("row.*")
 
