@@ -31,7 +31,7 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
 
     Files with equal numbers (``add/00000-of-00010``, ``replace/00000-of-00010``)
     would share row keys, so they are refused; ``shard_of="path"`` keys every
-    file by a hash of its path instead.
+    file by a hash of its path instead. A shard that is a folder holds one file.
     """
     if shard_of not in ("number", "path"):
         raise ValueError(f"shard_of is number or path, not {shard_of}")
@@ -45,8 +45,9 @@ def scan_corpus(spark: SparkSession, path: str | list[str], *, tolerant: bool =
         seen: dict[int, str] = {}
         for name in df.inputFiles():  # the planner's own list of files
             if found := re.search(_SHARD_RE, name):
-                if (first := seen.setdefault(int(found[1]), name)) != name:
-                    raise ValueError(f"two files are shard {int(found[1])}: {first} and {name}; pass shard_of='path'")
+                place = name[:found.end()]  # of a shard that is a folder, the folder
+                if (first := seen.setdefault(int(found[1]), place)) != place:
+                    raise ValueError(f"two files are shard {int(found[1])}: {first} and {place}; pass shard_of='path'")
     return df.select(*CORPUS_COLUMNS,
                      F.when((shard != "") & F.lit(shard_of == "number"), shard.cast("bigint")).otherwise(own).alias("shard"),
                      F.col("_metadata.row_index").cast("bigint").alias("row_id"),
