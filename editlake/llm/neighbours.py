@@ -19,7 +19,11 @@
    the bound can exclude little, and the visit is a scan in blocks.
 
 There are at most ``MAX_RANGES`` ranges, so quantiles and range summaries have
-a fixed bound; a range holds ``max(RANGE_ROWS, n / MAX_RANGES)`` rows.
+a fixed bound; a range holds ``max(RANGE_ROWS, n / MAX_RANGES)`` rows. Queries and
+rows of a range meet in cells: the queries are cut into blocks of about
+``QUERY_BLOCK`` and the rows into blocks of about ``ROW_BLOCK``, by hashes of their
+ids, and every pair of blocks is a group of its own. So no task grows with the
+table, also where most queries visit one range (one very long vector is enough).
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do null ids. Of rows with equal ids one takes
@@ -41,6 +45,7 @@ from ..session import cut_lineage
 CURVES, AXES, BITS = 3, 6, 8
 TIE_BITS = 63 - AXES * BITS
 RANGE_ROWS, MAX_RANGES = 4096, 4096
+QUERY_BLOCK, ROW_BLOCK = 1024, 16384
 CHUNK = 64      # queries compared at once
 SLACK = 1e-9    # relative; matrix products only choose what is scored exactly
 
@@ -172,6 +177,17 @@ def _top(found: DataFrame, k: int) -> DataFrame:
             .withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k))
 
 
+def in_cells(asking: DataFrame, rows: DataFrame, by: list[str], in_range: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the blocks ``g`` (of queries) and ``s`` (of rows) of their
+    range in which they meet. ``in_range`` is the number of rows in a range."""
+    blocks = max(1, -(-in_range // ROW_BLOCK))
+    plan = asking.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("_g"))  # a line per range
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = asking.join(F.broadcast(plan), by).withColumn("g", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
+    right = rows.join(F.broadcast(plan), by).withColumn("s", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(blocks)).cast("int"))
+    return left.withColumn("s", every(F.lit(blocks))).drop("_g"), right.withColumn("g", every(F.col("_g"))).drop("_g")
+
+
 def search(table: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
            exact: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose ``id_col`` satisfies
@@ -205,41 +221,48 @@ def search(table: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", v
     bounds = (keyed_rows.agg(*[F.percentile_approx(F.col("keys")[c], cuts, 10 * ranges).alias(f"c{c}")
                                for c in range(CURVES)]).first() if cuts else [[]] * CURVES)  # MAX_RANGES values a curve
     bounds = spark.sparkContext.broadcast([np.array(bounds[c] or [], np.int64) for c in range(CURVES)])
-    sent = "curve int, part int, ask boolean, id bigint, vec binary"
+    sent = "curve int, part int, id bigint, vec binary"
+
+    def out(batch, curve: int, at: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        take = pa.array(at)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(at), curve, np.int32)), pa.array(part.astype(np.int32)),
+             batch.column("id").take(take), batch.column("vec").take(take)], ["curve", "part", "id", "vec"])
+
+    def send_rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                mine = np.stack(batch.column("keys").to_numpy(zero_copy_only=False))
+                for c in range(CURVES):
+                    yield out(batch, c, np.arange(batch.num_rows), np.searchsorted(bounds.value[c], mine[:, c], "right"))
 
-    def send(batches):
+    def send_queries(batches):
         for batch in batches:
-            ids, vec = batch.column("id"), batch.column("vec")
-            asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
-            mine = np.stack(batch.column("keys").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, CURVES))
-            theirs = np.stack(batch.column("asked").to_numpy(zero_copy_only=False)) if batch.num_rows else mine
-            for c in range(CURVES):
-                cut = bounds.value[c]
-                out = [(np.arange(batch.num_rows), np.searchsorted(cut, mine[:, c], "right"), False)]
-                own = np.searchsorted(cut, theirs[asks, c], "right")
-                for step in (-1, 0, 1):
-                    inside = (own + step >= 0) & (own + step <= len(cut))
-                    out.append((asks[inside], own[inside] + step, True))
-                for at, part, ask in out:
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), c, np.int32)), pa.array(part.astype(np.int32)),
-                         pa.array(np.full(len(at), ask)), ids.take(take), vec.take(take)],
-                        ["curve", "part", "ask", "id", "vec"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        ask = group.column("ask").to_numpy()
-        ids, x = group.column("id").to_numpy(), _matrix(group.column("vec"), dim)
-        return _found(*best(ids[ask], x[ask], ids[~ask], x[~ask], k))
-
-    windows = keyed_rows.mapInArrow(send, sent).groupBy("curve", "part").applyInArrow(meet, FOUND)
+            if batch.num_rows:
+                asked = np.stack(batch.column("asked").to_numpy(zero_copy_only=False))
+                for c in range(CURVES):
+                    cut = bounds.value[c]
+                    own = np.searchsorted(cut, asked[:, c], "right")
+                    for step in (-1, 0, 1):
+                        inside = np.flatnonzero((own + step >= 0) & (own + step <= len(cut)))
+                        yield out(batch, c, inside, own[inside] + step)
+
+    def meet(_, asking: pa.Table, held: pa.Table) -> pa.Table:
+        return _found(*best(asking.column("id").to_numpy(), _matrix(asking.column("vec"), dim),
+                            held.column("id").to_numpy(), _matrix(held.column("vec"), dim), k))
+
+    in_range = -(-n // ranges)
+    asking, held = in_cells(keyed_rows.where("asks").mapInArrow(send_queries, sent), keyed_rows.mapInArrow(send_rows, sent),
+                            ["curve", "part"], in_range)
+    cell = ["curve", "part", "g", "s"]
+    windows = asking.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(meet, FOUND)
     merged = _top(windows, k)
     if exact:
-        merged = _top(_check(keyed_rows, cut_lineage(merged), bounds, dim, k), k)
+        merged = _top(_check(keyed_rows, cut_lineage(merged), bounds, dim, k, in_range), k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _check(rows: DataFrame, merged: DataFrame, bounds, dim: int, k: int) -> DataFrame:
+def _check(rows: DataFrame, merged: DataFrame, bounds, dim: int, k: int, in_range: int) -> DataFrame:
     """Windows' results and all else that reaches a query's threshold."""
     spark = rows.sparkSession
 
@@ -280,11 +303,10 @@ def _check(rows: DataFrame, merged: DataFrame, bounds, dim: int, k: int) -> Data
 
     visits = asking.mapInArrow(visit, "part int, id bigint, vec binary, low double")
 
-    def scan(group: pa.Table) -> pa.Table:
-        low = group.column("low").to_numpy()
-        ask = ~np.isnan(low)
-        ids, x = group.column("id").to_numpy(), _matrix(group.column("vec"), dim)
-        return _found(*best(ids[ask], x[ask], ids[~ask], x[~ask], k, low[ask]))
+    def scan(_, asking: pa.Table, held: pa.Table) -> pa.Table:
+        return _found(*best(asking.column("id").to_numpy(), _matrix(asking.column("vec"), dim), held.column("id").to_numpy(),
+                            _matrix(held.column("vec"), dim), k, asking.column("low").to_numpy()))
 
-    both = visits.unionByName(placed.withColumn("low", F.lit(float("nan"))))
-    return merged.select("query_id", "vec_id", "score").unionAll(both.groupBy("part").applyInArrow(scan, FOUND))
+    asking, held = in_cells(visits, placed, ["part"], in_range)
+    found = asking.groupBy("part", "g", "s").cogroup(held.groupBy("part", "g", "s")).applyInArrow(scan, FOUND)
+    return merged.select("query_id", "vec_id", "score").unionAll(found)
