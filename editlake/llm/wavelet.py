@@ -42,8 +42,8 @@ from .word_lookup import SIGNS, Words, spelled, spread_out, with_whole
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512         # bits between stored rank counts
-CACHED = 200_000    # words kept per worker, and as many of the generation before
-SLICE = 4 << 20     # bytes of texts encoded together (one text at least)
+CACHED = 120_000    # words kept per worker, and as many of the generation before
+SLICE = 2 << 20     # bytes of texts encoded together (one text at least)
 #: Latin letters whose lower case is one letter, and signs after them (RE2).
 PARTS = r"^(?P<core>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>" + SIGNS + ")$"
 #: Texts with these are encoded whole: the mark below, and what is white space to Python but not to the tokenizer.
