@@ -29,3 +29,16 @@ def optimized(df):
 def test_images_are_never_broadcast(spark, made):
     p = plan(made(spark, SF))
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+def test_deviation_takes_the_mean_once(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30000)), lambda v: v.cast("double")).alias("x"))
+    t = time.time()
+    assert df.select(F.round(PX.array_std(F.col("x")), 3)).first()[0] == 8660.398
+    assert time.time() - t < 10
+
+
+def test_quantile_with_nulls(spark):
+    df = spark.createDataFrame([(1, [3.0, None, -4.0, 1.0]), (2, [None, None]), (3, [-2.0])], "id int, x array<double>")
+    got = {r.id: (r.low, r.high) for r in df.select("id", PX.abs_quantile(F.col("x"), 0.0).alias("low"), PX.abs_quantile(F.col("x"), 1.0).alias("high")).collect()}
+    assert got == {1: (1.0, None), 2: (None, None), 3: (2.0, 2.0)}  # nulls last
