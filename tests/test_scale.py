@@ -42,3 +42,21 @@ def test_quantile_with_nulls(spark):
     df = spark.createDataFrame([(1, [3.0, None, -4.0, 1.0]), (2, [None, None]), (3, [-2.0])], "id int, x array<double>")
     got = {r.id: (r.low, r.high) for r in df.select("id", PX.abs_quantile(F.col("x"), 0.0).alias("low"), PX.abs_quantile(F.col("x"), 1.0).alias("high")).collect()}
     assert got == {1: (1.0, None), 2: (None, None), 3: (2.0, 2.0)}  # nulls last
+
+
+@pytest.mark.parametrize("query", [C.q_pack_chw, C.q_normalize, C.q_flip_pairs])
+def test_long_form_makes_an_image_once(spark, query):
+    assert optimized(query(spark, SF)).count("zip_with(") == 1
+
+
+def test_long_form_leaves_out_null_and_empty_images(spark):
+    df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None), (4, [None])], "img_id bigint, a array<int>")
+    assert sorted((r.img_id, r.pos, r.value) for r in C._long(df, "a").collect()) == [(1, 0, 5), (1, 1, 6), (4, 0, None)]
+
+
+def test_rounding_without_decimals(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -2.5, 0.49999999999999994, -0.49999999999999994, 1e6 + 0.5, 123456.49999999999, 0.0, -0.0, 1e15, 3.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert all(r[0] == r[1] for r in df.select(PX.half_away(F.col("v")), F.round("v", 0).cast("bigint")).collect())
+    small = df.union(spark.range(256).selectExpr("id / 127.5D - 1")).union(spark.createDataFrame([(5e-7,), (1.5e-6,), (-2.5e-6,), (float("nan"),)], "v double"))
+    assert all(repr(r[0]) == repr(r[1]) for r in small.select(PX.rounded(F.col("v"), 6), F.round("v", 6)).collect())
