@@ -60,3 +60,30 @@ def test_rounding_without_decimals(spark):
     assert all(r[0] == r[1] for r in df.select(PX.half_away(F.col("v")), F.round("v", 0).cast("bigint")).collect())
     small = df.union(spark.range(256).selectExpr("id / 127.5D - 1")).union(spark.createDataFrame([(5e-7,), (1.5e-6,), (-2.5e-6,), (float("nan"),)], "v double"))
     assert all(repr(r[0]) == repr(r[1]) for r in small.select(PX.rounded(F.col("v"), 6), F.round("v", 6)).collect())
+
+
+def test_pixel_digest_is_that_of_the_arrays(spark):
+    df = spark.createDataFrame([(1, [0.25, -1.0, 0.1234565]), (3, None), (4, [1.0, None]), (5, [1.0])], "id int, x array<double>")
+    s1, s2 = PX.digest(F.col("x"))
+    got = df.select("id", IM.pixel_digest()("x").alias("d"), s1.alias("s1"), s2.alias("s2")).collect()
+    assert all((r.d.s1, r.d.s2) == (r.s1, r.s2) for r in got) and len(got) == 4
+
+
+def test_edit_functions_take_sizes_and_nulls(spark):
+    IM.register_edits(spark, "t_")
+    df = spark.createDataFrame([(1, [1.0] * 3, 1), (2, None, 1), (3, [0.5] * 12, 2), (4, [0.5] * 3, None)], "id int, x array<double>, side int").coalesce(1)
+    got = {r.id: r.y for r in df.selectExpr("id", "t_inverted(x, side) as y").collect()}
+    assert got == {1: [-1.0] * 3, 2: None, 3: [-0.5] * 12, 4: None}
+    with pytest.raises(Exception, match="not 3 x 2 x 2"):
+        df.selectExpr("t_inverted(x, 2)").collect()
+    made = C.q_register_edits(spark, SF)
+    assert "transform(" not in optimized(made).split("ArrowEvalPython")[0]  # digests in the workers, not value by value
+
+
+def test_sql_edits_agree_on_one_image(spark):
+    x = [i / 13.0 - 0.9 for i in range(12)]
+    df = spark.createDataFrame([(x,)], "x array<double>")
+    for name in PX.SQL_EDITS:
+        got = df.select(PX.synthetic_sql(F.col("x"), name, 2)).first()[0]
+        want = IM.EDITS[name](pa.array(x).to_numpy().reshape(1, 3, 2, 2)).reshape(-1).tolist()
+        assert got == pytest.approx(want, abs=1e-12), name
