@@ -22,6 +22,7 @@ from ..functions.literal import literal_table
 from ..operators.ordering import ordered_position
 from ..operators.select import quota_rows
 from ..operators.shards import quota_table, shard_semi_join
+from ..session import cut_lineage
 
 
 def progress_path(target: str) -> str:
@@ -91,6 +92,8 @@ def stream_ingest(spark: SparkSession, source_dir: str, target: str, checkpoint:
     the rows taken so far; with ``shards`` (the plan's shard list) cut to the
     quota in (shard, row) order.
     """
+    if shards is not None:
+        shards = cut_lineage(shards)  # planned once, not in every batch
     writer = make_batch_writer(target, quota) if shards is None else make_candidate_writer(target, quota, shards)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
