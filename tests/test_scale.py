@@ -87,3 +87,10 @@ def test_sql_edits_agree_on_one_image(spark):
         got = df.select(PX.synthetic_sql(F.col("x"), name, 2)).first()[0]
         want = IM.EDITS[name](pa.array(x).to_numpy().reshape(1, 3, 2, 2)).reshape(-1).tolist()
         assert got == pytest.approx(want, abs=1e-12), name
+
+
+def test_stream_batches_do_not_grow_with_shards(spark, scratch, monkeypatch):
+    monkeypatch.setattr(C, "_scratch", lambda spark, name: f"{scratch}/{name}")
+    C.q_stream_ingest(spark, "/root/testdata/sf0.01")  # 150 shards
+    batches = [n for n in os.listdir(f"{scratch}/stream/ckpt/commits") if n.isdigit()]
+    assert 2 <= len(batches) <= 4
