@@ -94,3 +94,21 @@ def test_stream_batches_do_not_grow_with_shards(spark, scratch, monkeypatch):
     C.q_stream_ingest(spark, "/root/testdata/sf0.01")  # 150 shards
     batches = [n for n in os.listdir(f"{scratch}/stream/ckpt/commits") if n.isdigit()]
     assert 2 <= len(batches) <= 4
+
+
+def test_corpus_files_are_written_in_place(spark, scratch):
+    rows = spark.range(25000).selectExpr("format_string('train-%05d-of-00003', id % 3) as file", "id as row_id", "cast(id as string) as caption")
+    n = SC.write_files(rows.repartition("file").sortWithinPartitions("file", "row_id"), scratch, "file")
+    assert n == 3 and sorted(os.listdir(scratch)) == [f"train-{k:05d}-of-00003.parquet" for k in range(3)]
+    back = spark.read.parquet(scratch).selectExpr("row_id", "_metadata.row_index as at", "_metadata.file_name as f")
+    assert back.count() == 25000 and back.where("at <> row_id div 3 or cast(substr(f, 7, 5) as int) <> row_id % 3").count() == 0
+    assert SC.write_files(rows.limit(0), scratch + "/none", "file") == 0
+
+
+def test_slice_of_shards_counts_the_corpus_once(spark):
+    c = fx.pairs(spark, "/root/testdata/sf0.01").selectExpr("shard", "row_id % 100 as row_id", "instruction", "decodable")
+    out = S.slice_of_shards(c, 1, 300)
+    assert "Window" not in plan(out) and {r.shard for r in out.select("shard").collect()} == {3, 4, 5}
+    null = c.where("shard < 2").withColumn("shard", F.when(F.col("shard") > 0, F.col("shard")))
+    assert {r.shard for r in S.slice_of_shards(null, 0, 150).collect()} == {None, 1}
+    assert S.slice_of_shards(c, 1000, 300).count() == 0
