@@ -158,10 +158,12 @@ def refresh_version(prompts: DataFrame, meta: DataFrame, root: str, *, key=("sha
     before = current_version(spark, root)
     name = f"v-{uuid.uuid4().hex}"
     folder = f"{root.rstrip('/')}/{name}"
-    # narrow rows are dealt by key range first: few files a shard, and a large shard is many tasks
-    dealt = prompts.select(*key, text_col).repartitionByRange(*key)
-    (embed_text(dealt, text_col, dim=dim, seq_len=seq_len, **kw).drop(text_col)
-     .write.partitionBy(key[0]).parquet(f"{folder}/vectors"))
+    # narrow rows are dealt by key range and sorted first: a file holds the shards of a range (a folder a shard
+    # would cost a file each), a large shard is many tasks, and the statistics of a file tell its shards. The
+    # count is given because the narrow rows' size, by which it would be chosen, says nothing of the vectors'.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = prompts.select(*key, text_col).repartitionByRange(tasks, *key).sortWithinPartitions(*key)
+    embed_text(dealt, text_col, dim=dim, seq_len=seq_len, **kw).drop(text_col).write.parquet(f"{folder}/vectors")
     refresh_meta(meta, dim, seq_len, encoder).write.parquet(f"{folder}/meta")
     _point_to(spark, root, name)
     if not keep_old:

@@ -112,3 +112,11 @@ def test_slice_of_shards_counts_the_corpus_once(spark):
     null = c.where("shard < 2").withColumn("shard", F.when(F.col("shard") > 0, F.col("shard")))
     assert {r.shard for r in S.slice_of_shards(null, 0, 150).collect()} == {None, 1}
     assert S.slice_of_shards(c, 1000, 300).count() == 0
+
+
+def test_vectors_are_not_a_folder_a_shard(spark, scratch):
+    p = spark.range(300).selectExpr("id as shard", "0L as row_id", "concat('add hat ', id) as instruction")
+    meta = p.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", "n", F.to_json(F.struct("n")).alias("meta_json"))
+    assert V.refresh_version(p, meta, scratch, dim=4).select("shard").distinct().count() == 300
+    found = [f for _, _, names in os.walk(scratch) for f in names if f.endswith(".parquet")]
+    assert len(found) < 100
