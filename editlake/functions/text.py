@@ -48,6 +48,12 @@ ADD_BOUNDARY_RE = (rf"(?<!{_WORD_CHAR})(?=[{_FIRST_LETTERS}])(?:" + _alt(tx.ADD_
 NON_LETTERS_RE = "[^a-z]+"
 
 
+def _searched(pattern: str) -> str:
+    r"""A pattern that starts with ``\b`` and a letter, for Java: the boundary is
+    written out, because Java takes signs like a raised 2 for no word character."""
+    return "(?iUd)" + pattern.replace(r"\b", rf"(?<!{_WORD_CHAR})", 1)
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
 
@@ -157,7 +163,7 @@ def type_id_of(name: Column) -> Column:
 def head_noun_v1(instruction: Column, edit_type: str) -> Column:
     """Earlier histogram heads: pattern *search*, last word of the group."""
     pat = {"add": tx.HEAD_V1_ADD_PATTERN, "tune_transfer": tx.HEAD_V1_TUNE_PATTERN}[edit_type]
-    grp = F.nullif(F.regexp_extract(null_safe_text(instruction), "(?iUd)" + pat, 1), F.lit(""))
+    grp = F.nullif(F.regexp_extract(null_safe_text(instruction), _searched(pat), 1), F.lit(""))
     words = F.filter(F.split(F.lower(grp), PY_WHITESPACE_CLASS + "+"), lambda w: w != "")
     return F.try_element_at(words, F.lit(-1))
 
@@ -165,7 +171,7 @@ def head_noun_v1(instruction: Column, edit_type: str) -> Column:
 def addition_head(prompt: Column) -> Column:
     """Loose addition pattern; head is the last word unless that is a
     trailing preposition, then the first."""
-    grp = F.nullif(F.regexp_extract(null_safe_text(prompt), "(?iUd)" + tx.ADDITION_PATTERN, 1),
+    grp = F.nullif(F.regexp_extract(null_safe_text(prompt), _searched(tx.ADDITION_PATTERN), 1),
                    F.lit(""))
     words = F.filter(F.split(F.lower(grp), PY_WHITESPACE_CLASS + "+"), lambda w: w != "")
 
@@ -177,7 +183,7 @@ def addition_head(prompt: Column) -> Column:
 
 
 def looks_like_addition(prompt: Column) -> Column:
-    return F.regexp_extract(null_safe_text(prompt), "(?iUd)" + tx.ADDITION_PATTERN, 1) != ""
+    return F.regexp_extract(null_safe_text(prompt), _searched(tx.ADDITION_PATTERN), 1) != ""
 
 
 def raw_words(text: Column) -> Column:

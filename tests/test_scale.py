@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from editlake import fixtures as fx
 from editlake.functions import pixels as PX
+from editlake.functions import text as T
 from editlake.operators import images as IM
 from editlake.operators import select as S
 from editlake.operators import vectors as V
@@ -120,3 +121,9 @@ def test_vectors_are_not_a_folder_a_shard(spark, scratch):
     assert V.refresh_version(p, meta, scratch, dim=4).select("shard").distinct().count() == 300
     found = [f for _, _, names in os.walk(scratch) for f in names if f.endswith(".parquet")]
     assert len(found) < 100
+
+
+def test_raised_digits_are_word_characters(spark):
+    df = spark.createDataFrame([(" add ²add add",), ("add a hat",)], "t string")
+    got = df.select(T.head_noun_v1(F.col("t"), "add"), T.addition_head(F.col("t")), T.looks_like_addition(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(None, None, False), ("hat", "hat", True)]
