@@ -159,3 +159,20 @@ def test_damaged_values_fail_the_write(spark, scratch):
         with pytest.raises(Exception, match="px shard"):
             PK.write_packed_pairs(bad, scratch + "/d", shards=1)
     assert PK.read_packed_pairs(spark, scratch + "/d").count() == 0
+
+
+def test_partitions_do_not_grow_with_the_files(spark, scratch):
+    path = scratch + "/g"
+    PK.write_packed_pairs(rows(spark, 5000, vectors=True), path, shards=2)
+    for records, most in ((1, 2 * PK.MOST_PARTITIONS), (3, 2 * PK.MOST_PARTITIONS), (512, 10), (1100, 6)):
+        reader = PK.PackedReader({"path": path, "recordsPerPartition": str(records), "vectors": "true"})
+        parts = reader.partitions()
+        assert len(parts) <= most
+        batches = [b for p in parts for b in reader.read(p)]
+        assert max(b.num_rows for b in batches) <= records  # what is read at once stays the same
+        got = sorted(((r["before"], r["after"], r["instruction"], r["edit_type"]) for b in batches for r in b.to_pylist()), key=repr)
+        assert got == want(spark)
+        assert sorted(v[0][0] for b in batches for v in b.column("vectors").to_pylist()) == list(range(5000))
+    reader = PK.PackedReader({"path": path, "recordsPerPartition": "3"})
+    reader.types, reader.low, reader.high = {"add"}, 100, 900
+    assert all(r["edit_type"] == "add" and 100 <= r["row"] <= 900 for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist())
