@@ -232,3 +232,19 @@ def test_refresh_embeddings_refuses_count_mismatch(spark, scratch):
         V.refresh_embeddings(p, p.count() + 1, os.path.join(scratch, "v"))
     out = V.refresh_embeddings(p, p.count(), os.path.join(scratch, "v"), dim=8)
     assert out.count() == p.count()
+
+
+def test_shard_rows_are_those_of_the_scan(spark, scratch):
+    rows = spark.range(40).selectExpr("'add' as edit_type", "'x' as edit_instruction", "struct(cast('b' as binary) as bytes, cast(null as string) as path) as image_file",
+                                      "struct(cast('b' as binary) as bytes, cast(null as string) as path) as edited_file", "id")
+    for name, n in (("00003-of-00009", 3), ("train-00001-of-00009", 7), ("a b é%", 5), ("00002-of-00009", 0), ("own", 1)):
+        SC.write_files(rows.where(f"id < {n}").drop("id").withColumn("file", F.lit(name)).coalesce(1), scratch + "/c", "file")
+    if not os.path.exists(scratch + "/c/00002-of-00009.parquet"):
+        import pyarrow.parquet as pq
+        pq.write_table(pq.read_table(scratch + "/c/own.parquet").slice(0, 0), scratch + "/c/00002-of-00009.parquet")
+    for shard_of in ("number", "path"):
+        c = SC.scan_corpus(spark, scratch + "/c", shard_of=shard_of)
+        got = sorted(map(tuple, SC.shard_rows(c, shard_of).collect()))
+        assert got == sorted(map(tuple, c.groupBy("shard").count().collect())) and len(got) == 4
+        take = lambda **more: sorted(map(tuple, S.slice_of_shards(c, 1, 6, F.lit(True), **more).select("shard", "row_id").collect()))
+        assert take(rows=SC.shard_rows(c, shard_of)) == take() and len(take()) == 6
