@@ -8,8 +8,8 @@ handful of types it sends a fifth (or a third) of the corpus through one task.
 1. count rows per (group, shard, block) where a block is ``row_id div B``;
    this is a partial/final hash aggregate, so only counts are shuffled;
 2. a running sum over that small count table gives each block's offset;
-3. rows meet their block offset in a join (AQE broadcasts the offsets table
-   when it is small) and ``row_number()`` runs inside the block only.
+3. rows meet their block offset in a sort-merge join (the offsets table grows with
+   the corpus) and ``row_number()`` runs inside the block only.
 
 No window partition ever holds more than ``B`` source rows, whatever the key
 distribution, and the result equals the single ``row_number()`` exactly.
@@ -60,7 +60,8 @@ def ordered_position(df: DataFrame, group_cols: Sequence[str], major_cols: Seque
     if keep_block is not None:
         offsets = offsets.where(keep_block(offsets))
     offsets = offsets.drop("_n", *group_cols)
-    joined = blk.join(offsets, on=seg, how="inner")
+    # offsets grow with the corpus, and the window needs this partitioning anyway
+    joined = blk.join(offsets.hint("merge"), on=seg, how="inner")
     w_in = Window.partitionBy(*seg).orderBy(F.col(row_col))
     out = joined.withColumn(name, (F.col("_off") + F.row_number().over(w_in)).cast("bigint"))
     return out.drop("_grp", "_maj", "_blk", "_off")

@@ -127,3 +127,13 @@ def test_raised_digits_are_word_characters(spark):
     df = spark.createDataFrame([(" add ²add add",), ("add a hat",)], "t string")
     got = df.select(T.head_noun_v1(F.col("t"), "add"), T.addition_head(F.col("t")), T.looks_like_addition(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(None, None, False), ("hat", "hat", True)]
+
+
+def test_offsets_of_positions_are_not_broadcast(spark):
+    from editlake.operators.ordering import ordered_position
+    rows = spark.range(600).selectExpr("id % 3 as g", "id div 100 as shard", "id as row_id")
+    made = ordered_position(rows, ["g"], ["shard"], "row_id")
+    got = {(r.g, r.row_id): r.pos for r in made.collect()}
+    assert got == {(i % 3, i): i // 3 + 1 for i in range(600)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # they grow with the shards
