@@ -335,7 +335,7 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(model)  # hashed weights and a bounded lexicon
     k = len(model.labels) if model else 1
     return annotate(docs, lambda texts: predict(texts, held.value), "lang_pred string, score double", text_col,
-                    "language", max(1 << 16, (8 << 20) // max(1, k // 4)))
+                    "language", max(1 << 16, (3 << 20) // max(1, k // 4)))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -429,3 +429,11 @@ def test_language_stage_without_labels_keeps_texts(spark):
     docs = B.messy(spark).withColumn("lang", F.lit(None).cast("string"))
     kept = corpus_pipeline.language_id(spark, docs, "").collect()
     assert sorted(repr(r.doc_id) for r in kept) == sorted(repr(r[0]) for r in B.ROWS if r[1] and any(c.isalpha() for c in r[1]))
+
+
+def test_language_slices_are_small(spark, monkeypatch):
+    from editlake.llm import language
+    seen = []
+    monkeypatch.setattr(language, "annotate", lambda df, kernel, fields, text_col, name, max_bytes: seen.append(max_bytes) or df)
+    language.identify(spark.createDataFrame([("a",)], "text string"), None)
+    assert 0 < seen[0] <= 3 << 20
