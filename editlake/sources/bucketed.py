@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KEY = ("shard", "pos")
 
@@ -28,10 +29,10 @@ def write_bucketed(df: DataFrame, folder: str, buckets: int, key: Sequence[str]
     df.sparkSession.sql(f"DROP TABLE {name}")  # the folder stays; readers name buckets and key again
 
 
-def read_bucketed(spark: SparkSession, folder: str, buckets: int, key: Sequence[str] = KEY) -> DataFrame:
-    """A written table with its buckets known to the planner."""
+def read_bucketed(spark: SparkSession, folder: str, buckets: int, key: Sequence[str] = KEY, schema: StructType | None = None) -> DataFrame:
+    """A written table with its buckets known to the planner. Without its ``schema`` it must have rows."""
     name = f"bucketed_{uuid.uuid4().hex}"
-    schema = spark.read.parquet(folder).schema
+    schema = schema or spark.read.parquet(folder).schema
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     keys = ", ".join(f"`{k}`" for k in key)
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {int(buckets)} BUCKETS "

@@ -1,6 +1,7 @@
 """Steps that must not grow with the corpus in the driver, in files or in repeated work."""
 import os
 import time
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -13,7 +14,9 @@ from editlake.operators import images as IM
 from editlake.operators import select as S
 from editlake.operators import vectors as V
 from editlake.plans import catalog_more as C
+from editlake.session import CLEANUP_CONF
 from editlake.sources import corpus as SC
+from editlake.sources import packed as PK
 
 SF = "/root/testdata/sf0.001"
 
@@ -137,3 +140,69 @@ def test_offsets_of_positions_are_not_broadcast(spark):
     assert got == {(i % 3, i): i // 3 + 1 for i in range(600)}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan  # they grow with the shards
+
+
+# ------------------------------------------------------- round 4: packed pairs with vectors
+
+ORDERS = [k * 7 for k in range(300)] + [21] * 40 + [None] * 3
+PARTS = [*range(15), 3, 3, None, 99]
+VECTORS = [0, 1, 2, 2, None, 40]
+
+
+def vector_tables(spark, folder):
+    """Few rows: ids of pairs, images and vectors repeat, have gaps and are null."""
+    spark.createDataFrame([(k,) for k in ORDERS], "o_orderkey bigint").repartition(3).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k, i % 50) for i, k in enumerate(PARTS)], "p_partkey bigint, p_size int").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(k, [float(100 * i + j) for j in range(64)]) for i, k in enumerate(VECTORS)],
+                          "vec_id bigint, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def pairs_with_vectors(held=lambda k: True):
+    """(first, middle, last) of every packed row, counted."""
+    out = Counter()
+    for k in ORDERS:
+        if k is not None and k % 97 and held(k):
+            copies = PARTS.count(k % len(PARTS)) * PARTS.count((k + 1) % len(PARTS))
+            for i, v in enumerate(VECTORS):
+                if v == k % len(VECTORS):
+                    out[100.0 * i, 100.0 * i + 36, 100.0 * i + 63] += copies
+    return +out
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+
+def test_row_slices_take_every_row_once(spark):
+    df = spark.createDataFrame([(k,) for k in ORDERS], "row_id bigint")
+    slices = PK.row_slices(df, 50)
+    taken = [Counter(r.row_id for r in df.where(s).collect()) for s in slices]
+    assert len(slices) > 4 and sum(taken, Counter()) == Counter(ORDERS) and max(t.total() for t in taken) < 150
+    assert all(not a.keys() & b.keys() for i, a in enumerate(taken) for b in taken[:i])
+    for few in (df.limit(0), df.where("row_id is null"), df.where("row_id = 21")):
+        assert sum(few.where(s).count() for s in PK.row_slices(few, 2)) == few.count()
+
+
+def test_vectors_are_written_slice_by_slice(spark, scratch, monkeypatch):
+    """No shuffle outlives the slice that it served."""
+    vector_tables(spark, scratch)
+    monkeypatch.setattr(PK, "SLICE_ROWS", 60, raising=False)
+    before = shuffle_files(spark)
+    path = C._with_vectors(spark, scratch)
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(CLEANUP_CONF, None) in (None, "false")  # as it was
+    prefixes = PK.find_prefixes(path)
+    assert len(prefixes) > 8
+    got = Counter((r.vectors[0][0], r.vectors[4][4], r.vectors[7][7]) for r in PK.read_vectors(spark, path).collect())
+    assert got == pairs_with_vectors()
+
+
+def test_vectors_of_empty_tables(spark, scratch):
+    vector_tables(spark, scratch + "/full")
+    for t in ("orders", "part", "embeddings"):
+        spark.read.parquet(f"{scratch}/full/{t}.parquet").limit(0).write.parquet(f"{scratch}/none/{t}.parquet")
+    assert C.q_read_vectors(spark, scratch + "/none").count() == 0
