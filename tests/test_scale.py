@@ -206,3 +206,22 @@ def test_vectors_of_empty_tables(spark, scratch):
     for t in ("orders", "part", "embeddings"):
         spark.read.parquet(f"{scratch}/full/{t}.parquet").limit(0).write.parquet(f"{scratch}/none/{t}.parquet")
     assert C.q_read_vectors(spark, scratch + "/none").count() == 0
+
+
+def test_typed_pairs_come_from_every_slice(spark, scratch, monkeypatch):
+    vector_tables(spark, scratch)
+    monkeypatch.setattr(PK, "SLICE_ROWS", 60, raising=False)
+    before = shuffle_files(spark)
+    spark.conf.set(PK.PUSHDOWN, "true")
+    try:
+        rows = C.q_read_packed_typed(spark, scratch)
+        until = time.time() + 20
+        while shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.2)
+        assert not shuffle_files(spark) - before
+        found = rows.collect()
+    finally:
+        spark.conf.unset(PK.PUSHDOWN)
+    assert {r.edit_type for r in found} == {"add", "replace"}
+    kind = lambda k: (k // 100 + (k % 100 >= 90)) % 5
+    assert Counter((r.first, r.middle, r.last) for r in found) == pairs_with_vectors(lambda k: kind(k) in (0, 4))
